@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import byte_bpe, chat_format, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
