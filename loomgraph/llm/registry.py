@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, url_filter
+from . import byte_bpe, chat_format, decontaminate, minhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
 }
