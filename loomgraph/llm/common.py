@@ -20,22 +20,24 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return the written rows.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local
     sessions) a temporary folder is set. Files go when the frame is garbage-collected, if the session
-    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. What comes from a shuffle is written by as many tasks
+    as there are cores, each of which reads its shuffle partitions one after the other: tables of state
+    would else be hundreds of tiny files. ``large`` keeps the partitions as they are.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    return (df if large else gathered(df)).checkpoint()
 
 
-def shards(df: DataFrame) -> int:
-    """Partitions for a keyed shuffle: what the session says, at least the cores."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+def gathered(df: DataFrame) -> DataFrame:
+    """No more partitions than cores, without a shuffle; a task reads the partitions it stands for one by one."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, minhash, url_filter
+from . import ann, byte_bpe, chat_format, decontaminate, html_text, language_id, line_dedup, minhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_ann_search": ann.op8_ann_search,
+    "op9_html_text": html_text.op9_html_text,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 ORACLES = {
