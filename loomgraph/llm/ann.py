@@ -4,7 +4,9 @@ Vectors are scaled to length 1 and cut into two halves; each half is quantised b
 (k-means on at most ``SAMPLE`` rows, those with the smallest hash of their id), so a vector lies in one of k * k
 cells. Every vector is indexed. A query walks the pairs of centroids in order of summed squared distance with a
 heap, until the cells it passed hold ``candidates`` vectors or all cells are passed, and meets the vectors of these
-cells. Cosines are computed in double precision on the original vectors; ties go to the smaller id.
+cells. How many candidates that are is measured, not guessed: for at most ``PROBES`` of the queries the true
+neighbours are found by brute force over all rows (one pass), and ``candidates`` is what the share ``RECALL`` of these
+neighbours needs. Clustered vectors need a few cells; vectors without structure need a large share of all. Cosines are computed in double precision on the original vectors; ties go to the smaller id.
 
 Of vectors that are equal in all components only the ``n + 1`` smallest ids can be among the n nearest of any query,
 so only these are indexed. Cells of more than ``BLOCK`` vectors are split by a hash of the id and every query that
@@ -28,7 +30,9 @@ from .common import cut, gathered, table
 
 SAMPLE, BLOCK, MOST_CENTROIDS, ROUNDS = 16_384, 4096, 256, 12
 #: Vectors a cell holds on average, and vectors a query meets at least.
-PER_CELL, CANDIDATES = 64, 4000
+PER_CELL, CANDIDATES = 256, 1000
+#: Queries whose true neighbours are found, and the share of these that the walk must reach.
+PROBES, RECALL = 192, 0.96
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
@@ -90,6 +94,13 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, wanted: int) -> l
     return found
 
 
+def needed(one: np.ndarray, two: np.ndarray, counts: np.ndarray, cells: list[int]) -> list[int]:
+    """How many vectors the walk must be asked for to reach each of these cells."""
+    order = walk(one, two, counts, int(counts.sum()))
+    before = dict(zip(order, np.cumsum(counts[order]) - counts[order], strict=True))
+    return [int(before[c]) + 1 for c in cells]
+
+
 def rerank(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, own: np.ndarray, n: int) -> tuple[list, list, list]:
     """For each query row, the n nearest entries: (query rows, entry ids, cosines)."""
     out: tuple[list, list, list] = ([], [], [])
@@ -111,7 +122,7 @@ def rerank(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, own: np.nd
     return out
 
 
-def search(df: DataFrame, queries, n: int = 5, candidates: int = CANDIDATES, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the n nearest rows found for each row that the condition ``queries`` (on vec_id) picks."""
     rows = usable(df, id, vector)
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
@@ -138,6 +149,8 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int = CANDIDATES, id:
     counts = np.zeros(k * k, np.int64)
     for cell, count in index.groupBy("cell").count().collect():  # at most k * k numbers
         counts[cell] = count
+    if candidates is None:
+        candidates = measured(index, asked, counts, (one, two), n)
     parts = np.maximum(1, -(-counts // BLOCK))
     split = [(int(c), int(parts[c])) for c in np.flatnonzero(parts > 1)]
     block = F.lit(0).cast("bigint")
@@ -171,5 +184,33 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int = CANDIDATES, id:
     return gathered(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)).select("query_id", "rank", "vec_id", "score")
 
 
+def measured(index: DataFrame, asked: DataFrame, counts: np.ndarray, centres: tuple[np.ndarray, np.ndarray], n: int) -> int:
+    """The candidates that reach RECALL of the true neighbours of a sample of the queries."""
+    drawn = asked.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(PROBES).toArrow()
+    if not drawn.num_rows:
+        return CANDIDATES
+    ids, raw = drawn["vec_id"].to_numpy(), matrix(drawn["vec"])
+    x = unit(raw)
+
+    def scan(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+                near = x @ unit(matrix(batch.column("vec"))).T
+                near[ids[:, None] == own[None, :]] = -2
+                take = np.argsort(-near, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), take.shape[1])), pa.array(np.take_along_axis(near, take, 1).ravel()), pa.array(cell[take].ravel())], names=["query", "score", "cell"])
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"))
+    found = index.mapInArrow(scan, "query bigint, score double, cell bigint").where("score > -1.5").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
+    cells: dict[int, list[int]] = {}
+    for r in found.select("query", "cell").collect():  # at most PROBES * n rows
+        cells.setdefault(r["query"], []).append(r["cell"])
+    half = centres[0].shape[1]
+    to1, to2 = distances(x[:, :half], centres[0]), distances(x[:, half:], centres[1])
+    wanted = [w for q, own in cells.items() for w in needed(to1[q], to2[q], counts, own)]
+    return max(CANDIDATES, int(np.quantile(wanted, RECALL, method="higher"))) if wanted else CANDIDATES
+
+
 def op8_ann_search(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
