@@ -10,8 +10,11 @@ with all bins full, which 2 * BINS rounds guarantee. Bands of ``ROWS`` coordinat
 pair at similarity 0.8 is missed with probability (1 - 0.8**ROWS) ** (BINS / ROWS), below 4e-6 with 5 and 160.
 Candidates are confirmed on the full sets of 64-bit shingle hashes.
 
-Documents with equal sets are one node (128-bit sum of their hashes), so copies never meet in pairs; nodes that
-share a band meet through ``cluster.classes``. Rows with a null id take no part: their component is null and they are
+Documents with equal sets are one node (128-bit sum of their hashes), so copies never meet in pairs. In a group of
+nodes that share a band, the first meets all others; if the group is then one class, it is done. Otherwise every pair
+of different classes is verified, pair by pair in small groups; in large ones block by block inside tasks, where
+only nodes outside the largest class meet all, so no row for each pair is made. Sizes and 2-bit sketches drop pairs
+that are far from the threshold (6 standard deviations) before their sets are read. Rows with a null id take no part: their component is null and they are
 kept. Rows that repeat an id are documents of their own that carry the same id.
 """
 
@@ -22,14 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _sizes, _steps
-from .cluster import classes
-from .common import cut, spread, table
+from .cluster import components
+from .common import cut, gathered, spread, table
 
 BINS, ROWS = 160, 5
+#: 64-bit words of two sketch bits a coordinate, and how far below its mean the agreement of a linked pair may lie.
+WORDS, SIGMAS = BINS // 32, 6
+#: Groups of up to SMALL nodes are searched pair by pair; larger ones in blocks of BLOCK nodes.
+SMALL, BLOCK = 16, 512
 _FULL = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,14 +127,15 @@ def signatures(docs: DataFrame, words: int, id: str = "doc_id", text: str = "tex
             flat, offsets = shingler.sets(batch.column("text").to_pylist())
             n = np.diff(offsets)
             none = n == 0
-            keys = bands(sketch(flat, offsets))
+            drawn = sketch(flat, offsets)
+            keys = bands(drawn)
             ends = np.concatenate([[0], np.cumsum(np.where(none, 0, keys.shape[1]))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *(pa.array(sums(flat, offsets, s), mask=none) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)), _list(keys[~none].ravel(), ends)],
-                names=["doc_id", "n", "fp1", "fp2", "bands"],
+                [batch.column("doc_id"), pa.array(n), *(pa.array(sums(flat, offsets, s), mask=none) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)), _list(keys[~none].ravel(), ends), *map(pa.array, attributes(drawn))],
+                names=["doc_id", "n", "fp1", "fp2", "bands", *(f"s{i}" for i in range(WORDS))],
             )
 
-    return spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
+    return spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, " + ", ".join(f"s{i} bigint" for i in range(WORDS)))
 
 
 def full_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -145,33 +153,119 @@ def full_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", "text", "fp1", "fp2").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def attributes(sketches: np.ndarray) -> list[np.ndarray]:
+    """``WORDS`` 64-bit words for each set with 2 bits of each coordinate."""
+    bits = (mix(sketches) >> np.uint64(7) & np.uint64(3)).reshape(len(sketches), WORDS, 32)
+    return [(bits[:, i] << (2 * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64).view(np.int64) for i in range(WORDS)]
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two nodes (structs) allow a similarity of ``percent``.
+
+    Two equal coordinates agree in their 2 bits, two others in one of 4 cases, so of BINS coordinates at similarity s
+    BINS * (1 + 3s) / 4 agree on average. A pair passes with ``SIGMAS`` standard deviations less.
+    """
+    s = (1 + 3 * percent / 100) / 4
+    least = int(BINS * s - SIGMAS * (BINS * s * (1 - s)) ** 0.5)
+    differ = F.lit(0)
+    for i in range(WORDS):
+        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= BINS - least)
+
+
+def links_in(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """[left, right]: which pairs of sets are linked, by products of incidence matrices over the shared shingles."""
+    one, two = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(one, two)
+    both = np.zeros((len(left), len(right)), np.float64)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    cols = [np.minimum(np.searchsorted(shared, x), max(0, len(shared) - 1)) for x in (one, two)]
+    for at in range(0, len(shared), 4096):
+        parts = []
+        for k, (x, sets) in enumerate(((one, left), (two, right))):
+            ok = (shared[cols[k]] == x) & (cols[k] >= at) & (cols[k] < at + 4096)
+            m = np.zeros((len(sets), min(4096, len(shared) - at)), np.float32)
+            m[rows[k][ok], cols[k][ok] - at] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    n, m = (np.array([len(s) for s in x], np.float64) for x in (left, right))
+    return 100 * both >= percent * (n[:, None] + m[None, :] - both)
+
+
+def blockwise(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different roots in large groups (key, node, root), without a row for each pair.
+
+    Nodes outside their group's largest class meet all nodes of the group, in blocks of about ``BLOCK`` on either side;
+    a task has two blocks' sets.
+    """
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
+    sizes = cut(sizes.select("key", F.col("top.root").alias("main"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("lefts"), F.ceil(F.col("m") / BLOCK).alias("rights")))
+    rows = large.join(sizes, "key")
+    lot = lambda n: F.pmod(F.xxhash64(F.lit("block"), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = rows.where("root <> main").select("key", lot("lefts").alias("i"), every("rights").alias("j"), "node", "root")
+    right = rows.where("lefts > 0").select("key", lot("rights").alias("j"), every("lefts").alias("i"), "node", "root").select("key", "i", "j", "node", "root")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        if a.num_rows and b.num_rows:
+            sa, sb = (np.split(x.combine_chunks().flatten().to_numpy(), np.cumsum(x.combine_chunks().value_lengths().to_numpy())[:-1]) for x in (a["a_shingles"], b["b_shingles"]))
+            na, nb, ra, rb = (t[c].to_numpy() for t, c in ((a, "a_node"), (b, "b_node"), (a, "a_root"), (b, "b_root")))
+            for x, y in zip(*np.nonzero(links_in(sa, sb, percent) & (ra[:, None] != rb[None, :])), strict=True):
+                found[0].append(min(na[x], nb[y]))
+                found[1].append(max(na[x], nb[y]))
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    sides = [x.join(sets, "node").select(*(F.col(c).alias(f"{side}_{c}") for c in ("key", "i", "j", "node", "root", "shingles"))) for side, x in (("a", left), ("b", right))]
+    left, right = (x.groupBy(*(f"{side}_{c}" for c in ("key", "i", "j"))) for side, x in zip("ab", sides, strict=True))
+    return left.cogroup(right).applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; ids are whole numbers."""
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(signatures(docs, words))
+    signed = cut(signatures(docs, words), large=True)
     owned = signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")))
-    own = owned.join(nodes.select("fp1", "fp2", F.col("node").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi")
-    members = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "fp1", "fp2").dropDuplicates(["key", "node"])
+    nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
+    own = owned.join(nodes.select("fp1", "fp2", F.col("node").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
+    traits = F.struct("n", *(f"s{i}" for i in range(WORDS))).alias("t")
+    own = cut(own.select(F.col("doc_id").alias("node"), "fp1", "fp2", "bands", traits))
+    members = own.select(F.explode("bands").alias("key"), "node")
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = cut(members.join(shared, "key"))
-    wanted = members.select(F.col("node").alias("doc_id"), "fp1", "fp2").distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id"), words))
+    members = cut(members.join(shared, "key").join(own.select("node", "t"), "node"))
+    wanted = members.select("node").distinct().join(own.select("node", "fp1", "fp2"), "node")
+    sets = cut(full_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id"), words), large=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        size = sets.select("node", F.size("shingles").alias("n"))
-        near = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return near.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-
-    labels = classes(members.select("key", "node"), verify)
+        return cut(pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
+
+    def pairs_of(left: DataFrame, right: DataFrame, condition) -> DataFrame:
+        met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & condition & alike("l.t", "r.t", percent))
+        return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+    # every group's first node meets the others; most groups are then one class
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "t")).alias("h")).select("key", "h.node", "h.t")
+    tried = cut(pairs_of(hubs, members, F.col("l.node") < F.col("r.node")))
+    links = verify(tried)
+    labels = components(links)
+    # what is left in groups of several classes: pair by pair in small groups, block by block in large ones
+    labelled = members.join(labels, "node", "left").select("key", "node", "t", F.coalesce("root", "node").alias("root"))
+    opened = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).where("least <> most AND m > 2").select("key", "m")
+    labelled = cut(labelled.join(opened, "key"))
+    small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
+    rest = pairs_of(small, small, (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))).join(tried, ["a", "b"], "left_anti")
+    more = cut(verify(rest).unionByName(blockwise(large.select("key", "node", "root"), sets, percent)))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     rooted = cut(nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root")))
     out = signed.select("doc_id", "n", "fp1", "fp2").join(rooted, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return gathered(out).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
