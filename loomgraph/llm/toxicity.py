@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features of a text are the distinct words (ASCII letters and non-ASCII characters, lower-cased) and their stems of
-4 to 6 characters, present or not. The model is a logistic regression over the features that differ clearly between
-the labels. In labelled texts that name an identity group, the group's term is swapped for others; the training
+4 to 6 characters, present or not. The model is a logistic regression over the features whose rates differ
+between the labels (log likelihood ratio above ``LEAST_GAIN``). In labelled texts that name an identity group, the group's term is swapped for others; the training
 loss adds ``penalty`` times the squared change of the score that a swap causes, so a neutral mention of a group
 doesn't move the score.
 
@@ -27,7 +27,7 @@ from .byte_bpe import _sizes, _steps
 from .common import spread, table
 from .language_id import fold
 
-SAMPLE, FEATURES, SWAPS, PENALTY = 12_000, 1024, 4, 10.0
+SAMPLE, FEATURES, SWAPS, PENALTY, LEAST_GAIN = 12_000, 1024, 4, 10.0, 8.0
 STEMS = (4, 5, 6)
 #: Terms for groups of people, in lists whose members can stand for each other.
 IDENTITY = (
@@ -117,6 +117,12 @@ class Model:
         return score
 
 
+def information(seen: np.ndarray, n: int) -> np.ndarray:
+    """Log likelihood of presence at its own rate among n texts."""
+    p = np.clip(seen / n, 1e-12, 1 - 1e-12)
+    return seen * np.log(p) + (n - seen) * np.log1p(-p)
+
+
 def fit(toxic: np.ndarray, pair: np.ndarray, row: np.ndarray, flat: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -> Model:
     """From the output of ``featurize`` as arrays."""
     if not len(toxic):
@@ -131,10 +137,9 @@ def fit(toxic: np.ndarray, pair: np.ndarray, row: np.ndarray, flat: np.ndarray,
     own = base[owner]
     seen1 = np.bincount(code[own & (toxic[owner] == 1)], minlength=len(names))
     seen0 = np.bincount(code[own & (toxic[owner] == 0)], minlength=len(names))
-    gap = np.log((seen1 + 0.5) / (n1 + 1)) - np.log((seen0 + 0.5) / (n0 + 1))
-    z = np.abs(gap) / np.sqrt(1 / (seen1 + 0.5) + 1 / (seen0 + 0.5))
-    chosen = np.flatnonzero((z > 3) & (seen1 + seen0 >= 4))
-    chosen = chosen[np.lexsort((names[chosen], -z[chosen]))][:FEATURES]
+    gain = information(seen1, n1) + information(seen0, n0) - information(seen1 + seen0, n1 + n0)
+    chosen = np.flatnonzero((gain > LEAST_GAIN) & (seen1 + seen0 >= 4))
+    chosen = chosen[np.lexsort((names[chosen], -gain[chosen]))][:FEATURES]
     if not len(chosen):
         return Model({}, prior)
     place = np.full(len(names), -1)
@@ -147,8 +152,8 @@ def fit(toxic: np.ndarray, pair: np.ndarray, row: np.ndarray, flat: np.ndarray,
     change = x[other] - x[[first[r] for r in row[other].tolist()]] if len(other) else np.zeros((0, len(chosen)), np.float32)
     xb, y = x[base], (toxic[base] == 1).astype(np.float32)
     w, b = np.zeros(len(chosen), np.float32), prior
-    m, v, decay = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 1e-4
-    for step in range(1, 401):  # Adam on the whole sample
+    m, v, decay = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 1e-5
+    for step in range(1, 601):  # Adam on the whole sample
         p = 1 / (1 + np.exp(-np.clip(xb @ w + b, -50, 50)))
         g = xb.T @ (p - y) / len(y) + decay * w
         if len(change):
