@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, gathered, table
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -114,7 +114,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str =
         own = F.struct(*(F.lit(x).cast(t).alias(n) for n, t, x in (("tier", "int", r.tier), ("length", "int", len(r.pattern)), ("allows", "boolean", r.action == "allow"), ("pattern", "string", r.pattern), ("name", "string", r.name), ("action", "string", r.action))))
         found = found.unionByName(targets.where(F.col("target").rlike(r.regex())).select("target", own.alias("best")))
     best = found.groupBy(F.col("target").alias("__target")).agg(F.max("best").alias("__best"))
-    joined = rows.join(best, "__target", "left")
+    joined = gathered(rows.join(best, "__target", "left"))
     return joined.withColumn("rule", F.col("__best.name")).withColumn("verdict", F.coalesce("__best.action", F.lit(default))).drop("__target", "__best")
 
 
