@@ -25,19 +25,26 @@ def cut(df: DataFrame, large: bool = False) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local
     sessions) a temporary folder is set. Files go when the frame is garbage-collected, if the session
-    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. What comes from a shuffle is written by as many tasks
-    as there are cores, each of which reads its shuffle partitions one after the other: tables of state
-    would else be hundreds of tiny files. ``large`` keeps the partitions as they are.
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. What comes from a shuffle is written by few tasks
+    (``gathered``): tables of state would else be hundreds of tiny files. ``large`` keeps the partitions as they are.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return (df if large else gathered(df)).checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a temporary one only where it names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def gathered(df: DataFrame) -> DataFrame:
-    """No more partitions than cores, without a shuffle; a task reads the partitions it stands for one by one."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    """Fewer partitions without a shuffle, as many as cores or an eighth of the shuffle partitions; a task reads the
+    partitions it stands for one by one."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def spread(df: DataFrame) -> DataFrame:

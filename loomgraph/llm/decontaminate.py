@@ -87,7 +87,7 @@ class _Terms:
 
 
 def index_block(docs: DataFrame, terms: _Terms) -> DataFrame:
-    """(row, doc_id, n_words, postings array<struct<term, places>>) of rows (doc_id, text), written."""
+    """(row, doc_id, text_hash, n_words, postings array<struct<term, places>>) of rows (doc_id, text, text_hash), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = terms.term.get
@@ -103,9 +103,9 @@ def index_block(docs: DataFrame, terms: _Terms) -> DataFrame:
                 begin = np.flatnonzero(np.diff(own, prepend=-1))
                 rows.append([{"term": int(own[i]), "places": p.tolist()} for i, p in zip(begin, np.split(at, begin[1:]), strict=True)] if len(at) else [])
             kind = pa.list_(pa.struct([("term", pa.int64()), ("places", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_words", "postings"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n_words, pa.int64()), pa.array(rows, kind)], names=["doc_id", "text_hash", "n_words", "postings"])
 
-    stored = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, postings array<struct<term: bigint, places: array<int>>>")
+    stored = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, postings array<struct<term: bigint, places: array<int>>>")
     return cut(stored.select(F.monotonically_increasing_id().alias("row"), "*"), large=True)
 
 
@@ -145,12 +145,12 @@ def blocks(benchmark: DataFrame, size: int) -> list[list[tuple[object, str]]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of ``docs``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash), a row for each row of ``docs``.
 
     items_sha256 is of the ids of the items found, sorted as strings and joined by commas; of the empty string if none.
     With ``slack``, the words from the phrase's start to its length count as hit.
     """
-    docs = spread(docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    docs = spread(docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")))
     spark = docs.sparkSession
     total, hits = None, None
     for block in blocks(benchmark, BLOCK_BYTES):
@@ -158,10 +158,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
         order = sorted(windows)
         terms = _Terms(order, thin=not slack)
         index = index_block(docs, terms)
+        if not order:
+            total = index.select("row", "doc_id", "text_hash", "n_words")
+            hits = spark.createDataFrame([], "row bigint, items array<string>, spans array<struct<start: int, end: int>>")
+            break
         owners = F.broadcast(spark.createDataFrame([(k, sorted(map(str, windows[w]))) for k, w in enumerate(order)], "window int, items array<string>"))
         found = search(index, order, terms, slack).join(owners, "window").select("row", "items", F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end"))).alias("spans"))
         hits = found if hits is None else hits.unionByName(found)
-        total = total if total is not None else index.select("row", "doc_id", "n_words")
+        total = total if total is not None else index.select("row", "doc_id", "text_hash", "n_words")
     own = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # spans in order of start: each adds what lies beyond the end reached so far
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n")), lambda a: a["n"])
@@ -174,11 +178,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "text_hash",
     )
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 ORACLE = r"""

@@ -118,8 +118,8 @@ def _list(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int64()))
 
 
-def signatures(docs: DataFrame, words: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, fp1, fp2, bands); fingerprints are null for empty sets."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, n, fp1, fp2, bands, sketch words) of rows (doc_id, text, text_hash); fingerprints are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -131,11 +131,11 @@ def signatures(docs: DataFrame, words: int, id: str = "doc_id", text: str = "tex
             keys = bands(drawn)
             ends = np.concatenate([[0], np.cumsum(np.where(none, 0, keys.shape[1]))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *(pa.array(sums(flat, offsets, s), mask=none) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)), _list(keys[~none].ravel(), ends), *map(pa.array, attributes(drawn))],
-                names=["doc_id", "n", "fp1", "fp2", "bands", *(f"s{i}" for i in range(WORDS))],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), *(pa.array(sums(flat, offsets, s), mask=none) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)), _list(keys[~none].ravel(), ends), *map(pa.array, attributes(drawn))],
+                names=["doc_id", "text_hash", "n", "fp1", "fp2", "bands", *(f"s{i}" for i in range(WORDS))],
             )
 
-    return spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, " + ", ".join(f"s{i} bigint" for i in range(WORDS)))
+    return spread(docs.select("doc_id", "text", "text_hash")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, " + ", ".join(f"s{i} bigint" for i in range(WORDS)))
 
 
 def full_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -224,8 +224,8 @@ def blockwise(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; ids are whole numbers."""
-    docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, n_shingles, component_id, kept, text_hash), a row for each row of ``docs``; ids are whole numbers."""
+    docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = cut(signatures(docs, words), large=True)
     owned = signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL")
     nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
@@ -263,10 +263,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     rooted = cut(nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root")))
-    out = signed.select("doc_id", "n", "fp1", "fp2").join(rooted, ["fp1", "fp2"], "left")
+    out = signed.select("doc_id", "text_hash", "n", "fp1", "fp2").join(rooted, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return gathered(out).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return gathered(out).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("text_hash")

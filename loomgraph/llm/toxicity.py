@@ -176,17 +176,17 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> Model
     return fit(got["toxic"].to_numpy(), got["pair"].to_numpy(), got["row"].to_numpy(), flat, offsets, penalty)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``score``; without its text unless it is kept."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, out: str = "score") -> DataFrame:
+    """``docs`` with the column ``out`` (one of that name is replaced); without its text unless it is kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
-    kept = [c for c in docs.columns if c != "score" and (keep_text or c != text)]
+    kept = [c for c in docs.columns if c != out and (keep_text or c != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value.scorer()
         for batch in _steps(batches, _sizes(text)):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([of(t) for t in batch.column(text).to_pylist()], pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([of(t) for t in batch.column(text).to_pylist()], pa.float64())], names=[*kept, out])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
     return spread(docs.select(*kept, *([] if text in kept else [text]))).mapInArrow(run, schema)
 
 
