@@ -50,7 +50,7 @@ def remap(old_symbols: DataFrame, new_symbols: DataFrame, old_files: DataFrame,
     used = high.where("unique").select(F.explode(F.concat("from_ids", "to_ids")).alias("id"))
 
     def placed(df: DataFrame) -> DataFrame:
-        return lack(df, used, ["id"]).join(paths, "file_id", "left").withColumn("dir", parent_dir(F.col("path")))
+        return lack(df, used, ["id"]).drop("path").join(paths, "file_id", "left").withColumn("dir", parent_dir(F.col("path")))
 
     medium = matched(placed(gone), placed(come), ["kind", "name", "dir"], "id")
     second = medium.select(F.lit("symbol").alias("entity"), F.when(F.col("unique"), "medium").otherwise("ambiguous_kind_name_dir").alias("tier"), F.lit("unique_kind_name_parent_dir_match").alias("reason"), F.concat_ws("|", "dir", "name", "kind").alias("key"), "from_ids", "to_ids")

@@ -498,7 +498,7 @@ def execution_jumps(spark, d):
     return analytics.execution_score(e, levels)
 
 
-@query("""WITH p AS (SELECT n_name AS qname, n_nationkey AS ord, n_nationkey % 4 AS c FROM nation), r AS (SELECT qname, unnest(range(sum(c) OVER (ORDER BY ord) - c, sum(c) OVER (ORDER BY ord))) AS i, sum(c) OVER () AS n FROM p WHERE c > 0)
+@query("""WITH p AS (SELECT n_name AS qname, n_nationkey AS ord, n_nationkey % 4 AS c FROM nation), r AS (SELECT qname, unnest(range((sum(c) OVER (ORDER BY ord) - c)::BIGINT, (sum(c) OVER (ORDER BY ord))::BIGINT)) AS i, (sum(c) OVER ())::BIGINT AS n FROM p WHERE c > 0)
 SELECT qname, i::BIGINT AS i, i / greatest(1, n - 1) AS x FROM r""")
 def duet_expand(spark, d):
     """X17."""
