@@ -30,6 +30,8 @@ from .common import cut, gathered, spread, table
 from .url_filter import host_and_path
 
 MIN_PAGES, SHARE = 4, 0.3
+#: All hosts' templates go to every executor up to this size; larger ones are joined by a shuffle of the pages.
+BROADCAST_BYTES = 32 << 20
 #: Fixed values of HTML: elements that end a paragraph when they begin, that are blocks, whose text is raw, that have no end.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math canvas object audio video".split())
@@ -210,7 +212,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
     kept = [c for c in pages.columns if c not in (html, text)]
     rows = spread(pages.select(F.coalesce(host_and_path(F.col(url))[0], F.lit("")).alias("__host"), F.col(html).alias("__html"), *kept))
     known = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    joined = gathered(rows.join(known.withColumnRenamed("host", "__host"), "__host", "left")).drop("__host").withColumnRenamed("template", "__template")
+    size = known.agg(F.sum(F.size("template") * 8 + F.length("host"))).collect()[0][0] or 0
+    known = known.withColumnRenamed("host", "__host")
+    joined = rows.join(F.broadcast(known), "__host", "left") if size <= BROADCAST_BYTES else gathered(rows.join(known, "__host", "left"))
+    joined = joined.drop("__host").withColumnRenamed("template", "__template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _steps(batches, _sizes("__html")):
