@@ -108,8 +108,11 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return counts.select(name, (below + (F.col("n") + 1) / 2.0).alias(f"r_{name}"))
 
     rows = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).join(ranked(a, "a"), "a").join(ranked(b, "b"), "b")
-    rho = F.corr("r_a", "r_b")
-    return rows.agg(F.coalesce(F.when(~F.isnan(rho), rho), F.lit(0.0)).alias("rho"), F.count("*").alias("n"))
+    # sums of centred ranks, since the built-in correlation fails on columns without variance
+    middle = F.broadcast(rows.agg(F.avg("r_a").alias("ma"), F.avg("r_b").alias("mb")))
+    c = rows.crossJoin(middle).select((F.col("r_a") - F.col("ma")).alias("x"), (F.col("r_b") - F.col("mb")).alias("y"))
+    sums = c.agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("n"))
+    return sums.select(F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(F.lit(0.0)).alias("rho"), "n")
 
 
 def containment(tree: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import have, lack
 
 #: Dotted ends of factory functions, receivers of route decorators.
-FACTORY_ENDS = (".create_app", ".make_app", ".build_app", ".get_app", ".app_factory")
+FACTORY_ENDS = (".create_app", ".create_application", ".make_app", ".build_app", ".init_app")
 ROUTE_STARTS = ("app.", "router.", "blueprint.", "api.")
 
 

@@ -213,7 +213,7 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 if child not in placed and n == min(c for c in callers[child] if c in placed):
                     placed[child] = (n, placed[n][1] + 1)
                     queue.append(child)
-        return pd.DataFrame({"parent": [p for p, _ in placed.values()], "node": list(placed), "level": [v for _, v in placed.values()]})
+        return pd.DataFrame({"parent": pd.Series([p for p, _ in placed.values()], dtype=object), "node": pd.Series(list(placed), dtype=object), "level": pd.Series([v for _, v in placed.values()], dtype="int32")})
 
     return rows.groupBy("part").applyInPandas(grow, "parent string, node string, level int")
 

@@ -9,9 +9,16 @@ from ..functions.frames import one_per
 from ..functions.text import leaf_of, scope_prefixes
 
 #: Method names too general to be matched by their last segment.
-GENERIC_METHODS = frozenset(
-    "get set add pop append extend insert remove clear copy update keys values items sort reverse index count join split strip replace format encode decode read write close open seek tell flush lower upper startswith endswith find run start stop call init next send save load name type id".split()
-)
+GENERIC_METHODS = (
+    "get", "set", "update", "pop", "popitem", "keys", "values", "items", "setdefault",
+    "append", "extend", "insert", "remove", "index", "count", "clear", "copy", "sort",
+    "add", "discard", "union", "intersection", "difference",
+    "load", "loads", "dump", "dumps", "save", "read", "write", "close", "open",
+    "encode", "decode", "strip", "split", "join", "format", "replace", "startswith",
+    "endswith", "lower", "upper", "find", "rfind",
+    "send", "recv", "start", "stop", "run", "execute", "call", "apply",
+    "next", "iter", "__init__", "__enter__", "__exit__",
+)
 
 
 def callable_symbols(symbols: DataFrame) -> DataFrame:
@@ -49,13 +56,13 @@ def unique_suffix(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``calls`` (call, form, name, class) with ``resolved``.
 
     form ``bare``: the name, if known. ``self``: the class's method, if known; else, and for form ``attr``: the only known name
-    that ends with it, unless the name is too general. Other forms (chained receivers) don't resolve.
+    that is it or ends with it, unless the name is too general. Other forms (chained receivers) don't resolve.
     """
     known = symbols.select("qualified_name").distinct()
-    ends = known.where(F.instr("qualified_name", ".") > 0).groupBy(leaf_of(F.col("qualified_name")).alias("leaf")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("unique")).where("n = 1").drop("n")
+    ends = known.groupBy(leaf_of(F.col("qualified_name")).alias("leaf")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("unique")).where("n = 1").drop("n")
     exact = F.when(F.col("form") == "bare", F.col("name")).when(F.col("form") == "self", F.concat_ws(".", "class", "name"))
     out = calls.withColumn("__exact", exact).join(known.withColumnRenamed("qualified_name", "__found"), F.col("__exact") == F.col("__found"), "left")
-    general = F.col("name").isin(*sorted(GENERIC_METHODS))
+    general = F.col("name").isin(*GENERIC_METHODS)
     out = out.join(ends, (F.col("name") == F.col("leaf")) & F.col("form").isin("self", "attr") & ~general, "left")
     return out.select(*calls.columns, F.coalesce("__found", "unique").alias("resolved"))
 

@@ -200,7 +200,7 @@ def reexport_unique_match(spark, d):
     return resolve.reexports(part_symbols(spark, d))
 
 
-@query(f"""WITH {SYMBOLS}, ends AS (SELECT string_split(q, '.')[-1] AS leaf, min(q) AS q FROM symbols WHERE contains(q, '.') GROUP BY 1 HAVING count(*) = 1), calls AS (SELECT p_partkey AS call, CASE p_partkey % 3 WHEN 0 THEN 'bare' WHEN 1 THEN 'self' ELSE 'attr' END AS form, CASE WHEN p_partkey % 2 = 0 THEN leaf ELSE type END AS name, brand || '.' || type AS class, brand FROM part_names)
+@query(f"""WITH {SYMBOLS}, ends AS (SELECT string_split(q, '.')[-1] AS leaf, min(q) AS q FROM symbols GROUP BY 1 HAVING count(*) = 1), calls AS (SELECT p_partkey AS call, CASE p_partkey % 3 WHEN 0 THEN 'bare' WHEN 1 THEN 'self' ELSE 'attr' END AS form, CASE WHEN p_partkey % 2 = 0 THEN leaf ELSE type END AS name, brand || '.' || type AS class, brand FROM part_names)
 SELECT call, form, name, class, coalesce(CASE form WHEN 'bare' THEN (SELECT q FROM symbols WHERE q = name) WHEN 'self' THEN (SELECT q FROM symbols WHERE q = class || '.' || name) END, CASE WHEN form <> 'bare' THEN (SELECT q FROM ends WHERE ends.leaf = name) END) AS resolved FROM calls""")
 def unique_suffix_match(spark, d):
     """R8."""
