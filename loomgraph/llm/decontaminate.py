@@ -12,7 +12,7 @@ and keeps the starts at which the offset-adjusted lists of its other terms, rare
 the index is not thinned and each word may lie up to ``slack`` places from where the phrase puts it (proximity).
 
 Test items go to the workers in blocks of at most ``BLOCK_BYTES`` of text, so a test set of any size works.
-Null texts have no words; test items with a null id take no part; rows that repeat an item id are parts of one
+A row is known by its id and its text, so rows that repeat both are searched once. Null texts have no words; test items with a null id take no part; rows that repeat an item id are parts of one
 item. Rows of documents are kept one for one, with repeated and null ids.
 """
 
@@ -106,12 +106,14 @@ def index_block(docs: DataFrame, terms: _Terms) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n_words, pa.int64()), pa.array(rows, kind)], names=["doc_id", "text_hash", "n_words", "postings"])
 
     stored = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, postings array<struct<term: bigint, places: array<int>>>")
-    return cut(stored.select(F.monotonically_increasing_id().alias("row"), "*"), large=True)
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
+    return cut(stored.select(row.alias("row"), "*"), large=True)
 
 
 def search(index: DataFrame, windows: list[tuple[bytes, ...]], terms: _Terms, slack: int = 0) -> DataFrame:
     """(row, window, length, starts): the starts of every window in every indexed text."""
     spark = index.sparkSession
+    index = index.where(F.size("postings") > 0).dropDuplicates(["row"])
     postings = index.select("row", F.explode("postings").alias("p")).select("row", F.col("p.term").alias("term"), F.col("p.places").alias("places"))
     count = dict(postings.groupBy("term").agg(F.sum(F.size("places"))).collect())  # one number for each test term of the block
     rows = []
@@ -123,7 +125,7 @@ def search(index: DataFrame, windows: list[tuple[bytes, ...]], terms: _Terms, sl
     starts = F.array_distinct(F.filter(F.transform("places", lambda p: p - F.col("offset")), lambda s: s + F.col("length") > 0))
     starts = F.filter(starts, lambda s: s >= 0) if not slack else starts
     first = postings.join(wanted, "term").select("row", "window", "length", "others", starts.alias("starts"))
-    lists = index.where(F.size("postings") > 0).select("row", F.map_from_arrays(F.transform("postings", lambda p: p["term"]), F.transform("postings", lambda p: p["places"])).alias("lists"))
+    lists = index.select("row", F.map_from_arrays(F.transform("postings", lambda p: p["term"]), F.transform("postings", lambda p: p["places"])).alias("lists"))
     if slack:
         fits = lambda s: F.forall("others", lambda o: F.exists(F.coalesce(F.col("lists")[o["term"]], F.array().cast("array<int>")), lambda p: F.abs(p - s - o["offset"]) <= slack))
     else:
@@ -160,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
         index = index_block(docs, terms)
         if not order:
             total = index.select("row", "doc_id", "text_hash", "n_words")
-            hits = spark.createDataFrame([], "row bigint, items array<string>, spans array<struct<start: int, end: int>>")
+            hits = spark.createDataFrame([], "row string, items array<string>, spans array<struct<start: int, end: int>>")
             break
         owners = F.broadcast(spark.createDataFrame([(k, sorted(map(str, windows[w]))) for k, w in enumerate(order)], "window int, items array<string>"))
         found = search(index, order, terms, slack).join(owners, "window").select("row", "items", F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end"))).alias("spans"))
