@@ -84,7 +84,7 @@ def test_graph_of_a_repository(spark, repo):
         (fn + "core.later", fn + "core.price_of", "calls"), (fn + "core.price_of", fn + "core.price_of.inner", "calls"), (fn + "core.price_of.inner", fn + "core.price_of", "calls"),
     ]
     open_ = [(e["from"], e["callsite"].get("callee") or e["callsite"].get("callee_expression"), e["callsite"]["line"]) for e in doc["edges"] if e["confidence"] == "unknown"]
-    assert open_ == [(fn + "app.Basket.add", "missing", 21), (fn + "app.Basket.add", "self.add", 21), (fn + "app.create_app", "Server", 9), (fn + "app.create_app.price", "server.get", 11), (fn + "util.text.tidy", "x.strip", 2)] or sorted(open_) == sorted(open_)
+    assert open_ == [(fn + "app.Basket.add", "missing", 21), (fn + "app.Basket.add", "self.add", 21), (fn + "app.create_app", "Server", 9), (fn + "app.create_app.price", "server.get", 11), (fn + "util.text.tidy", "x.strip", 2)]
     assert [e["id"] for e in doc["edges"]] == [f"e:{i}" for i in range(len(doc["edges"]))]
     assert next(e for e in doc["edges"] if e.get("callsite", {}).get("callee") == "missing")["callsite"]["import_ref"] == "shop.core.missing"
     assert doc["entrypoints"] == [fn + "app.create_app"] and doc["nodes"][-1]["id"] == ir.BOUNDARY
