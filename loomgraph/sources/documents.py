@@ -90,3 +90,28 @@ def with_diagnostics(raw: dict, by_path: DataFrame | None, engine: str = "pyrigh
     limits = [*meta.get("known_limits", []), *([limit] if limit not in meta.get("known_limits", []) else [])]
     paths = {r["path"]: [{k: v for k, v in i.asDict().items() if v is not None} for i in r["items"]] for r in by_path.collect()}
     return raw | {"index_meta": meta | {"known_limits": limits}, "diagnostics": {"schema_version": 0, "partial": True, "engine": engine, "by_path": paths}}
+
+
+def tree_text(edges: list[tuple[str, str, float | None]], entry: str, title: str) -> str:
+    """K7: a flow as lines of text, each node's callees below it in the order given; a node met again is marked, not opened."""
+    children: dict[str, list[tuple[str, float | None]]] = {}
+    for a, b, sure in edges:
+        children.setdefault(a, []).append((b, sure))
+    lines, seen = [f"=== {title} ===", entry], {entry}
+    todo = [(n, k, "", i == 0) for i, (n, k) in enumerate(reversed(children.get(entry, [])))]
+    while todo:
+        name, sure, indent, last = todo.pop()
+        lines.append(f"{indent}{'└── ' if last else '├── '}{name}" + ("" if sure is None else f"  ({sure:.2f})"))
+        below = indent + ("    " if last else "│   ")
+        if name in seen:
+            lines.append(f"{below}  ↻ (already visited)")
+            continue
+        seen.add(name)
+        todo += [(n, k, below, i == 0) for i, (n, k) in enumerate(reversed(children.get(name, [])))]
+    return "\n".join(lines)
+
+
+def terrain_document(nodes: DataFrame, edges: DataFrame) -> str:
+    """K6: the map as compact JSON: node rows, and edges (src, dst, is_primary)."""
+    points = [r.asDict() for r in nodes.orderBy("id").collect()]
+    return json.dumps({"nodes": points, "edges": [{"from": r["src"], "to": r["dst"], "is_primary": r["is_primary"]} for r in edges.orderBy("src", "dst").collect()]}, separators=(",", ":"))
