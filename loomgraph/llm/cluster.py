@@ -7,25 +7,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Hubs of each open group grow by this factor from round to round.
-GROW = 8
+#: Nodes of a group that a row holds.
+BLOCK = 64
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node that can be reached.
 
-    Each round, every label takes the smallest label next to it, the chains this makes are shortened by
-    doubling, and links inside one component go. A hub of any size only adds partial minima.
+    Each round, every node takes the smallest label within two steps, the chains this makes are shortened by doubling,
+    and links inside one component go; what is left links the labels. A hub of any size only adds partial minima.
     """
     labels, edges = None, cut(links.select("a", "b").where("a <> b").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next")).select("node", F.least("node", "next").alias("root")))
+        one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next")).select("node", F.least("node", "next").alias("root"))
+        two = both.join(one.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("further"))
+        up = one.join(two, "node").select("node", F.least("root", "further").alias("root"))
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
             jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), (F.coalesce("top", "root") != F.col("root")).alias("moved")))
@@ -44,38 +46,41 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(members: DataFrame, values: DataFrame, screen: Callable[[Column, Column], Column], confirm: Callable[[Column, Column], Column]) -> DataFrame:
     """(node, root) of every node that has a link to another.
 
-    members: (key, node), each row once; two nodes with a common key are candidates.
-    verify: keeps the rows of (a, b), a < b, that are links.
+    members: (key, node), each row once; two nodes with a common key are candidates. values: (node, value).
+    Two nodes are linked if ``confirm`` says so of their values; ``screen`` is cheap and true of all links.
 
-    A group is open while its nodes are in several classes. Each round, every open group picks hubs (one, then
-    ``GROW`` times as many as before), which meet all nodes of the group that are in another class. A hub that
-    met all others leaves its group. So a group of near copies closes after a few stars, and only nodes that
-    stay unlinked meet one by one; every pair of nodes that share a key is verified or already in one class.
+    First, the smallest node of every group meets the others; a group of copies is then one class and done. In groups
+    that are still in several classes, all pairs of different classes are tried, inside rows that hold two blocks of
+    about ``BLOCK`` nodes of the group; only pairs that pass the screen become rows. Every pair of nodes that share a
+    key is tried or already in one class, and no row or task holds a whole group.
     """
     size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(members.join(size, "key"))
-    links = tried = None
-    labels = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    hubs = 1
-    while True:
-        labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        opened = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        labelled = cut(labelled.join(opened, "key"))
-        if labelled.isEmpty():
-            return labels
-        lot = F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs))
-        chosen = cut(labelled.groupBy("key", lot.alias("lot")).agg(F.min(F.struct("node", "root")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")))
-        pairs = labelled.join(chosen, "key").where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(verify(pairs).select("a", "b").distinct())
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else cut(links.unionByName(found))
-            labels = components(links)
-        members = cut(labelled.select("key", "node").join(chosen.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"))
-        hubs *= GROW
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    pairs = members.join(hubs, "key").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("vb")), "b")
+        return both.where(screen(F.col("va"), F.col("vb"))).where(confirm(F.col("va"), F.col("vb"))).select("a", "b")
+
+    links = cut(linked(pairs))
+    labels = components(links)
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    opened = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).where("least <> most AND m > 2").select("key", F.ceil(F.col("m") / BLOCK).alias("lots"))
+    lot = F.pmod(F.xxhash64(F.lit("lot"), "node"), F.col("lots"))
+    held = labelled.join(opened, "key").join(values, "node").select("key", "lots", lot.alias("lot"), F.struct("node", "root", "value").alias("x"))
+    blocks = cut(held.groupBy("key", "lots", "lot").agg(F.collect_list("x").alias("xs")))
+    left = blocks.select("key", "lot", "xs", F.explode(F.sequence(F.col("lot"), F.col("lots") - 1)).alias("with"))
+    right = blocks.select(F.col("key").alias("rkey"), F.col("lot").alias("with_"), F.col("xs").alias("ys"))
+    met = left.join(right, (F.col("key") == F.col("rkey")) & (F.col("with") == F.col("with_")))
+
+    def near(x: Column) -> Column:
+        fits = F.filter("ys", lambda y: (x["root"] != y["root"]) & ((F.col("lot") != F.col("with")) | (x["node"] < y["node"])) & screen(x["value"], y["value"]))
+        return F.transform(fits, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
+
+    more = met.select(F.explode(F.flatten(F.transform("xs", near))).alias("p")).select("p.a", "p.b").distinct()
+    more = cut(linked(more))
+    return labels if more.isEmpty() else components(links.unionByName(more))

@@ -8,9 +8,10 @@ go. Lines of fewer than ``LEAST_CHARS`` characters (blanks around them not count
 Join: a line of length l is cut into EDITS + 1 segments of almost equal length, indexed by (l, number, segment). Two
 lines within EDITS edits share a segment, so a line probes the index of every length from its own down to EDITS less,
 with the few substrings of itself whose place fits (multi-match-aware). Only keys that two lines share are joined
-further. Pairs are verified on the whole lines: equal blocks at both ends are stripped, the rest is compared by a
-bit-parallel automaton: for every number of errors one word holds, as bits, the diagonals within EDITS of the main one
-that can be reached. Large groups close by hubs (``cluster.classes``).
+further. Pairs are screened by the parities of letter counts and Spark's compiled banded distance; those that pass are
+verified on the whole lines: equal blocks at both ends are stripped, the rest is compared by a banded bit-parallel automaton: for every
+number of errors one word holds, as bits, the diagonals within EDITS of the main one that can be reached. Large groups
+are searched block by block (``cluster.classes``).
 
 Rows with a null id or text are returned as they are and take no part. Rows that repeat an id and a text are
 treated alike; rows that repeat an id with other texts are ordered by a hash of the text.
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import classes
-from .common import cut, gathered, table
+from .common import cut, gathered, shared_folder, table
 
-EDITS, EDIT_CHARS, LEAST_CHARS, STRIP = 2, 24, 10, 16
-#: Keys that go to all executors; more are joined by a shuffle.
+EDITS, EDIT_CHARS, LEAST_CHARS, STRIP, SOON = 2, 24, 10, 16, 32
+#: Keys that go to all executors (an eighth as many line classes); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: The places of all lines that go are sent to the documents up to this size; else both are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def numbered(text: Column) -> Column:
@@ -38,16 +41,32 @@ def numbered(text: Column) -> Column:
 
 
 def unmarked(line: Column) -> Column:
-    return F.regexp_replace(line, "^(=|[0-9]+_)", "")
+    return F.substring(line, F.when(F.startswith(line, F.lit("=")), F.lit(2)).otherwise(F.instr(line, "_") + 1), F.lit(1 << 30))
 
 
-def signatures(line: str, edits: int) -> Column:
-    """array<struct<key, indexed>>: the keys under which a line is indexed and those that it probes."""
-    size = F.char_length(line)
+#: Characters whose numbers are odd or even in a line; one edit changes two of these at most.
+COUNTED = "etaonirshdlucmfwypvbgkjqxz ,."
+
+
+def parities(line: str, size: str) -> Column:
+    """A word with a bit for each of COUNTED: whether the line holds an odd number of it."""
+    odd = F.lit(0)
+    for i, c in enumerate(COUNTED):
+        odd = odd + ((F.col(size) - F.char_length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 2) * (1 << i)
+    return odd
+
+
+def screen(a: Column, b: Column, edits: int) -> Column:
+    """Cheap, and true of all pairs (structs line, odd) within ``edits`` edits."""
+    return (F.bit_count(a["odd"].bitwiseXOR(b["odd"])) <= 2 * edits) & (F.levenshtein(a["line"], b["line"], edits) >= 0)
+
+
+def signatures(line: str, size: str, edits: int) -> list[Column]:
+    """Structs (key, indexed): the keys under which a line of ``size`` characters is indexed and those that it probes."""
     out = []
     for shorter in range(edits + 1):
-        length = size - shorter
-        base, rest = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
+        length = F.col(size) - shorter
+        base, rest = (length / (edits + 1)).cast("int"), length % (edits + 1)
         for i in range(edits + 1):
             long = edits + 1 - i  # the last `rest` segments have one character more
             begin = base * i + F.greatest(F.lit(0), rest - long)
@@ -55,7 +74,7 @@ def signatures(line: str, edits: int) -> Column:
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 key = F.xxhash64(length, F.lit(i), F.substring(F.col(line), begin + off + 1, wide))
                 out.append(F.struct(key.alias("key"), F.lit(shorter == 0 and off == 0).alias("indexed")))
-    return F.array(*out)
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -94,9 +113,16 @@ def reached(a: Column, b: Column, edits: int) -> Column:
             now.append(word.bitwiseAND(F.lit(width)))
         return F.struct(*(x.alias(f"w{d}") for d, x in enumerate(now)))
 
-    last = F.aggregate(F.transform(b, match), start, step)[f"w{edits}"]
+    # most pairs that aren't links show it soon: the rest of b is only read if some diagonal is left
+    soon = F.aggregate(F.transform(F.slice(b, 1, SOON), match), start, step)
     ends = [F.when(m - n == e - edits, F.lit(1 << e)) for e in range(2 * edits + 1)]
-    return last.bitwiseAND(F.coalesce(*ends, F.lit(0))) != 0
+
+    def rest(acc: Column) -> Column:
+        bits = F.transform(F.slice(b, SOON + 1, 1 << 30), lambda c, j: match(c, j + SOON))
+        last = F.when(n <= SOON, acc).otherwise(F.aggregate(bits, acc, step))[f"w{edits}"]
+        return F.when(acc[f"w{edits}"] == 0, F.lit(False)).otherwise(last.bitwiseAND(F.coalesce(*ends, F.lit(0))) != 0)
+
+    return let(soon, rest)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -115,21 +141,18 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 def near_classes(lines: DataFrame, edits: int, edit_chars: int) -> DataFrame:
     """(id, root) of the lines (line, short) that are near others; id is the line's 128-bit hash, short a 64-bit one."""
     long = lines.where(F.char_length("line") >= edit_chars)
-    keyed = long.select("short", F.explode(signatures("line", edits)).alias("s")).select("short", "s.key", "s.indexed")
+    # by number: exploding the array itself would add a filter on its size that computes it once more, without sharing terms
+    every = long.withColumn("size", F.char_length("line")).select("short", F.array(*signatures("line", "size", edits)).alias("all"))
+    keyed = every.select("short", "all", F.explode(F.sequence(F.lit(0), F.lit(len(signatures("line", "size", edits)) - 1))).alias("j"))
+    keyed = keyed.select("short", F.col("all")[F.col("j")].alias("s")).select("short", "s.key", "s.indexed")
     often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("indexed").alias("indexed")).where("n > 1 AND indexed").select("key")
     often = cut(often)
     members = cut(keyed.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key").select("key", "short").distinct())
-    several = members.groupBy("key").agg((F.min("short") < F.max("short")).alias("several")).where("several").select("key")
-    members = cut(members.join(several, "key"))
     few = cut(members.select("short").distinct())
-    texts = cut(long.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few, "short").select("short", F.md5("line").alias("node"), "line"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("line").alias("ta"))
-        b = texts.select(F.col("node").alias("b"), F.col("line").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").where(within_edits(F.col("ta"), F.col("tb"), edits))
-
-    return classes(members.join(texts.select("short", "node"), "short").select("key", "node"), verify).select(F.col("node").alias("id"), "root")
+    texts = cut(long.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few, "short").select("short", F.md5("line").alias("node"), "line", F.char_length("line").alias("size")).select("short", "node", F.struct("line", parities("line", "size").alias("odd")).alias("value")))
+    keyed = members.join(texts.select("short", "node"), "short").select("key", "node")
+    found = classes(keyed, texts.select("node", "value"), lambda a, b: screen(a, b, edits), lambda a, b: within_edits(a["line"], b["line"], edits))
+    return found.select(F.col("node").alias("id"), "root")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHARS, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,8 +167,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     cutup = docs.where(part).select(F.col(id).alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode(numbered(F.col(text))).alias("at", "line")).where(F.col("line").startswith("="))
     cutup = cutup.select("doc", "hash", "at", F.expr("substring(line, 2)").alias("line"))
     distinct = cutup.groupBy("line").agg(F.count("*").alias("n"))
-    cut(spark.range(1))  # sets the folder, if the session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/lines-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     distinct.select(F.xxhash64("line").alias("short"), "line", "n").write.option("compression", "zstd").parquet(folder)
     lines = spark.read.schema("short bigint, line string, n bigint").parquet(folder)
     near = near_classes(lines, edits, edit_chars)
@@ -153,11 +175,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     known = cut(twice.join(near, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    known = F.broadcast(known) if known.count() <= BROADCAST_KEYS // 8 else known
     seen = cut(cutup.select("doc", "hash", "at", F.md5("line").alias("id")).join(known, "id").select("root", "doc", "hash", "at"))
     first = cut(seen.groupBy("root").agg(F.min(F.struct("doc", "hash", "at")).alias("first")))
     gone = seen.join(first, "root").where(F.struct("doc", "hash", "at") != F.col("first"))
     gone = cut(gone.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("__gone")))
-    joined = gathered(keyed.join(gone.withColumnRenamed("doc", "__id").withColumnRenamed("hash", "__hash"), ["__id", "__hash"], "left"))
+    size = gone.agg(F.sum(F.size("__gone") * 4 + 32)).collect()[0][0] or 0
+    gone = gone.withColumnRenamed("doc", "__id").withColumnRenamed("hash", "__hash")
+    joined = keyed.join(F.broadcast(gone), ["__id", "__hash"], "left") if size <= BROADCAST_BYTES else gathered(keyed.join(gone, ["__id", "__hash"], "left"))
     gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
     before = F.concat(F.array(F.lit(-1)), gone_at)
     after = F.concat(gone_at, F.array(F.size("__lines")))

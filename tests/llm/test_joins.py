@@ -112,10 +112,11 @@ def test_line_query(spark, sf):
 
 
 def test_classes_of_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "SMALL", 4)
+    monkeypatch.setattr(cluster, "BLOCK", 4)
     links = {(a, b) for a in range(60) for b in range(a + 1, 60) if (b - a) in (7, 14)}
     members = spark.createDataFrame([("k", n) for n in range(60)] + [("lone", 99)], "key string, node long")
-    got = cluster.classes(members, lambda pairs: pairs.where("b - a IN (7, 14)"))
+    values = members.select("node", F.col("node").alias("value"))
+    got = cluster.classes(members, values, lambda a, b: F.abs(a - b) % 7 == 0, lambda a, b: F.abs(a - b).isin(7, 14))
     groups = Union()
     for a, b in links:
         groups.link(a, b)
