@@ -29,7 +29,7 @@ from .common import spread, table
 NONE = np.int32(2**31 - 1)
 LONG = 2048
 #: Bytes of text that one step holds, cells of a matrix, and units that the cache holds before it starts anew.
-STEP_BYTES, CELLS, CACHED = 4 << 20, 1 << 20, 400_000
+STEP_BYTES, CELLS, CACHED = 4 << 20, 1 << 20, 250_000
 #: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 _ODD = re.compile(f" (?=[{SPACE}]|\\Z)")

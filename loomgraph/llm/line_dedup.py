@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     docs = docs.drop("n_lines", "n_dropped")
     part = F.col(id).isNotNull() & F.col(text).isNotNull()
     keyed = docs.withColumn("__id", F.when(part, F.col(id))).withColumn("__hash", F.when(part, F.xxhash64(text)))
-    cutup = docs.where(part).select(F.col(id).alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode(numbered(F.col(text))).alias("at", "line")).where(F.col("line").startswith("="))
+    # outer: else a filter on the array's size is added, which makes the array twice
+    cutup = docs.where(part).select(F.col(id).alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode_outer(numbered(F.col(text))).alias("at", "line")).where(F.col("line").startswith("="))
     cutup = cutup.select("doc", "hash", "at", F.expr("substring(line, 2)").alias("line"))
     distinct = cutup.groupBy("line").agg(F.count("*").alias("n"))
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
@@ -188,7 +189,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     after = F.concat(gone_at, F.array(F.size("__lines")))
     kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("__lines", a + 2, F.greatest(F.lit(0), b - a - 1))))
     out = joined.withColumn("__lines", F.when(F.col("__id").isNotNull(), numbered(F.col(text)))).withColumn("__kept", F.when(F.col("__id").isNotNull(), kept))
-    size = F.when(F.col("__id").isNotNull(), F.size(F.split(text, "\n"))).otherwise(F.lit(0))
+    size = F.when(F.col("__id").isNotNull(), F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0))
     return out.select(
         *(F.coalesce(F.array_join(F.transform("__kept", unmarked), "\n"), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns),
         size.cast("bigint").alias("n_lines"),

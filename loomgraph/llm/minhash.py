@@ -62,7 +62,7 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingle hashes of all texts, each text's sorted, and the offsets of texts."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         w, look, parts = self.words, self.known.__getitem__, []
         for text in texts:

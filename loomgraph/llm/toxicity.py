@@ -59,7 +59,7 @@ def features_of(word: bytes) -> list[int]:
 
 class _Features(dict):
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = f = features_of(word)
         return f
@@ -103,7 +103,7 @@ class Model:
         weights, known = self.weights, {}
 
         def score(text: str | None) -> float:
-            if len(known) > 1_000_000:
+            if len(known) > 200_000:
                 known.clear()
             hit: set[int] = set()
             for w in words_of(text):
