@@ -158,16 +158,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
     for block in blocks(benchmark, BLOCK_BYTES):
         windows = windows_of(block, width)
         order = sorted(windows)
+        if not order and total is not None:
+            continue
         terms = _Terms(order, thin=not slack)
         index = index_block(docs, terms)
-        if not order:
-            total = index.select("row", "doc_id", "text_hash", "n_words")
-            hits = spark.createDataFrame([], "row string, items array<string>, spans array<struct<start: int, end: int>>")
-            break
+        total = total if total is not None else index.select("row", "doc_id", "text_hash", "n_words")
+        if not order:  # a block of items without words finds nothing; the others still count
+            continue
         owners = F.broadcast(spark.createDataFrame([(k, sorted(map(str, windows[w]))) for k, w in enumerate(order)], "window int, items array<string>"))
         found = search(index, order, terms, slack).join(owners, "window").select("row", "items", F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end"))).alias("spans"))
         hits = found if hits is None else hits.unionByName(found)
-        total = total if total is not None else index.select("row", "doc_id", "text_hash", "n_words")
+    if hits is None:
+        hits = spark.createDataFrame([], "row string, items array<string>, spans array<struct<start: int, end: int>>")
     own = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # spans in order of start: each adds what lies beyond the end reached so far
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n")), lambda a: a["n"])

@@ -151,3 +151,12 @@ def test_decontamination_blocks_slack_and_empty_tables(spark, monkeypatch):
     assert hits() == {1: (0, 0), 2: (4, 2), 3: (0, 0)}
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert {r["contaminated"] for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {False}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (1, 2, 0), (2, 0, 1)])
+def test_decontamination_with_blocks_without_words(spark, monkeypatch, order):
+    docs = [(1, "one two three four"), (2, "five six"), (3, "seven")]
+    items = [[(5, "two three")], [(6, "... !!!")], [(7, "five six")]]
+    monkeypatch.setattr(decontaminate, "blocks", lambda benchmark, size: [items[i] for i in order])
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(sum(items, []), "item_id long, text string"), width=4).drop("text_hash")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_contamination(docs, sum(items, []), 4)
