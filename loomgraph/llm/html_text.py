@@ -1,10 +1,10 @@
 """Main text of web pages: site template removal over hashed element subtrees.
 
 Pass 1 parses every page and hashes each block element's subtree (tag, class, text of all it holds). Spark counts, per
-host, the different pages that hold each subtree; one on at least ``MIN_PAGES`` pages and ``SHARE`` of the host's
-pages is part of the site's template. Pages with the same text count once, so copies of a page don't turn its
-article into a template. A host has at most (subtrees per page) / SHARE template subtrees, so what a page meets in
-pass 2 is bounded. Pass 2 deletes the template's subtrees and the elements that mark themselves as menus, headers,
+host, the different pages that hold each subtree; one on at least ``MIN_PAGES`` pages is part of the site's template,
+however many pages the host has. Pages with the same text count once, so copies of a page don't turn its
+article into a template. Pass 2 asks for a page's own subtrees only: in a set of all template subtrees while they are
+few, else in what a join of page and template subtrees leaves for the page. It deletes the template's subtrees and the elements that mark themselves as menus, headers,
 footers, sidebars, notices, adverts, forms, comments and the like by tag, role, class or id, and returns the blocks that
 are left in the page's article elements (else its main element, else its body). Inside an article the template
 rule deletes containers only, never single paragraphs, headings, items or cells that an article may share with others.
@@ -29,9 +29,9 @@ from .byte_bpe import _sizes, _steps
 from .common import cut, gathered, spread, table
 from .url_filter import host_and_path
 
-MIN_PAGES, SHARE = 4, 0.3
-#: All hosts' templates go to every executor up to this size; larger ones are joined by a shuffle of the pages.
-BROADCAST_BYTES = 32 << 20
+MIN_PAGES = 4
+#: Template subtrees of all hosts that go to every worker; more are joined to the pages' own by a shuffle.
+MOST_MARKS = 1 << 19
 #: Fixed values of HTML: elements that end a paragraph when they begin, that are blocks, whose text is raw, that have no end.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math canvas object audio video".split())
@@ -65,8 +65,24 @@ class Node:
             else:
                 parts.append(f"#{k.digest:x}")
                 self.filled |= k.filled
-        value = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace"))
-        self.digest = value - (1 << 64) if value >> 63 else value
+        self.digest = _digest("\x00".join(parts))
+
+
+def _digest(text: str) -> int:
+    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
+    return value - (1 << 64) if value >> 63 else value
+
+
+class _Template:
+    """The template subtrees of one host, in a set of several hosts' marks (subtree's hash xor host's hash)."""
+
+    __slots__ = ("host", "marks")
+
+    def __init__(self, host: str, marks: frozenset[int]) -> None:
+        self.host, self.marks = _digest(host), marks
+
+    def __contains__(self, digest: int) -> bool:
+        return digest ^ self.host in self.marks
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -143,7 +159,7 @@ def _roots(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def main_text(page: str | None, template: set[int]) -> str:
+def main_text(page: str | None, template: set[int] | _Template) -> str:
     if not page:
         return ""
     tree, _ = parse(page)
@@ -186,44 +202,51 @@ def subtrees(page: str | None) -> tuple[int, list[int]]:
     return root.digest, sorted(marks)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<long>) of rows (host, html), for the hosts that have one; written."""
+def marked(pages: DataFrame, key: str | None = None) -> DataFrame:
+    """(page, mark) of rows (host, html), a row for each subtree with text; page is the text's fingerprint or the column ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _steps(batches, _sizes("html")):
-            host, page, mark = [], [], []
-            for h, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page, mark = [], []
+            names = batch.column(key).to_pylist() if key else [None] * batch.num_rows
+            for h, text, name in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), names, strict=True):
                 own, marks = subtrees(text)
-                marks = [*marks, 0]  # 0 stands for the page itself
-                host.extend([h] * len(marks))
-                page.extend([own] * len(marks))
-                mark.extend(marks)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(mark, pa.int64())], names=["host", "page", "mark"])
+                host = _digest(h)
+                page.extend([name if key else own] * len(marks))
+                mark.extend(m ^ host for m in marks)
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(mark, pa.int64())], names=["page", "mark"])
+
+    return pages.select("host", "html", *([key] if key else [])).mapInArrow(run, "page bigint, mark bigint").distinct()
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, page bigint, mark bigint").distinct()
-    counts = cut(seen.groupBy("host", "mark").agg(F.count("*").alias("n")))
-    sizes = counts.where("mark = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"mark <> 0 AND n >= {MIN_PAGES}").join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    return cut(often.groupBy("host").agg(F.collect_list("mark").alias("template")))
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(mark) of rows (host, html): the hosts' template subtrees; written."""
+    return cut(marked(pages).groupBy("mark").agg(F.count("*").alias("n")).where(f"n >= {MIN_PAGES}").select("mark"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
     """``pages`` without its html, with ``text``."""
     kept = [c for c in pages.columns if c not in (html, text)]
     rows = spread(pages.select(F.coalesce(host_and_path(F.col(url))[0], F.lit("")).alias("__host"), F.col(html).alias("__html"), *kept))
-    known = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    size = known.agg(F.sum(F.size("template") * 8 + F.length("host"))).collect()[0][0] or 0
-    known = known.withColumnRenamed("host", "__host")
-    joined = rows.join(F.broadcast(known), "__host", "left") if size <= BROADCAST_BYTES else gathered(rows.join(known, "__host", "left"))
-    joined = joined.drop("__host").withColumnRenamed("template", "__template")
+    plain = rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))
+    known = templates(plain)
+    few = known.count() <= MOST_MARKS
+    if few:
+        every = rows.sparkSession.sparkContext.broadcast(known.toArrow()["mark"].to_numpy())
+    else:
+        key = F.xxhash64("__host", "__html")
+        own = marked(plain.withColumn("key", F.xxhash64("host", "html")), "key").join(known, "mark", "left_semi").groupBy(F.col("page").alias("__key")).agg(F.collect_list("mark").alias("__marks"))
+        rows = gathered(rows.withColumn("__key", key).join(own, "__key", "left")).drop("__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_marks = frozenset(every.value.tolist()) if few else None
         for batch in _steps(batches, _sizes("__html")):
-            found = [main_text(page, set(t or ())) for page, t in zip(batch.column("__html").to_pylist(), batch.column("__template").to_pylist(), strict=True)]
+            marks = [all_marks] * batch.num_rows if few else [frozenset(m or ()) for m in batch.column("__marks").to_pylist()]
+            found = [main_text(page, _Template(h, m)) for h, page, m in zip(batch.column("__host").to_pylist(), batch.column("__html").to_pylist(), marks, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, text])
 
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{text}` string"])
-    return joined.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

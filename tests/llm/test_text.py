@@ -101,6 +101,18 @@ def test_html_copies_make_no_template(spark):
     assert {r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same text"}
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_html_template_of_a_large_host(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(html_text, "MOST_MARKS", most)
+    box = lambda i: "<div>Season's sale</div>" if i % 10 == 0 else ""
+    plain = lambda i, host: (i, f"http://{host}/{i}", f"<body>{box(i)}<div>text of {i}</div></body>")
+    rows = [plain(i, "large.org") for i in range(50)] + [plain(100, "small.org"), plain(100, "small.org"), (None, "http://large.org/a", "<article><p>own</p><div>Season's sale</div><p>Season's sale</p></article>"), (200, None, None)]
+    got = sorted((str(r["page_id"]), r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = [(str(i), f"text of {i}") for i in range(50)] + [("100", "Season's sale\ntext of 100")] * 2 + [("None", "own\nSeason's sale"), ("200", "")]
+    assert got == sorted(want)
+
+
 def test_html_query(spark, sf):
     import html as entities
 
