@@ -188,34 +188,45 @@ def subtree_sizes(tree: DataFrame) -> DataFrame:
 def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(parent, node, level): breadth-first spanning forest from the peaks; parent null for a root.
 
-    A node hangs below the smallest-named of its callers among those placed when it is first reached. The walk's queue
-    makes this sequential, so each weakly connected part is one group; a graph larger than a worker needs other rules.
+    The walk's queue serves nodes in the order in which they were placed, each node's callees by name; a callee is placed
+    by the node served if no caller with a smaller name is placed by then. Level by level, as joins: of the callers placed
+    before a level is served, only the smallest-named can place a callee, at (its path, callee), where a path holds the
+    names from the root and has the queue's order. That fails if a smaller-named caller is itself placed earlier in the
+    same level, which is decided in rounds, earliest first. A row carries its path, so it grows with its level.
     """
-    import pandas as pd
-
     known = nodes.select("node").distinct()
-    clean = edges.where("src <> dst").select("src", "dst").distinct()
-    part = weak_components(known, clean)
-    rows = known.join(part, "node").select("part", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(clean.join(part.withColumnRenamed("node", "src"), "src").select("part", "src", "dst"))
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        callees: dict[str, list[str]] = {}
-        callers: dict[str, set[str]] = {}
-        for s, d in zip(group["src"], group["dst"], strict=True):
-            callees.setdefault(s, [])
-            if d is not None and d == d:
-                callees[s].append(d)
-                callers.setdefault(d, set()).add(s)
-        queue = [n for n in sorted(callees) if n not in callers and callees[n]]
-        placed: dict[str, tuple[str | None, int]] = {n: (None, 0) for n in queue}
-        for n in queue:
-            for child in sorted(callees.get(n, [])):
-                if child not in placed and n == min(c for c in callers[child] if c in placed):
-                    placed[child] = (n, placed[n][1] + 1)
-                    queue.append(child)
-        return pd.DataFrame({"parent": pd.Series([p for p, _ in placed.values()], dtype=object), "node": pd.Series(list(placed), dtype=object), "level": pd.Series([v for _, v in placed.values()], dtype="int32")})
-
-    return rows.groupBy("part").applyInPandas(grow, "parent string, node string, level int")
+    steps = cut(edges.where("src <> dst").select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
+    roots = lack(steps.select(F.col("src").alias("node")).distinct(), steps.select(F.col("dst").alias("node")), ["node"])
+    now = cut(roots.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("level"), F.array("node").alias("path")))
+    placed, level = now.select("parent", "node", "level"), 0
+    waiting = None  # (node, least): callees that callers placed so far have failed to place
+    while not now.isEmpty():
+        level += 1
+        near = now.select(F.col("node").alias("src"), "path").join(steps, "src").select(F.col("dst").alias("node"), "src", "path")
+        near = lack(near, placed, ["node"]).groupBy("node").agg(F.min_by(F.struct("src", "path"), "src").alias("by")).select("node", F.col("by.src").alias("parent"), "by.path")
+        near = near if waiting is None else near.join(waiting, "node", "left").where("least IS NULL OR parent < least").drop("least")
+        tried = cut(near)
+        # a callee's smaller-named callers that come earlier in the same level
+        x, c = tried.select(F.col("node").alias("src"), F.col("path").alias("xpath")), tried.select(F.col("node").alias("dst"), "parent", "path")
+        before = (F.col("xpath") < F.col("path")) | (F.col("xpath") == F.col("path")) & (F.col("src") < F.col("dst"))
+        bars = cut(x.join(steps, "src").join(c, "dst").where((F.col("src") < F.col("parent")) & before).select("src", "dst"))
+        open_, failed = tried.select("node"), None
+        while not bars.isEmpty():
+            free = lack(open_, bars.select(F.col("dst").alias("node")), ["node"])
+            lost = cut(bars.join(free.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+            failed = lost if failed is None else cut(failed.unionByName(lost))
+            out = lost.select(F.col("node").alias("dst"))
+            # lost ones bar nobody and wait no longer; the free ones have barred all they can
+            bars = cut(lack(lack(bars, out, ["dst"]), out.withColumnRenamed("dst", "src"), ["src"]))
+            open_ = cut(lack(open_, lost, ["node"]))
+        done = tried if failed is None else lack(tried, failed, ["node"])
+        now = cut(done.select("parent", "node", F.lit(level).alias("level"), F.concat("path", F.array("node")).alias("path")))
+        if failed is not None:
+            late = tried.join(failed, "node", "left_semi").select("node", F.col("parent").alias("least"))
+            waiting = late if waiting is None else waiting.unionByName(late)
+            waiting = cut(waiting.groupBy("node").agg(F.min("least").alias("least")))
+        placed = cut(placed.unionByName(now.select("parent", "node", "level")))
+    return placed
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from loomgraph.operators import graph
+from loomgraph.plans import registry, tables
 
 
 def edges(spark, pairs, kind="calls", confidence="resolved"):
@@ -88,6 +89,42 @@ def test_primary_tree(spark):
     assert got == {"a": (None, 0), "b": (None, 0), "c": ("a", 1), "d": ("a", 1), "e": ("b", 1)}
 
 
+def plain_tree(pairs):
+    callees, callers = {}, {}
+    for a, b in pairs:
+        if a != b:
+            callees.setdefault(a, set()).add(b)
+            callers.setdefault(b, set()).add(a)
+    queue = sorted(n for n in callees if n not in callers)
+    placed = dict.fromkeys(queue, (None, 0))
+    for n in queue:
+        for child in sorted(callees.get(n, ())):
+            if child not in placed and n == min(c for c in callers[child] if c in placed):
+                placed[child] = (n, placed[n][1] + 1)
+                queue.append(child)
+    return placed
+
+
+def test_primary_tree_against_the_walk(spark):
+    random.seed(4)
+    pairs = []
+    for g in range(60):  # parts that share no node
+        n = random.choice([4, 8, 14])
+        names = [f"{g}.{x}" for x in random.sample("abcdefghijklmn", n)]
+        edge = lambda names=names: (names[random.randrange(len(names))], names[random.randrange(1, len(names))])
+        pairs += [edge() for _ in range(random.choice([n, 2 * n, 3 * n]))]
+    pairs += [("z.f", "z.c"), ("z.f", "z.b"), ("z.b", "z.c"), ("z.f", "z.a"), ("z.a", "z.b")]  # b falls to a, so c to f
+    known = {x for p in pairs for x in p}
+    got = {r["node"]: (r["parent"], r["level"]) for r in graph.primary_tree(nodes(spark, known), edges(spark, pairs)).collect()}
+    assert got == plain_tree(pairs)
+
+
+def test_primary_tree_query_covers_the_graph(spark, sf):
+    e = {(r["src"], r["dst"]) for r in tables.edges(spark, sf).select("src", "dst").collect()}
+    rows = registry.QUERIES["primary_tree"](spark, sf).collect()
+    assert {r["node"]: (r["parent"], r["level"]) for r in rows} == plain_tree(e) and {r["node"][0] for r in rows} == set("RNCSOP")
+
+
 def test_walks_and_texts(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("x", "y")])
     assert {tuple(r) for r in graph.walked_edges(nodes(spark, ["a"]), e).collect()} == {("a", "b"), ("b", "a"), ("b", "c")}
