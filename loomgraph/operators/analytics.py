@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +16,24 @@ from .graph import closure, pair_distances
 BLOCK = 1024
 
 
+def unit(x: pd.Series) -> np.ndarray:
+    """Rows of length 1; those without length stay 0."""
+    m = np.array(x.tolist(), float)
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(n == 0, 1, n)
+
+
+def in_arrow(meet, schema: pa.Schema):
+    """``meet`` of two pandas blocks for ``applyInArrow``: results without rows keep their types."""
+    return lambda a, b: pa.Table.from_pandas(meet(a.to_pandas(), b.to_pandas()), schema=schema, preserve_index=False)
+
+
 def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """(id, other, similarity): the k most similar other rows by cosine in double precision; ties to the smaller id.
 
     Exact, in blocks: rows are dealt into b parts, every part meets every part once as a cogroup of two blocks, each
     block keeps its k best for every row, and these are merged. No pair becomes a row, nothing is broadcast.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = cut(vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
     parts = max(1, -(-rows.count() // BLOCK))
     lot = F.pmod(F.xxhash64("id"), F.lit(parts))
@@ -30,11 +42,6 @@ def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "ve
     right = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), lot.alias("rj"), every.alias("ri"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.array(x.tolist(), float)
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return m / np.where(n == 0, 1, n)
-
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "similarity": []})
@@ -120,24 +127,61 @@ def containment(tree: DataFrame, vectors: DataFrame) -> DataFrame:
     unrelated node; ancestors without unrelated nodes are left out."""
     steps = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("contains").alias("kind"))
     pairs = cut(closure(vectors.select("node"), steps, ("contains",)).where("seed <> node"))
-    a, b = vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb"))
-    related = pairs.select(F.col("seed").alias("a"), F.col("node").alias("b")).unionByName(pairs.select(F.col("node").alias("a"), F.col("seed").alias("b")))
-    parents = pairs.select(F.col("seed").alias("a")).distinct()
-    # every ancestor against every node: the test is defined over these pairs
-    similar = cut(a.join(parents, "a").join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")))
-    other = similar.join(related, ["a", "b"], "left_anti").groupBy("a").agg(F.max("s").alias("bound"))
-    tested = pairs.select(F.col("seed").alias("a"), F.col("node").alias("b")).join(similar, ["a", "b"]).join(other, "a")
+    above = pairs.groupBy("node").agg(F.collect_set("seed").alias("above"))
+    rows = cut(vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL").join(above, "node", "left"))
+    tops = cut(rows.join(pairs.select(F.col("seed").alias("node")).distinct(), "node", "left_semi"))
+    n_left, n_right = (max(1, -(-x.count() // BLOCK)) for x in (tops, rows))
+    lot = lambda n: F.pmod(F.xxhash64("node"), F.lit(n))
+    left = tops.select("node", "v", "above", lot(n_left).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
+    right = rows.select("node", "v", "above", lot(n_right).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "bound": []})
+        s = np.round(unit(a["v"]) @ unit(b["v"]).T, 12)
+        row, column = ({x: i for i, x in enumerate(t["node"])} for t in (a, b))
+        for j, (x, up) in enumerate(zip(b["node"], b["above"], strict=True)):
+            s[[row[y] for y in (x, *(up if up is not None else ())) if y in row], j] = -np.inf
+        for i, up in enumerate(a["above"]):
+            s[i, [column[y] for y in (up if up is not None else ()) if y in column]] = -np.inf
+        best = s.max(1)
+        return pd.DataFrame({"a": a["node"].astype(object), "bound": best})[best > -np.inf]
+
+    # every ancestor against every node, as the test is defined: block by block, no pair becomes a row
+    other = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(meet, pa.schema([("a", pa.string()), ("bound", pa.float64())])), "a string, bound double").groupBy("a").agg(F.max("bound").alias("bound"))
+    v = lambda name: vectors.select(F.col("node").alias(name), F.col("vector").alias(f"v_{name}"))
+    tested = pairs.select(F.col("seed").alias("a"), F.col("node").alias("b")).join(other, "a").join(v("a"), "a").join(v("b"), "b").withColumn("s", F.round(cosine(F.col("v_a"), F.col("v_b")), 12))
     return tested.agg(F.count("*").alias("pairs"), F.coalesce(F.sum((F.col("s") > F.col("bound")).cast("bigint")), F.lit(0)).alias("passed")).withColumn("rate", F.when(F.col("pairs") > 0, F.col("passed") / F.col("pairs")))
 
 
 def split_distinctness(tree: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(parent, a, b, ok): siblings are less similar to each other than each is to the parent."""
-    from .graph import split_pairs
+    """(parent, a, b, ok): siblings are less similar to each other than each is to the parent.
 
-    v = lambda name: vectors.select(F.col("node").alias(name), F.col("vector").alias(f"v_{name}"))
-    rows = split_pairs(tree).join(v("a"), "a").join(v("b"), "b").join(v("parent"), "parent")
-    ab, pa, pb = cosine(F.col("v_a"), F.col("v_b")), cosine(F.col("v_parent"), F.col("v_a")), cosine(F.col("v_parent"), F.col("v_b"))
-    return rows.select("parent", "a", "b", ((ab < pa) & (ab < pb)).alias("ok"))
+    A parent's children meet in blocks, so its pairs are rows only as results.
+    """
+    own = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    rows = tree.where("parent IS NOT NULL").select("parent", "node").join(own, "node").join(own.select(F.col("node").alias("parent"), F.col("v").alias("p")), "parent")
+    rows = cut(rows)
+    parts = rows.groupBy("parent").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    rows = rows.join(parts, "parent").withColumn("lot", F.pmod(F.xxhash64("node"), F.col("n")))
+    left = rows.select("parent", "node", "v", "p", F.col("lot").alias("i"), F.explode(F.sequence("lot", F.col("n") - 1)).alias("j"))
+    right = rows.select(F.col("parent").alias("r_parent"), F.col("node").alias("r_node"), F.col("v").alias("r_v"), F.col("lot").alias("r_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "lot")).alias("r_i"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"parent": [], "a": [], "b": [], "ok": []})
+        ua, ub = unit(a["v"]), unit(b["r_v"])
+        p = unit(a["p"].iloc[:1])[0]
+        s = np.round(ua @ ub.T, 12)
+        ok = (s < np.round(ua @ p, 12)[:, None]) & (s < np.round(ub @ p, 12)[None, :])
+        na, nb = a["node"].to_numpy(object), b["r_node"].to_numpy(object)
+        # within one block a pair is met from both sides
+        x, y = np.nonzero(na[:, None] < nb[None, :] if a["i"].iloc[0] == a["j"].iloc[0] else np.ones_like(ok))
+        first = na[x] < nb[y]
+        names = {"parent": [a["parent"].iloc[0]] * len(x), "a": np.where(first, na[x], nb[y]), "b": np.where(first, nb[y], na[x])}
+        return pd.DataFrame({c: pd.Series(n, dtype=object) for c, n in names.items()} | {"ok": ok[x, y]})
+
+    return left.groupBy("parent", "i", "j").cogroup(right.groupBy("r_parent", "r_i", "r_j")).applyInArrow(in_arrow(meet, pa.schema([("parent", pa.string()), ("a", pa.string()), ("b", pa.string()), ("ok", pa.bool_())])), "parent string, a string, b string, ok boolean")
 
 
 def distance_correlation(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:

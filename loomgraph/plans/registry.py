@@ -559,7 +559,7 @@ def spearman_average_rank(spark, d):
 
 
 def vector_tree(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The places' upper levels with one vector each."""
+    """The places' upper levels with one vector each, as their SQL has them; ``place_vectors`` has all."""
     tree = T.place_tree(spark, d).where("node NOT LIKE 'C:%'")
     v = T.read(spark, d, "embeddings")
     node = F.when(F.col("vec_id") < 5, F.concat(F.lit("R:"), F.col("vec_id").cast("string"))).otherwise(F.concat(F.lit("N:"), (F.col("vec_id") - 5).cast("string")))
@@ -591,6 +591,33 @@ def distance_correlation(spark, d):
     return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")
 
 
+def place_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All places with all vectors in order of their ids: regions, nations, customers. A vector beyond the last customer has no place."""
+    v, k = T.read(spark, d, "embeddings"), F.col("vec_id")
+    node = F.when(k < 5, F.concat(F.lit("R:"), k.cast("string"))).when(k < 30, F.concat(F.lit("N:"), (k - 5).cast("string"))).otherwise(F.concat(F.lit("C:"), (k - 30).cast("string")))
+    return T.place_tree(spark, d), v.select(node.alias("node"), F.col("embedding").alias("vector"))
+
+
+@query()
+def containment_rate_all(spark, d):
+    """X8, A11 over all places and vectors; tests compare it with plain Python."""
+    return analytics.containment(*place_vectors(spark, d)).select("pairs", "passed", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def split_distinctness_all(spark, d):
+    """X9, G18 over all places and vectors."""
+    return analytics.split_distinctness(*place_vectors(spark, d))
+
+
+@query()
+def distance_correlation_all(spark, d):
+    """X10, G14, A12 over all places and vectors."""
+    tree, vectors = place_vectors(spark, d)
+    edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")
+
+
 SEGMENTS = """seg AS (SELECT row_number() OVER (ORDER BY src, dst) AS id, src AS a, dst AS b, ak * 7 % 25 AS ax, ak * ak % 23 AS ay, bk * 7 % 25 AS bx, bk * bk % 23 AS by_ FROM (SELECT src, dst, split_part(src, ':', 2)::DOUBLE AS ak, split_part(dst, ':', 2)::DOUBLE AS bk FROM trade))"""
 
 
