@@ -8,8 +8,8 @@ cells. How many candidates that are is measured, not guessed: for at most ``PROB
 neighbours are found by brute force over all rows (one pass), and ``candidates`` is what the share ``RECALL`` of these
 neighbours needs. Clustered vectors need a few cells; vectors without structure need a large share of all. Cosines are computed in double precision on the original vectors; ties go to the smaller id.
 
-Of vectors that are equal in all components only the ``n + 1`` smallest ids can be among the n nearest of any query,
-so only these are indexed. Cells of more than ``BLOCK`` vectors are split by a hash of the id and every query that
+Of vectors that are equal in all components only the ``n + 1`` smallest ids, with up to n rows each, can be among the n
+nearest of any query, so only these are indexed. Cells of more than ``BLOCK`` vectors are split by a hash of the id and every query that
 probes one meets all its blocks, so a cell of any size is searched whole, by many tasks.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or a
@@ -127,7 +127,9 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id
     rows = usable(df, id, vector)
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id")
-    rows = cut(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= n + 1).drop("nth"))
+    once = rows.groupBy("vec_id", "vec").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("times"))
+    once = once.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= n + 1)
+    rows = cut(once.select("vec_id", "vec", F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time"))
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()["vec"]
     result = "query_id bigint, vec_id bigint, score double"

@@ -233,3 +233,12 @@ def test_large_cells_are_split(spark, monkeypatch):
     for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, candidates=10**6).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == brute_nearest(rows)
+
+
+def test_neighbours_behind_a_repeated_id(spark):
+    rows = [(0, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in (3, 4)] + [(7, [2.0, 1.0])] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 4), (3, 7), (4, 7), (5, 7)]
+    got = [r["vec_id"] for r in ann.search(df, F.col("vec_id") == 3).orderBy("rank").collect()]
+    assert got == [0] * 5
