@@ -27,7 +27,7 @@ from .byte_bpe import _sizes, _steps
 from .common import spread, table
 from .language_id import fold
 
-SAMPLE, FEATURES, SWAPS, PENALTY, LEAST_GAIN = 8_000, 1024, 4, 10.0, 8.0
+SAMPLE, FEATURES, PENALTY, LEAST_GAIN = 8_000, 1024, 10.0, 8.0
 STEMS = (4, 5, 6)
 #: Terms for groups of people, in lists whose members can stand for each other.
 IDENTITY = (
@@ -66,10 +66,10 @@ class _Features(dict):
 
 
 def swapped(words: set[bytes]) -> list[set[bytes]]:
-    """Up to SWAPS counterfactuals of each identity term among the words."""
+    """The counterfactuals of each identity term among the words: one for every other term of its lists."""
     out = []
     for w in sorted(words):
-        for other in _GROUP.get(w.decode("utf-8", "replace"), [])[:SWAPS]:
+        for other in _GROUP.get(w.decode("utf-8", "replace"), []):
             out.append(words - {w} | {other.encode()})
     return out
 

@@ -141,3 +141,10 @@ def test_toxicity_edge_cases(spark):
     rows = toxicity.score(docs, one, keep_text=True).collect()
     assert len(rows) == 6 and all(0.5 < r["score"] <= 1 for r in rows)
     assert toxicity.score(docs.limit(0), one).count() == 0
+
+
+def test_every_term_of_a_list_is_swapped_in():
+    for terms in toxicity.IDENTITY:
+        for t in terms:
+            got = {x.decode() for s in toxicity.swapped({t.encode(), b"word"}) for x in s} - {"word"}
+            assert set(terms) - {t} <= got
