@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, table
+from .common import cut, table
 
 SAMPLE, BLOCK, MOST_CENTROIDS, ROUNDS = 16_384, 4096, 256, 12
 #: Vectors a cell holds on average, and vectors a query meets at least.
@@ -183,7 +183,7 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id
 
     met = probes.groupBy("cell", "block").cogroup(index.groupBy("cell", "block")).applyInArrow(meet, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return gathered(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")
 
 
 def measured(index: DataFrame, asked: DataFrame, counts: np.ndarray, centres: tuple[np.ndarray, np.ndarray], n: int) -> int:

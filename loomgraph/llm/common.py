@@ -20,31 +20,53 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def cut(df: DataFrame, large: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return the written rows.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    sessions) a temporary folder is set. Files go when the frame is garbage-collected, if the session
-    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. What comes from a shuffle is written by few tasks
-    (``gathered``): tables of state would else be hundreds of tiny files. ``large`` keeps the partitions as they are.
+    The folder is the session's ``spark.checkpoint.dir``. Files go when the frame is garbage-collected, if the session
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. How many partitions what comes from a shuffle has is left to
+    adaptive execution, which goes by their size.
     """
     shared_folder(df.sparkSession)
-    return (df if large else gathered(df)).checkpoint()
+    return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one only where it names none."""
+    """The checkpoint folder that the session names. Only where it names none and all runs in one process a temporary one is
+    set; on a cluster that would be lost with its machine, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """Fewer partitions without a shuffle, as many as cores or an eighth of the shuffle partitions; a task reads the
-    partitions it stands for one by one."""
-    spark = df.sparkSession
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def but(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` except those of these names in any case, as Spark's names have none."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def col(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, names: list[str]) -> Column:
+    """The columns ``names`` as one struct, so that no working column can have the name of one of them."""
+    return F.struct(*([col(c) for c in names] or [F.lit(0).alias("none")]))
+
+
+def unpacked(struct: str, names: list[str]) -> list[Column]:
+    return [F.col(struct).getField(c).alias(c) for c in names]
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _sizes, _steps
-from .common import cut, gathered, spread, table
+from .common import cut, spread, table
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -107,7 +107,7 @@ def index_block(docs: DataFrame, terms: _Terms) -> DataFrame:
 
     stored = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, postings array<struct<term: bigint, places: array<int>>>")
     row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
-    return cut(stored.select(row.alias("row"), "*"), large=True)
+    return cut(stored.select(row.alias("row"), "*"))
 
 
 def search(index: DataFrame, windows: list[tuple[bytes, ...]], terms: _Terms, slack: int = 0) -> DataFrame:
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n")), lambda a: a["n"])
     own = own.select("row", covered.alias("n_hit"), F.array_sort("items").alias("items"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return gathered(total.join(own, "row", "left")).select(
+    return total.join(own, "row", "left").select(
         "doc_id",
         "n_words",
         F.least("n_words", F.coalesce("n_hit", F.lit(0))).alias("n_hit"),

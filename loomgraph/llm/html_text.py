@@ -1,17 +1,26 @@
 """Main text of web pages: site template removal over hashed element subtrees.
 
-Pass 1 parses every page and hashes each block element's subtree (tag, class, text of all it holds). Spark counts, per
-host, the different pages that hold each subtree; one on at least ``MIN_PAGES`` pages is part of the site's template,
-however many pages the host has. Pages with the same text count once, so copies of a page don't turn its
-article into a template. Pass 2 asks for a page's own subtrees only: in a set of all template subtrees while they are
-few, else in what a join of page and template subtrees leaves for the page. It deletes the template's subtrees and the elements that mark themselves as menus, headers,
-footers, sidebars, notices, adverts, forms, comments and the like by tag, role, class or id, and returns the blocks that
-are left in the page's article elements (else its main element, else its body). Inside an article the template
-rule deletes containers only, never single paragraphs, headings, items or cells that an article may share with others.
+Pass 1 parses every page and hashes the subtree of each element (tag, names, text of all it holds): block elements,
+form controls, and inline elements that carry a class, id or role. Spark counts, per host, the different pages that hold
+each subtree. What recurs decides:
+
+* A container on at least ``MIN_PAGES`` pages is the site's template, however many pages the host has.
+* A place (path of tags and names) outside articles is template if ``PLACE_SHARE`` of the subtrees seen there are: the menu
+  of a page goes then even if its entries are its own.
+* A paragraph, heading, item, cell or inline element may be a passage that articles share, so it is template only if it is on
+  ``2 * MIN_PAGES`` pages and on ``LEAF_SHARE`` of the host's pages.
+
+Pages with the same text count once, so copies of a page don't turn its article into a template. Pass 2 asks for a page's
+own subtrees and places only: in a set of all template marks while they are few, else in what a join of page and template
+marks leaves for the page. It deletes what is template, and then, as most hosts of a crawl have too few pages for
+recurrence to tell, what marks itself by tag, role, class or id as menu, header, footer, sidebar, notice, advert, form,
+comments and the like. Of what is left the text in article elements counts if it is ``SCOPE_SHARE`` of all, else that in
+article and main elements, else all. ``cues=False`` leaves all names aside: recurrence alone decides. A page without article
+and main elements that consists of template only is judged by names alone, since a page isn't all template.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed.
 A line break element is white space. A null or empty page has the empty text; a null url has the empty host.
-Rows are kept one for one, repeated rows and null ids included.
+Rows are kept one for one, repeated rows and null ids included. Columns named like ``text`` (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -24,39 +33,57 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import _sizes, _steps
-from .common import cut, gathered, spread, table
+from .common import but, col, cut, packed, spread, table, unpacked
 from .url_filter import host_and_path
 
-MIN_PAGES = 4
-#: Template subtrees of all hosts that go to every worker; more are joined to the pages' own by a shuffle.
+MIN_PAGES, PLACE_SHARE, LEAF_SHARE, SCOPE_SHARE = 4, 0.5, 0.5, 0.25
+#: Template marks of all hosts that go to every worker; more are joined to the pages' own by a shuffle.
 MOST_MARKS = 1 << 19
 #: Fixed values of HTML: elements that end a paragraph when they begin, that are blocks, whose text is raw, that have no end.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math canvas object audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTROLS = frozenset("button label output meter progress datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that begins ends an open one of these kinds, unless one of the others lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 #: Elements, and words in class, id or role, that say a part isn't the article.
-DROP_TAGS = frozenset("head nav header footer aside form menu dialog select button fieldset script style title textarea noscript iframe template svg math canvas object audio video".split())
+DROP_TAGS = frozenset("head nav header footer aside form menu dialog search select option optgroup fieldset legend".split()) | CONTROLS
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations footer header masthead topbar popup modal overlay widget widgets toolbar pagination pager copyright login search searchbox form complementary contentinfo".split()
 )
-KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody blockquote pre caption figcaption".split())
+HEADER_WORDS = frozenset({"header", "masthead"})
+ASIDE_ARTICLES = frozenset("comment comments ad advert related sponsored promo".split())
+#: Elements whose text articles may share with each other.
+LEAVES = HEADINGS | frozenset("p li dt dd td th tr tbody blockquote pre caption figcaption".split())
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NAMED = re.compile("class|id|role", re.I)
+
+
+def names_of(attributes: str) -> str:
+    """The values of class, id and role, lower-cased; other attributes, such as data-id, don't count."""
+    if not _NAMED.search(attributes):
+        return ""
+    return " ".join(v for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") and (v := a or b or c)).lower()
 
 
 class Node:
-    __slots__ = ("tag", "drop", "kids", "mark", "digest", "filled")
+    __slots__ = ("tag", "drop", "kids", "names", "digest", "filled", "place", "inline")
 
-    def __init__(self, tag: str, drop: bool = False, mark: str = "") -> None:
-        self.tag, self.drop, self.mark, self.kids, self.digest, self.filled = tag, drop, mark, [], 0, False
+    def __init__(self, tag: str, names: str = "", place: str = "", inline: bool = False) -> None:
+        self.tag, self.names, self.place, self.inline, self.kids, self.digest, self.filled = tag, names, place, inline, [], 0, False
+        words = set(re.split(r"[^a-z0-9]+", names)) if names else set()
+        said = words & DROP_WORDS if tag not in ("html", "body", "article", "main") else words & ASIDE_ARTICLES if tag == "article" else set()
+        #: 0: may be the article; 1: isn't; 2: is a header, which may hold the article's heading
+        self.drop = 0 if tag not in DROP_TAGS and not said else 2 if tag == "header" or tag not in DROP_TAGS and said <= HEADER_WORDS else 1
 
     def close(self) -> None:
         """Hash the subtree from its children's hashes."""
-        parts = [self.tag, self.mark]
+        parts = [self.tag, self.names]
         for k in self.kids:
             if isinstance(k, str):
                 if own := k.split():
@@ -67,6 +94,16 @@ class Node:
                 self.filled |= k.filled
         self.digest = _digest("\x00".join(parts))
 
+    def heading(self) -> bool:
+        """Whether it is or holds a heading."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            if node.tag in HEADINGS:
+                return True
+            todo.extend(k for k in node.kids if not isinstance(k, str))
+        return False
+
 
 def _digest(text: str) -> int:
     value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
@@ -74,7 +111,7 @@ def _digest(text: str) -> int:
 
 
 class _Template:
-    """The template subtrees of one host, in a set of several hosts' marks (subtree's hash xor host's hash)."""
+    """The template marks of one host, in a set of several hosts' marks (mark xor the host's hash)."""
 
     __slots__ = ("host", "marks")
 
@@ -86,7 +123,7 @@ class _Template:
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The tree of block elements, and all of them as they end. Other elements only pass their text on."""
+    """The tree of elements that can go, and all of them as they end. Plain inline elements only pass their text on."""
     root = Node("#root")
     stack, ended, at, end = [root], [], 0, page.rfind(">") + 1
 
@@ -100,6 +137,20 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if raw:
             stack[-1].kids.append(entities.unescape(raw) if "&" in raw else raw)
 
+    def block() -> int:
+        """The place in the stack of the innermost block."""
+        i = len(stack) - 1
+        while stack[i].inline:
+            i -= 1
+        return i
+
+    def open_(tag: str, names: str, inline: bool) -> None:
+        above = stack[-1]
+        inside = above.place is None or tag in ("article", "main")
+        node = Node(tag, names, None if inside else f"{above.place}/{tag}.{names}", inline)
+        above.kids.append(node)
+        stack.append(node)
+
     while m := _TOKEN.search(page, at, end):
         text(page[at : m.start()])
         at = m.end()
@@ -107,11 +158,11 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        shut(i)
-                        break
+            low = 0 if tag in BLOCKS else block()
+            for i in range(len(stack) - 1, low, -1):
+                if stack[i].tag == tag:
+                    shut(i)
+                    break
             continue
         if tag == "br":
             stack[-1].kids.append("\n")
@@ -127,126 +178,145 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     break
                 if stack[i].tag in walls:
                     break
-            if stack[-1].tag == "p":
-                shut(len(stack) - 1)
+            if stack[i := block()].tag == "p":
+                shut(i)
             if tag in VOID:
                 stack[-1].kids.append(Node(tag))
-                continue
-            words = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])).lower() if m[3] else ""
-            drop = tag in DROP_TAGS or tag not in ("html", "body", "article", "main") and not DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", words))
-            if tag == "article" and not {"comment", "comments", "ad", "advert", "related", "sponsored", "promo"}.isdisjoint(re.split(r"[^a-z0-9]+", words)):
-                drop = True
-            node = Node(tag, drop, words)
-            stack[-1].kids.append(node)
-            stack.append(node)
+            else:
+                open_(tag, names_of(m[3]) if m[3] else "", False)
+        elif tag not in VOID:
+            names = names_of(m[3]) if m[3] else ""
+            # a plain element is only opened inside one of its kind, so that its end doesn't end that
+            if names or tag in CONTROLS or stack[-1].inline and any(x.tag == tag for x in stack[block() + 1 :]):
+                open_(tag, names, True)
     text(page[max(at, 0) :])
     shut(0)
     return root, ended
 
 
-def _roots(root: Node) -> tuple[list[Node], bool]:
-    """Where the article is, and whether an element says so."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag and not node.drop:
-                found.append(node)
-            elif not node.drop:
-                todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
-        if found:
-            return found, True
-    return [root], False
-
-
-def main_text(page: str | None, template: set[int] | _Template) -> str:
+def main_text(page: str | None, template: set[int] | _Template, cues: bool = True) -> str:
     if not page:
         return ""
-    tree, _ = parse(page)
-    roots, marked = _roots(tree)
-    blocks: list[str] = []
+    tree, ended = parse(page)
+    text, cleared = _left(tree, template, cues)
+    if cleared and not text and not any(n.tag in ("article", "main") for n in ended):
+        text, _ = _left(tree, frozenset(), cues)
+    return text
+
+
+def _left(tree: Node, template: set[int] | _Template | frozenset[int], cues: bool) -> tuple[str, bool]:
+    """The text of what isn't template and, with cues, doesn't say that it isn't the article; whether any was template."""
+    blocks: tuple[list[str], ...] = ([], [], [])  # elsewhere, in a main element, in an article
+    order: list[tuple[int, str]] = []
     line: list[str] = []
+    cleared = False
 
-    def flush() -> None:
+    def flush(scope: int) -> None:
         if own := " ".join("".join(line).split()):
-            blocks.append(own)
+            blocks[scope].append(own)
+            order.append((scope, own))
         line.clear()
 
-    for top in roots:
-        todo: list = [(top, None)]
-        while todo:
-            node, after = todo.pop()
-            if node is None:
-                flush()
-            elif isinstance(node, str):
-                line.append(node)
-            else:
-                inside = node is not top
-                heads = marked and node.tag == "header" and any(not isinstance(k, str) and re.fullmatch("h[1-6]", k.tag) for k in node.kids)
-                if inside and (node.drop and not heads or node.digest in template and not (marked and node.tag in KEPT_IN_ARTICLE)):
-                    flush()
-                    continue
-                flush()
-                todo.append((None, None))
-                todo.extend((k, None) for k in reversed(node.kids))
-        flush()
-    return "\n".join(blocks)
-
-
-def subtrees(page: str | None) -> tuple[int, list[int]]:
-    """A fingerprint of the page's text, and the hashes of its subtrees with text."""
+    todo: list = [(tree, 0, False)]
+    while todo:
+        node, scope, after = todo.pop()
+        if after:
+            flush(scope)
+        elif isinstance(node, str):
+            line.append(node)
+        else:
+            if node.tag not in ("#root", "html", "body", "article", "main") and (node.digest in template or node.place and _place(node.place) in template):
+                cleared = True
+            elif not (cues and node.drop and not (node.drop == 2 and scope and node.heading())):
+                inner = scope if not cues else 2 if node.tag == "article" else max(scope, 1) if node.tag == "main" else scope
+                if not node.inline:
+                    flush(scope)
+                    todo.append((node, inner, True))
+                todo.extend((k, inner, False) for k in reversed(node.kids))
+                continue
+            if not node.inline:
+                flush(scope)
+    sizes = [sum(map(len, b)) for b in blocks]
+    least = 2 if sizes[2] and sizes[2] >= SCOPE_SHARE * sum(sizes) else 1 if sizes[1] + sizes[2] and sizes[1] + sizes[2] >= SCOPE_SHARE * sum(sizes) else 0
+    return "\n".join(own for scope, own in order if scope >= least), cleared
+
+
+def _place(path: str) -> int:
+    return _digest("place\x00" + path)
+
+
+#: Kinds of marks: a page of the host, a container, an element that articles may share.
+PAGE, CONTAINER, LEAF = 0, 1, 2
+
+
+def subtrees(page: str | None) -> tuple[int, dict[int, tuple[int, int]]]:
+    """A fingerprint of the page's text, and its subtrees with text: hash to (kind, place; 0 inside articles)."""
     if not page:
-        return 0, []
+        return 0, {}
     root, ended = parse(page)
-    marks = {n.digest for n in ended if n.filled and n.tag not in ("#root", "html", "head", "body", "article", "main")}
-    return root.digest, sorted(marks)
+    marks = {n.digest: (LEAF if n.tag in LEAVES or n.inline else CONTAINER, _place(n.place) if n.place and n.tag not in LEAVES and not n.inline else 0) for n in ended if n.filled and n.tag not in ("#root", "html", "head", "body", "article", "main")}
+    return root.digest, marks
+
+
+_MARKED = "page bigint, host bigint, mark bigint, kind int, place bigint"
 
 
 def marked(pages: DataFrame, key: str | None = None) -> DataFrame:
-    """(page, mark) of rows (host, html), a row for each subtree with text; page is the text's fingerprint or the column ``key``."""
+    """(page, host, mark, kind, place) of rows (host, html), a row for each subtree with text and one for the page itself;
+    page is the text's fingerprint or the column ``key``, host a hash, marks and places are xor-ed with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _steps(batches, _sizes("html")):
-            page, mark = [], []
+            out: tuple[list, ...] = ([], [], [], [], [])
             names = batch.column(key).to_pylist() if key else [None] * batch.num_rows
             for h, text, name in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), names, strict=True):
                 own, marks = subtrees(text)
                 host = _digest(h)
-                page.extend([name if key else own] * len(marks))
-                mark.extend(m ^ host for m in marks)
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(mark, pa.int64())], names=["page", "mark"])
+                for mark, kind, place in ((host, PAGE, 0), *((m ^ host, k, p ^ host if p else 0) for m, (k, p) in marks.items())):
+                    for column, value in zip(out, (name if key else own, host, mark, kind, place), strict=True):
+                        column.append(value)
+            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["page", "host", "mark", "kind", "place"])
 
-    return pages.select("host", "html", *([key] if key else [])).mapInArrow(run, "page bigint, mark bigint").distinct()
+    return pages.select("host", "html", *([key] if key else [])).mapInArrow(run, _MARKED)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(mark) of rows (host, html): the hosts' template subtrees; written."""
-    return cut(marked(pages).groupBy("mark").agg(F.count("*").alias("n")).where(f"n >= {MIN_PAGES}").select("mark"))
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, place_share: float = PLACE_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:
+    """(mark) of rows (host, html): the hosts' template subtrees and places; written."""
+    counted = cut(marked(pages).distinct().groupBy("host", "mark", "kind", "place").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.col("kind") == PAGE) | (F.col("place") != 0)))
+    many = F.col("n") >= min_pages
+    held = counted.where((F.col("kind") == CONTAINER) & many).select("mark")
+    leaves = counted.where((F.col("kind") == LEAF) & (F.col("n") >= 2 * min_pages)).join(counted.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages")), "host").where(F.col("n") >= leaf_share * F.col("pages")).select("mark")
+    places = counted.where(F.col("place") != 0).groupBy("place").agg(F.sum("n").alias("seen"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("again"))
+    places = places.where((F.col("again") >= 2 * min_pages) & (F.col("again") >= place_share * F.col("seen"))).select(F.col("place").alias("mark"))
+    return cut(held.unionByName(leaves).unionByName(places).distinct())
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text", cues: bool = True, min_pages: int = MIN_PAGES, place_share: float = PLACE_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:
     """``pages`` without its html, with ``text``."""
-    kept = [c for c in pages.columns if c not in (html, text)]
-    rows = spread(pages.select(F.coalesce(host_and_path(F.col(url))[0], F.lit("")).alias("__host"), F.col(html).alias("__html"), *kept))
-    plain = rows.select(F.col("__host").alias("host"), F.col("__html").alias("html"))
-    known = templates(plain)
+    kept = but(pages, html, text)
+    plain = spread(pages.select(F.coalesce(host_and_path(col(url))[0], F.lit("")).alias("host"), col(html).alias("html"), packed(pages, kept).alias("kept")))
+    known = templates(plain.select("host", "html"), min_pages, place_share, leaf_share)
     few = known.count() <= MOST_MARKS
     if few:
-        every = rows.sparkSession.sparkContext.broadcast(known.toArrow()["mark"].to_numpy())
+        every = pages.sparkSession.sparkContext.broadcast(known.toArrow()["mark"].to_numpy())
+        rows = plain
     else:
-        key = F.xxhash64("__host", "__html")
-        own = marked(plain.withColumn("key", F.xxhash64("host", "html")), "key").join(known, "mark", "left_semi").groupBy(F.col("page").alias("__key")).agg(F.collect_list("mark").alias("__marks"))
-        rows = gathered(rows.withColumn("__key", key).join(own, "__key", "left")).drop("__key")
+        key = F.xxhash64("host", "html")
+        own = marked(plain.select("host", "html", key.alias("key")), "key")
+        own = own.select("page", "mark").unionByName(own.where("place <> 0").select("page", F.col("place").alias("mark"))).distinct()
+        own = own.join(known, "mark", "left_semi").groupBy(F.col("page").alias("key")).agg(F.collect_list("mark").alias("marks"))
+        rows = plain.withColumn("key", key).join(own, "key", "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_marks = frozenset(every.value.tolist()) if few else None
-        for batch in _steps(batches, _sizes("__html")):
-            marks = [all_marks] * batch.num_rows if few else [frozenset(m or ()) for m in batch.column("__marks").to_pylist()]
-            found = [main_text(page, _Template(h, m)) for h, page, m in zip(batch.column("__host").to_pylist(), batch.column("__html").to_pylist(), marks, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, text])
+        for batch in _steps(batches, _sizes("html")):
+            marks = [all_marks] * batch.num_rows if few else [frozenset(m or ()) for m in batch.column("marks").to_pylist()]
+            found = [main_text(page, _Template(h, m), cues) for h, page, m in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(found, pa.string())], names=["kept", "found"])
 
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{text}` string"])
-    return rows.mapInArrow(run, schema)
+    schema = T.StructType([plain.schema["kept"], T.StructField("found", T.StringType())])
+    return rows.mapInArrow(run, schema).select(*unpacked("kept", kept), F.col("found").alias(text))
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

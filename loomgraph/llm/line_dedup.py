@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import classes
-from .common import cut, gathered, shared_folder, table
+from .common import cut, shared_folder, table
 
 EDITS, EDIT_CHARS, LEAST_CHARS, STRIP, SOON = 2, 24, 10, 16, 32
 #: Keys that go to all executors (an eighth as many line classes); more are joined by a shuffle.
@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     gone = cut(gone.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("__gone")))
     size = gone.agg(F.sum(F.size("__gone") * 4 + 32)).collect()[0][0] or 0
     gone = gone.withColumnRenamed("doc", "__id").withColumnRenamed("hash", "__hash")
-    joined = keyed.join(F.broadcast(gone), ["__id", "__hash"], "left") if size <= BROADCAST_BYTES else gathered(keyed.join(gone, ["__id", "__hash"], "left"))
+    joined = keyed.join(F.broadcast(gone), ["__id", "__hash"], "left") if size <= BROADCAST_BYTES else keyed.join(gone, ["__id", "__hash"], "left")
     gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
     before = F.concat(F.array(F.lit(-1)), gone_at)
     after = F.concat(gone_at, F.array(F.size("__lines")))

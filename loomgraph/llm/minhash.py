@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import _sizes, _steps
 from .cluster import components
-from .common import cut, gathered, spread, table
+from .common import cut, spread, table
 
 BINS, ROWS = 160, 5
 #: 64-bit words of two sketch bits a coordinate, and how far below its mean the agreement of a linked pair may lie.
@@ -226,7 +226,7 @@ def blockwise(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash), a row for each row of ``docs``; ids are whole numbers."""
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    signed = cut(signatures(docs, words), large=True)
+    signed = cut(signatures(docs, words))
     owned = signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL")
     nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
     own = owned.join(nodes.select("fp1", "fp2", F.col("node").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = cut(members.join(shared, "key").join(own.select("node", "t"), "node"))
     wanted = members.select("node").distinct().join(own.select("node", "fp1", "fp2"), "node")
-    sets = cut(full_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id"), words), large=True)
+    sets = cut(full_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id"), words))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     rooted = cut(nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root")))
     out = signed.select("doc_id", "text_hash", "n", "fp1", "fp2").join(rooted, ["fp1", "fp2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return gathered(out).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Chat formatting, byte-level BPE, HTML extraction, decontamination."""
 
 import hashlib
+import html as entities
 import random
 import re
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, chat_format, decontaminate, html_text
@@ -113,14 +115,67 @@ def test_html_template_of_a_large_host(spark, monkeypatch, most):
     assert got == sorted(want)
 
 
-def test_html_query(spark, sf):
-    import html as entities
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h\d)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
 
+def test_html_query(spark, sf):
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op9_html_text"](spark, sf).collect():
-        inner = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
-        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h\d)>", inner)]
-        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+        assert r["text"] == article_of(source[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_html_recurrence_decides_without_names(spark, sf):
+    """Menus, adverts and footers of real pages go because they recur, with all names left aside; an empty template keeps them."""
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    host = html_text.host_and_path(F.col("url"))[0]
+    source = {r["page_id"]: article_of(r["html"]) for r in pages.collect()}
+    right = lambda **k: {r["page_id"] for r in html_text.extract(pages, cues=False, **k).collect() if r["text"] == source[r["page_id"]]}
+    found = right()
+    assert len(found) > 0.15 * len(source) and not right(min_pages=10**9)
+    # a menu that recurs is gone wherever it stands, in the order of the method: four different pages make it a template
+    menu = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
+    often = {r["page_id"] for r in pages.withColumn("n", F.approx_count_distinct("html").over(Window.partitionBy(host, menu))).where("n >= 6").collect()}
+    assert often and often <= found
+
+
+def test_html_names_on_one_page():
+    text = lambda x: html_text.main_text(x, set())
+    assert text('<article><p>a <button>Share</button> b <span class="advert">Buy <span>now</span></span> c</p><label>Name</label></article>') == "a b c"
+    assert text('<body><div data-id="footer" title="x class=ad">real text</div><div id=nav-2>no</div><div CLASS=\'ad\'>no</div></body>') == "real text"
+    assert text('<article><h1 class="header">One</h1><div class="entry-header"><h2>Two</h2></div><p>x</p></article><div>side</div>') == "One\nTwo\nx"
+    assert text("<body><header><h1>Site</h1></header><h1>Head</h1><p>one<p>two<footer>f</footer></body>") == "Head\none\ntwo"
+    # an article element that holds next to nothing isn't the article
+    assert text("<body><article>!</article><p>" + "the article " * 9 + "</p></body>") == "!\n" + " ".join(["the article"] * 9)
+    assert text('<p>keep <span class="q">k<span>m</span>n</span> on</p>') == "keep kmn on"
+
+
+def test_html_passages_that_articles_share(spark):
+    shared = lambda i: "<p>a passage of many articles</p>" if i % 3 == 0 else ""
+    notice = '<p>We moved to a new address.</p><span class="x7">Buy now!</span>'
+    page = lambda i: f"<body><div class=q{i}>menu {i % 2}</div><article><p>own {i}</p>{shared(i)}{notice}</article></body>"
+    rows = [(i, "http://s.org/", page(i)) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}" + ("\na passage of many articles" if i % 3 == 0 else "") for i in range(30)}
+
+
+def test_html_place_of_menus(spark):
+    """A menu that no other page has goes too, if most of those in its place recur; copies of a whole page stay."""
+    page = lambda i: f"<body><ul class=z9><li>entry {i if i % 5 == 0 else 0}</li></ul><div>text of {i}</div></body>"
+    rows = [(i, "http://s.org/", page(i)) for i in range(40)] + [(100 + i, "http://c.org/", f"<body><div>all the same</div><i>{i}</i></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text of {i}" for i in range(40)} | {100 + i: str(i) for i in range(6)}
+    whole = [(i, "http://d.org/", f"<body><div>all the same</div><img src={i}></body>" + f"<!-- {i} -->") for i in range(6)]
+    got = {r["text"] for r in html_text.extract(spark.createDataFrame(whole, "page_id long, url string, html string")).collect()}
+    assert got == {"all the same"}
+
+
+def test_html_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>", "old", 5, 6, "d.t")], "page_id long, url string, html string, `Text` string, host int, key int, `a.b` string")
+    rows = html_text.extract(df)
+    assert rows.columns == ["page_id", "url", "host", "key", "a.b", "text"] and [tuple(r) for r in rows.collect()] == [(1, "http://a.b/", 5, 6, "d.t", "x")]
 
 
 def brute_contamination(docs, items, width):
