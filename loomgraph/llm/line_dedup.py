@@ -1,17 +1,18 @@
 """Line deduplication by a segment-partition edit join (DataFrame operations only).
 
-Texts are cut at line feeds. Two lines are the same if they are equal, or if both have at least ``EDIT_CHARS``
-characters and ``EDITS`` or fewer insertions, deletions and substitutions lead from one to the other; classes are the
+Texts are cut at line feeds. Two lines are the same if they are equal, or if both have at least ``edit_chars``
+characters and ``edits`` or fewer insertions, deletions and substitutions lead from one to the other; classes are the
 connected components of that. Of each class the first occurrence stays, by document id, then place; all others
-go. Lines of fewer than ``LEAST_CHARS`` characters (blanks around them not counted) are left alone.
+go. Lines of fewer than ``least_chars`` characters (blanks around them not counted) are left alone. Both bounds define what
+counts as a line worth comparing and hold at every size of input; 0 compares all lines, empty ones too.
 
-Join: a line of length l is cut into EDITS + 1 segments of almost equal length, indexed by (l, number, segment). Two
-lines within EDITS edits share a segment, so a line probes the index of every length from its own down to EDITS less,
+Join: a line of length l is cut into edits + 1 segments of almost equal length, indexed by (l, number, segment). Two
+lines within ``edits`` edits share a segment, so a line probes the index of every length from its own down to ``edits`` less,
 with the few substrings of itself whose place fits (multi-match-aware). Only keys that two lines share are joined
-further. Pairs are screened by the parities of letter counts and Spark's compiled banded distance; those that pass are
-verified on the whole lines: equal blocks at both ends are stripped, the rest is compared by a banded bit-parallel automaton: for every
-number of errors one word holds, as bits, the diagonals within EDITS of the main one that can be reached. Large groups
-are searched block by block (``cluster.classes``).
+further. Pairs that can't be links are dropped by two necessary conditions (parities of letter counts; of 2 * edits + 2
+segments all but ``edits`` recur within ``edits`` places). All others are decided on the whole lines by a banded bit-parallel
+automaton: equal blocks at both ends are stripped, and for every number of errors one word holds, as bits, the diagonals
+within ``edits`` of the main one that can be reached. Large groups are searched block by block (``cluster.classes``).
 
 Rows with a null id or text are returned as they are and take no part. Rows that repeat an id and a text are
 treated alike; rows that repeat an id with other texts are ordered by a hash of the text.
@@ -25,25 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import classes
-from .common import cut, shared_folder, table
+from .common import but, col, cut, delete, packed, shared_folder, table
 
 EDITS, EDIT_CHARS, LEAST_CHARS, STRIP, SOON = 2, 24, 10, 16, 32
 #: Keys that go to all executors (an eighth as many line classes); more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Lines or classes with so many occurrences are joined by broadcast at any size: there can't be more than all lines over this.
+HEAVY = 1_000_000
 #: The places of all lines that go are sent to the documents up to this size; else both are shuffled.
 BROADCAST_BYTES = 32 << 20
 
 
-def numbered(text: Column) -> Column:
-    """The lines of a text; of equal lines only the first, short lines all. Each has a mark in front."""
-    mark = lambda x, i: F.when(F.char_length(F.trim(x)) >= LEAST_CHARS, F.lit("=")).otherwise(F.concat(i.cast("string"), F.lit("_")))
-    return F.array_distinct(F.transform(F.split(text, "\n"), lambda x, i: F.concat(mark(x, i), x)))
-
-
-def unmarked(line: Column) -> Column:
-    return F.substring(line, F.when(F.startswith(line, F.lit("=")), F.lit(2)).otherwise(F.instr(line, "_") + 1), F.lit(1 << 30))
-
-
 #: Characters whose numbers are odd or even in a line; one edit changes two of these at most.
 COUNTED = "etaonirshdlucmfwypvbgkjqxz ,."
 
@@ -56,9 +49,22 @@ def parities(line: str, size: str) -> Column:
     return odd
 
 
+def recurring(a: Column, b: Column, edits: int) -> Column:
+    """How many of 2 * edits + 2 segments of string a occur in string b within ``edits`` places of where a has them."""
+    parts, size, n = 2 * edits + 2, F.char_length(a), F.lit(0)
+    at = lambda i: F.floor(size * i / parts).cast("int")
+    for i in range(parts):
+        own, width = F.substring(a, at(i) + 1, at(i + 1) - at(i)), at(i + 1) - at(i)
+        hit = F.lit(False)
+        for s in sorted(range(-edits, edits + 1), key=abs):
+            hit = hit | (F.substring(b, at(i) + 1 + s, width) == own)
+        n = n + hit.cast("int")
+    return n
+
+
 def screen(a: Column, b: Column, edits: int) -> Column:
-    """Cheap, and true of all pairs (structs line, odd) within ``edits`` edits."""
-    return (F.bit_count(a["odd"].bitwiseXOR(b["odd"])) <= 2 * edits) & (F.levenshtein(a["line"], b["line"], edits) >= 0)
+    """Cheap, and true of all pairs (structs line, odd) within ``edits`` edits, though not only of these."""
+    return (F.bit_count(a["odd"].bitwiseXOR(b["odd"])) <= 2 * edits) & (recurring(a["line"], b["line"], edits) >= edits + 2)
 
 
 def signatures(line: str, size: str, edits: int) -> list[Column]:
@@ -155,46 +161,52 @@ def near_classes(lines: DataFrame, edits: int, edit_chars: int) -> DataFrame:
     return found.select(F.col("node").alias("id"), "root")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHARS, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHARS, least_chars: int = LEAST_CHARS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and with ``n_lines`` and ``n_dropped`` (bigint).
 
-    Columns of those names are replaced.
+    Columns of those names, in any case, are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    part = F.col(id).isNotNull() & F.col(text).isNotNull()
-    keyed = docs.withColumn("__id", F.when(part, F.col(id))).withColumn("__hash", F.when(part, F.xxhash64(text)))
+    names = but(docs, "n_lines", "n_dropped")
+    part = col(id).isNotNull() & col(text).isNotNull()
+    rows = docs.select(packed(docs, names).alias("kept"), F.when(part, col(id)).alias("doc"), F.when(part, F.xxhash64(col(text))).alias("hash"), col(text).alias("text"))
     # outer: else a filter on the array's size is added, which makes the array twice
-    cutup = docs.where(part).select(F.col(id).alias("doc"), F.xxhash64(text).alias("hash"), F.posexplode_outer(numbered(F.col(text))).alias("at", "line")).where(F.col("line").startswith("="))
-    cutup = cutup.select("doc", "hash", "at", F.expr("substring(line, 2)").alias("line"))
-    distinct = cutup.groupBy("line").agg(F.count("*").alias("n"))
+    cutup = docs.where(part).select(col(id).alias("doc"), F.xxhash64(col(text)).alias("hash"), F.posexplode_outer(F.split(col(text), "\n")).alias("at", "line")).where(F.char_length(F.trim("line")) >= least_chars)
     folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    distinct = cutup.groupBy("line").agg(F.count("*").alias("n"))
     distinct.select(F.xxhash64("line").alias("short"), "line", "n").write.option("compression", "zstd").parquet(folder)
     lines = spark.read.schema("short bigint, line string, n bigint").parquet(folder)
     near = near_classes(lines, edits, edit_chars)
-    twice = lines.where("n > 1").select(F.md5("line").alias("id"))
-    known = cut(twice.join(near, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    known = F.broadcast(known) if known.count() <= BROADCAST_KEYS // 8 else known
-    seen = cut(cutup.select("doc", "hash", "at", F.md5("line").alias("id")).join(known, "id").select("root", "doc", "hash", "at"))
-    first = cut(seen.groupBy("root").agg(F.min(F.struct("doc", "hash", "at")).alias("first")))
-    gone = seen.join(first, "root").where(F.struct("doc", "hash", "at") != F.col("first"))
-    gone = cut(gone.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("__gone")))
-    size = gone.agg(F.sum(F.size("__gone") * 4 + 32)).collect()[0][0] or 0
-    gone = gone.withColumnRenamed("doc", "__id").withColumnRenamed("hash", "__hash")
-    joined = keyed.join(F.broadcast(gone), ["__id", "__hash"], "left") if size <= BROADCAST_BYTES else keyed.join(gone, ["__id", "__hash"], "left")
-    gone_at = F.coalesce("__gone", F.array().cast("array<int>"))
-    before = F.concat(F.array(F.lit(-1)), gone_at)
-    after = F.concat(gone_at, F.array(F.size("__lines")))
-    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("__lines", a + 2, F.greatest(F.lit(0), b - a - 1))))
-    out = joined.withColumn("__lines", F.when(F.col("__id").isNotNull(), numbered(F.col(text)))).withColumn("__kept", F.when(F.col("__id").isNotNull(), kept))
-    size = F.when(F.col("__id").isNotNull(), F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(0))
-    return out.select(
-        *(F.coalesce(F.array_join(F.transform("__kept", unmarked), "\n"), F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns),
-        size.cast("bigint").alias("n_lines"),
-        F.when(F.col("__kept").isNotNull(), size - F.size("__kept")).otherwise(F.lit(0)).cast("bigint").alias("n_dropped"),
-    )
+    twice = lines.where("n > 1").select(F.md5("line").alias("id"), "n")
+    known = cut(twice.join(near, "id", "full").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(1)).alias("n")))
+    delete(spark, folder)
+    heavy = cut(known.where(F.col("n") >= HEAVY).select("id", "root"))  # not many: lines of all documents over HEAVY
+    light = known.where(F.col("n") < HEAVY).select("id", "root")
+    hashed = cutup.select("doc", "hash", "at", F.md5("line").alias("id"))
+    if known.count() <= BROADCAST_KEYS // 8:
+        seen = hashed.join(F.broadcast(known.select("id", "root")), "id")
+    else:  # a line that is everywhere stays where it is; others meet their class in a shuffle
+        marked = hashed.join(F.broadcast(heavy.withColumnRenamed("root", "top")), "id", "left")
+        seen = marked.where("top IS NOT NULL").withColumnRenamed("top", "root").select("id", "doc", "hash", "at", "root").unionByName(marked.where("top IS NULL").drop("top").join(light, "id"))
+    seen = cut(seen.select("root", "doc", "hash", "at"))
+    first = cut(seen.groupBy("root").agg(F.min(F.struct("doc", "hash", "at")).alias("first"), F.count("*").alias("n")))
+    place = F.struct("doc", "hash", "at")
+    if first.count() <= BROADCAST_KEYS // 8:
+        gone = seen.join(F.broadcast(first.drop("n")), "root").where(place != F.col("first"))
+    else:
+        top = F.broadcast(first.where(F.col("n") >= HEAVY).select("root", F.col("first").alias("top")))
+        marked = seen.join(top, "root", "left")
+        rest = marked.where("top IS NULL").join(first.where(F.col("n") < HEAVY).drop("n"), "root").where(place != F.col("first"))
+        gone = marked.where(F.col("top").isNotNull() & (place != F.col("top"))).select("doc", "hash", "at").unionByName(rest.select("doc", "hash", "at"))
+    gone = cut(gone.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("gone")))
+    size = gone.agg(F.sum(F.size("gone") * 4 + 32)).collect()[0][0] or 0
+    rows = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, ["doc", "hash"], "left")
+    count = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    before, after = F.concat(F.array(F.lit(-1)), F.col("gone")), F.concat(F.col("gone"), F.array(F.col("n_lines").cast("int")))
+    left = let(F.split("text", "\n"), lambda ls: F.array_join(F.flatten(F.zip_with(before, after, lambda a, b: F.slice(ls, a + 2, F.greatest(F.lit(0), b - a - 1)))), "\n"))
+    rows = rows.withColumn("n_lines", F.when(F.col("doc").isNotNull(), count).otherwise(F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")))
+    return rows.select(*(F.col("left").alias(c) if c == text else F.col("kept").getField(c).alias(c) for c in names), "n_lines", F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("bigint").alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
