@@ -67,20 +67,29 @@ def screen(a: Column, b: Column, edits: int) -> Column:
     return (F.bit_count(a["odd"].bitwiseXOR(b["odd"])) <= 2 * edits) & (recurring(a["line"], b["line"], edits) >= edits + 2)
 
 
-def signatures(line: str, size: str, edits: int) -> list[Column]:
-    """Structs (key, indexed): the keys under which a line of ``size`` characters is indexed and those that it probes."""
-    out = []
-    for shorter in range(edits + 1):
-        length = F.col(size) - shorter
-        base, rest = (length / (edits + 1)).cast("int"), length % (edits + 1)
-        for i in range(edits + 1):
-            long = edits + 1 - i  # the last `rest` segments have one character more
+def keys_of(lines: DataFrame, edits: int) -> DataFrame:
+    """(short, key, indexed) of lines (short, line): the keys that a line probes; those of its own segments are indexed."""
+    parts, size = edits + 1, F.col("size")
+    rows = lines.withColumn("size", F.char_length("line"))
+    for i in range(parts):
+        # a piece of the line with all places of segment i in lines of up to ``edits`` characters less: short strings are cut fast
+        begin = F.greatest(F.lit(0), ((size - edits) / parts).cast("int") * i - edits) if i else F.lit(0)
+        rows = rows.withColumn(f"b{i}", begin).withColumn(f"p{i}", F.substring(F.col("line"), begin + 1, ((size / parts).cast("int") + 1) * (i + 1) + 2 * edits - begin))
+    keys, indexed = [], []
+    for shorter in range(parts):
+        length = size - shorter
+        base, rest = (length / parts).cast("int"), length % parts
+        for i in range(parts):
+            long = parts - i  # the last `rest` segments have one character more
             begin = base * i + F.greatest(F.lit(0), rest - long)
             wide = base + F.when(rest >= long, 1).otherwise(0)
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(F.col(line), begin + off + 1, wide))
-                out.append(F.struct(key.alias("key"), F.lit(shorter == 0 and off == 0).alias("indexed")))
-    return out
+                if shorter == off == 0:
+                    indexed.append(len(keys))
+                keys.append(F.xxhash64(length, F.lit(i), F.substring(F.col(f"p{i}"), begin + off + 1 - F.col(f"b{i}"), wide)))
+    # by number: exploding the array itself would add a filter on its size that computes it once more, without sharing terms
+    every = rows.select("short", F.array(*keys).alias("all")).select("short", "all", F.explode(F.sequence(F.lit(0), F.lit(len(keys) - 1))).alias("j"))
+    return every.select("short", F.col("all")[F.col("j")].alias("key"), F.col("j").isin(indexed).alias("indexed"))
 
 
 def let(value: Column, body) -> Column:
@@ -147,10 +156,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 def near_classes(lines: DataFrame, edits: int, edit_chars: int) -> DataFrame:
     """(id, root) of the lines (line, short) that are near others; id is the line's 128-bit hash, short a 64-bit one."""
     long = lines.where(F.char_length("line") >= edit_chars)
-    # by number: exploding the array itself would add a filter on its size that computes it once more, without sharing terms
-    every = long.withColumn("size", F.char_length("line")).select("short", F.array(*signatures("line", "size", edits)).alias("all"))
-    keyed = every.select("short", "all", F.explode(F.sequence(F.lit(0), F.lit(len(signatures("line", "size", edits)) - 1))).alias("j"))
-    keyed = keyed.select("short", F.col("all")[F.col("j")].alias("s")).select("short", "s.key", "s.indexed")
+    keyed = keys_of(long, edits)
     often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("indexed").alias("indexed")).where("n > 1 AND indexed").select("key")
     often = cut(often)
     members = cut(keyed.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key").select("key", "short").distinct())

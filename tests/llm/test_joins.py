@@ -60,15 +60,15 @@ def test_bit_parallel_edit_distance(spark, edits):
         assert r["near"] == within(r["a"], r["b"], edits), r
 
 
-def brute_lines(docs, edits=line_dedup.EDITS):
+def brute_lines(docs, edits=line_dedup.EDITS, edit_chars=line_dedup.EDIT_CHARS, least_chars=line_dedup.LEAST_CHARS):
     texts = sorted({d for d in docs if None not in d})
-    lines = sorted({x for _, t in texts for x in t.split("\n") if len(x.strip(" ")) >= line_dedup.LEAST_CHARS}, key=lambda x: (len(x), x))
+    lines = sorted({x for _, t in texts for x in t.split("\n") if len(x.strip(" ")) >= least_chars}, key=lambda x: (len(x), x))
     known, groups = set(lines), Union()
     for i, a in enumerate(lines):
         for b in lines[i + 1 :]:
             if len(b) - len(a) > edits:
                 break
-            if len(a) >= line_dedup.EDIT_CHARS and groups.find(a) != groups.find(b) and within(a, b, edits):
+            if len(a) >= edit_chars and groups.find(a) != groups.find(b) and within(a, b, edits):
                 groups.link(a, b)
     seen, out = set(), {}
     for d, t in texts:
@@ -98,6 +98,28 @@ def test_lines_against_brute_force(spark, seed):
     assert collections.Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in out.collect()) == brute_lines(docs)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 3])
+def test_lines_of_any_length(spark, monkeypatch, edits):
+    """With bounds of 0 every line is compared, the shortest and empty ones too; large numbers of lines and classes are joined by shuffles."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    random.seed(edits)
+    pool = ["".join(random.choices("abcé ", k=random.choice([1, 2, 6, 9, 14, 40]))) for _ in range(14)]
+    docs = [(k, "\n".join(edited(x, random.randrange(edits + 2)) for x in random.choices(pool, k=random.randrange(5)))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, edits=edits, edit_chars=0, least_chars=0).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in got) == brute_lines(docs, edits, 0, 0)
+    assert all(r["n_lines"] == t.count("\n") + 1 for (_, t), r in zip(docs, sorted(got, key=lambda r: r["doc_id"]), strict=True))
+
+
+def test_line_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a line of some length\nb", 7, 8, "x", 9)], "doc_id long, text string, __hash long, doc int, `N_Lines` string, gone int")
+    rows = line_dedup.dedup_lines(df)
+    assert rows.columns == ["doc_id", "text", "__hash", "doc", "gone", "n_lines", "n_dropped"]
+    assert [tuple(r) for r in rows.collect()] == [(1, "a line of some length\nb", 7, 8, 9, 2, 0)]
+
+
 def test_no_lines(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup_lines(none).count() == 0
