@@ -4,9 +4,12 @@ Vectors are scaled to length 1 and cut into two halves; each half is quantised b
 (k-means on at most ``SAMPLE`` rows, those with the smallest hash of their id), so a vector lies in one of k * k
 cells. Every vector is indexed. A query walks the pairs of centroids in order of summed squared distance with a
 heap, until the cells it passed hold ``candidates`` vectors or all cells are passed, and meets the vectors of these
-cells. How many candidates that are is measured, not guessed: for at most ``PROBES`` of the queries the true
-neighbours are found by brute force over all rows (one pass), and ``candidates`` is what the share ``RECALL`` of these
-neighbours needs. Clustered vectors need a few cells; vectors without structure need a large share of all. Cosines are computed in double precision on the original vectors; ties go to the smaller id.
+cells. How many candidates that are is measured, not guessed: for at most ``PROBES`` vectors that are no queries (queries, if
+all are) the true neighbours are found by brute force over all rows (one pass), and ``candidates`` is what the share
+``RECALL`` of these neighbours needs. Clustered vectors need a few cells; vectors without structure need a large share of
+all. ``quality`` measures recall and the share of vectors read on the queries themselves, which tuning hasn't seen. Cosines
+are computed in double precision on the original vectors, scaled by powers of two, which is exact, so that no square
+overflows; ties go to the smaller id.
 
 Of vectors that are equal in all components only the ``n + 1`` smallest ids, with up to n rows each, can be among the n
 nearest of any query, so only these are indexed. Cells of more than ``BLOCK`` vectors are split by a hash of the id and every query that
@@ -26,26 +29,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import col, cut, table
 
 SAMPLE, BLOCK, MOST_CENTROIDS, ROUNDS = 16_384, 4096, 256, 12
 #: Vectors a cell holds on average, and vectors a query meets at least.
-PER_CELL, CANDIDATES = 256, 1000
-#: Queries whose true neighbours are found, and the share of these that the walk must reach.
-PROBES, RECALL = 192, 0.96
+PER_CELL, CANDIDATES = 32, 64
+#: Vectors whose true neighbours are found, and the share of these that the walk must reach.
+PROBES, RECALL = 192, 0.95
 
 
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     """(vec_id, vec array<double>) of the rows that take part."""
-    rows = df.select(F.col(id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).where("vec_id IS NOT NULL AND size(vec) > 0")
+    rows = df.select(col(id).cast("bigint").alias("vec_id"), col(vector).cast("array<double>").alias("vec")).where("vec_id IS NOT NULL AND size(vec) > 0")
     rows = rows.where(F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("vec", lambda x: x != 0))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component lies between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1; scaled by the largest component first, so that no square overflows."""
-    x = x / np.abs(x).max(1, keepdims=True)
+    """Rows of length 1."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -105,6 +113,7 @@ def rerank(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, own: np.nd
     """For each query row, the n nearest entries: (query rows, entry ids, cosines)."""
     out: tuple[list, list, list] = ([], [], [])
     e_unit = unit(entries)
+    entries, queries = scaled(entries), scaled(queries)
     norm = np.sqrt((entries * entries).sum(1))
     for at in range(0, len(queries), 256):
         rough = unit(queries[at : at + 256]) @ e_unit.T
@@ -122,46 +131,116 @@ def rerank(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, own: np.nd
     return out
 
 
+class Index:
+    """All usable rows by cell: ``rows`` (vec_id, cell, vec), how many vectors each cell has, and the centroids."""
+
+    def __init__(self, df: DataFrame, n: int = 5, id: str = "vec_id", vector: str = "embedding") -> None:
+        self.all, self.n = usable(df, id, vector), n
+        same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id")
+        once = self.all.groupBy("vec_id", "vec").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("times"))
+        once = once.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= n + 1)
+        rows = cut(once.select("vec_id", "vec", F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time"))
+        self.total = rows.count()
+        if not self.total:
+            return
+        sample = unit(matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()["vec"]))
+        half = self.half = max(1, sample.shape[1] // 2)
+        k = self.k = int(max(1, min(MOST_CENTROIDS, round((self.total / PER_CELL) ** 0.5), len(sample) // 16)))
+        one = kmeans(sample[:, :half], k, 1)
+        two = kmeans(sample[:, half:], k, 2) if sample.shape[1] > half else np.zeros((k, 0))
+        self.centres = one, two
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = unit(matrix(batch.column("vec")))
+                    yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nearest(x[:, :half], one) * k + nearest(x[:, half:], two)), batch.column("vec")], names=["vec_id", "cell", "vec"])
+
+        self.rows = cut(rows.mapInArrow(assign, "vec_id bigint, cell bigint, vec array<double>"))
+        self.counts = np.zeros(k * k, np.int64)
+        for cell, count in self.rows.groupBy("cell").count().collect():  # at most k * k numbers
+            self.counts[cell] = count
+
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return distances(x[:, : self.half], self.centres[0]), distances(x[:, self.half :], self.centres[1])
+
+    def asked(self, queries) -> DataFrame:
+        """(vec_id, vec) of the ids that the condition picks."""
+        return self.all.where(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+    def true_cells(self, drawn: pa.Table) -> list[list[int]]:
+        """The cells of the true neighbours of some rows, by brute force over all rows."""
+        ids, x = drawn["vec_id"].to_numpy(), unit(matrix(drawn["vec"]))
+        n = self.n
+
+        def scan(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    own, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+                    near = x @ unit(matrix(batch.column("vec"))).T
+                    near[ids[:, None] == own[None, :]] = -2
+                    take = np.argsort(-near, axis=1)[:, :n]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), take.shape[1])), pa.array(np.take_along_axis(near, take, 1).ravel()), pa.array(cell[take].ravel())], names=["query", "score", "cell"])
+
+        best = Window.partitionBy("query").orderBy(F.desc("score"))
+        found = self.rows.mapInArrow(scan, "query bigint, score double, cell bigint").where("score > -1.5").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
+        cells: list[list[int]] = [[] for _ in ids]
+        for r in found.select("query", "cell").collect():  # at most PROBES * n rows
+            cells[r["query"]].append(r["cell"])
+        return cells
+
+    def wanted(self, queries, recall: float = RECALL) -> int:
+        """The candidates that reach ``recall`` of the true neighbours of a sample of the rows that are no queries."""
+        lot = (F.xxhash64(F.lit("probe"), "vec_id"), "vec_id")
+        drawn = self.rows.where(~F.coalesce(queries, F.lit(False))).orderBy(*lot).limit(PROBES).select("vec_id", "vec").toArrow()
+        if not drawn.num_rows:
+            drawn = self.asked(queries).orderBy(*lot).limit(PROBES).toArrow()
+        if not drawn.num_rows:
+            return CANDIDATES
+        to1, to2 = self.distances(unit(matrix(drawn["vec"])))
+        wanted = [w for i, cells in enumerate(self.true_cells(drawn)) for w in needed(to1[i], to2[i], self.counts, cells)]
+        return max(CANDIDATES, int(np.quantile(wanted, recall, method="higher"))) if wanted else CANDIDATES
+
+
+def quality(df: DataFrame, queries, n: int = 5, recall: float = RECALL, id: str = "vec_id", vector: str = "embedding") -> dict[str, float]:
+    """Recall against brute force and the mean share of vectors read, over at most PROBES of the queries; no query takes
+    part in tuning unless all rows are queries."""
+    index = Index(df, n, id, vector)
+    drawn = index.asked(queries).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toArrow() if index.total else None
+    if drawn is None or not drawn.num_rows:
+        return {"recall": 1.0, "share_read": 0.0, "candidates": 0}
+    candidates = index.wanted(queries, recall)
+    to1, to2 = index.distances(unit(matrix(drawn["vec"])))
+    hit = every = read = 0
+    for i, cells in enumerate(index.true_cells(drawn)):
+        walked = set(walk(to1[i], to2[i], index.counts, candidates))
+        hit, every = hit + sum(c in walked for c in cells), every + len(cells)
+        read += int(index.counts[list(walked)].sum())
+    return {"recall": hit / max(1, every), "share_read": read / index.total / drawn.num_rows, "candidates": candidates}
+
+
 def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the n nearest rows found for each row that the condition ``queries`` (on vec_id) picks."""
-    rows = usable(df, id, vector)
-    asked = rows.where(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("vec_id")
-    once = rows.groupBy("vec_id", "vec").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("times"))
-    once = once.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= n + 1)
-    rows = cut(once.select("vec_id", "vec", F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time"))
-    total = rows.count()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()["vec"]
-    result = "query_id bigint, vec_id bigint, score double"
-    if not total:
+    index = Index(df, n, id, vector)
+    if not index.total:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = unit(matrix(drawn))
-    half = max(1, sample.shape[1] // 2)
-    k = int(max(1, min(MOST_CENTROIDS, round((total / PER_CELL) ** 0.5), len(sample) // 16)))
-    one = kmeans(sample[:, :half], k, 1)
-    two = kmeans(sample[:, half:], k, 2) if sample.shape[1] > half else np.zeros((k, 0))
+    result = "query_id bigint, vec_id bigint, score double"
+    candidates = index.wanted(queries) if candidates is None else candidates
+    counts, parts = index.counts, np.maximum(1, -(-index.counts // BLOCK))
+    sent = df.sparkSession.sparkContext.broadcast((index.half, index.centres, counts, parts))  # MOST_CENTROIDS ** 2 numbers, 2 * MOST_CENTROIDS halves
 
-    def assign(batches):
+    def number(batches):
+        _, _, _, parts = sent.value
         for batch in batches:
             if batch.num_rows:
-                x = unit(matrix(batch.column("vec")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nearest(x[:, :half], one) * k + nearest(x[:, half:], two)), batch.column("vec")], names=["vec_id", "cell", "vec"])
-
-    index = cut(rows.mapInArrow(assign, "vec_id bigint, cell bigint, vec array<double>"))
-    counts = np.zeros(k * k, np.int64)
-    for cell, count in index.groupBy("cell").count().collect():  # at most k * k numbers
-        counts[cell] = count
-    if candidates is None:
-        candidates = measured(index, asked, counts, (one, two), n)
-    parts = np.maximum(1, -(-counts // BLOCK))
-    split = [(int(c), int(parts[c])) for c in np.flatnonzero(parts > 1)]
-    block = F.lit(0).cast("bigint")
-    if split:
-        known = F.map_from_arrays(F.lit([c for c, _ in split]), F.lit([p for _, p in split]))
-        block = F.coalesce(F.pmod(F.xxhash64("vec_id"), known[F.col("cell").cast("int")].cast("bigint")), F.lit(0).cast("bigint"))
-    index = index.withColumn("block", block)
+                lot = batch.column("vec_id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+                block = (lot % parts[batch.column("cell").to_numpy()].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("cell"), pa.array(block), batch.column("vec")], names=["vec_id", "cell", "block", "vec"])
+
+    dealt = index.rows.withColumn("block", F.lit(0).cast("bigint")) if parts.max() == 1 else index.rows.mapInArrow(number, "vec_id bigint, cell bigint, block bigint, vec array<double>")
 
     def probe(batches):
+        half, (one, two), counts, parts = sent.value
         for batch in batches:
             if batch.num_rows:
                 raw = matrix(batch.column("vec"))
@@ -173,7 +252,7 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id
                         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * raw.shape[1]), pa.array(np.tile(raw[i], len(at))))
                         yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.int64()), pa.array([c for c, _ in at], pa.int64()), pa.array([b for _, b in at], pa.int64()), vec], names=["query_id", "cell", "block", "vec"])
 
-    probes = asked.mapInArrow(probe, "query_id bigint, cell bigint, block bigint, vec array<double>")
+    probes = index.asked(queries).mapInArrow(probe, "query_id bigint, cell bigint, block bigint, vec array<double>")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -181,38 +260,10 @@ def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id
         q, v, s = rerank(matrix(left["vec"]), left["query_id"].to_numpy(), matrix(right["vec"]), right["vec_id"].to_numpy(), n)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = probes.groupBy("cell", "block").cogroup(index.groupBy("cell", "block")).applyInArrow(meet, result)
+    met = probes.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(meet, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")
 
 
-def measured(index: DataFrame, asked: DataFrame, counts: np.ndarray, centres: tuple[np.ndarray, np.ndarray], n: int) -> int:
-    """The candidates that reach RECALL of the true neighbours of a sample of the queries."""
-    drawn = asked.orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id").limit(PROBES).toArrow()
-    if not drawn.num_rows:
-        return CANDIDATES
-    ids, raw = drawn["vec_id"].to_numpy(), matrix(drawn["vec"])
-    x = unit(raw)
-
-    def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                own, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
-                near = x @ unit(matrix(batch.column("vec"))).T
-                near[ids[:, None] == own[None, :]] = -2
-                take = np.argsort(-near, axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), take.shape[1])), pa.array(np.take_along_axis(near, take, 1).ravel()), pa.array(cell[take].ravel())], names=["query", "score", "cell"])
-
-    best = Window.partitionBy("query").orderBy(F.desc("score"))
-    found = index.mapInArrow(scan, "query bigint, score double, cell bigint").where("score > -1.5").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n)
-    cells: dict[int, list[int]] = {}
-    for r in found.select("query", "cell").collect():  # at most PROBES * n rows
-        cells.setdefault(r["query"], []).append(r["cell"])
-    half = centres[0].shape[1]
-    to1, to2 = distances(x[:, :half], centres[0]), distances(x[:, half:], centres[1])
-    wanted = [w for q, own in cells.items() for w in needed(to1[q], to2[q], counts, own)]
-    return max(CANDIDATES, int(np.quantile(wanted, RECALL, method="higher"))) if wanted else CANDIDATES
-
-
 def op8_ann_search(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
