@@ -3,17 +3,21 @@
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A window is ``width``
 consecutive words of a test item; an item of fewer words, but not none, is one window.
 
-Index: one pass over the training texts stores, for each document, the positions of every test term in postings
-(term, document, positions). For exact phrases a position is stored only if it lies in a run of words whose
-neighbours are neighbours in some window too, and which is as long as the shortest window that uses them; no phrase
-is lost by that, and a text that shares only common words stores next to nothing. Search: each window looks up the
-postings of its rarest term (by positions in the index), shifts them by the term's offset to starts of the phrase,
-and keeps the starts at which the offset-adjusted lists of its other terms, rarest first, agree. With ``slack`` > 0
-the index is not thinned and each word may lie up to ``slack`` places from where the phrase puts it (proximity).
-
-Test items go to the workers in blocks of at most ``BLOCK_BYTES`` of text, so a test set of any size works.
-A row is known by its id and its text, so rows that repeat both are searched once. Null texts have no words; test items with a null id take no part; rows that repeat an item id are parts of one
-item. Rows of documents are kept one for one, with repeated and null ids.
+Windows and their owners are a table, of any size. Index: one pass over the training texts, for all windows together,
+writes the postings (term, row, places) of the texts' terms, a term being a 64-bit hash of its word. For exact phrases a
+place is stored only if it lies in a run of words whose neighbours are neighbours in some window too, and which is as long
+as a window; no phrase is lost by that, and a text that shares only common words stores next to nothing. Which neighbours
+these are the pass reads from bitmaps of hashes, of at most ``2 ** MOST_BITS`` bits whatever the windows are; a full
+bitmap stores more, but loses nothing.
+
+Search: each window looks up the postings of its rarest term (by places in the index) and shifts them by the term's
+offset to starts of the phrase. The postings of its other terms in the same row join it, and starts at which all the
+offset-adjusted lists agree remain, intersected rarest first by hashed sets. With ``slack`` > 0 the index is thinned by terms alone and
+each word may lie up to ``slack`` places from where the phrase puts it (proximity).
+
+A row is known by its id and its text, so rows that repeat both are searched alike. Null texts have no words; test items
+with a null id take no part; rows that repeat an item id are parts of one item. Rows of documents are kept one for one, with
+repeated and null ids; ids may be of any type that can be cast to a string.
 """
 
 from __future__ import annotations
@@ -22,128 +26,170 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import _sizes, _steps
-from .common import cut, spread, table
+from .common import col, cut, spread, table
+from .minhash import mix
 
 WIDTH = 10
-BLOCK_BYTES = 8 << 20
+#: Bits of a bitmap: 2 ** MOST_BITS at most, and BITS_A_HASH for each hash in it if that is less.
+MOST_BITS, BITS_A_HASH = 27, 64
+#: Windows, and rows with hits, that are joined by broadcast; more are joined by shuffles.
+BROADCAST_WINDOWS, BROADCAST_ROWS = 100_000, 100_000
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Kinds of bitmaps: neighbours in windows of full width, neighbours in shorter ones, terms that are stored wherever they are.
+LONG, SHORT, TERM = 0, 1, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_KEEP).split() if text else []
 
 
-def windows_of(items: list[tuple[object, str]], width: int) -> dict[tuple[bytes, ...], set]:
-    """Window to the ids of the items that have it."""
-    found: dict[tuple[bytes, ...], set] = {}
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + width]), set()).add(item)
-    return found
-
-
-class _Terms:
-    """Picklable lookup of one block's windows: terms, and for each pair of neighbours the shortest window that has it."""
-
-    def __init__(self, windows: list[tuple[bytes, ...]], thin: bool) -> None:
-        self.term: dict[bytes, int] = {}
-        for w in windows:
-            for x in w:
-                self.term.setdefault(x, len(self.term))
-        self.single = {self.term[w[0]] for w in windows if len(w) == 1}
-        self.thin = thin
-        least: dict[int, int] = {}
-        for w in windows if thin else ():
-            for a, b in zip(w, w[1:], strict=False):
-                key = self.term[a] << 32 | self.term[b]
-                least[key] = min(least.get(key, len(w)), len(w))
-        self.pairs = np.array(sorted(least), np.int64)
-        self.least = np.array([least[k] for k in self.pairs.tolist()], np.int64)
-
-    def positions(self, ids: np.ndarray) -> np.ndarray:
-        """The places to store of a text given as term ids (-1: no test term)."""
-        if not self.thin:
-            return np.flatnonzero(ids >= 0)
-        keep = np.isin(ids, list(self.single)) if self.single else np.zeros(len(ids), bool)
-        if len(ids) > 1 and len(self.pairs):
-            near = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            key = ids[near] << 32 | ids[near + 1]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            near, need = near[hit], self.least[at[hit]]
-            if len(near):
-                run = np.concatenate([[0], np.cumsum(np.diff(near) != 1)])
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
-                length = np.diff(np.concatenate([begin, [len(near)]])) + 1
-                ok = length[run] >= np.minimum.reduceat(need, begin)[run]
-                keep[near[ok]] = True
-                keep[near[ok] + 1] = True
-        return np.flatnonzero(keep)
-
-
-def index_block(docs: DataFrame, terms: _Terms) -> DataFrame:
-    """(row, doc_id, text_hash, n_words, postings array<struct<term, places>>) of rows (doc_id, text, text_hash), written."""
+class _Hashes(dict):
+    """Word to 64-bit hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def neighbours(h: np.ndarray) -> np.ndarray:
+    """A hash of each term and the next one."""
+    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+
+
+def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
+    """(item, window, length, terms) of the windows of each item, a row for each place; window is a 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in _steps(batches, _sizes("text")):
+            items, ids, lengths, terms = [], [], [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words_of(text)
+                h = known.of(w).view(np.int64).tolist()
+                for i in range(max(1, len(w) - width + 1) if w else 0):
+                    items.append(item)
+                    ids.append(xxhash.xxh3_128_hexdigest(b" ".join(w[i : i + width])))
+                    lengths.append(len(w[i : i + width]))
+                    terms.append(h[i : i + width])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(ids, pa.string()), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], names=["item", "window", "length", "terms"])
+
+    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    return cut(known.mapInArrow(run, "item string, window string, length int, terms array<bigint>"))
+
+
+def bitmaps(windows: DataFrame, width: int, slack: int) -> dict[int, np.ndarray]:
+    """For each kind the bits of its hashes, as bytes; a kind without hashes is left out. The driver gets the bitmaps, no hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, found = [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+            for terms in batch.column("terms").to_pylist():
+                h = np.array(terms, np.int64).view(np.uint64)
+                own = mix(h) if slack or len(h) == 1 else neighbours(h)
+                kinds.append(np.full(len(own), TERM if slack or len(h) == 1 else LONG if len(h) == width else SHORT, np.int32))
+                found.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(found).view(np.int64))], names=["kind", "hash"])
+
+    hashes = cut(windows.select("window", "terms").dropDuplicates(["window"]).select("terms").mapInArrow(run, "kind int, hash bigint").distinct())
+    out = {}
+    for kind, n in sorted(hashes.groupBy("kind").count().collect()):
+        bits = min(MOST_BITS, max(15, int(np.ceil(np.log2(n * BITS_A_HASH)))))
+        at = F.shiftrightunsigned(F.col("hash"), 64 - bits)
+        parts = hashes.where(F.col("kind") == kind).groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+        whole = np.zeros(1 << bits - 3, np.uint8)
+        for r in parts.toLocalIterator():  # at most 2 ** (MOST_BITS - 15) rows of 4 KB
+            whole[r["part"] << 12 : (r["part"] << 12) + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        out[kind] = whole
+    return out
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def stored(h: np.ndarray, maps: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The places to store of a text given as term hashes."""
+    keep = holds(maps[TERM], mix(h)) if TERM in maps else np.zeros(len(h), bool)
+    if len(h) > 1 and (LONG in maps or SHORT in maps):
+        key = neighbours(h)
+        if SHORT in maps:
+            near = np.flatnonzero(holds(maps[SHORT], key))
+            keep[near] = keep[near + 1] = True
+        if LONG in maps:
+            near = np.flatnonzero(holds(maps[LONG], key))
+            if len(near) >= width - 1:
+                begin = np.flatnonzero(np.diff(near, prepend=-2) != 1)
+                length = np.diff(np.append(begin, len(near)))
+                near = near[np.repeat(length >= width - 1, length)]
+                keep[near] = keep[near + 1] = True
+    return np.flatnonzero(keep)
+
+
+def index_of(docs: DataFrame, maps: dict[int, np.ndarray], width: int) -> DataFrame:
+    """Rows (row, doc_id, text_hash, n_words) of every text (doc_id, text, text_hash), and its postings (row, term, places); written."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)  # three bitmaps of at most 2 ** MOST_BITS bits
+    kinds = [T.StructField("row", T.StringType()), docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("term", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType(), False))]
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = terms.term.get
+        known = _Hashes()
         for batch in _steps(batches, _sizes("text")):
-            rows, n_words = [], []
-            for text in batch.column("text").to_pylist():
+            n_words, owner, terms, places, sizes = [], [], [], [np.empty(0, np.int64)], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 words = words_of(text)
                 n_words.append(len(words))
-                ids = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
-                at = terms.positions(ids)
-                order = np.argsort(ids[at], kind="stable")
-                at, own = at[order], ids[at][order]
-                begin = np.flatnonzero(np.diff(own, prepend=-1))
-                rows.append([{"term": int(own[i]), "places": p.tolist()} for i, p in zip(begin, np.split(at, begin[1:]), strict=True)] if len(at) else [])
-            kind = pa.list_(pa.struct([("term", pa.int64()), ("places", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n_words, pa.int64()), pa.array(rows, kind)], names=["doc_id", "text_hash", "n_words", "postings"])
-
-    stored = docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_words bigint, postings array<struct<term: bigint, places: array<int>>>")
-    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
-    return cut(stored.select(row.alias("row"), "*"))
-
-
-def search(index: DataFrame, windows: list[tuple[bytes, ...]], terms: _Terms, slack: int = 0) -> DataFrame:
-    """(row, window, length, starts): the starts of every window in every indexed text."""
-    spark = index.sparkSession
-    index = index.where(F.size("postings") > 0).dropDuplicates(["row"])
-    postings = index.select("row", F.explode("postings").alias("p")).select("row", F.col("p.term").alias("term"), F.col("p.places").alias("places"))
-    count = dict(postings.groupBy("term").agg(F.sum(F.size("places"))).collect())  # one number for each test term of the block
-    rows = []
-    for k, w in enumerate(windows):
-        own = sorted(((count.get(terms.term[x], 0), i, terms.term[x]) for i, x in enumerate(w)))
-        if own[0][0]:
-            rows.append((own[0][2], k, len(w), own[0][1], [(t, i) for _, i, t in own[1:]]))
-    wanted = F.broadcast(spark.createDataFrame(rows, "term bigint, window int, length int, offset int, others array<struct<term: bigint, offset: int>>"))  # at most BLOCK_BYTES of text
+                h = known.of(words)
+                at = stored(h, sent.value, width)
+                if len(at):
+                    at = at[np.argsort(h[at], kind="stable")]
+                    begin = np.flatnonzero(np.concatenate([[True], h[at][1:] != h[at][:-1]]))
+                    owner.extend([k] * len(begin))
+                    terms.extend(h[at][begin].view(np.int64).tolist())
+                    places.append(at)
+                    sizes.extend(np.diff(np.append(begin, len(at))).tolist())
+            n, m = batch.num_rows, len(owner)
+            every = pa.array(list(range(n)) + owner, pa.int64())
+            ends = np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int32)))
+            only = lambda c: pa.concat_arrays([batch.column(c), pa.nulls(m, batch.column(c).type)])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(every), only("doc_id"), only("text_hash"), pa.array(n_words + [None] * m, pa.int64()), pa.array([None] * n + terms, pa.int64()), lists], names=["row", "doc_id", "text_hash", "n_words", "term", "places"])
+
+    return cut(docs.select(row.alias("row"), "doc_id", "text_hash", "text").mapInArrow(run, T.StructType(kinds)))
+
+
+def search(postings: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame:
+    """(row, window, length, starts): the starts of every window (window, length, terms) in every indexed text."""
+    counts = postings.groupBy("term").agg(F.sum(F.size("places")).alias("n"))
+    parts = windows.select("window", "length", F.posexplode("terms").alias("offset", "term"))
+    known = parts.join(counts, "term").groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
+    # rarest first; a window with a term that no text has can't occur
+    wanted = cut(known.where(F.size("terms") == F.col("length")).select("window", "length", "terms", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset")))
+    few = wanted.count() <= BROADCAST_WINDOWS
+    one = F.broadcast(wanted) if few else wanted
     starts = F.array_distinct(F.filter(F.transform("places", lambda p: p - F.col("offset")), lambda s: s + F.col("length") > 0))
-    starts = F.filter(starts, lambda s: s >= 0) if not slack else starts
-    first = postings.join(wanted, "term").select("row", "window", "length", "others", starts.alias("starts"))
-    lists = index.select("row", F.map_from_arrays(F.transform("postings", lambda p: p["term"]), F.transform("postings", lambda p: p["places"])).alias("lists"))
-    if slack:
-        fits = lambda s: F.forall("others", lambda o: F.exists(F.coalesce(F.col("lists")[o["term"]], F.array().cast("array<int>")), lambda p: F.abs(p - s - o["offset"]) <= slack))
-    else:
-        fits = lambda s: F.forall("others", lambda o: F.coalesce(F.array_contains(F.col("lists")[o["term"]], s + o["offset"]), F.lit(False)))
-    return first.join(lists, "row").withColumn("starts", F.filter("starts", fits)).where(F.size("starts") > 0).select("row", "window", "length", "starts")
-
-
-def blocks(benchmark: DataFrame, size: int) -> list[list[tuple[object, str]]]:
-    """Test items in blocks of about ``size`` bytes, one block in the driver's memory at a time if it is consumed so."""
-    out: list[list[tuple[object, str]]] = [[]]
-    held = 0
-    for item, text in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        if held and held + len(text) > size:
-            out.append([])
-            held = 0
-        out[-1].append((item, text))
-        held += len(text)
-    return out
+    starts = starts if slack else F.filter(starts, lambda s: s >= 0)
+    first = cut(postings.join(one, "term").select("row", "window", "length", F.col("terms").alias("rest"), starts.alias("starts")).where(F.size("starts") > 0))
+    others = first.where("length > 1").select("row", "window", F.posexplode(F.slice("rest", 2, 1 << 30)).alias("nth", "other")).select("row", "window", "nth", F.col("other.term").alias("term"), F.col("other.offset").alias("offset"))
+    # the other terms' postings in rows that have the rarest one
+    put = F.flatten(F.transform("places", lambda p: F.sequence(p - F.col("offset") - slack, p - F.col("offset") + slack))) if slack else F.transform("places", lambda p: p - F.col("offset"))
+    lists = others.join(postings, ["row", "term"]).select("row", "window", F.struct("nth", put.alias("starts")).alias("list"))
+    lists = lists.groupBy("row", "window").agg(F.array_sort(F.collect_set("list")).alias("lists"))
+    met = first.where("length > 1").join(lists, ["row", "window"]).where(F.size("lists") == F.col("length") - 1)
+    agreed = F.aggregate("lists", F.col("starts"), lambda left, x: F.when(F.size(left) == 0, left).otherwise(F.array_intersect(left, x["starts"])))
+    met = met.select("row", "window", "length", agreed.alias("starts")).where(F.size("starts") > 0)
+    return met.unionByName(first.where("length = 1").select("row", "window", "length", "starts"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,30 +198,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
     items_sha256 is of the ids of the items found, sorted as strings and joined by commas; of the empty string if none.
     With ``slack``, the words from the phrase's start to its length count as hit.
     """
-    docs = spread(docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")))
-    spark = docs.sparkSession
-    total, hits = None, None
-    for block in blocks(benchmark, BLOCK_BYTES):
-        windows = windows_of(block, width)
-        order = sorted(windows)
-        if not order and total is not None:
-            continue
-        terms = _Terms(order, thin=not slack)
-        index = index_block(docs, terms)
-        total = total if total is not None else index.select("row", "doc_id", "text_hash", "n_words")
-        if not order:  # a block of items without words finds nothing; the others still count
-            continue
-        owners = F.broadcast(spark.createDataFrame([(k, sorted(map(str, windows[w]))) for k, w in enumerate(order)], "window int, items array<string>"))
-        found = search(index, order, terms, slack).join(owners, "window").select("row", "items", F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end"))).alias("spans"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = spark.createDataFrame([], "row string, items array<string>, spans array<struct<start: int, end: int>>")
-    own = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    docs = spread(docs.select(col(id).alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("text_hash")))
+    windows = windows_of(benchmark, width)
+    index = index_of(docs, bitmaps(windows, width, slack), width)
+    total = index.where("term IS NULL").select("row", "doc_id", "text_hash", "n_words")
+    postings = index.where("term IS NOT NULL").select("row", "term", "places").dropDuplicates(["row", "term"])
+    found = cut(search(postings, windows.select("window", "length", "terms").dropDuplicates(["window"]), slack))
+    spans = found.select("row", F.explode(F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end")))).alias("span"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    items = found.select("row", "window").join(windows.select("item", "window").distinct(), "window").select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # spans in order of start: each adds what lies beyond the end reached so far
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n")), lambda a: a["n"])
-    own = own.select("row", covered.alias("n_hit"), F.array_sort("items").alias("items"))
+    own = cut(spans.select("row", covered.alias("n_hit")).join(items, "row"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return total.join(own, "row", "left").select(
+    return total.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "row", "left").select(
         "doc_id",
         "n_words",
         F.least("n_words", F.coalesce("n_hit", F.lit(0))).alias("n_hit"),

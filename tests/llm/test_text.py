@@ -214,16 +214,32 @@ def test_decontamination_blocks_slack_and_empty_tables(spark, monkeypatch):
     hits = lambda **k: {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items, **k).collect()}
     assert hits() == {1: (0, 0), 2: (4, 2), 3: (0, 0)}
     assert hits(slack=1)[1][1] == 2 and hits(slack=1)[3] == (0, 0)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
     assert hits() == {1: (0, 0), 2: (4, 2), 3: (0, 0)}
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert {r["contaminated"] for r in decontaminate.contamination(docs, items.limit(0)).collect()} == {False}
 
 
 @pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (1, 2, 0), (2, 0, 1)])
-def test_decontamination_with_blocks_without_words(spark, monkeypatch, order):
+def test_decontamination_with_items_without_words(spark, order):
     docs = [(1, "one two three four"), (2, "five six"), (3, "seven")]
     items = [[(5, "two three")], [(6, "... !!!")], [(7, "five six")]]
-    monkeypatch.setattr(decontaminate, "blocks", lambda benchmark, size: [items[i] for i in order])
-    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(sum(items, []), "item_id long, text string"), width=4).drop("text_hash")
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_contamination(docs, sum(items, []), 4)
+    rows = [x for i in order for x in items[i]]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"), width=4).drop("text_hash")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_contamination(docs, rows, 4)
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """An item of one word in a text of that word: lists are intersected by sets, so time grows with their size."""
+    docs = [(1, "a " * 100_000 + "b"), (2, "a " * 9), (3, "b a " * 20_000)]
+    items = [(1, "a " * 10), (2, "b " + "a " * 9), (3, "a " * 40 + "b")]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (100_001, 100_001, 2), 2: (9, 0, 0), 3: (40_000, 0, 0)}
+
+
+def test_decontamination_with_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("x", "one two three"), (None, "one two three"), ("y|1", "none")], "name string, body string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(1, "two three")], "item_id long, text string"), id="name", text="body")
+    assert {(r["doc_id"], r["n_hit"]) for r in got.collect()} == {("x", 2), (None, 2), ("y|1", 0)}
