@@ -73,3 +73,27 @@ def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for work that is costlier than its input is large."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Rows of one key that make it hot: it is joined by broadcast, as there can't be more such keys than rows over this.
+HOT = 1_000_000
+#: Distinct keys up to which a join's smaller side goes to all executors as it is.
+FEW = 250_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """``left`` with ``value`` of the row of ``right`` that has its ``key``, else null; one key may hold any share of ``left``.
+
+    right: (key, n, value), a row for each key, written; n is at least the number of the key's rows in ``left``. Few keys are
+    joined by broadcast. Of many, the hot ones are, and then only the others meet in a shuffle; rows of hot keys and without a
+    key are spread over it.
+    """
+    if right.count() <= FEW:
+        return left.join(F.broadcast(right.select(key, value)), key, "left")
+    hot = F.broadcast(right.where(F.col("n") >= HOT).select(key, F.col(value).alias("__hot"), F.lit(True).alias("__is_hot")))
+    marked = left.join(hot, key, "left")
+    alone = F.col("__is_hot").isNotNull() | F.col(key).isNull()
+    marked = marked.withColumn("__key", F.when(~alone, F.col(key))).withColumn("__lot", F.when(alone, F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(-1))
+    cold = right.where(F.col("n") < HOT).select(F.col(key).alias("__key"), F.lit(-1).cast("bigint").alias("__lot"), F.col(value).alias("__cold"))
+    joined = marked.join(cold, ["__key", "__lot"], "left").withColumn(value, F.when(F.col("__is_hot").isNotNull(), F.col("__hot")).otherwise(F.col("__cold")))
+    return joined.drop("__key", "__lot", "__hot", "__is_hot", "__cold")

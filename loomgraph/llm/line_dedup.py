@@ -26,13 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import classes
-from .common import but, col, cut, delete, packed, shared_folder, table
+from .common import but, col, cut, delete, hot_join, packed, shared_folder, table
 
 EDITS, EDIT_CHARS, LEAST_CHARS, STRIP, SOON = 2, 24, 10, 16, 32
-#: Keys that go to all executors (an eighth as many line classes); more are joined by a shuffle.
+#: Keys that go to all executors; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
-#: Lines or classes with so many occurrences are joined by broadcast at any size: there can't be more than all lines over this.
-HEAVY = 1_000_000
 #: The places of all lines that go are sent to the documents up to this size; else both are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -186,24 +184,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, edit_chars: int = EDIT_CHAR
     twice = lines.where("n > 1").select(F.md5("line").alias("id"), "n")
     known = cut(twice.join(near, "id", "full").select("id", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(1)).alias("n")))
     delete(spark, folder)
-    heavy = cut(known.where(F.col("n") >= HEAVY).select("id", "root"))  # not many: lines of all documents over HEAVY
-    light = known.where(F.col("n") < HEAVY).select("id", "root")
     hashed = cutup.select("doc", "hash", "at", F.md5("line").alias("id"))
-    if known.count() <= BROADCAST_KEYS // 8:
-        seen = hashed.join(F.broadcast(known.select("id", "root")), "id")
-    else:  # a line that is everywhere stays where it is; others meet their class in a shuffle
-        marked = hashed.join(F.broadcast(heavy.withColumnRenamed("root", "top")), "id", "left")
-        seen = marked.where("top IS NOT NULL").withColumnRenamed("top", "root").select("id", "doc", "hash", "at", "root").unionByName(marked.where("top IS NULL").drop("top").join(light, "id"))
-    seen = cut(seen.select("root", "doc", "hash", "at"))
-    first = cut(seen.groupBy("root").agg(F.min(F.struct("doc", "hash", "at")).alias("first"), F.count("*").alias("n")))
-    place = F.struct("doc", "hash", "at")
-    if first.count() <= BROADCAST_KEYS // 8:
-        gone = seen.join(F.broadcast(first.drop("n")), "root").where(place != F.col("first"))
-    else:
-        top = F.broadcast(first.where(F.col("n") >= HEAVY).select("root", F.col("first").alias("top")))
-        marked = seen.join(top, "root", "left")
-        rest = marked.where("top IS NULL").join(first.where(F.col("n") < HEAVY).drop("n"), "root").where(place != F.col("first"))
-        gone = marked.where(F.col("top").isNotNull() & (place != F.col("top"))).select("doc", "hash", "at").unionByName(rest.select("doc", "hash", "at"))
+    seen = cut(hot_join(hashed, known, "id", "root").where("root IS NOT NULL").select("root", F.struct("doc", "hash", "at").alias("place")))
+    first = cut(seen.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    gone = hot_join(seen, first, "root", "first").where("place <> first").select("place.*")
     gone = cut(gone.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("gone")))
     size = gone.agg(F.sum(F.size("gone") * 4 + 32)).collect()[0][0] or 0
     rows = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, ["doc", "hash"], "left")

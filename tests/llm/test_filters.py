@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, toxicity, url_filter
+from loomgraph.llm import common, language_id, toxicity, url_filter
 from loomgraph.llm.registry import ORACLES, QUERIES
 
 
@@ -22,7 +22,7 @@ def brute_url(url):
     if fits:
         _, site, action = max(fits)
         return host, path, site, action
-    tokens = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", host + path)
+    tokens = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (host + path).translate({i: i + 32 for i in range(65, 91)}))
     return host, path, None, "block" if set(tokens) & set(url_filter.UNWANTED) else "allow"
 
 
@@ -43,12 +43,63 @@ def test_url_filter_against_brute_force(spark):
 
 def test_url_rules_without_tokens_and_wildcards(spark):
     own = [url_filter.Rule("*.gif", "block"), url_filter.Rule("||ads.*^banner^", "block", tier=2), url_filter.Rule("^ok^", "allow", tier=3)]
-    assert [r.tokens() for r in own] == [[], ["ads", "banner"], ["ok"]]
+    table = url_filter.rule_table(spark, own)
+    assert [r[0] for r in table.select(url_filter.literal_tokens(F.col("pattern"))).collect()] == [[], ["ads", "banner"], ["ok"]]
     df = spark.createDataFrame([("http://a/x.gif",), ("http://ads.b/c/banner/",), ("http://ads.b/ok/banner",), ("http://bads.b/banner",)], "url string")
     assert {r["url"]: r["verdict"] for r in url_filter.judge(df, own).collect()} == {"http://a/x.gif": "block", "http://ads.b/c/banner/": "block", "http://ads.b/ok/banner": "allow", "http://bads.b/banner": "allow"}
     assert url_filter.judge(df.limit(0), own).count() == 0
 
 
+def fits(pattern, fold, target):
+    """Plain matching, position by position, without regular expressions."""
+    if fold:
+        low = {i: i + 32 for i in range(65, 91)}
+        pattern, target = pattern.translate(low), target.translate(low)
+    body = pattern.removeprefix("||")
+    edge = lambda c: not (c.isalnum() or ord(c) > 127)
+
+    def at(i, k):
+        if k == len(body):
+            return True
+        if body[k] == "*":
+            return any(at(j, k + 1) for j in range(i, len(target) + 1))
+        if body[k] == "^":
+            return i in (0, len(target)) and at(i, k + 1) or i < len(target) and edge(target[i]) and at(i + 1, k + 1)
+        return i < len(target) and target[i] == body[k] and at(i + 1, k + 1)
+
+    host = target.split("/")[0]
+    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")] if pattern.startswith("||") else range(len(target) + 1)
+    return any(at(i, 0) for i in starts)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_thousands_of_rules(spark, monkeypatch, shuffled):
+    """A rule list of real size, as a table, against plain matching of every rule with every URL."""
+    if shuffled:
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "FEW", 0)
+        monkeypatch.setattr(common, "HOT", 3)
+    random.seed(9)
+    words = [f"{a}{b}" for a in "ad be ca du el fi go hu".split() for b in "min ner tor pix".split()]
+    word = lambda: random.choice(words) + random.choice(["", "", str(random.randrange(30))])
+    kinds = [lambda: f"||{word()}.{word()}^", lambda: f"/{word()}/{word()}/", lambda: f"^{word()}=*&{word()}", lambda: f"{word()}.js", lambda: f"||{word()}.com/{word()}*.(x)", lambda: f"*{random.choice('+$')}{word()}?", lambda: "." + word().upper() + "^"]
+    rules = [(random.choice(kinds)(), random.choice(["allow", "block"]), f"r{i}", random.randrange(3), random.random() < 0.8) for i in range(3000)] + [(None, "block", "x", 9, True), ("^gomin^", None, "x", 9, True)]
+    urls = [f"http://{word()}.{random.choice([word(), 'COM', 'com'])}/{random.choice([word(), word().upper()])}{random.choice(['/', '.js', '=1&', '-', '.(x)'])}{word()}/" for _ in range(120)] + [None, "x", "http:///"]
+    urls += urls[:1] * 5
+    df = spark.createDataFrame([(i, u, 1, 2, 3) for i, u in enumerate(urls)], "page_id long, url string, target int, best int, `Host` int")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, spark.createDataFrame(rules, "pattern string, action string, name string, tier int, fold boolean")).collect()}
+    assert len(got) == len(urls)
+    hits = 0
+    for i, u in enumerate(urls):
+        host, path = brute_url(u)[:2]
+        best = max(((t, len(p), a == "allow", p, n, a) for p, a, n, t, f in rules if p and a and host + path and fits(p, f, host + path)), default=None)
+        hits += best is not None
+        assert got[i] == ((best[4], best[5]) if best else (None, "allow")), u
+    assert hits > 20
+    kept = url_filter.judge(df, []).columns
+    assert kept == ["page_id", "url", "target", "best", "host", "path", "rule", "verdict"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(name, same):
     same(QUERIES[name], ORACLES[name])

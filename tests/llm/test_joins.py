@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, cluster, line_dedup, minhash
+from loomgraph.llm import ann, cluster, common, line_dedup, minhash
 from loomgraph.llm.registry import QUERIES
 
 
@@ -103,7 +103,8 @@ def test_lines_of_any_length(spark, monkeypatch, edits):
     """With bounds of 0 every line is compared, the shortest and empty ones too; large numbers of lines and classes are joined by shuffles."""
     monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common, "HOT", 4)
     random.seed(edits)
     pool = ["".join(random.choices("abcé ", k=random.choice([1, 2, 6, 9, 14, 40]))) for _ in range(14)]
     docs = [(k, "\n".join(edited(x, random.randrange(edits + 2)) for x in random.choices(pool, k=random.randrange(5)))) for k in range(40)]
