@@ -11,15 +11,16 @@ and taking one backslash away restores it. In roles, backslash and line feed are
 
 Turns sort by turn (null first), then role, then text; repeated rows are turns of their own. A null role or
 text is the empty string. Rows of a null conversation id form one conversation. Each conversation becomes one
-string, so a conversation must fit into a row; nothing else is gathered.
+string, so a conversation must fit into a row; nothing else is gathered. Work grows with the number of its turns, not its
+square; reading texts back by their places costs a pass over the string for each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, table
 
 START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>\n"
 _OTHER = r"\||/?s>"
@@ -48,37 +49,23 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     loss_spans: start (from 0) and length in code points of each text of role ``learn`` in ``formatted``.
     """
-    turns = df.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
+    turns = df.select(col(conv).alias("conv"), col(turn).alias("turn"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    opens = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
+    turns = turns.select("conv", "role", escape(F.col("text")).alias("text"), opens.alias("opens"), F.row_number().over(order).alias("nr"))
+    # each text's place in the whole: running sums here, as arrays would be copied for each turn
+    head = F.when(~F.col("opens"), F.lit(TURN)).otherwise(F.concat(F.when(F.col("nr") > 1, F.lit(END)).otherwise(F.lit("")), F.lit(START), escape_role(F.col("role")), F.lit("\n")))
+    turns = turns.withColumn("length", F.char_length("text").cast("bigint"))
+    ends = F.sum(F.char_length(head) + F.col("length")).over(Window.partitionBy("conv").orderBy("nr"))
+    turns = turns.select("conv", F.struct("nr", "role", "text", "opens", (ends - F.col("length")).alias("start"), "length").alias("t"))
     chats = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # merge adjacent turns of one role: an aggregation over the sorted array that opens a message or extends the last
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    opened = lambda t: F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-    merged = F.aggregate(
-        "turns",
-        F.struct(empty.alias("done"), F.lit(None).cast("struct<role:string,texts:array<string>>").alias("last")),
-        lambda a, t: F.when(a["last"]["role"] == t["role"], F.struct(a["done"].alias("done"), F.struct(a["last"]["role"].alias("role"), F.concat(a["last"]["texts"], F.array(escape(t["text"]))).alias("texts")).alias("last")))
-        .otherwise(F.struct(F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))).alias("done"), opened(t).alias("last"))),
-        lambda a: F.concat(a["done"], F.array(a["last"])),
-    )
-    chats = chats.select("conv", merged.alias("messages"))
-    head = lambda m: F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"))
-    formatted = F.array_join(F.transform("messages", lambda m: F.concat(head(m), F.array_join(m["texts"], TURN), F.lit(END))), "")
-    span = "struct<start:bigint,length:bigint>"
-    spans = F.aggregate(
-        "messages",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans")),
-        lambda a, m: F.aggregate(
-            m["texts"],
-            F.struct((a["at"] + F.char_length(head(m))).alias("at"), a["spans"].alias("spans")),
-            lambda b, x: F.struct(
-                (b["at"] + F.char_length(x) + len(TURN)).alias("at"),
-                F.when(m["role"] == learn, F.concat(b["spans"], F.array(F.struct(b["at"].alias("start"), F.char_length(x).cast("bigint").alias("length"))))).otherwise(b["spans"]).alias("spans"),
-            ),
-            lambda b: F.struct((b["at"] - len(TURN) + len(END)).alias("at"), b["spans"].alias("spans")),
-        ),
-        lambda a: a["spans"],
-    )
-    return chats.select(F.col("conv").alias(conv), formatted.alias("formatted"), F.size("messages").cast("bigint").alias("n_messages"), spans.alias("loss_spans"))
+    # merge adjacent turns of one role: slices of the sorted array between the turns that open a message
+    first = F.transform(F.filter("turns", lambda t: t["opens"]), lambda t: t["nr"])
+    chats = chats.withColumn("first", first).withColumn("next", F.concat(F.slice("first", 2, 1 << 30), F.array(F.size("turns") + 1)))
+    merged = F.zip_with("first", "next", lambda a, b: F.struct(F.get("turns", a - 1)["role"].alias("role"), F.transform(F.slice("turns", a, b - a), lambda t: t["text"]).alias("texts")))
+    formatted = F.array_join(F.transform(merged, lambda m: F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"), F.array_join(m["texts"], TURN), F.lit(END))), "")
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return chats.select(F.col("conv").alias(conv), formatted.alias("formatted"), F.size("first").cast("bigint").alias("n_messages"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

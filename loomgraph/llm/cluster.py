@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join
 
 #: Nodes of a group that a row holds.
 BLOCK = 64
@@ -59,8 +59,8 @@ def classes(members: DataFrame, values: DataFrame, screen: Callable[[Column, Col
     """
     size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(members.join(size, "key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = members.join(hubs, "key").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")))
+    pairs = hot_join(members, hubs, "key", "hub").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("va")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("vb")), "b")

@@ -6,12 +6,14 @@ language's text) / length of the text, wins; ties go to the name that sorts firs
 
 Texts are lower-cased, and cut down to letters and single spaces. Automata are one dense table with a total
 transition function: where no transition exists, the entry leads to where the automaton's start leads with that
-letter, and counts a phrase. So one table look-up per byte and language is all, done for thousands of texts at once;
-texts are cut into blocks of ``STEPS`` bytes for that, each of which ends a phrase. All bytes of all texts are parsed.
+letter, and counts a phrase. So one table look-up per byte and language is all, done for thousands of texts at once.
+Long texts are cut into blocks of ``STEPS`` bytes for that, and the parse is carried over: a block is parsed from the
+automaton's start first, then again from where the block before ended, until both parses are in the same state; what they
+counted differently till then is put right. So a text is parsed as a whole, whatever its length.
 
-Learning takes a bounded sample: of each language about ``DOCS`` rows with the smallest hash of their id, of these at
-most ``CHARS`` characters, and in all ``BYTES`` bytes a language (less, if there are so many languages that the table
-would pass ``CELLS``). Every text is judged whole.
+Learning takes a bounded sample of whole labelled rows: of each language ``rows`` rows with the smallest hash of their id, of
+these as many as fit into ``size`` bytes (less, if there are so many languages that the table would pass ``CELLS``). Rows
+that don't fit are left out; only if a language has no row that fits, its shortest sampled one is cut. Every text is judged whole.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. Rows are
 kept one for one; rows without an id are never learned from and not held out.
@@ -23,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import _sizes, _steps
-from .common import spread, table
+from .common import but, col, packed, spread, table, unpacked
 
-DOCS, CHARS, BYTES, CELLS, STEPS = 192, 8000, 65_536, 64_000_000, 1024
+ROWS, BYTES, CELLS, STEPS = 192, 65_536, 64_000_000, 1024
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -93,7 +96,6 @@ class Model:
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """[texts, languages]: phrases of each text."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
         flat = self.classes[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int32)
         n = -(-sizes // STEPS)
@@ -101,22 +103,62 @@ class Model:
         part = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(np.cumsum(sizes) - sizes, n) + part * STEPS
         length = np.minimum(STEPS, np.repeat(sizes, n) - part * STEPS)
+        fresh = np.repeat(self.start[:, None], len(owner), 1)
+        count, last = np.zeros((len(self.langs), len(owner)), np.int64), fresh.copy()
         for at in range(0, len(owner), 4096):
-            order = at + np.argsort(-length[at : at + 4096], kind="stable")
-            size = length[order]
-            where = np.minimum(begin[order][None, :] + np.arange(size[0])[:, None], len(flat) - 1)
-            cells = flat[where]
-            state = np.repeat(self.start[:, None], len(order), 1)
-            count = np.ones((len(self.langs), len(order)), np.int64)
-            live = np.searchsorted(-size, -np.arange(size[0]), "left")  # blocks longer than each step
-            for t in range(size[0]):
-                m = live[t]
-                entry = self.table[state[:, :m] + cells[t, :m]]
-                count[:, :m] += entry & 1
-                state[:, :m] = entry >> 1
-            np.add.at(out, owner[order], count.T)
+            some = np.arange(at, min(at + 4096, len(owner)))
+            count[:, some], last[:, some], _ = self._run(flat, begin[some], length[some], fresh[:, some])
+        # blocks that go on: from the state in which the one before ended, as long as that changes anything
+        entered, todo = fresh, np.flatnonzero(part > 0)
+        while len(todo):
+            came = last[:, todo - 1]
+            todo = todo[(came != entered[:, todo]).any(0)]
+            if not len(todo):
+                break
+            changed = np.zeros(len(todo), bool)
+            for at in range(0, len(todo), 4096):
+                some = todo[at : at + 4096]
+                came = last[:, some - 1].copy()
+                more, ended, met = self._run(flat, begin[some], length[some], came, entered[:, some])
+                count[:, some] += more
+                changed[at : at + 4096] = ~met.all(0)
+                last[:, some] = np.where(met, last[:, some], ended)
+                entered[:, some] = came
+            after = todo[changed] + 1
+            after = after[after < len(owner)]
+            todo = after[part[after] > 0]
+        out = np.ones((len(texts), len(self.langs)), np.int64)
+        np.add.at(out, owner, count.T)
         return out
 
+    def _run(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that end in blocks of ``flat`` parsed from ``state`` [languages, blocks], and the states at their ends.
+
+        With ``other``, a second parse from there runs beside it: phrases are counted less those of the second, until both are
+        in the same state, and the third result says where they have met.
+        """
+        order = np.argsort(-length, kind="stable")
+        size = length[order]
+        begin, state = begin[order], state[:, order].copy()
+        count = np.zeros(state.shape, np.int64)
+        second = None if other is None else other[:, order].copy()
+        for t in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -t, "left"))  # blocks longer than t
+            if second is not None and t % 16 == 0 and (state[:, :m] == second[:, :m]).all():
+                break
+            cells = flat[begin[:m] + t]
+            entry = self.table[state[:, :m] + cells]
+            count[:, :m] += entry & 1
+            state[:, :m] = entry >> 1
+            if second is not None:
+                entry = self.table[second[:, :m] + cells]
+                count[:, :m] -= entry & 1
+                second[:, :m] = entry >> 1
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        met = np.ones(state.shape, bool) if second is None else state == second
+        return count[:, back], state[:, back], met[:, back]
+
     def judge(self, texts: list[str | None], has_letter) -> tuple[list[str], list[float]]:
         cleaned = [letters(t) if t and has_letter(t) else b"" for t in texts]
         judged = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
@@ -136,41 +178,51 @@ class Model:
         return langs, scores
 
 
-def learn(labelled: DataFrame) -> Model:
+def learn(labelled: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
     """From rows (doc_id, text, lang) without nulls in doc_id and lang."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     counts = dict(labelled.groupBy("lang").count().collect())  # one number for each language
-    size = 1 << 40
-    lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(size))
-    most = F.map_from_arrays(F.lit(list(counts)), F.lit([min(size, int(size * DOCS / n) + 1) for n in counts.values()])) if counts else None
-    rows = labelled.where(lot < most[F.col("lang")]).select("lang", lot.alias("lot"), F.substring("text", 1, CHARS).alias("text")).collect() if counts else []
-    limit = min(BYTES, CELLS // (2 * 64 * max(1, len(counts))))
+    if not counts:
+        return Model({})
+    limit = min(size, CELLS // (2 * 64 * len(counts)))
+    whole = 1 << 40
+    lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(whole))
+    most = F.map_from_arrays(F.lit(list(counts)), F.lit([min(whole, int(whole * 4 * rows / n) + 1) for n in counts.values()]))
+    drawn = labelled.where(lot < most[F.col("lang")]).select("lang", lot.alias("lot"), "text").where(F.octet_length("text") <= size)
+    # an id may repeat in any number of rows, so the rows themselves are counted
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("lot", F.xxhash64("text")))
     texts: dict[str, bytes] = {}
     seen = set()
-    for r in sorted(rows, key=lambda r: (r["lang"], r["lot"], r["text"])):
+    for r in drawn.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect():  # at most rows * size bytes a language
         own = letters(r["text"])
-        if own and (r["lang"], own) not in seen and len(texts.get(r["lang"], b"")) < limit:
+        if own and (r["lang"], own) not in seen and len(texts.get(r["lang"], b"")) + len(own) < limit:
             seen.add((r["lang"], own))
-            texts[r["lang"]] = (texts.get(r["lang"], b"") + b" " + own)[:limit]
+            texts[r["lang"]] = texts.get(r["lang"], b"") + b" " + own
+    if lacking := sorted(set(counts) - set(texts)):
+        short = labelled.where(F.col("lang").isin(lacking) & F.col("text").rlike(r"\S")).select("lang", F.struct(F.octet_length("text"), lot, F.substring("text", 1, limit).alias("text")).alias("t"))
+        for r in short.groupBy("lang").agg(F.min("t").alias("t")).collect():
+            if own := letters(r["t"]["text"]):
+                texts[r["lang"]] = (b" " + own)[:limit]
     return Model(texts)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``."""
+    """``docs`` without its text, with ``lang_pred`` and ``score``; columns of those names, in any case, are replaced."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # CELLS bounds its size
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    kept = but(docs, text, "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         has_letter = regex.compile(r"\p{L}").search
-        for batch in _steps(batches, _sizes(text)):
-            langs, scores = sent.value.judge(batch.column(text).to_pylist(), has_letter)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+        for batch in _steps(batches, _sizes("text")):
+            langs, scores = sent.value.judge(batch.column("text").to_pylist(), has_letter)
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["kept", "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
-    return spread(docs.select(*kept, text)).mapInArrow(run, schema)
+    rows = spread(docs.select(packed(docs, kept).alias("kept"), col(text).alias("text")))
+    schema = T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(*unpacked("kept", kept), "lang_pred", "score")
 
 
 def fold(id: Column, n: int) -> Column:

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import _sizes, _steps
 from .cluster import components
-from .common import cut, spread, table
+from .common import col, cut, hot_join, spread, table
 
 BINS, ROWS = 160, 5
 #: 64-bit words of two sketch bits a coordinate, and how far below its mean the agreement of a linked pair may lie.
 WORDS, SIGMAS = BINS // 32, 6
 #: Groups of up to SMALL nodes are searched pair by pair; larger ones in blocks of BLOCK nodes.
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 256
 _FULL = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -225,10 +225,10 @@ def blockwise(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash), a row for each row of ``docs``; ids are whole numbers."""
-    docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = docs.select(col(id).cast("bigint").alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("text_hash"))
     signed = cut(signatures(docs, words))
     owned = signed.where("fp1 IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node")))
+    nodes = cut(owned.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     own = owned.join(nodes.select("fp1", "fp2", F.col("node").alias("doc_id")), ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
     traits = F.struct("n", *(f"s{i}" for i in range(WORDS))).alias("t")
     own = cut(own.select(F.col("doc_id").alias("node"), "fp1", "fp2", "bands", traits))
@@ -244,13 +244,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
         both = F.size(F.array_intersect("sa", "sb"))
         return cut(pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
 
-    def pairs_of(left: DataFrame, right: DataFrame, condition) -> DataFrame:
-        met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & condition & alike("l.t", "r.t", percent))
+    def pairs(met: DataFrame, condition: Column) -> DataFrame:
+        met = met.where(condition & alike("l.t", "r.t", percent))
         return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
     # every group's first node meets the others; most groups are then one class
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "t")).alias("h")).select("key", "h.node", "h.t")
-    tried = cut(pairs_of(hubs, members, F.col("l.node") < F.col("r.node")))
+    hubs = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "t")).alias("l")))
+    met = hot_join(members.select("key", F.struct("node", "t").alias("r")), hubs, "key", "l")
+    tried = cut(pairs(met, F.col("l.node") < F.col("r.node")))
     links = verify(tried)
     labels = components(links)
     # what is left in groups of several classes: pair by pair in small groups, block by block in large ones
@@ -258,12 +259,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     opened = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).where("least <> most AND m > 2").select("key", "m")
     labelled = cut(labelled.join(opened, "key"))
     small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
-    rest = pairs_of(small, small, (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))).join(tried, ["a", "b"], "left_anti")
+    both = small.alias("l").join(small.alias("r"), F.col("l.key") == F.col("r.key"))
+    rest = pairs(both, (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))).join(tried, ["a", "b"], "left_anti")
     more = cut(verify(rest).unionByName(blockwise(large.select("key", "node", "root"), sets, percent)))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    rooted = cut(nodes.join(labels, "node", "left").select("fp1", "fp2", F.coalesce("root", "node").alias("root")))
-    out = signed.select("doc_id", "text_hash", "n", "fp1", "fp2").join(rooted, ["fp1", "fp2"], "left")
+    rooted = cut(nodes.join(labels, "node", "left").select(F.struct("fp1", "fp2").alias("fp"), "n", F.coalesce("root", "node").alias("root")))
+    signed = signed.select("doc_id", "text_hash", "n", F.when(F.col("fp1").isNotNull() & F.col("doc_id").isNotNull(), F.struct("fp1", "fp2")).alias("fp"))
+    out = hot_join(signed, rooted, "fp", "root")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import _sizes, _steps
-from .common import spread, table
+from .common import but, col, packed, spread, table, unpacked
 from .language_id import fold
 
 SAMPLE, FEATURES, PENALTY, LEAST_GAIN = 8_000, 1024, 10.0, 8.0
@@ -169,7 +170,10 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> Model
     """From documents (doc_id, text) and labels (doc_id, toxic), both without rows to hold out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.select("doc_id", "toxic", F.xxhash64(F.lit("sample"), "doc_id").alias("lot")).orderBy("lot", "doc_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # SAMPLE rows of three numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE rows of three numbers
+    # an id may repeat in any number of rows: it stands for the text with the smallest hash
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", nth).where("nth = 1").select("doc_id", "text", "toxic")
     got = featurize(rows.select(F.col("doc_id").alias("row"), "text", "toxic")).toArrow().sort_by([("row", "ascending"), ("pair", "ascending")])
     found = got["features"].combine_chunks()
     flat, offsets = found.flatten().to_numpy(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64)
@@ -177,17 +181,21 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> Model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False, out: str = "score") -> DataFrame:
-    """``docs`` with the column ``out`` (one of that name is replaced); without its text unless it is kept."""
+    """``docs`` with the column ``out`` (one of that name, in any case, is replaced); without its text unless it is kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
-    kept = [c for c in docs.columns if c != out and (keep_text or c != text)]
+    kept = but(docs, out, *([] if keep_text else [text]))
+
+    def texts_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("kept").field(text) if keep_text else batch.column("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value.scorer()
-        for batch in _steps(batches, _sizes(text)):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([of(t) for t in batch.column(text).to_pylist()], pa.float64())], names=[*kept, out])
+        for batch in _steps(batches, lambda b: _sizes("text")(pa.RecordBatch.from_arrays([texts_of(b)], names=["text"]))):
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([of(t) for t in texts_of(batch).to_pylist()], pa.float64())], names=["kept", "found"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
-    return spread(docs.select(*kept, *([] if text in kept else [text]))).mapInArrow(run, schema)
+    rows = spread(docs.select(packed(docs, kept).alias("kept"), *([] if keep_text else [col(text).alias("text")])))
+    schema = T.StructType([rows.schema["kept"], T.StructField("found", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(*unpacked("kept", kept), F.col("found").alias(out))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,35 @@ def test_cross_parsing_counts_phrases():
                 assert 0 < n <= greedy(t, langs[name]) + 1
 
 
+def test_long_texts_are_parsed_whole(monkeypatch):
+    """Blocks carry the parse over: phrases are those of one greedy parse, however small the blocks are."""
+    random.seed(8)
+    corpora = {"a": bytes(random.choice(b"ab ") for _ in range(400)), "b": b"ab" * 300 + b" ", "c": bytes(random.choice(b"aab ") for _ in range(500))}
+    model = language_id.Model(corpora)
+    texts = [bytes(random.choice(b"ab ") for _ in range(n)) for n in (0, 1, 39, 40, 41, 700, 1300)] + [b"ab" * 900, b"a" * 500, b"ba" * 41]
+    want = [[greedy(t, corpora[x]) if t else 1 for x in model.langs] for t in texts]
+    for steps in (1, 3, 40, 1024):
+        monkeypatch.setattr(language_id, "STEPS", steps)
+        assert model.phrases(texts).tolist() == want
+
+
+def test_learning_takes_whole_rows_and_survives_repeated_ids(spark):
+    rows = [(1, f"the cat number {'x' * (i % 7)}", "en") for i in range(300)] + [(i, "der hund " * 4000, "de") for i in range(5)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(labelled, rows=3, size=2000)
+    assert model.langs == ["de", "en"] and 2 ** model.bits.max() <= 2000
+    df = spark.createDataFrame([(1, "the cat", "old", 2.0), (2, "der hund", "old", 2.0)], "doc_id long, text string, `Lang_Pred` string, `SCORE` double")
+    out = language_id.predict(df, model)
+    assert out.columns == ["doc_id", "lang_pred", "score"] and {r["doc_id"]: r["lang_pred"] for r in out.collect()} == {1: "en", 2: "de"}
+
+
+def test_toxicity_of_repeated_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", 1, "x") for i in range(40)] + [(2, "good", 1, "x")], "doc_id long, text string, `Score` int, kept string")
+    model = toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    out = toxicity.score(docs, model, keep_text=True)
+    assert out.columns == ["doc_id", "text", "kept", "score"] and {(r["kept"], 0 <= r["score"] <= 1) for r in out.collect()} == {("x", True)}
+
+
 def test_language_query(spark, sf):
     rows = QUERIES["op3_language_id"](spark, sf).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -37,3 +37,20 @@ def test_stages_handle_odd_rows(spark, sf, tmp_path):
             assert out.columns == docs.columns, name
             assert out.count() == docs.count(), name
         assert corpus_pipeline.tokenize(spark, docs, sf).count() == docs.count()
+
+
+def test_one_row_of_each_group_stays(spark, sf):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(5, words, "en", "s", 1), (5, words, "en", "s", 1), (9, words + " more", "en", "s", 1), (None, words, "en", "s", 1), (None, words.upper(), "en", "s", 1), (None, "alone and without an id", "en", "s", 1), (None, "alone and without an id", "en", "s", 1), (7, "", "en", "s", 0), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect())
+    assert got == sorted([("5", words), ("None", "alone and without an id"), ("7", ""), ("7", "")])
+
+
+def test_run_leaves_no_folders(spark, sf):
+    import os
+
+    before = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    corpus_pipeline.run(spark, sf)
+    after = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    assert not [x for x in after - before if x.startswith(("pipeline-", "lines-"))]

@@ -34,6 +34,16 @@ def test_chats_read_back_as_they_were(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_of_very_many_turns(spark):
+    """Thousands of turns in one conversation: nothing is copied for each turn."""
+    rows = [(1, i, "assistant" if i % 3 else "user", f"<|{i}") for i in range(30_000)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = out.withColumn("turns", chat_format.read_back(F.col("formatted"))).collect()[0]
+    assert r["n_messages"] == 20_000 and [t["text"] for t in r["turns"]] == [x[3] for x in rows]
+    at = [(s["start"], s["length"]) for s in r["loss_spans"]]
+    assert [r["formatted"][a : a + n].replace("\\", "", 1) for a, n in at] == [x[3] for x in rows if x[2] == "assistant"]
+
+
 @pytest.fixture(scope="module")
 def bpe():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
