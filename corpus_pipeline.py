@@ -1,8 +1,8 @@
 """Corpus pipeline: toxicity filter, line dedup, near-duplicate removal, benchmark decontamination, tokenizing.
 
 Every stage works on all documents that its predecessor kept. All but the last return the columns of documents;
-the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256. Rows with a null id pass every stage that joins by
-id as documents of their own; null texts are empty texts.
+the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256. Rows with a null id are documents of their own, known by their
+text; line dedup leaves them as they are. Null texts are empty texts.
 """
 
 from __future__ import annotations
@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import byte_bpe, decontaminate, line_dedup, minhash, toxicity
-from loomgraph.llm.common import shared_folder, table
+from loomgraph.llm.common import cut, delete, shared_folder, table
 
 #: Rejected rows that go to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``rejected`` (doc_id, text_hash), null-safe."""
+def without(docs: DataFrame, rejected: DataFrame, id: str = "doc_id", how: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows of ``rejected`` (doc_id, text_hash), null-safe; with ``left_semi`` those rows alone."""
     rejected = rejected.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     small = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash")), "left_anti")
+    return docs.join(small, F.col(id).eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__hash")), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at 0.8 over five-word shingles: the one with the smallest id."""
-    return without(docs, minhash.near_duplicates(docs, words=5, percent=80).where("NOT kept"))
+    """One document of each group at 0.8 over five-word shingles: the one with the smallest id. Of rows that repeat an id and a
+    text one stays; rows without an id take part and come last. Texts without words are copies of nothing."""
+    text = F.xxhash64("text")
+    stand_in = F.lit(1 << 62) + text.bitwiseAND(F.lit((1 << 61) - 1))  # above all ids that are counted up
+    own = F.coalesce(F.col("doc_id").cast("bigint"), stand_in)
+    found = cut(minhash.near_duplicates(docs.select(own.alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0"))
+    docs_ = docs.withColumn("__own", own)
+    left = without(docs_, found.where("NOT kept"), "__own")
+    again = cut(found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1"))
+    if not again.isEmpty():
+        left = without(left, again, "__own").unionByName(without(left, again, "__own", "left_semi").dropDuplicates(["__own", "text"]))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, written; the folders between the stages are gone by then."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    delete(spark, folder)
+    return out
