@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .byte_bpe import _sizes, _steps
 from .common import col, cut, spread, table
-from .minhash import mix
+from .minhash import Hashes, mix
 
 WIDTH = 10
 #: Bits of a bitmap: 2 ** MOST_BITS at most, and BITS_A_HASH for each hash in it if that is less.
@@ -49,19 +49,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_KEEP).split() if text else []
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def neighbours(h: np.ndarray) -> np.ndarray:
     """A hash of each term and the next one."""
     return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
@@ -71,7 +58,7 @@ def windows_of(benchmark: DataFrame, width: int) -> DataFrame:
     """(item, window, length, terms) of the windows of each item, a row for each place; window is a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = Hashes()
         for batch in _steps(batches, _sizes("text")):
             items, ids, lengths, terms = [], [], [], []
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -119,21 +106,22 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def stored(h: np.ndarray, maps: dict[int, np.ndarray], width: int) -> np.ndarray:
-    """The places to store of a text given as term hashes."""
+def stored(h: np.ndarray, ends: np.ndarray, maps: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The places to store of texts given as term hashes, one after the other up to ``ends``."""
     keep = holds(maps[TERM], mix(h)) if TERM in maps else np.zeros(len(h), bool)
     if len(h) > 1 and (LONG in maps or SHORT in maps):
-        key = neighbours(h)
-        if SHORT in maps:
-            near = np.flatnonzero(holds(maps[SHORT], key))
-            keep[near] = keep[near + 1] = True
-        if LONG in maps:
-            near = np.flatnonzero(holds(maps[LONG], key))
-            if len(near) >= width - 1:
-                begin = np.flatnonzero(np.diff(near, prepend=-2) != 1)
-                length = np.diff(np.append(begin, len(near)))
-                near = near[np.repeat(length >= width - 1, length)]
-                keep[near] = keep[near + 1] = True
+        key, last = neighbours(h), ends[(ends > 0) & (ends < len(h))] - 1
+        for kind in (SHORT, LONG):
+            if kind in maps:
+                hit = holds(maps[kind], key)
+                hit[last] = False  # the last word of a text and the first of the next
+                near = np.flatnonzero(hit)
+                if kind == LONG and len(near):
+                    begin = np.flatnonzero(np.diff(near, prepend=-2) != 1)
+                    length = np.diff(np.append(begin, len(near)))
+                    near = near[np.repeat(length >= width - 1, length)]
+                keep[near] = True
+                keep[near + 1] = True
     return np.flatnonzero(keep)
 
 
@@ -144,27 +132,27 @@ def index_of(docs: DataFrame, maps: dict[int, np.ndarray], width: int) -> DataFr
     row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = Hashes()
         for batch in _steps(batches, _sizes("text")):
-            n_words, owner, terms, places, sizes = [], [], [], [np.empty(0, np.int64)], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words = words_of(text)
-                n_words.append(len(words))
-                h = known.of(words)
-                at = stored(h, sent.value, width)
-                if len(at):
-                    at = at[np.argsort(h[at], kind="stable")]
-                    begin = np.flatnonzero(np.concatenate([[True], h[at][1:] != h[at][:-1]]))
-                    owner.extend([k] * len(begin))
-                    terms.extend(h[at][begin].view(np.int64).tolist())
-                    places.append(at)
-                    sizes.extend(np.diff(np.append(begin, len(at))).tolist())
-            n, m = batch.num_rows, len(owner)
-            every = pa.array(list(range(n)) + owner, pa.int64())
-            ends = np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype(np.int32)))
+            words: list[bytes] = []
+            n_words = []
+            for text in batch.column("text").to_pylist():
+                own = words_of(text)
+                words += own
+                n_words.append(len(own))
+            h, ends = known.of(words), np.cumsum(n_words)
+            at = stored(h, ends, sent.value, width)
+            doc = np.searchsorted(ends, at, "right")
+            order = np.lexsort((at, h[at], doc))
+            at, doc = at[order], doc[order]
+            begin = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(h[at], prepend=h[at][:1]) != 0))
+            owner, terms = doc[begin], h[at][begin].view(np.int64)
+            n, m = batch.num_rows, len(begin)
+            every = pa.array(np.concatenate([np.arange(n), owner]), pa.int64())
+            sizes = np.diff(np.append(begin, len(at)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n + 1, np.int64), np.cumsum(sizes)]).astype(np.int32)), pa.array((at - (ends - n_words)[doc]).astype(np.int32)))
             only = lambda c: pa.concat_arrays([batch.column(c), pa.nulls(m, batch.column(c).type)])
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(every), only("doc_id"), only("text_hash"), pa.array(n_words + [None] * m, pa.int64()), pa.array([None] * n + terms, pa.int64()), lists], names=["row", "doc_id", "text_hash", "n_words", "term", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(every), only("doc_id"), only("text_hash"), pa.array(n_words + [None] * m, pa.int64()), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(terms)]), lists], names=["row", "doc_id", "text_hash", "n_words", "term", "places"])
 
     return cut(docs.select(row.alias("row"), "doc_id", "text_hash", "text").mapInArrow(run, T.StructType(kinds)))
 
@@ -180,7 +168,7 @@ def search(postings: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame
     one = F.broadcast(wanted) if few else wanted
     starts = F.array_distinct(F.filter(F.transform("places", lambda p: p - F.col("offset")), lambda s: s + F.col("length") > 0))
     starts = starts if slack else F.filter(starts, lambda s: s >= 0)
-    first = cut(postings.join(one, "term").select("row", "window", "length", F.col("terms").alias("rest"), starts.alias("starts")).where(F.size("starts") > 0))
+    first = cut(postings.join(one, "term").select("row", "window", "length", F.col("terms").alias("rest"), starts.alias("starts")).where(F.size("starts") > 0).distinct())
     others = first.where("length > 1").select("row", "window", F.posexplode(F.slice("rest", 2, 1 << 30)).alias("nth", "other")).select("row", "window", "nth", F.col("other.term").alias("term"), F.col("other.offset").alias("offset"))
     # the other terms' postings in rows that have the rarest one
     put = F.flatten(F.transform("places", lambda p: F.sequence(p - F.col("offset") - slack, p - F.col("offset") + slack))) if slack else F.transform("places", lambda p: p - F.col("offset"))
@@ -202,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sla
     windows = windows_of(benchmark, width)
     index = index_of(docs, bitmaps(windows, width, slack), width)
     total = index.where("term IS NULL").select("row", "doc_id", "text_hash", "n_words")
-    postings = index.where("term IS NOT NULL").select("row", "term", "places").dropDuplicates(["row", "term"])
+    postings = index.where("term IS NOT NULL").select("row", "term", "places")  # repeated rows have the same ones, again
     found = cut(search(postings, windows.select("window", "length", "terms").dropDuplicates(["window"]), slack))
     spans = found.select("row", F.explode(F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), (s + F.col("length")).alias("end")))).alias("span"))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))

@@ -48,29 +48,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word to 64-bit hash."""
+class Hashes(dict):
+    """Word to 64-bit hash. The words met first are remembered, which are the frequent ones; all over again after many others."""
+
+    MOST, PATIENCE = 200_000, 3_000_000
+
+    def __init__(self) -> None:
+        self.missed = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.MOST:
+            self[word] = h
+        else:
+            self.missed += 1
+            if self.missed > self.PATIENCE:
+                self.missed = 0
+                self.clear()
         return h
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 class Shingler:
     def __init__(self, words: int) -> None:
-        self.words, self.known = words, _Words()
+        self.words, self.known = words, Hashes()
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingle hashes of all texts, each text's sorted, and the offsets of texts."""
-        if len(self.known) > 200_000:
-            self.known.clear()
-        w, look, parts = self.words, self.known.__getitem__, []
+        w, parts = self.words, []
         for text in texts:
             words = text.encode("utf-8", "replace").lower().split() if text else []
             if not words:
                 parts.append(np.empty(0, np.uint64))
                 continue
-            h = np.fromiter(map(look, words), np.uint64, len(words))
+            h = self.known.of(words)
             k = min(w, len(h))
             s = np.full(len(h) - k + 1, k, np.uint64)
             for i in range(k):
