@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
             sys.stdout.write(text)
 
     if args.verb in ("index", "execution-ir"):
-        raw = ir.index_python(spark, args.path, args.starts)
+        raw = ir.index(spark, args.path, args.starts)
         doc = ir.raw_document(raw)
         if args.diagnostics and (report := documents.type_checker_report(args.path)):
             doc = documents.with_diagnostics(doc, analytics.diagnostics_by_path(documents.diagnostic_rows(spark, report, args.path)))

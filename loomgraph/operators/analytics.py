@@ -45,14 +45,19 @@ def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "ve
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "similarity": []})
-        s = unit(a["lv"]) @ unit(b["rv"]).T
+        b = b.sort_values("rid")
         aid, bid = a["lid"].to_numpy(), b["rid"].to_numpy()
-        out = []
-        for i, row in enumerate(s):
-            order = np.lexsort((bid, -np.round(row, 12)))
-            order = order[bid[order] != aid[i]][:k]
-            out.append(pd.DataFrame({"id": aid[i], "other": bid[order], "similarity": row[order]}))
-        return pd.concat(out)
+        s = unit(a["lv"]) @ unit(b["rv"]).T
+        rank = np.round(s, 12)
+        rank[aid[:, None] == bid[None, :]] = -np.inf
+        if len(bid) > k:  # all that reach the k-th value, ties included, then the smallest ids of these
+            rank[rank < -np.partition(-rank, k - 1, axis=1)[:, k - 1 : k]] = -np.inf
+        row, column = np.nonzero(rank > -np.inf)
+        order = np.lexsort((column, -rank[row, column], row))
+        row, column = row[order], column[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[nth < k], column[nth < k]
+        return pd.DataFrame({"id": aid[row], "other": bid[column], "similarity": s[row, column]})
 
     best = left.groupBy("li", "lj").cogroup(right.groupBy("ri", "rj")).applyInPandas(meet, f"id {kind}, other {kind}, similarity double")
     order = Window.partitionBy("id").orderBy(F.round("similarity", 12).desc(), "other")
@@ -106,12 +111,22 @@ def relative_heights(tree: DataFrame) -> DataFrame:
     return out.unionByName(tree.where("is_orphan").select("node", F.lit(0.1).alias("height")))
 
 
+def running(df: DataFrame, key: str, n: str) -> DataFrame:
+    """``df`` with ``below``: the sum of ``n`` over rows with a smaller ``key`` (each key once); by ranges, no task sees all rows."""
+    rows = cut(df.sort(key).withColumn("__part", F.spark_partition_id()))
+    before = rows.groupBy("__part").agg(F.sum(n).alias("__sum"))
+    start = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__in", inside).join(F.broadcast(before.select("__part", start.alias("__before"))), "__part").withColumn("below", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+
+
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(rho, n) with average ranks for ties; 0 without variance. Ranks come from counts per value, so one value may be any
     share of the rows; only distinct values are put in one order."""
     def ranked(c: str, name: str) -> DataFrame:
         counts = pairs.groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        below = running(counts, name, "n")
+        counts, below = below, F.col("below")
         return counts.select(name, (below + (F.col("n") + 1) / 2.0).alias(f"r_{name}"))
 
     rows = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).join(ranked(a, "a"), "a").join(ranked(b, "b"), "b")

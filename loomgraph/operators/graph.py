@@ -10,12 +10,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut, lack, one_per
+from ..functions.frames import Pile, cut, in_order, lack, one_per
 
 #: Fixed values of the graph's schema.
 EDGE_KINDS = ("calls", "imports", "contains", "routes_to")
 CONFIDENCES = ("resolved", "heuristic", "unknown")
 DFS_KINDS = ("calls", "contains")
+#: Seeds that fit into the bits of a row.
+BITS = 62
 
 
 def of_kind(edges: DataFrame, kinds: Iterable[str] = EDGE_KINDS) -> DataFrame:
@@ -31,13 +33,34 @@ def uncertain(edges: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KINDS) -> DataFrame:
     """(seed, node) of all nodes that can be reached from each seed (column node of ``seeds``), itself included."""
     steps = cut(of_kind(edges, kinds).select("src", "dst").distinct())
-    seen = frontier = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    frontier = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
+    few = frontier.select("seed").limit(BITS + 1).collect()
+    if len(few) <= BITS:
+        return marked_closure(frontier, steps, sorted((r["seed"] for r in few), key=lambda x: (x is None, x)))
+    seen = Pile(frontier)
     while True:
         step = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["seed", "node"], "left_anti"))
+        frontier = cut(step.join(seen.all(), ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
+        seen.add(frontier)
+
+
+def marked_closure(seeds: DataFrame, steps: DataFrame, names: list) -> DataFrame:
+    """``closure`` of at most ``BITS`` seeds: a node's row has a bit for each seed that reaches it, so shared nodes are walked once."""
+    bits = F.create_map(*(F.lit(x) for i, n in enumerate(names) if n is not None for x in (n, 1 << i))) if any(n is not None for n in names) else F.lit(None)
+    frontier = cut(seeds.where("seed IS NOT NULL").select("node", bits[F.col("seed")].cast("bigint").alias("mask")) if any(n is not None for n in names) else seeds.select("node", F.lit(0).cast("bigint").alias("mask")).limit(0))
+    seen = Pile(frontier)
+    while True:
+        step = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        known = seen.all().groupBy("node").agg(F.bit_or("mask").alias("had"))
+        new = step.join(known, "node", "left").select("node", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("bigint")))).alias("mask"))
+        frontier = cut(new.where("mask <> 0"))
+        if frontier.isEmpty():
+            break
+        seen.add(frontier)
+    held = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names))), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
+    return seen.all().select(F.explode(held).alias("seed"), "node")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KINDS) -> DataFrame:
@@ -50,13 +73,14 @@ def reachable(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KI
 def closure_from_set(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """(node) of the closure of a set under (src, dst)."""
     steps = cut(steps)
-    seen = frontier = cut(nodes.select("node").distinct())
+    frontier = cut(nodes.select("node").distinct())
+    seen = Pile(frontier)
     while True:
         step = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(lack(step, seen, ["node"]))
+        frontier = cut(lack(step, seen.all(), ["node"]))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
+        seen.add(frontier)
 
 
 def unreached(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -81,29 +105,30 @@ def distances(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, distance) in undirected steps; nodes that aren't there have no path (-1 for callers that need a value)."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both)
-    seen = frontier = cut(start.select("node", F.lit(0).alias("distance")))
-    d = 0
+    # undirected steps from the last level lead to it, the one before, or to new nodes: no more has to be kept in sight
+    frontier = cut(start.select("node", F.lit(0).alias("distance")).distinct())
+    seen, before, d = Pile(frontier), frontier, 0
     while True:
         d += 1
         step = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(lack(step, seen, ["node"]).withColumn("distance", F.lit(d)))
+        before, frontier = frontier, cut(lack(step, before.unionByName(frontier), ["node"]).withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
+        seen.add(frontier)
 
 
 def pair_distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """G14 for all pairs of a small graph: (a, b, distance)."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    seen = frontier = cut(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("distance")))
-    d = 0
+    frontier = cut(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("distance")).distinct())
+    seen, before, d = Pile(frontier), frontier, 0
     while True:
         d += 1
         step = frontier.join(both, frontier["b"] == both["src"]).select("a", F.col("dst").alias("b")).distinct()
-        frontier = cut(step.join(seen, ["a", "b"], "left_anti").withColumn("distance", F.lit(d)))
+        before, frontier = frontier, cut(step.join(before.unionByName(frontier), ["a", "b"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
+        seen.add(frontier)
 
 
 def depths(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
@@ -114,15 +139,19 @@ def depths(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
     n = nodes.select("node").distinct().count()
     top = min(cap, max(1, n - 1))
     steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    # level d: nodes at the end of some path of d edges from a source. A node's depth is the last level that has it, so levels
+    # are written once and nothing is compared with what is known; level `top` is where all longer paths end
     sources = lack(nodes.select("node").distinct(), steps.select(F.col("dst").alias("node")), ["node"])
     now = cut(sources.withColumn("depth", F.lit(0)))
-    known = now
-    for _ in range(n):
-        step = now.join(steps, now["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.least(F.lit(top), F.max("depth") + 1).alias("depth"))
-        now = cut(step.join(known.withColumnRenamed("depth", "old"), "node", "left").where("old IS NULL OR depth > old").select("node", "depth"))
+    seen = Pile(now)
+    for d in range(1, top + 1):
+        now = cut(now.join(steps, now["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d)))
         if now.isEmpty():
             break
-        known = cut(known.unionByName(now).groupBy("node").agg(F.max("depth").alias("depth")))
+        seen.add(now)
+    else:  # what can be reached from the last level has longer paths still
+        seen.add(cut(lack(closure_from_set(now.select("node"), steps), now, ["node"]).withColumn("depth", F.lit(top))))
+    known = seen.all().groupBy("node").agg(F.max("depth").alias("depth"))
     return nodes.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
@@ -132,35 +161,47 @@ def limited_children(edges: DataFrame, most: int) -> DataFrame:
     return edges.select("src", "dst").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
 
 
-def visit_order(starts: DataFrame, edges: DataFrame, max_depth: int = 32, most_children: int = 64, kinds: Iterable[str] = DFS_KINDS, most_rows: int = 1_000_000) -> DataFrame:
+def visit_order(starts: DataFrame, edges: DataFrame, max_depth: int = 32, most_children: int = 64, kinds: Iterable[str] = DFS_KINDS, most_rows: int | None = None) -> DataFrame:
     """(seq, action, node, depth) of a depth-first walk from (ord, node).
 
     Children go by name, at most ``most_children`` each; a node on the current path isn't entered again, so a shared node is
-    visited once per path. The number of paths can explode: a walk of more than ``most_rows`` nodes is refused.
+    visited once per path. The number of paths can explode, as the walk's definition has it; a caller that can't want that
+    may have a walk of more than ``most_rows`` nodes refused.
     """
     children = cut(limited_children(of_kind(edges, kinds), most_children))
     level = cut(starts.select("node", F.array("node").alias("path"), F.array("ord").alias("key"), F.lit(0).alias("depth")))
-    found, total = level, level.count()
+    found, total = Pile(level), level.count()
     for _ in range(max_depth):
         step = level.join(children, level["node"] == children["src"]).where(~F.array_contains("path", F.col("dst")))
         level = cut(step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array("nth")).alias("key"), (F.col("depth") + 1).alias("depth")))
         n = level.count()
         total += n
-        if total > most_rows:
+        if most_rows is not None and total > most_rows:
             raise ValueError(f"the walk visits more than {most_rows} nodes")
         if not n:
             break
-        found = cut(found.unionByName(level))
+        found.add(level)
+    found = found.all()
     events = found.select(F.lit("enter").alias("action"), "node", "depth", "key").unionByName(found.select(F.lit("exit").alias("action"), "node", "depth", F.concat("key", F.array(F.lit(2**31 - 1))).alias("key")))
-    return events.withColumn("seq", F.row_number().over(Window.orderBy("key"))).select("seq", "action", "node", "depth")  # an ordered report of at most most_rows
+    return in_order(events, "key").select((F.col("nth") + 1).cast("int").alias("seq"), "action", "node", "depth")
+
 
+def peaks_and_orphans(nodes: DataFrame, edges: DataFrame, fallback: bool = False) -> DataFrame:
+    """(node, is_peak, is_orphan): a peak has no callers, an orphan no callees either.
 
-def peaks_and_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, is_peak, is_orphan): a peak has no callers, an orphan no callees either."""
+    With ``fallback``, as a map needs a peak: if every node has callers, the first one (by ord if there is that column, else by
+    name) is the peak; if no peak has callees, none is an orphan.
+    """
     out = edges.select(F.col("src").alias("node")).distinct().withColumn("calls", F.lit(True))
     into = edges.select(F.col("dst").alias("node")).distinct().withColumn("called", F.lit(True))
     known = nodes.select("node").distinct().join(out, "node", "left").join(into, "node", "left")
-    return known.select("node", F.col("called").isNull().alias("is_peak"), (F.col("called").isNull() & F.col("calls").isNull()).alias("is_orphan"))
+    out = known.select("node", F.col("called").isNull().alias("is_peak"), (F.col("called").isNull() & F.col("calls").isNull()).alias("is_orphan"))
+    if not fallback:
+        return out
+    out = cut(out)
+    first = nodes.agg(F.min_by("node", "ord" if "ord" in nodes.columns else "node").alias("first"))
+    found = out.agg(F.coalesce(F.max("is_peak"), F.lit(False)).alias("any"), F.coalesce(F.max(F.col("is_peak") & ~F.col("is_orphan")), F.lit(False)).alias("joined"))
+    return out.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(found)).select("node", F.when(F.col("any"), F.col("is_peak")).otherwise(F.col("node") == F.col("first")).alias("is_peak"), (F.col("is_orphan") & F.col("joined")).alias("is_orphan"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,15 +219,31 @@ def inverted(edges: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(node, size) of a forest given as (parent, node); a node counts itself."""
-    steps = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    everyone = tree.select("node").unionByName(tree.where("parent IS NOT NULL").select(F.col("parent").alias("node"))).distinct()
-    pairs = closure(everyone, steps.withColumn("kind", F.lit("contains")), ("contains",))
-    return pairs.groupBy(F.col("seed").alias("node")).agg(F.count("*").alias("size"))
+    """(node, size) of a forest given as (parent, node); a node counts itself.
+
+    Levels from the roots down, then sums from the deepest level up: a row for each node, never one for each ancestor.
+    """
+    steps = cut(tree.where("parent IS NOT NULL").select("parent", "node").distinct())
+    everyone = tree.select("node").unionByName(steps.select(F.col("parent").alias("node"))).distinct()
+    now = cut(lack(everyone, steps.select("node"), ["node"]).select(F.lit(None).cast(steps.schema["parent"].dataType).alias("parent"), "node"))
+    levels = []
+    while not now.isEmpty():
+        levels.append(now)
+        now = cut(now.select(F.col("node").alias("parent")).join(steps, "parent").select("parent", "node"))
+    below, out = None, None
+    for level in reversed(levels):
+        sized = level.withColumn("size", F.lit(1).cast("bigint")) if below is None else level.join(below, "node", "left").select("parent", "node", (F.lit(1) + F.coalesce("beneath", F.lit(0))).alias("size"))
+        sized = cut(sized)
+        below = sized.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("beneath"))
+        out = Pile(sized) if out is None else out
+        if out.parts[-1] is not sized:
+            out.add(sized)
+    return (out.all() if out else everyone.select(F.lit(None).alias("parent"), "node", F.lit(1).cast("bigint").alias("size"))).select("node", "size")
 
 
 def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(parent, node, level): breadth-first spanning forest from the peaks; parent null for a root.
+    """(parent, node, level): breadth-first spanning forest from the peaks with callees; parent null for a root. If there is
+    none of these, from all peaks; if there is no peak either, from the first node, which no caller then places.
 
     The walk's queue serves nodes in the order in which they were placed, each node's callees by name; a callee is placed
     by the node served if no caller with a smaller name is placed by then. Level by level, as joins: of the callers placed
@@ -196,7 +253,9 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     known = nodes.select("node").distinct()
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
-    roots = lack(steps.select(F.col("src").alias("node")).distinct(), steps.select(F.col("dst").alias("node")), ["node"])
+    # without a node that calls and isn't called, all peaks are roots; without a peak the first node is
+    peaks = peaks_and_orphans(nodes, steps, fallback=True)
+    roots = cut(peaks.where("is_peak AND NOT is_orphan").select("node"))
     now = cut(roots.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("level"), F.array("node").alias("path")))
     placed, level = now.select("parent", "node", "level"), 0
     waiting = None  # (node, least): callees that callers placed so far have failed to place
@@ -246,13 +305,13 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def tier_texts(start: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(seed, text): a node's source and those of its descendants in order of distance, joined by empty lines."""
     near = cut(start.select(F.col("node").alias("seed"), "node", F.lit(0).alias("level")))
-    seen, steps, level = near, cut(edges.select("src", "dst").distinct()), 0
+    seen, steps, level = Pile(near), cut(edges.select("src", "dst").distinct()), 0
     while not near.isEmpty():
         level += 1
         step = near.join(steps, near["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        near = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("level", F.lit(level)))
-        seen = cut(seen.unionByName(near))
-    texts = seen.join(sources.select("node", "source"), "node").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("level", "node", "source"))).alias("s"))
+        near = cut(step.join(seen.all(), ["seed", "node"], "left_anti").withColumn("level", F.lit(level)))
+        seen.add(near)
+    texts = seen.all().join(sources.select("node", "source"), "node").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("level", "node", "source"))).alias("s"))
     return texts.select("seed", F.array_join(F.transform("s", lambda x: x["source"]), "\n\n").alias("text"))
 
 

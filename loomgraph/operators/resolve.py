@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import one_per
+from ..functions.frames import in_order, one_per
 from ..functions.text import leaf_of, scope_prefixes
 
 #: Method names too general to be matched by their last segment.
@@ -75,6 +75,21 @@ def first_suffix(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select(*calls.columns, F.coalesce("found", "first").alias("resolved"))
 
 
+def resolve_script_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``calls`` (call, name, scope, module, target) with ``resolved``; symbols (qualified_name, ord).
+
+    An imported name means its target, else the first symbol with the target's last segment, even if it is another package's.
+    Another name is looked up in the scopes from the innermost out to the module, never beyond it.
+    """
+    imported = first_suffix(calls.where("target IS NOT NULL"), symbols)
+    known = symbols.select(F.col("qualified_name").alias("found")).distinct()
+    own = calls.where("target IS NULL")
+    tries = own.select("call", "name", "module", F.posexplode(scope_prefixes(F.col("scope"))).alias("rank", "prefix"))
+    tries = tries.where((F.col("prefix") == F.col("module")) | F.startswith("prefix", F.concat("module", F.lit("."))) | (F.col("module") == ""))
+    hits = tries.withColumn("found", F.when(F.col("prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "prefix", "name"))).join(known, "found").groupBy("call").agg(F.min_by("found", "rank").alias("resolved"))
+    return imported.unionByName(own.join(hits, "call", "left").select(*calls.columns, "resolved"))
+
+
 def contains_edges(symbols: DataFrame) -> DataFrame:
     """(src, dst) from a function to those defined in it; the parent must be a function, so methods have none."""
     names = symbols.select("qualified_name").distinct()
@@ -97,9 +112,7 @@ def numbered_edges(contains: DataFrame, resolved: DataFrame, unknown: DataFrame)
     a = contains.select("src", "dst").distinct().select(F.lit(0).alias("part"), "src", "dst", F.lit("contains").alias("kind"), F.lit("resolved").alias("confidence"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("callee"), F.lit(0).cast("bigint").alias("visit"))
     b = resolved.select("src", "dst").distinct().select(F.lit(1).alias("part"), "src", "dst", F.lit("calls").alias("kind"), F.lit("resolved").alias("confidence"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("callee"), F.lit(0).cast("bigint").alias("visit"))
     c = unknown.select(F.lit(2).alias("part"), "src", "dst", F.lit("calls").alias("kind"), F.lit("unknown").alias("confidence"), F.col("line").cast("int").alias("line"), "callee", F.col("visit").cast("bigint").alias("visit"))
-    # one order over all edges is what an export is; nothing else asks for it
-    order = Window.orderBy("part", "src", F.when(F.col("part") < 2, F.col("dst")), "line", "callee", "visit")
-    return a.unionByName(b).unionByName(c).withColumn("id", F.concat(F.lit("e:"), (F.row_number().over(order) - 1).cast("string"))).select("id", "src", "dst", "kind", "confidence", "line", "callee")
+    return in_order(a.unionByName(b).unionByName(c), "part", "src", F.when(F.col("part") < 2, F.col("dst")), "line", "callee", "visit").select(F.concat(F.lit("e:"), F.col("nth").cast("string")).alias("id"), "src", "dst", "kind", "confidence", "line", "callee")
 
 
 def last_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:

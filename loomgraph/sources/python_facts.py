@@ -160,7 +160,7 @@ def facts(files: DataFrame) -> DataFrame:
 def symbol_rows(found: DataFrame) -> DataFrame:
     """(id, kind, name, qualified_name, file_id, path, line, end_line, ord)."""
     rows = found.select("ord", "path", F.posexplode("symbols").alias("at", "s"))
-    return rows.select(F.concat(F.lit("sym:"), "path", F.lit(":"), "s.qualified_name").alias("id"), "s.kind", "s.name", "s.qualified_name", F.concat(F.lit("file:"), "path").alias("file_id"), "path", "s.line", "s.end_line", (F.col("ord").cast("bigint") * 1_000_000 + F.col("at")).alias("ord"))
+    return rows.select(F.concat(F.lit("sym:"), "path", F.lit(":"), "s.qualified_name").alias("id"), "s.kind", "s.name", "s.qualified_name", F.concat(F.lit("file:"), "path").alias("file_id"), "path", "s.line", "s.end_line", *(["s.exported"] if "exported" in found.schema["symbols"].dataType.elementType.names else []), (F.col("ord").cast("bigint") * 1_000_000 + F.col("at")).alias("ord"))
 
 
 def import_rows(found: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import graph
 from loomgraph.plans import registry, tables
 
@@ -141,3 +143,38 @@ def test_empty_graph(spark):
     assert graph.reachable(nodes(spark, []), none).count() == 0
     assert graph.peaks_and_orphans(nodes(spark, ["a"]), none).collect()[0]["is_orphan"]
     assert graph.depths(nodes(spark, []), none).count() == 0
+
+
+def test_graph_without_sources_has_a_tree(spark):
+    """Where everything is called, the first node is the peak; where no peak calls, peaks are no orphans."""
+    got = {r["node"]: (r["parent"], r["level"]) for r in graph.primary_tree(nodes(spark, "ab"), edges(spark, [("a", "b"), ("b", "a")])).collect()}
+    assert got == {"a": (None, 0), "b": ("a", 1)}
+    lone = graph.primary_tree(nodes(spark, "ab"), edges(spark, [])).collect()
+    assert {r["node"]: r["parent"] for r in lone} == {"a": None, "b": None}
+    flags = lambda n, e: {r["node"]: (r["is_peak"], r["is_orphan"]) for r in graph.peaks_and_orphans(nodes(spark, n), edges(spark, e), fallback=True).collect()}
+    assert flags("ab", [("a", "b"), ("b", "a")]) == {"a": (True, False), "b": (False, False)}
+    assert flags("ab", []) == {"a": (True, False), "b": (True, False)}
+    assert flags("abc", [("a", "b")]) == {"a": (True, False), "b": (False, False), "c": (True, True)}
+
+
+def test_many_seeds_and_few_agree(spark, monkeypatch):
+    pairs = [(chr(97 + i), chr(97 + j)) for i, j in [(0, 1), (1, 2), (2, 0), (3, 2), (4, 5), (6, 6), (5, 7)]]
+    seeds = nodes(spark, "adegz")
+    want = {(r["seed"], r["node"]) for r in graph.closure(seeds, edges(spark, pairs)).collect()}
+    monkeypatch.setattr(graph, "BITS", 1)
+    assert {(r["seed"], r["node"]) for r in graph.closure(seeds, edges(spark, pairs)).collect()} == want
+    assert ("a", "c") in want and ("e", "h") in want and ("z", "z") in want and len(want) == 3 + 4 + 3 + 1 + 1
+
+
+def test_subtree_sizes_of_a_long_chain(spark):
+    tree = spark.createDataFrame([(f"n{i:02}", f"n{i - 1:02}" if i else None) for i in range(12)] + [("x", "n03")], "node string, parent string")
+    got = {r["node"]: r["size"] for r in graph.subtree_sizes(tree).collect()}
+    assert got["n00"] == 13 and got["n03"] == 10 and got["n04"] == 8 and got["x"] == 1 and len(got) == 13
+
+
+def test_numbers_in_order(spark):
+    from loomgraph.functions.frames import in_order
+
+    df = spark.range(500).withColumn("k", (F.col("id") * 37) % 500).repartition(7)
+    assert all(r["nth"] == r["k"] for r in in_order(df, "k").collect())
+    assert in_order(df.limit(0), "k").count() == 0

@@ -3,9 +3,9 @@ import json
 import pytest
 
 from loomgraph import cli
-from loomgraph.operators import resolve
+from loomgraph.operators import resolve, validate
 from loomgraph.plans import ir
-from loomgraph.sources import documents, python_facts, tree
+from loomgraph.sources import documents, python_facts, script_facts, tree
 
 APP = '''"""An app."""
 
@@ -154,3 +154,55 @@ def test_diagnostics(spark, tmp_path):
     doc = documents.with_diagnostics({"index_meta": {"known_limits": []}}, diagnostics_by_path(documents.diagnostic_rows(spark, report, tmp_path)))
     assert doc["diagnostics"]["by_path"] == {"a.py": [{"line": 5, "message": "m", "severity": "information"}]} and len(doc["index_meta"]["known_limits"]) == 1
     assert documents.with_diagnostics({"x": 1}, None) == {"x": 1}
+
+
+SCRIPT = b"""import def, { a as b, type C, d } from "lib/x";
+import * as ns from 'ns';
+export const f = async (x: number, y = g(1)): Promise<Map<string, number>> => {
+  const inner = () => b(x);
+  if (x > 1) { function hidden() { d(`t ${inner(2)} z`); } }
+  return ns.run(x)?.then((q) => q.map<T>(def)).match(/a"b[/)]c/g);
+};
+let v = (1 + 2) / k(3) / 4, w = function named() { return new Foo(bar()); };
+function* gen() { skipped(); }
+export default class K<T> extends Base(mix) implements I {
+  private field = helper();
+  async method<U>(a: U = dflt()): Promise<void> { super.method(a); callee<number>(1); }
+  sig(a: string): void;
+  constructor() { const o = { meth() { return q() }, k: z() }; tag`x`; }
+}
+function outer(cb: () => void): { a: number } { function nested() { cb(); } return { a: nested() }; }
+"""
+
+
+def test_script_facts():
+    r = script_facts.read_file("src/a/index.ts", SCRIPT)
+    assert r["parse_ok"] and [(s["qualified_name"], s["line"], s["end_line"], s["exported"]) for s in r["symbols"]] == [
+        ("a.f", 3, 7, True), ("a.f.inner", 4, 4, None), ("a.w", 8, 8, None), ("a.K.method", 12, 12, None), ("a.K.constructor", 14, 14, None), ("a.outer", 16, 16, None), ("a.outer.nested", 16, 16, None)]
+    assert [(i["module"], i["from_module"], i["line"]) for i in r["imports"]] == [("lib/x", "a", 1), ("ns", "a", 2)]
+    assert [(c["caller"], c["name"] or c["expression"], c["target"]) for c in r["calls"]] == [
+        ("a.f", "g", None), ("a.f.inner", "b", "lib/x.a"), ("a.f", "d", "lib/x.d"), ("a.f", "inner", None), ("a.f", "ns.run", None), ("a.f", "ns.run(x)?.then", None), ("a.f", "q.map", None),
+        ("a.f", "ns.run(x)?.then((q) => q.map<T>(def)).match", None), ("a.w", "bar", None), ("a.K.method", "super.method", None), ("a.K.method", "callee", None), ("a.K.constructor", "q", None), ("a.K.constructor", "z", None), ("a.K.constructor", "tag", None), ("a.outer.nested", "cb", None), ("a.outer", "nested", None)]
+    for broken in (b"function f( {", b"a)", b"`x ${y", b"/* x"):
+        assert not script_facts.read_file("a.ts", broken)["parse_ok"]
+    assert script_facts.module_name("src/index.ts") == "index" and script_facts.module_name("lib/u/index.jsx") == "lib.u"
+
+
+def test_script_graph(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "index.ts").write_text('import { shout, check } from "./words";\nimport { debounce } from "lib";\n\nexport function main(): void {\n  if (check("x")) {\n    console.log(shout("x"));\n  }\n  debounce(local);\n}\n\nfunction local() {\n  return missing();\n}\n')
+    (tmp_path / "src" / "words.ts").write_text("export function shout(s: string): string {\n  return s.toUpperCase();\n}\n\nexport const check = (s: string): boolean => s.length > 0;\n")
+    (tmp_path / "src" / "bad.ts").write_text("function broken( {")
+    assert ir.tree.language_of(tmp_path) == "typescript"
+    raw = ir.index(spark, tmp_path)
+    doc = ir.raw_document(raw)
+    assert {s["qualified_name"] for s in doc["symbols"]} == {"index.main", "index.local", "words.shout", "words.check"} and {f["path"]: f["analysis"]["parse_ok"] for f in doc["files"]} == {"src/bad.ts": False, "src/index.ts": True, "src/words.ts": True}
+    assert [(e["id"], e["module"], e["line"]) for e in doc["edges"]] == [("imp:src/index.ts:0", "./words", 1), ("imp:src/index.ts:1", "lib", 2)]
+    out = ir.graph_document(raw, ir.build_graph(raw))
+    assert validate.document_errors(out) == [] and out["languages"] == ["typescript"] and out["entrypoints"] == ["ts:fn:index.main"]
+    sure = {(e["from"], e["to"]) for e in out["edges"] if e["kind"] == "calls" and e["confidence"] == "resolved"}
+    assert sure == {("ts:fn:index.main", "ts:fn:words.check"), ("ts:fn:index.main", "ts:fn:words.shout")}
+    unknown = [(e["from"], e["to"], e["callsite"]) for e in out["edges"] if e["confidence"] == "unknown"]
+    assert ("ts:fn:index.main", "ts:boundary:unresolved", {"line": 8, "callee": "debounce", "import_ref": "lib.debounce"}) in unknown
+    assert ("ts:fn:index.local", "ts:boundary:unresolved", {"line": 12, "callee": "missing"}) in unknown and len(unknown) == 4
+    assert len(ir.generate_graph(spark, tmp_path)["nodes"]) == 5
