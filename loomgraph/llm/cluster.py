@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import FEW, cut, hot_join
 
 #: Nodes of a group that a row holds.
 BLOCK = 64
@@ -25,22 +25,24 @@ def components(links: DataFrame) -> DataFrame:
     labels, edges = None, cut(links.select("a", "b").where("a <> b").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next")).select("node", F.least("node", "next").alias("root"))
-        two = both.join(one.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("further"))
-        up = one.join(two, "node").select("node", F.least("root", "further").alias("root"))
+        one = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next"), F.count("*").alias("n")).select("node", "n", F.least("node", "next").alias("root")))
+        small = F.broadcast if one.count() <= FEW else lambda df: df
+        two = hot_join(both, one.select(F.col("node").alias("b"), "n", "root"), "b", "root").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("further"))
+        up = one.join(two, "node").select("node", "n", F.least("root", "further").alias("root"))
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), (F.coalesce("top", "root") != F.col("root")).alias("moved")))
-            up = jumped.select("node", "root")
+            jumped = cut(up.join(small(above), "root", "left").select("node", "n", F.coalesce("top", "root").alias("root"), (F.coalesce("top", "root") != F.col("root")).alias("moved")))
+            up = jumped.select("node", "n", "root")
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
-            labels = up
+            labels = up.select("node", "root")
         else:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = cut(labels.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        a, b = (up.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        edges = cut(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
+            labels = cut(labels.join(small(step), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        for x in "ab":
+            edges = hot_join(edges, up.select(F.col("node").alias(x), "n", F.col("root").alias(f"r{x}")), x, f"r{x}")
+        edges = cut(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return labels

@@ -78,7 +78,7 @@ def spread(df: DataFrame) -> DataFrame:
 #: Rows of one key that make it hot: it is joined by broadcast, as there can't be more such keys than rows over this.
 HOT = 1_000_000
 #: Distinct keys up to which a join's smaller side goes to all executors as it is.
-FEW = 250_000
+FEW = 100_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
