@@ -174,7 +174,22 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> Model
     # an id may repeat in any number of rows: it stands for the text with the smallest hash
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     rows = rows.withColumn("nth", nth).where("nth = 1").select("doc_id", "text", "toxic")
-    got = featurize(rows.select(F.col("doc_id").alias("row"), "text", "toxic")).toArrow().sort_by([("row", "ascending"), ("pair", "ascending")])
+    found = featurize(rows.select(F.col("doc_id").alias("row"), "text", "toxic"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            model = fit_table(pa.Table.from_batches(held), penalty)
+            yield pa.RecordBatch.from_arrays([pa.array([*model.weights, None], pa.int32()), pa.array([*model.weights.values(), model.bias], pa.float64())], names=["feature", "weight"])
+
+    # the bounded sample is fitted in one task; the driver gets the weights alone
+    weights = {r["feature"]: r["weight"] for r in found.repartition(1).mapInArrow(train, "feature int, weight double").collect()}
+    bias = weights.pop(None, None)
+    return Model(weights, bias) if bias is not None else Model({}, -50.0)
+
+
+def fit_table(got: pa.Table, penalty: float) -> Model:
+    got = got.sort_by([("row", "ascending"), ("pair", "ascending")])
     found = got["features"].combine_chunks()
     flat, offsets = found.flatten().to_numpy(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64)
     return fit(got["toxic"].to_numpy(), got["pair"].to_numpy(), got["row"].to_numpy(), flat, offsets, penalty)
