@@ -25,9 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``. Files go when the frame is garbage-collected, if the session
     sets ``spark.cleaner.referenceTracking.cleanCheckpoints``. How many partitions what comes from a shuffle has is left to
-    adaptive execution, which goes by their size.
+    adaptive execution, which goes by their size. Where a session has that switched off, a task writes eight partitions, as
+    hundreds of tiny files a step cost the driver more than they spread.
     """
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
+    on = all(spark.conf.get(k, "true").lower() == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"))
+    if not on:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint()
 
 
