@@ -111,13 +111,13 @@ def longest_path_depth(spark, d):
     return graph.depths(T.nodes(spark, d), T.edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, kids AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS nth FROM (SELECT DISTINCT src, dst FROM trade) QUALIFY nth <= 2),
-w(node, path, key, depth) AS (SELECT 'N:0', ['N:0'], '00', 0 UNION ALL SELECT dst, list_append(path, dst), key || '0' || nth, depth + 1 FROM w JOIN kids ON src = node WHERE depth < 5 AND NOT list_contains(path, dst)),
-ev AS (SELECT 'enter' AS action, node, depth, key FROM w UNION ALL SELECT 'exit', node, depth, key || '9' FROM w)
+@query(f"""WITH RECURSIVE {TRADE}, kids AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS nth FROM (SELECT DISTINCT src, dst FROM trade)),
+w(node, path, key, depth) AS (SELECT 'N:0', ['N:0'], '00', 0 UNION ALL SELECT dst, list_append(path, dst), key || lpad(nth::VARCHAR, 2, '0'), depth + 1 FROM w JOIN kids ON src = node WHERE depth < 5 AND NOT list_contains(path, dst)),
+ev AS (SELECT 'enter' AS action, node, depth, key FROM w UNION ALL SELECT 'exit', node, depth, key || '99' FROM w)
 SELECT (row_number() OVER (ORDER BY key))::INTEGER AS seq, action, node, depth FROM ev""")
 def dfs_visit_order(spark, d):
     """G6, W3."""
-    return graph.visit_order(spark.createDataFrame([("N:0", 0)], "node string, ord int"), T.trade(spark, d), max_depth=5, most_children=2)
+    return graph.visit_order(spark.createDataFrame([("N:0", 0)], "node string, ord int"), T.trade(spark, d), max_depth=5)
 
 
 @query(f"WITH {EDGES}, {NODES} SELECT node, node NOT IN (SELECT dst FROM edges) AS is_peak, node NOT IN (SELECT dst FROM edges) AND node NOT IN (SELECT src FROM edges) AS is_orphan FROM nodes")
@@ -472,13 +472,13 @@ def divergence_classes(spark, d):
     return analytics.divergence(side("R"), side("A"), T.read(spark, d, "part").select(T.tagged("P", "p_partkey").alias("qname")))
 
 
-@query("""WITH t AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), a AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL AND user_id % 2 = 0), b AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL AND user_id % 7 = 1), f AS (SELECT a.src AS x, b.src AS y FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst)
+@query("""WITH t AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), a AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL AND user_id % 2 = 0), b AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL AND user_id % 2 <> 0), f AS (SELECT a.src AS x, b.src AS y FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) FILTER (y IS NULL) AS only_first, count(*) FILTER (x IS NULL) AS only_second, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*) AS rate FROM f""")
 def transitions_agreement(spark, d):
     """A10."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = T.read(spark, d, "events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst IS NOT NULL")
-    return analytics.agreement(t.where("user_id % 2 = 0"), t.where("user_id % 7 = 1"))
+    return analytics.agreement(t.where("user_id % 2 = 0"), t.where("user_id % 2 <> 0"))
 
 
 @query("""WITH s AS (SELECT user_id AS thread, event_id AS seq, CASE WHEN value > 50 OR event_id % 3 = 0 THEN 1 ELSE -1 END AS step FROM events), t AS (SELECT *, sum(step) OVER (PARTITION BY thread ORDER BY seq) AS s FROM s)
@@ -558,61 +558,34 @@ def spearman_average_rank(spark, d):
     return analytics.spearman(pairs, "o_totalprice", "c_acctbal").select(F.round("rho", 6).alias("rho"), "n")
 
 
-def vector_tree(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The places' upper levels with one vector each, as their SQL has them; ``place_vectors`` has all."""
-    tree = T.place_tree(spark, d).where("node NOT LIKE 'C:%'")
-    v = T.read(spark, d, "embeddings")
-    node = F.when(F.col("vec_id") < 5, F.concat(F.lit("R:"), F.col("vec_id").cast("string"))).otherwise(F.concat(F.lit("N:"), (F.col("vec_id") - 5).cast("string")))
-    return tree, v.where("vec_id < 30").select(node.alias("node"), F.col("embedding").alias("vector"))
+def place_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All places with all vectors in order of their ids: regions, nations, customers. A vector beyond the last customer has no place."""
+    v, k = T.read(spark, d, "embeddings"), F.col("vec_id")
+    node = F.when(k < 5, F.concat(F.lit("R:"), k.cast("string"))).when(k < 30, F.concat(F.lit("N:"), (k - 5).cast("string"))).otherwise(F.concat(F.lit("C:"), (k - 30).cast("string")))
+    return T.place_tree(spark, d), v.select(node.alias("node"), F.col("embedding").alias("vector"))
 
 
-VTREE = f"""{TREE}, v AS (SELECT CASE WHEN vec_id < 5 THEN 'R:' || vec_id ELSE 'N:' || (vec_id - 5) END AS node, embedding FROM embeddings WHERE vec_id < 30), vt AS (SELECT node, parent FROM tree WHERE node NOT LIKE 'C:%'), sim AS (SELECT a.node AS a, b.node AS b, {COS} AS s FROM v a JOIN v b ON a.node <> b.node)"""
+VTREE = f"""{TREE}, v AS (SELECT CASE WHEN vec_id < 5 THEN 'R:' || vec_id WHEN vec_id < 30 THEN 'N:' || (vec_id - 5) ELSE 'C:' || (vec_id - 30) END AS node, embedding FROM embeddings), vt AS (SELECT node, parent FROM tree), sim AS (SELECT a.node AS a, b.node AS b, {COS} AS s FROM v a JOIN v b ON a.node <> b.node),
+up(b, a, far) AS (SELECT node, node, 0 FROM vt UNION ALL SELECT up.b, vt.parent, far + 1 FROM up JOIN vt ON vt.node = up.a WHERE vt.parent IS NOT NULL)"""
 
 
-@query(f"""WITH {VTREE}, rel AS (SELECT parent AS a, node AS b FROM vt WHERE parent IS NOT NULL), anc AS (SELECT DISTINCT a FROM rel), bound AS (SELECT sim.a, max(s) AS m FROM sim JOIN anc USING (a) WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.a = sim.a AND rel.b = sim.b) GROUP BY 1)
+@query(f"""WITH RECURSIVE {VTREE}, rel AS (SELECT a, b FROM up WHERE far > 0), anc AS (SELECT DISTINCT a FROM rel), bound AS (SELECT sim.a, max(s) AS m FROM sim JOIN anc USING (a) WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.a = sim.a AND rel.b = sim.b OR rel.a = sim.b AND rel.b = sim.a) GROUP BY 1)
 SELECT count(*) AS pairs, coalesce(sum((s > m)::INTEGER), 0)::BIGINT AS passed, round(coalesce(sum((s > m)::INTEGER), 0) / count(*), 6) AS rate FROM rel JOIN sim USING (a, b) JOIN bound USING (a)""")
 def containment_rate(spark, d):
     """X8, A11."""
-    return analytics.containment(*vector_tree(spark, d)).select("pairs", "passed", F.round("rate", 6).alias("rate"))
+    return analytics.containment(*place_vectors(spark, d)).select("pairs", "passed", F.round("rate", 6).alias("rate"))
 
 
-@query(f"""WITH {VTREE} SELECT x.parent AS parent, x.node AS a, y.node AS b, ab.s < pa.s AND ab.s < pb.s AS ok FROM vt x JOIN vt y ON x.parent = y.parent AND x.node < y.node JOIN sim ab ON ab.a = x.node AND ab.b = y.node JOIN sim pa ON pa.a = x.parent AND pa.b = x.node JOIN sim pb ON pb.a = x.parent AND pb.b = y.node""")
+@query(f"""WITH RECURSIVE {VTREE} SELECT x.parent AS parent, x.node AS a, y.node AS b, ab.s < pa.s AND ab.s < pb.s AS ok FROM vt x JOIN vt y ON x.parent = y.parent AND x.node < y.node JOIN sim ab ON ab.a = x.node AND ab.b = y.node JOIN sim pa ON pa.a = x.parent AND pa.b = x.node JOIN sim pb ON pb.a = x.parent AND pb.b = y.node""")
 def split_distinctness(spark, d):
     """X9, G18."""
-    return analytics.split_distinctness(*vector_tree(spark, d))
+    return analytics.split_distinctness(*place_vectors(spark, d))
 
 
-@query(f"""WITH {VTREE}, p AS (SELECT a, b, round(1 - s, 12) AS far, CASE WHEN a LIKE 'R:%' OR b LIKE 'R:%' THEN 1.0 ELSE 2.0 END::DOUBLE AS steps FROM sim JOIN vt x ON x.node = a JOIN vt y ON y.node = b WHERE a < b AND (x.parent = y.parent OR x.parent = b OR y.parent = a)),
+@query(f"""WITH RECURSIVE {VTREE}, steps AS (SELECT x.b AS a, y.b AS b, min(x.far + y.far)::DOUBLE AS steps FROM up x JOIN up y ON x.a = y.a AND x.b < y.b GROUP BY 1, 2), p AS (SELECT round(1 - s, 12) AS far, steps FROM sim JOIN steps USING (a, b)),
 r AS (SELECT rank() OVER (ORDER BY far) + (count(*) OVER (PARTITION BY far) - 1) / 2.0 AS ra, rank() OVER (ORDER BY steps) + (count(*) OVER (PARTITION BY steps) - 1) / 2.0 AS rb FROM p) SELECT round(corr(ra::DOUBLE, rb::DOUBLE), 6) AS rho, count(*) AS n FROM r""")
 def distance_correlation(spark, d):
     """X10, G14, A12."""
-    tree, vectors = vector_tree(spark, d)
-    edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")
-
-
-def place_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    """All places with all vectors in order of their ids: regions, nations, customers. A vector beyond the last customer has no place."""
-    v, k = T.read(spark, d, "embeddings"), F.col("vec_id")
-    node = F.when(k < 5, F.concat(F.lit("R:"), k.cast("string"))).when(k < 30, F.concat(F.lit("N:"), (k - 5).cast("string"))).otherwise(F.concat(F.lit("C:"), (k - 30).cast("string")))
-    return T.place_tree(spark, d), v.select(node.alias("node"), F.col("embedding").alias("vector"))
-
-
-@query()
-def containment_rate_all(spark, d):
-    """X8, A11 over all places and vectors; tests compare it with plain Python."""
-    return analytics.containment(*place_vectors(spark, d)).select("pairs", "passed", F.round("rate", 6).alias("rate"))
-
-
-@query()
-def split_distinctness_all(spark, d):
-    """X9, G18 over all places and vectors."""
-    return analytics.split_distinctness(*place_vectors(spark, d))
-
-
-@query()
-def distance_correlation_all(spark, d):
-    """X10, G14, A12 over all places and vectors."""
     tree, vectors = place_vectors(spark, d)
     edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
     return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")

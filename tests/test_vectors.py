@@ -31,7 +31,7 @@ def test_containment_over_all_places(spark, sf, places, monkeypatch, block):
     pairs = [(a, n) for n in names for a in up[n]]
     bound = {a: max(s[at[a], at[b]] for b in names if b != a and a not in up[b] and b not in up[a]) for a in {a for a, _ in pairs}}
     passed = sum(s[at[a], at[b]] > bound[a] for a, b in pairs)
-    got = registry.QUERIES["containment_rate_all"](spark, sf).collect()
+    got = registry.QUERIES["containment_rate"](spark, sf).collect()
     assert [tuple(r) for r in got] == [(len(pairs), passed, round(passed / len(pairs), 6))] and len(pairs) > 300
 
 
@@ -41,7 +41,7 @@ def test_splits_over_all_places(spark, sf, places, monkeypatch, block):
     parent, names, at, s, up = places
     c = lambda a, b: s[at[a], at[b]]
     want = {(parent[a], a, b, bool(c(a, b) < c(parent[a], a) and c(a, b) < c(parent[a], b))) for a in names if up[a] for b in names if a < b and parent.get(b) == parent[a]}
-    rows = [tuple(r) for r in registry.QUERIES["split_distinctness_all"](spark, sf).collect()]
+    rows = [tuple(r) for r in registry.QUERIES["split_distinctness"](spark, sf).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and any(r[1].startswith("C:") for r in rows)
 
 
@@ -60,5 +60,5 @@ def test_correlation_over_all_places(spark, sf, places):
                 common = len(set(x) & set(y))
                 far.append(round(1 - s[at[a], at[b]], 12))
                 steps.append(len(x) + len(y) - 2 * common)
-    got = registry.QUERIES["distance_correlation_all"](spark, sf).collect()[0]
+    got = registry.QUERIES["distance_correlation"](spark, sf).collect()[0]
     assert got["n"] == len(far) > 1000 and abs(got["rho"] - np.corrcoef(ranks(far), ranks(steps))[0, 1]) < 1e-5
