@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat_format, decontaminate, html_text, language_id, line_dedup, minhash, toxicity, url_filter
+from . import ann, byte_bpe, chat_format, decontaminate, filter_audit, html_text, language_id, line_dedup, minhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_ann_search": ann.op8_ann_search,
     "op9_html_text": html_text.op9_html_text,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
