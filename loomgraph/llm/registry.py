@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat_format, decontaminate, filter_audit, html_text, language_id, line_dedup, minhash, token_align, toxicity, url_filter
+from . import ann, byte_bpe, chat_format, decontaminate, filter_audit, html_text, language_id, line_dedup, minhash, secret_scan, token_align, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_text": html_text.op9_html_text,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_token_align": token_align.op13_token_align,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_chat_format": chat_format.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_secret_scan": secret_scan.ORACLE,
 }
