@@ -29,7 +29,7 @@ from .byte_bpe import gather
 from .common import col, cut, delete, hot_join, shared_folder, spread, table
 
 #: Characters that one step holds, and the cache's limits: cut texts, and their characters.
-STEP_CHARS, CACHED, CACHED_CHARS = 4 << 20, 400_000, 16 << 20
+STEP_CHARS, CACHED, CACHED_CHARS = 1 << 20, 250_000, 8 << 20
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?<! )(?= \S)")
 #: Letters and end marks that A's pattern surely splits as one run of letters and one of others.
@@ -76,6 +76,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BAR, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_said, self.b_said = [str(i) for i in range(len(self.a_size))], [str(i) for i in range(len(self.b_size))]
         how = json.loads(self.a.to_str())
         split = how["pre_tokenizer"] or {}
         self.cuts = how["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not any(BAR in p.lstrip(BAR) for p in pieces)
@@ -83,7 +84,6 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.chars = 0
         self.text: list[str] = []
         self.bad: set[int] = set()
@@ -92,10 +92,7 @@ class Aligner:
 
     def _word(self, word: str) -> list[int]:
         """A's ids of one piece of its pattern."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.words[word] = [t.id for t in self.a_piece(word.encode().decode("latin-1").translate(LETTER_OF))]
-        return got
+        return [t.id for t in self.a_piece(word.encode().decode("latin-1").translate(LETTER_OF))]
 
     def _a(self, texts: list[str]) -> list[list[int]]:
         """A's ids of space + each text."""
@@ -114,8 +111,13 @@ class Aligner:
 
     def _join(self, a: list[int], b: list[int]) -> tuple[str, list[int]]:
         """A text's groups as written out, and its links as numbers."""
-        found = groups(a, b, self.a_size, self.b_size)
-        return ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found]), [x[-1] << 32 | y[-1] for x, y in found]
+        said_a, said_b, said, links = self.a_said, self.b_said, [], []
+        for x, y in groups(a, b, self.a_size, self.b_size):
+            i, j = x[-1], y[-1]
+            links.append(i << 32 | j)
+            left = said_a[i] if len(x) == 1 else ",".join([said_a[t] for t in x])
+            said.append(f"{left}|{said_b[j] if len(y) == 1 else ','.join([said_b[t] for t in y])}")
+        return ";".join(said), links
 
     def _learn(self, new: list[str]) -> None:
         """Align cut texts that are met first."""
