@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.frames import shared_folder
 from ..operators import analytics, diff, entrypoints, graph, overlay, resolve, validate
+from ..streaming import depth
 from . import tables as T
 
 QUERIES: dict = {}
@@ -489,6 +493,17 @@ def trace_depth(spark, d):
     return analytics.call_depths(T.read(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), step.alias("step")))
 
 
+@query("""WITH s AS (SELECT user_id AS thread, event_id AS seq, ts, event_type AS qname, CASE WHEN value > 50 OR event_id % 3 = 0 THEN 1 ELSE -1 END AS step FROM events), t AS (SELECT *, sum(step) OVER (PARTITION BY thread ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM s)
+SELECT thread, seq, qname, step, (s - least(0, min(s) OVER (PARTITION BY thread ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)))::INTEGER AS depth FROM t""")
+def trace_depth_stream(spark, d):
+    """The same depths from a stream of the events in four parts, each out of order."""
+    step = F.when((F.col("value") > 50) | (F.col("event_id") % 3 == 0), 1).otherwise(-1)
+    events = T.read(spark, d, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("qname"), step.alias("step"))
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    stream, late = depth.replayed(spark, events, f"{folder}/events")
+    return depth.run_to_end(depth.call_depths(stream, late), folder).drop("ts")
+
+
 @query("""WITH k AS (SELECT user_id AS key, event_id AS seq, event_type AS qname, length(event_type) * 0.3::DOUBLE AS y FROM events WHERE event_type <> 'click')
 SELECT *, coalesce(abs(y - lag(y) OVER (PARTITION BY key ORDER BY seq)) > 0.8, false) AS jumped FROM k""")
 def execution_jumps(spark, d):
