@@ -106,9 +106,10 @@ def banded(points: DataFrame, angle: float, n: int) -> DataFrame:
     return points.withColumn("band", (pick(first) + F.pmod(F.xxhash64("id"), pick(lots))).cast("bigint"))
 
 
-def epochs_of(at: np.ndarray, head: np.ndarray, tail: np.ndarray, held: np.ndarray, weight: np.ndarray, drawn: np.ndarray, rates: np.ndarray, curve: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
+def epochs_of(at: np.ndarray, head: np.ndarray, tail: np.ndarray, held: np.ndarray, weight: np.ndarray, drawn: np.ndarray, total: int, rates: np.ndarray, curve: tuple[float, float], rng: np.random.Generator) -> np.ndarray:
     """Places ``at`` after an epoch for each of ``rates``. An edge leads from point ``head`` to point ``tail``, or, where that is
-    -1, to the place in ``held``; it takes part in an epoch with a chance of its weight."""
+    -1, to the place in ``held``; it takes part in an epoch with a chance of its weight. What pushes is one of the ``total`` points: a band's own as they move, the others
+    as ``drawn``."""
     a, b = curve
     n = len(at)
 
@@ -128,7 +129,8 @@ def epochs_of(at: np.ndarray, head: np.ndarray, tail: np.ndarray, held: np.ndarr
             by = np.clip(pull[:, None] * way, -LONGEST, LONGEST) * rate
             step = moved(h, by) - moved(t[inside], by[inside])
             who = np.repeat(h, PUSHES)
-            way = at[who] - drawn[rng.integers(0, len(drawn), len(who))]
+            own, far = rng.integers(0, n, len(who)), rng.integers(0, len(drawn), len(who))
+            way = at[who] - np.where((rng.random(len(who)) * total < n)[:, None], at[own], drawn[far])
             square = (way * way).sum(1)
             push = 2 * b / ((1e-3 + square) * (1 + a * square**b))
             step += moved(who, np.where(square[:, None] > 0, np.clip(push[:, None] * way, -LONGEST, LONGEST), 0.0) * rate)
@@ -136,7 +138,7 @@ def epochs_of(at: np.ndarray, head: np.ndarray, tail: np.ndarray, held: np.ndarr
     return at
 
 
-def mover(drawn: list[tuple[float, float]], rates: np.ndarray, seed: int, r: int, curve: tuple[float, float]):
+def mover(drawn: list[tuple[float, float]], total: int, rates: np.ndarray, seed: int, r: int, curve: tuple[float, float]):
     """A round of one band: its points (id, x, y, band) and the edges that leave them (a, b, weight, bx, by)."""
 
     def move(own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -146,13 +148,13 @@ def mover(drawn: list[tuple[float, float]], rates: np.ndarray, seed: int, r: int
         place = pd.Series(np.arange(len(own)), index=own["id"])
         head, tail = place.reindex(there["a"]).to_numpy(int), place.reindex(there["b"]).fillna(-1).to_numpy(int)
         rng = np.random.default_rng([seed, r, int(own["band"].iloc[0])])
-        at = epochs_of(own[["x", "y"]].to_numpy(float), head, tail, there[["bx", "by"]].to_numpy(float), there["weight"].to_numpy(float), np.array(drawn), rates, curve, rng)
+        at = epochs_of(own[["x", "y"]].to_numpy(float), head, tail, there[["bx", "by"]].to_numpy(float), there["weight"].to_numpy(float), np.array(drawn), total, rates, curve, rng)
         return pd.DataFrame({"id": own["id"], "x": np.round(at[:, 0], 9), "y": np.round(at[:, 1], 9)})
 
     return move
 
 
-def projected(vectors: DataFrame, id: str = "id", vector: str = "vector", k: int = 15, least: float = 0.15, rounds: int = 20, epochs: int = 12, seed: int = 42) -> DataFrame:
+def projected(vectors: DataFrame, id: str = "id", vector: str = "vector", k: int = 15, least: float = 0.15, rounds: int = 12, epochs: int = 20, seed: int = 42) -> DataFrame:
     """(id, x, y): each vector's place in a plane where neighbours by cosine are near each other; null vectors have none.
 
     id: unique. The same rows, parameters and seed give the same places up to rounding of the first layout, which is the first
@@ -170,6 +172,8 @@ def projected(vectors: DataFrame, id: str = "id", vector: str = "vector", k: int
     shake = lambda c: (F.pmod(F.xxhash64("id", F.lit(c), F.lit(seed)), F.lit(1 << 20)) / (1 << 20) - 0.5) * 1e-2
     now = cut(flat.select("id", *(F.round(F.col(c) / wide * HALF + shake(c), 6).alias(c) for c in "xy")))
     share = (1 << 30) * min(DRAWN, n) // n
+    if n <= BLOCK:  # one band has no edges elsewhere, so it can go on for longer
+        rounds, epochs = -(-rounds // 6), 6 * epochs
 
     for r in range(rounds):
         chance = F.pmod(F.xxhash64("id", F.lit(r), F.lit(seed)), F.lit(1 << 30)) < share if share < 1 << 30 else F.lit(True)
@@ -179,5 +183,5 @@ def projected(vectors: DataFrame, id: str = "id", vector: str = "vector", k: int
         ends = now.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
         there = edges.join(ends, "b").join(points.select(F.col("id").alias("a"), "band"), "a").select(F.col("band").alias("e_band"), "a", "b", "weight", "bx", "by")
 
-        now = cut(points.groupBy("band").cogroup(there.groupBy("e_band")).applyInPandas(mover(drawn, rates, seed, r, curve), f"id {kind}, x double, y double"))
+        now = cut(points.groupBy("band").cogroup(there.groupBy("e_band")).applyInPandas(mover(drawn, n, rates, seed, r, curve), f"id {kind}, x double, y double"))
     return now

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.frames import shared_folder
-from ..operators import analytics, diff, entrypoints, graph, overlay, resolve, validate
+from ..operators import analytics, diff, entrypoints, graph, overlay, projection, resolve, validate
 from ..streaming import depth
 from . import tables as T
 
@@ -606,6 +606,12 @@ def distance_correlation(spark, d):
     return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")
 
 
+@query()
+def project_embeddings(spark, d):
+    """Random pulls and pushes can't be said in SQL; tests compare the neighbours kept with brute force."""
+    return projection.projected(T.vectors(spark, d))
+
+
 SEGMENTS = """seg AS (SELECT row_number() OVER (ORDER BY src, dst) AS id, src AS a, dst AS b, ak * 7 % 25 AS ax, ak * ak % 23 AS ay, bk * 7 % 25 AS bx, bk * bk % 23 AS by_ FROM (SELECT src, dst, split_part(src, ':', 2)::DOUBLE AS ak, split_part(dst, ':', 2)::DOUBLE AS bk FROM trade))"""
 
 
