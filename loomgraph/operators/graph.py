@@ -1,6 +1,7 @@
 """Graph operators over edges (src, dst, kind, confidence).
 
-Closures are semi-naive: each round joins only what the last one found, and the state is cut every round.
+Closures are semi-naive: each round joins only what the last one found, and the state is cut every round. Edges are written once
+in buckets of their source (``components.Steps``), so rounds move frontiers only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import Pile, cut, in_order, lack, one_per
+from .components import Steps
 
 #: Fixed values of the graph's schema.
 EDGE_KINDS = ("calls", "imports", "contains", "routes_to")
@@ -32,33 +34,32 @@ def uncertain(edges: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KINDS) -> DataFrame:
     """(seed, node) of all nodes that can be reached from each seed (column node of ``seeds``), itself included."""
-    steps = cut(of_kind(edges, kinds).select("src", "dst").distinct())
     frontier = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
     few = frontier.select("seed").limit(BITS + 1).collect()
+    steps = Steps(of_kind(edges, kinds))
     if len(few) <= BITS:
         return marked_closure(frontier, steps, sorted((r["seed"] for r in few), key=lambda x: (x is None, x)))
     seen = Pile(frontier)
-    while True:
-        step = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
+    while n := frontier.count():
+        step = steps.follow(frontier, n).select("seed", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen.all(), ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen.all()
         seen.add(frontier)
+    steps.close()
+    return seen.all()
 
 
-def marked_closure(seeds: DataFrame, steps: DataFrame, names: list) -> DataFrame:
+def marked_closure(seeds: DataFrame, steps: Steps, names: list) -> DataFrame:
     """``closure`` of at most ``BITS`` seeds: a node's row has a bit for each seed that reaches it, so shared nodes are walked once."""
     bits = F.create_map(*(F.lit(x) for i, n in enumerate(names) if n is not None for x in (n, 1 << i))) if any(n is not None for n in names) else F.lit(None)
     frontier = cut(seeds.where("seed IS NOT NULL").select("node", bits[F.col("seed")].cast("bigint").alias("mask")) if any(n is not None for n in names) else seeds.select("node", F.lit(0).cast("bigint").alias("mask")).limit(0))
     seen = Pile(frontier)
-    while True:
-        step = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+    while n := frontier.count():
+        step = steps.follow(frontier, n).groupBy(F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
         known = seen.all().groupBy("node").agg(F.bit_or("mask").alias("had"))
         new = step.join(known, "node", "left").select("node", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("bigint")))).alias("mask"))
         frontier = cut(new.where("mask <> 0"))
-        if frontier.isEmpty():
-            break
         seen.add(frontier)
+    steps.close()
     held = F.filter(F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names))), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
     return seen.all().select(F.explode(held).alias("seed"), "node")
 
@@ -72,15 +73,15 @@ def reachable(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KI
 
 def closure_from_set(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """(node) of the closure of a set under (src, dst)."""
-    steps = cut(steps)
+    held = Steps(steps)
     frontier = cut(nodes.select("node").distinct())
     seen = Pile(frontier)
-    while True:
-        step = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
+    while n := frontier.count():
+        step = held.follow(frontier, n).select(F.col("dst").alias("node")).distinct()
         frontier = cut(lack(step, seen.all(), ["node"]))
-        if frontier.isEmpty():
-            return seen.all()
         seen.add(frontier)
+    held.close()
+    return seen.all()
 
 
 def unreached(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -143,14 +144,15 @@ def depths(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
     # are written once and nothing is compared with what is known; level `top` is where all longer paths end
     sources = lack(nodes.select("node").distinct(), steps.select(F.col("dst").alias("node")), ["node"])
     now = cut(sources.withColumn("depth", F.lit(0)))
-    seen = Pile(now)
+    seen, held = Pile(now), Steps(steps)
     for d in range(1, top + 1):
-        now = cut(now.join(steps, now["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d)))
+        now = cut(held.follow(now, now.count()).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d)))
         if now.isEmpty():
             break
         seen.add(now)
     else:  # what can be reached from the last level has longer paths still
         seen.add(cut(lack(closure_from_set(now.select("node"), steps), now, ["node"]).withColumn("depth", F.lit(top))))
+    held.close()
     known = seen.all().groupBy("node").agg(F.max("depth").alias("depth"))
     return nodes.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 

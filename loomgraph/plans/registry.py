@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.frames import shared_folder
-from ..operators import analytics, diff, entrypoints, graph, overlay, projection, resolve, validate
+from ..operators import analytics, components, diff, entrypoints, graph, overlay, projection, resolve, validate
 from ..streaming import depth
 from . import tables as T
 
@@ -163,6 +163,27 @@ def top_children(spark, d):
     return graph.limited_children(T.read(spark, d, "lineitem").select(T.tagged("S", "l_suppkey").alias("src"), T.tagged("P", "l_partkey").alias("dst")), 4)
 
 
+FOLLOWERS = """nexts AS (SELECT 'P:' || l_partkey AS src, 'P:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'P:' || l_partkey) AS dst FROM lineitem),
+follow AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS nth FROM nexts WHERE dst <> src GROUP BY 1, 2) WHERE nth <= 2),
+r(seed, node) AS (SELECT DISTINCT src, src FROM nexts UNION SELECT seed, dst FROM r JOIN follow ON src = node)"""
+
+
+def ordered_parts(spark, d) -> DataFrame:
+    return T.read(spark, d, "lineitem").select(T.tagged("P", "l_partkey").alias("node")).distinct()
+
+
+@query(f"WITH RECURSIVE {FOLLOWERS} SELECT a.seed AS node, min(a.node) AS part FROM r a JOIN r b ON a.seed = b.node AND a.node = b.seed GROUP BY 1")
+def strong_components(spark, d):
+    """Parts that follow each other in circles."""
+    return components.strong_components(ordered_parts(spark, d), T.followers(spark, d))
+
+
+@query(f"WITH RECURSIVE {FOLLOWERS} SELECT seed, count(*) AS n FROM r GROUP BY 1")
+def reach_through_components(spark, d):
+    """G3 on a graph with cycles, a seed for each part."""
+    return components.closure_of_components(ordered_parts(spark, d), T.followers(spark, d)).groupBy("seed").agg(F.count("*").alias("n"))
+
+
 # names
 
 

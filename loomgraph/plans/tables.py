@@ -53,6 +53,17 @@ def trade(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     return best.select(tagged("N", "s_nationkey").alias("src"), tagged("N", "c_nationkey").alias("dst"), F.lit("calls").alias("kind"), "n")
 
 
+def followers(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
+    """(src, dst, kind): for each part those that most often come next in an order, ties to the smaller name; has cycles."""
+    from pyspark.sql import Window
+
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tagged("P", "l_partkey").alias("src"))
+    after = F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "src"))
+    counts = line.select("src", after.alias("dst")).where("dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return counts.withColumn("nth", nth).where(F.col("nth") <= top).select("src", "dst", F.lit("calls").alias("kind"))
+
+
 def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, parent) of regions, nations and customers."""
     n = read(spark, sf_dir, "nation").select(tagged("N", "n_nationkey").alias("node"), tagged("R", "n_regionkey").alias("parent"))
