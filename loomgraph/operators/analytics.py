@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut, lack, one_per
+from ..functions.frames import cut, lack, one_per, running
 from ..functions.text import cosine
-from .graph import closure, pair_distances
+from .tree_order import RangeMinimum, intervals
 
 #: Vectors that a similarity block holds at most on either side.
 BLOCK = 1024
@@ -111,15 +111,6 @@ def relative_heights(tree: DataFrame) -> DataFrame:
     return out.unionByName(tree.where("is_orphan").select("node", F.lit(0.1).alias("height")))
 
 
-def running(df: DataFrame, key: str, n: str) -> DataFrame:
-    """``df`` with ``below``: the sum of ``n`` over rows with a smaller ``key`` (each key once); by ranges, no task sees all rows."""
-    rows = cut(df.sort(key).withColumn("__part", F.spark_partition_id()))
-    before = rows.groupBy("__part").agg(F.sum(n).alias("__sum"))
-    start = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__in", inside).join(F.broadcast(before.select("__part", start.alias("__before"))), "__part").withColumn("below", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
-
-
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(rho, n) with average ranks for ties; 0 without variance. Ranks come from counts per value, so one value may be any
     share of the rows; only distinct values are put in one order."""
@@ -138,35 +129,51 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def containment(tree: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(pairs, passed, rate): a pair of ancestor and descendant passes if it is more similar than the ancestor and any
-    unrelated node; ancestors without unrelated nodes are left out."""
-    steps = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("contains").alias("kind"))
-    pairs = cut(closure(vectors.select("node"), steps, ("contains",)).where("seed <> node"))
-    above = pairs.groupBy("node").agg(F.collect_set("seed").alias("above"))
-    rows = cut(vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL").join(above, "node", "left"))
-    tops = cut(rows.join(pairs.select(F.col("seed").alias("node")).distinct(), "node", "left_semi"))
+    """(pairs, passed, rate) of a forest: a pair of ancestor and descendant passes if it is more similar than the ancestor and any
+    unrelated node; ancestors without unrelated nodes are left out.
+
+    Nodes carry their intervals of a preorder, so who is whose ancestor is two comparisons inside a block; no pair and no set of
+    ancestors is ever a row. Every ancestor meets every vector once, for the nearest unrelated one, and those in its own
+    interval a second time.
+    """
+    places = intervals(tree.select("node", "parent"))
+    rows = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL").join(places.select("node", "first", "last"), "node", "left")
+    rows = cut(rows.select("node", "v", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-2)).alias("last")))
+    tops = cut(rows.where("last > first"))
     n_left, n_right = (max(1, -(-x.count() // BLOCK)) for x in (tops, rows))
     lot = lambda n: F.pmod(F.xxhash64("node"), F.lit(n))
-    left = tops.select("node", "v", "above", lot(n_left).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
-    right = rows.select("node", "v", "above", lot(n_right).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
+    left = tops.select("node", "v", "first", "last", lot(n_left).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
+    right = rows.select("node", "v", "first", "last", lot(n_right).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def below(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        at = b["first"].to_numpy()[None]
+        return (at > a["first"].to_numpy()[:, None]) & (at <= a["last"].to_numpy()[:, None])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "bound": []})
         s = np.round(unit(a["v"]) @ unit(b["v"]).T, 12)
-        row, column = ({x: i for i, x in enumerate(t["node"])} for t in (a, b))
-        for j, (x, up) in enumerate(zip(b["node"], b["above"], strict=True)):
-            s[[row[y] for y in (x, *(up if up is not None else ())) if y in row], j] = -np.inf
-        for i, up in enumerate(a["above"]):
-            s[i, [column[y] for y in (up if up is not None else ()) if y in column]] = -np.inf
+        s[below(a, b) | below(b, a).T | (a["node"].to_numpy()[:, None] == b["node"].to_numpy()[None])] = -np.inf
         best = s.max(1)
         return pd.DataFrame({"a": a["node"].astype(object), "bound": best})[best > -np.inf]
 
-    # every ancestor against every node, as the test is defined: block by block, no pair becomes a row
-    other = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(meet, pa.schema([("a", pa.string()), ("bound", pa.float64())])), "a string, bound double").groupBy("a").agg(F.max("bound").alias("bound"))
-    v = lambda name: vectors.select(F.col("node").alias(name), F.col("vector").alias(f"v_{name}"))
-    tested = pairs.select(F.col("seed").alias("a"), F.col("node").alias("b")).join(other, "a").join(v("a"), "a").join(v("b"), "b").withColumn("s", F.round(cosine(F.col("v_a"), F.col("v_b")), 12))
-    return tested.agg(F.count("*").alias("pairs"), F.coalesce(F.sum((F.col("s") > F.col("bound")).cast("bigint")), F.lit(0)).alias("passed")).withColumn("rate", F.when(F.col("pairs") > 0, F.col("passed") / F.col("pairs")))
+    bound = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(nearest, pa.schema([("a", pa.string()), ("bound", pa.float64())])), "a string, bound double").groupBy(F.col("a").alias("node")).agg(F.max("bound").alias("bound"))
+    # now by stretches of the preorder: an ancestor goes to those that its interval meets
+    stretch = lambda c: F.floor(F.col(c) / BLOCK)
+    above = tops.join(bound, "node").select("node", "v", "first", "last", "bound", F.explode(F.sequence(stretch("first"), stretch("last"))).alias("j")).withColumn("i", lot(n_left))
+    own = [F.col(c).alias(c) for c in ("node", "v", "first", "last")]  # columns of its own, as both sides come from the same rows
+    inside = rows.where("first >= 0").select(*own, stretch("first").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"pairs": [], "passed": []})
+        under = below(a, b)
+        s = np.round(unit(a["v"]) @ unit(b["v"]).T, 12)
+        return pd.DataFrame({"pairs": [int(under.sum())], "passed": [int((under & (s > a["bound"].to_numpy()[:, None])).sum())]})
+
+    counted = above.groupBy("i", "j").cogroup(inside.groupBy("i", "j")).applyInArrow(in_arrow(count, pa.schema([("pairs", pa.int64()), ("passed", pa.int64())])), "pairs bigint, passed bigint")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    return counted.agg(total("pairs"), total("passed")).withColumn("rate", F.when(F.col("pairs") > 0, F.col("passed") / F.col("pairs")))
 
 
 def split_distinctness(tree: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -199,11 +206,52 @@ def split_distinctness(tree: DataFrame, vectors: DataFrame) -> DataFrame:
     return left.groupBy("parent", "i", "j").cogroup(right.groupBy("r_parent", "r_i", "r_j")).applyInArrow(in_arrow(meet, pa.schema([("parent", pa.string()), ("a", pa.string()), ("b", pa.string()), ("ok", pa.bool_())])), "parent string, a string, b string, ok boolean")
 
 
-def distance_correlation(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(rho, n) of 1 - cosine and steps in the tree over all connected pairs."""
-    d = pair_distances(nodes, edges).where("a < b")
-    a, b = vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb"))
-    return spearman(d.join(a, "a").join(b, "b").select(F.round(1 - cosine(F.col("va"), F.col("vb")), 12).alias("far"), F.col("distance").cast("double").alias("steps")), "far", "steps")
+def tree_distances(tree: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(far, steps) of every pair of nodes with vectors in one tree of a forest: 1 - cosine, rounded, and steps along the tree.
+
+    The lowest common ancestor of two nodes is as deep as the least parent between them in the preorder. Stretches of the preorder meet as
+    blocks: inside, minima run from either node to the stretch's border, and a sparse table has those of the stretches
+    between. It holds a number for each ``BLOCK`` nodes and level and goes to all tasks.
+    """
+    places = intervals(tree.select("node", "parent"))
+    rows = places.join(vectors.select("node", F.col("vector").cast("array<double>").alias("v")), "node", "left").select("first", "depth", "v", F.floor(F.col("first") / BLOCK).alias("i"))
+    rows = cut(rows)
+    least = {r["i"]: r["m"] for r in rows.groupBy("i").agg(F.min(F.col("depth") - 1).alias("m")).collect()}
+    n = len(least)
+    between = RangeMinimum([least[i] for i in range(n)])
+    left = rows.select("first", "depth", "v", "i", F.explode(F.sequence(F.col("i"), F.lit(max(0, n - 1)).cast("bigint"))).alias("j"))
+    right = rows.select(*(F.col(c).alias(c) for c in ("first", "depth", "v")), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "i")).alias("i"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"far": [], "steps": []})
+        i, j = int(a["i"].iloc[0]), int(a["j"].iloc[0])
+        a, b = a.sort_values("first"), b.sort_values("first")
+        up_a, up_b = a["depth"].to_numpy() - 1, b["depth"].to_numpy() - 1
+        if i == j:
+            top = np.full((len(a), len(b)), np.iinfo(np.int64).max)
+            for k in range(len(a) - 1):
+                top[k, k + 1 :] = np.minimum.accumulate(up_b[k + 1 :])
+            pairs = np.triu(np.ones(top.shape, bool), 1)
+        else:
+            after = np.append(np.minimum.accumulate(up_a[::-1])[::-1][1:], np.iinfo(np.int64).max)
+            top = np.minimum(np.minimum(after[:, None], np.minimum.accumulate(up_b)[None]), between.of(i + 1, j))
+            pairs = np.ones(top.shape, bool)
+        known_a, known_b = a["v"].notna().to_numpy(), b["v"].notna().to_numpy()
+        pairs &= known_a[:, None] & known_b[None] & (top >= 0)
+        if not pairs.any():
+            return pd.DataFrame({"far": [], "steps": []})
+        s = np.zeros(top.shape)
+        s[np.ix_(known_a, known_b)] = unit(a["v"][known_a]) @ unit(b["v"][known_b]).T
+        steps = a["depth"].to_numpy()[:, None] + b["depth"].to_numpy()[None] - 2 * top
+        return pd.DataFrame({"far": np.round(1 - s[pairs], 12), "steps": steps[pairs].astype(float)})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(meet, pa.schema([("far", pa.float64()), ("steps", pa.float64())])), "far double, steps double")
+
+
+def distance_correlation(tree: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(rho, n) of 1 - cosine and steps in the tree over all connected pairs, ranked."""
+    return spearman(cut(tree_distances(tree, vectors)), "far", "steps")
 
 
 def weighted_grid(points: DataFrame, size: int, bandwidth: float, weight: str | None = None, padding: float = 0.1) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import Pile, cut, in_order, lack, one_per
+from ..functions.frames import Pile, cut, in_order, lack, one_per, running
 from .components import Steps
 
 #: Fixed values of the graph's schema.
@@ -171,21 +171,40 @@ def visit_order(starts: DataFrame, edges: DataFrame, max_depth: int = 32, most_c
     may have a walk of more than ``most_rows`` nodes refused.
     """
     children = cut(limited_children(of_kind(edges, kinds), most_children))
-    level = cut(starts.select("node", F.array("node").alias("path"), F.array("ord").alias("key"), F.lit(0).alias("depth")))
-    found, total = Pile(level), level.count()
+    # a node of the walk has a number in its level; what is on its path are rows, of the last level alone
+    at = F.monotonically_increasing_id().alias("at")
+    level = cut(starts.select(at, F.lit(None).cast("bigint").alias("up"), F.col("ord").cast("bigint").alias("nth"), "node"))
+    path = level.select("at", "node")
+    levels, total = [level], level.count()
     for _ in range(max_depth):
-        step = level.join(children, level["node"] == children["src"]).where(~F.array_contains("path", F.col("dst")))
-        level = cut(step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("key", F.array("nth")).alias("key"), (F.col("depth") + 1).alias("depth")))
+        step = level.select(F.col("at").alias("up"), F.col("node").alias("src")).join(children, "src").select("up", "nth", F.col("dst").alias("node"))
+        step = step.join(path.withColumnRenamed("at", "up"), ["up", "node"], "left_anti")
+        level = cut(step.select(at, "up", F.col("nth").cast("bigint").alias("nth"), "node"))
         n = level.count()
         total += n
         if most_rows is not None and total > most_rows:
             raise ValueError(f"the walk visits more than {most_rows} nodes")
         if not n:
             break
-        found.add(level)
-    found = found.all()
-    events = found.select(F.lit("enter").alias("action"), "node", "depth", "key").unionByName(found.select(F.lit("exit").alias("action"), "node", "depth", F.concat("key", F.array(F.lit(2**31 - 1))).alias("key")))
-    return in_order(events, "key").select((F.col("nth") + 1).cast("int").alias("seq"), "action", "node", "depth")
+        levels.append(level)
+        path = cut(level.select("at", "node").unionByName(level.select(F.col("at").alias("to"), F.col("up").alias("at")).join(path, "at").select(F.col("to").alias("at"), "node")))
+    # how many nodes the walk visits from each on, from the deepest level up; then when it comes to each, from the starts down
+    sized, below = [], None
+    for level in reversed(levels):
+        size = F.lit(1).cast("bigint")
+        own = level.withColumn("size", size) if below is None else level.join(below, "at", "left").select(*level.columns, (size + F.coalesce("beneath", F.lit(0))).alias("size"))
+        sized.append(cut(own))
+        below = sized[-1].groupBy(F.col("up").alias("at")).agg(F.sum("size").alias("beneath"))
+    first, found = running(sized[-1].withColumn("key", F.struct("nth", "node", "at")), "key", "size"), None
+    now = cut(first.select("at", "node", "size", (2 * F.col("below")).alias("enter")))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("up").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # siblings
+    for d, level in enumerate([*sized[-2::-1], None]):
+        events = now.select(F.lit("enter").alias("action"), "node", F.lit(d).alias("depth"), "enter").unionByName(now.select(F.lit("exit").alias("action"), "node", F.lit(d).alias("depth"), (F.col("enter") + 2 * F.col("size") - 1).alias("enter")))
+        found = events if found is None else found.unionByName(events)
+        if level is not None:
+            placed = level.withColumn("before", before).join(now.select(F.col("at").alias("up"), F.col("enter").alias("from")), "up")
+            now = cut(placed.select("at", "node", "size", (F.col("from") + 1 + 2 * F.col("before")).alias("enter")))
+    return found.select((F.col("enter") + 1).cast("int").alias("seq"), "action", "node", "depth")
 
 
 def peaks_and_orphans(nodes: DataFrame, edges: DataFrame, fallback: bool = False) -> DataFrame:
@@ -249,27 +268,27 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The walk's queue serves nodes in the order in which they were placed, each node's callees by name; a callee is placed
     by the node served if no caller with a smaller name is placed by then. Level by level, as joins: of the callers placed
-    before a level is served, only the smallest-named can place a callee, at (its path, callee), where a path holds the
-    names from the root and has the queue's order. That fails if a smaller-named caller is itself placed earlier in the
-    same level, which is decided in rounds, earliest first. A row carries its path, so it grows with its level.
+    before a level is served, only the smallest-named can place a callee, at (its place in the queue, callee). That fails if a
+    smaller-named caller is itself placed earlier in the same level, which is decided in rounds, earliest first. A node's place in
+    its level's queue is a number, so rows don't grow with the level.
     """
     known = nodes.select("node").distinct()
     steps = cut(edges.where("src <> dst").select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
     # without a node that calls and isn't called, all peaks are roots; without a peak the first node is
     peaks = peaks_and_orphans(nodes, steps, fallback=True)
     roots = cut(peaks.where("is_peak AND NOT is_orphan").select("node"))
-    now = cut(roots.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("level"), F.array("node").alias("path")))
+    now = in_order(roots.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("level")), "node").withColumnRenamed("nth", "place")
     placed, level = now.select("parent", "node", "level"), 0
     waiting = None  # (node, least): callees that callers placed so far have failed to place
     while not now.isEmpty():
         level += 1
-        near = now.select(F.col("node").alias("src"), "path").join(steps, "src").select(F.col("dst").alias("node"), "src", "path")
-        near = lack(near, placed, ["node"]).groupBy("node").agg(F.min_by(F.struct("src", "path"), "src").alias("by")).select("node", F.col("by.src").alias("parent"), "by.path")
+        near = now.select(F.col("node").alias("src"), "place").join(steps, "src").select(F.col("dst").alias("node"), "src", "place")
+        near = lack(near, placed, ["node"]).groupBy("node").agg(F.min_by(F.struct("src", "place"), "src").alias("by")).select("node", F.col("by.src").alias("parent"), "by.place")
         near = near if waiting is None else near.join(waiting, "node", "left").where("least IS NULL OR parent < least").drop("least")
         tried = cut(near)
         # a callee's smaller-named callers that come earlier in the same level
-        x, c = tried.select(F.col("node").alias("src"), F.col("path").alias("xpath")), tried.select(F.col("node").alias("dst"), "parent", "path")
-        before = (F.col("xpath") < F.col("path")) | (F.col("xpath") == F.col("path")) & (F.col("src") < F.col("dst"))
+        x, c = tried.select(F.col("node").alias("src"), F.col("place").alias("xplace")), tried.select(F.col("node").alias("dst"), "parent", "place")
+        before = (F.col("xplace") < F.col("place")) | (F.col("xplace") == F.col("place")) & (F.col("src") < F.col("dst"))
         bars = cut(x.join(steps, "src").join(c, "dst").where((F.col("src") < F.col("parent")) & before).select("src", "dst"))
         open_, failed = tried.select("node"), None
         while not bars.isEmpty():
@@ -281,7 +300,7 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             bars = cut(lack(lack(bars, out, ["dst"]), out.withColumnRenamed("dst", "src"), ["src"]))
             open_ = cut(lack(open_, lost, ["node"]))
         done = tried if failed is None else lack(tried, failed, ["node"])
-        now = cut(done.select("parent", "node", F.lit(level).alias("level"), F.concat("path", F.array("node")).alias("path")))
+        now = cut(in_order(done.select("parent", "node", F.lit(level).alias("level"), "place"), "place", "node").drop("place").withColumnRenamed("nth", "place"))
         if failed is not None:
             late = tried.join(failed, "node", "left_semi").select("node", F.col("parent").alias("least"))
             waiting = late if waiting is None else waiting.unionByName(late)

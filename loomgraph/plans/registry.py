@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.frames import shared_folder
-from ..operators import analytics, components, diff, entrypoints, graph, overlay, projection, resolve, validate
+from ..operators import analytics, components, diff, entrypoints, graph, overlay, projection, resolve, tree_order, validate
 from ..streaming import depth
 from . import tables as T
 
@@ -145,6 +145,14 @@ def ancestors_descendants(spark, d):
     return down.select(F.lit("descendant").alias("relation"), "node").unionByName(up.select(F.lit("ancestor").alias("relation"), "node"))
 
 
+@query(f"""WITH RECURSIVE {TREE}, w(node, path, depth) AS (SELECT node, [node], 0 FROM tree WHERE parent IS NULL UNION ALL SELECT tree.node, list_append(path, tree.node), depth + 1 FROM w JOIN tree ON tree.parent = w.node),
+s AS (SELECT seed, count(*) AS size FROM (SELECT unnest(path) AS seed FROM w) GROUP BY 1), o AS (SELECT node, depth, row_number() OVER (ORDER BY path) - 1 AS first FROM w)
+SELECT node, depth::INTEGER AS depth, first, first + size - 1 AS last FROM o JOIN s ON seed = node""")
+def tree_intervals(spark, d):
+    """Preorder intervals of all places."""
+    return tree_order.intervals(T.place_tree(spark, d).select("node", "parent"))
+
+
 @query()
 def primary_tree(spark, d):
     """The walk's queue can't be said in SQL; tests compare it with plain Python."""
@@ -612,7 +620,12 @@ def containment_rate(spark, d):
     return analytics.containment(*place_vectors(spark, d)).select("pairs", "passed", F.round("rate", 6).alias("rate"))
 
 
-@query(f"""WITH RECURSIVE {VTREE} SELECT x.parent AS parent, x.node AS a, y.node AS b, ab.s < pa.s AND ab.s < pb.s AS ok FROM vt x JOIN vt y ON x.parent = y.parent AND x.node < y.node JOIN sim ab ON ab.a = x.node AND ab.b = y.node JOIN sim pa ON pa.a = x.parent AND pa.b = x.node JOIN sim pb ON pb.a = x.parent AND pb.b = y.node""")
+NEAR = lambda a, b: COS.replace("a.embedding", f"{a}.e").replace("b.embedding", f"{b}.e")
+
+
+@query(f"""WITH {TREE}, v AS (SELECT CASE WHEN vec_id < 5 THEN 'R:' || vec_id WHEN vec_id < 30 THEN 'N:' || (vec_id - 5) ELSE 'C:' || (vec_id - 30) END AS node, embedding AS e FROM embeddings),
+p AS (SELECT tree.parent, x.node, x.e, y.e AS pe FROM tree JOIN v x USING (node) JOIN v y ON y.node = tree.parent), q AS (SELECT *, {NEAR("p", "q")} AS up FROM (SELECT parent, node, e, {{'e': pe}} AS q FROM p) p)
+SELECT a.parent AS parent, a.node AS a, b.node AS b, round({NEAR("a", "b")}, 12) < round(a.up, 12) AND round({NEAR("a", "b")}, 12) < round(b.up, 12) AS ok FROM q a JOIN q b ON a.parent = b.parent AND a.node < b.node""")
 def split_distinctness(spark, d):
     """X9, G18."""
     return analytics.split_distinctness(*place_vectors(spark, d))
@@ -622,9 +635,7 @@ def split_distinctness(spark, d):
 r AS (SELECT rank() OVER (ORDER BY far) + (count(*) OVER (PARTITION BY far) - 1) / 2.0 AS ra, rank() OVER (ORDER BY steps) + (count(*) OVER (PARTITION BY steps) - 1) / 2.0 AS rb FROM p) SELECT round(corr(ra::DOUBLE, rb::DOUBLE), 6) AS rho, count(*) AS n FROM r""")
 def distance_correlation(spark, d):
     """X10, G14, A12."""
-    tree, vectors = place_vectors(spark, d)
-    edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    return analytics.distance_correlation(vectors.select("node"), edges, vectors).select(F.round("rho", 6).alias("rho"), "n")
+    return analytics.distance_correlation(*place_vectors(spark, d)).select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query()
