@@ -4,7 +4,8 @@ Pass 1 parses every page and hashes the subtree of each element (tag, names, tex
 form controls, and inline elements that carry a class, id or role. Spark counts, per host, the different pages that hold
 each subtree. What recurs decides:
 
-* A container on at least ``MIN_PAGES`` pages is the site's template, however many pages the host has.
+* A container on ``MIN_PAGES`` pages or more and on ``SHARE`` of the host's pages is the site's template, inside articles one on
+  ``INNER_SHARE`` of them.
 * A place (path of tags and names) outside articles is template if ``PLACE_SHARE`` of the subtrees seen there are: the menu
   of a page goes then even if its entries are its own.
 * A paragraph, heading, item, cell or inline element may be a passage that articles share, so it is template only if it is on
@@ -14,9 +15,18 @@ Pages with the same text count once, so copies of a page don't turn its article
 own subtrees and places only: in a set of all template marks while they are few, else in what a join of page and template
 marks leaves for the page. It deletes what is template, and then, as most hosts of a crawl have too few pages for
 recurrence to tell, what marks itself by tag, role, class or id as menu, header, footer, sidebar, notice, advert, form,
-comments and the like. Of what is left the text in article elements counts if it is ``SCOPE_SHARE`` of all, else that in
-article and main elements, else all. ``cues=False`` leaves all names aside: recurrence alone decides. A page without article
-and main elements that consists of template only is judged by names alone, since a page isn't all template.
+comments and the like. Names are bound:
+
+* One class, id or role is one name, and its last part that isn't a general one decides (``main-nav``, ``ad-slot-2``, not ``has-sidebar``,
+  ``header-fixed``, ``related-work``).
+* What holds the page's article stays: a main element, the articles where no article lies free of such names and no more text does,
+  and without such elements what holds most of the text, unless it says comments or the like or is mostly links.
+* Inside the article only adverts go whatever they are; other inline elements, headings, paragraphs, items and cells stay, and what is
+  called menu, share, related and the like goes if half its text is links.
+
+Of what is left the text in article elements counts if there is any, else that in main elements, else all.
+``cues=False`` leaves all names aside: recurrence alone decides. A page without article and main elements that consists of
+template only is judged by names alone, since a page isn't all template.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed.
 A line break element is white space. A null or empty page has the empty text; a null url has the empty host.
@@ -39,7 +49,7 @@ from .byte_bpe import _sizes, _steps
 from .common import but, col, cut, packed, spread, table, unpacked
 from .url_filter import host_and_path
 
-MIN_PAGES, PLACE_SHARE, LEAF_SHARE, SCOPE_SHARE = 4, 0.5, 0.5, 0.25
+MIN_PAGES, SHARE, INNER_SHARE, PLACE_SHARE, LEAF_SHARE = 4, 0.02, 0.25, 0.5, 0.5
 #: Template marks of all hosts that go to every worker; more are joined to the pages' own by a shuffle.
 MOST_MARKS = 1 << 19
 #: Fixed values of HTML: elements that end a paragraph when they begin, that are blocks, whose text is raw, that have no end.
@@ -57,6 +67,14 @@ DROP_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset({"header", "masthead"})
 ASIDE_ARTICLES = frozenset("comment comments ad advert related sponsored promo".split())
+#: Names of adverts; names that may also be an article's own; tags that may wrap a whole page; parts of names that say nothing
+#: about what is named, and those that say that it isn't.
+ADS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
+SOFT = frozenset("menu menus notice notices alert share sharing social related recommended recommendations copyright search form login header masthead banner subscribe subscription signup widget widgets overlay modal toolbar promo promotion reply replies".split())
+LINKED = SOFT - {"notice", "notices", "alert", "banner", "overlay", "modal", "promo", "promotion"}
+WRAPPERS = frozenset("form header fieldset".split())
+GENERAL = frozenset("area bar bottom box block btn button buttons container content item items inner left link links list main outer panel primary region right row secondary section site slot top unit wrap wrapper zone".split())
+NOT_NAMES = frozenset("has no not with without is hide hides show shows js".split())
 #: Elements whose text articles may share with each other.
 LEAVES = HEADINGS | frozenset("p li dt dd td th tr tbody blockquote pre caption figcaption".split())
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
@@ -71,29 +89,64 @@ def names_of(attributes: str) -> str:
     return " ".join(v for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") and (v := a or b or c)).lower()
 
 
+def said_by(names: str) -> set[str]:
+    """The words of ``DROP_WORDS`` that names (separated by spaces) stand for."""
+    out = set()
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if len(parts) > 1 and parts[0] in NOT_NAMES:
+            continue
+        while len(parts) > 1 and (parts[-1] in GENERAL or parts[-1].isdigit()):
+            parts.pop()
+        if parts and parts[-1] in DROP_WORDS:
+            out.add(parts[-1])
+    return out
+
+
 class Node:
-    __slots__ = ("tag", "drop", "kids", "names", "digest", "filled", "place", "inline")
+    __slots__ = ("tag", "drop", "said", "kids", "names", "digest", "filled", "wordy", "size", "linked", "place", "inline")
 
     def __init__(self, tag: str, names: str = "", place: str = "", inline: bool = False) -> None:
         self.tag, self.names, self.place, self.inline, self.kids, self.digest, self.filled = tag, names, place, inline, [], 0, False
-        words = set(re.split(r"[^a-z0-9]+", names)) if names else set()
-        said = words & DROP_WORDS if tag not in ("html", "body", "article", "main") else words & ASIDE_ARTICLES if tag == "article" else set()
+        #: whether the text has a letter or a digit, its characters, and how many of these are links
+        self.wordy, self.size, self.linked = False, 0, 0
+        said = said_by(names) if names else set()
+        self.said = said if tag not in ("html", "body", "article", "main") else said & ASIDE_ARTICLES if tag == "article" else set()
         #: 0: may be the article; 1: isn't; 2: is a header, which may hold the article's heading
-        self.drop = 0 if tag not in DROP_TAGS and not said else 2 if tag == "header" or tag not in DROP_TAGS and said <= HEADER_WORDS else 1
+        self.drop = 0 if tag not in DROP_TAGS and not self.said else 2 if tag == "header" or tag not in DROP_TAGS and self.said <= HEADER_WORDS else 1
 
     def close(self) -> None:
-        """Hash the subtree from its children's hashes."""
+        """Hash the subtree from its children's hashes, and add up its text."""
         parts = [self.tag, self.names]
         for k in self.kids:
             if isinstance(k, str):
-                if own := k.split():
-                    parts.append("_" + " ".join(own))
+                if own := " ".join(k.split()):
+                    parts.append("_" + own)
                     self.filled = True
+                    self.size += len(own)
+                    self.wordy = self.wordy or any(map(str.isalnum, own))
             else:
                 parts.append(f"#{k.digest:x}")
                 self.filled |= k.filled
+                self.wordy |= k.wordy
+                self.size += k.size
+                self.linked += k.linked
         self.digest = _digest("\x00".join(parts))
 
+    def firm(self) -> bool:
+        """Whether it can't be the article, however much it holds."""
+        return self.tag in DROP_TAGS and self.tag not in WRAPPERS or not self.said <= SOFT
+
+    def goes(self, inside: bool) -> bool:
+        """Whether its tag or names say that it isn't part of the article. inside: it lies in the article."""
+        if not self.drop or inside and self.drop == 2 and self.heading():
+            return False
+        if not inside or self.tag in DROP_TAGS or self.said & ADS:
+            return True
+        if self.inline or self.tag in LEAVES:
+            return False
+        return not self.said <= LINKED or 2 * self.linked >= self.size
+
     def heading(self) -> bool:
         """Whether it is or holds a heading."""
         todo = [self]
@@ -125,7 +178,7 @@ class _Template:
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree of elements that can go, and all of them as they end. Plain inline elements only pass their text on."""
     root = Node("#root")
-    stack, ended, at, end = [root], [], 0, page.rfind(">") + 1
+    stack, ended, at, end, link = [root], [], 0, page.rfind(">") + 1, False
 
     def shut(to: int) -> None:
         while len(stack) > to:
@@ -135,7 +188,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].kids.append(entities.unescape(raw) if "&" in raw else raw)
+            own = entities.unescape(raw) if "&" in raw else raw
+            stack[-1].kids.append(own)
+            if link:
+                stack[-1].linked += len(" ".join(own.split()))
 
     def block() -> int:
         """The place in the stack of the innermost block."""
@@ -157,6 +213,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag == "a":
+            link = not m[1]
         if m[1]:
             low = 0 if tag in BLOCKS else block()
             for i in range(len(stack) - 1, low, -1):
@@ -204,12 +262,48 @@ def main_text(page: str | None, template: set[int] | _Template, cues: bool = Tru
     return text
 
 
+def _kept(tree: Node) -> tuple[set[int], bool]:
+    """Ids of nodes that no name deletes, as they hold the article; whether the page has an article element with text."""
+    free, bound, path = [], [], []  # article and main elements, and those under something that isn't the article, with their paths
+    outside = 0  # text free of names
+    todo: list = [(tree, False, False)]
+    while todo:
+        node, under, after = todo.pop()
+        if after:
+            path.pop()
+            continue
+        path.append(node)
+        todo.append((node, under, True))
+        under = under or node.goes(False)
+        if node.tag in ("article", "main") and node.wordy and not node.said:
+            (bound if under else free).append((node, list(path)))
+        for k in node.kids:
+            if not isinstance(k, str):
+                todo.append((k, under, False))
+            elif not under:
+                outside += len(" ".join(k.split()))
+    articles = any(n.tag == "article" for n, _ in (free or bound))
+    if free:
+        return set(), articles
+    if bound:
+        most = max(n.size for n, _ in bound)
+        held = [way for n, way in bound if n.tag == "main" or 2 * n.size >= most]
+        return ({id(x) for way in held for x in way} if most >= outside or any(n.tag == "main" for n, _ in bound) else set()), articles
+    keep, node = set(), tree
+    while node is not None:  # down to where most of the text is
+        if not node.firm() and 2 * node.linked < node.size:
+            keep.add(id(node))
+        node = next((k for k in node.kids if not isinstance(k, str) and 2 * k.size > tree.size), None)
+    return keep, False
+
+
 def _left(tree: Node, template: set[int] | _Template | frozenset[int], cues: bool) -> tuple[str, bool]:
     """The text of what isn't template and, with cues, doesn't say that it isn't the article; whether any was template."""
     blocks: tuple[list[str], ...] = ([], [], [])  # elsewhere, in a main element, in an article
     order: list[tuple[int, str]] = []
     line: list[str] = []
     cleared = False
+    keep, articles = _kept(tree) if cues else (set(), False)
 
     def flush(scope: int) -> None:
         if own := " ".join("".join(line).split()):
@@ -227,7 +321,7 @@ def _left(tree: Node, template: set[int] | _Template | frozenset[int], cues: boo
         else:
             if node.tag not in ("#root", "html", "body", "article", "main") and (node.digest in template or node.place and _place(node.place) in template):
                 cleared = True
-            elif not (cues and node.drop and not (node.drop == 2 and scope and node.heading())):
+            elif not (cues and id(node) not in keep and node.goes(scope == 2 or scope == 1 and not articles)):
                 inner = scope if not cues else 2 if node.tag == "article" else max(scope, 1) if node.tag == "main" else scope
                 if not node.inline:
                     flush(scope)
@@ -236,8 +330,8 @@ def _left(tree: Node, template: set[int] | _Template | frozenset[int], cues: boo
                 continue
             if not node.inline:
                 flush(scope)
-    sizes = [sum(map(len, b)) for b in blocks]
-    least = 2 if sizes[2] and sizes[2] >= SCOPE_SHARE * sum(sizes) else 1 if sizes[1] + sizes[2] and sizes[1] + sizes[2] >= SCOPE_SHARE * sum(sizes) else 0
+    wordy = [any(any(map(str.isalnum, own)) for own in b) for b in blocks]
+    least = 2 if wordy[2] else 1 if wordy[1] else 0
     return "\n".join(own for scope, own in order if scope >= least), cleared
 
 
@@ -281,15 +375,17 @@ def marked(pages: DataFrame, key: str | None = None) -> DataFrame:
     return pages.select("host", "html", *([key] if key else [])).mapInArrow(run, _MARKED)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, place_share: float = PLACE_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, place_share: float = PLACE_SHARE, leaf_share: float = LEAF_SHARE, share: float = SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
     """(mark) of rows (host, html): the hosts' template subtrees and places; written."""
     counted = cut(marked(pages).distinct().groupBy("host", "mark", "kind", "place").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.col("kind") == PAGE) | (F.col("place") != 0)))
     many = F.col("n") >= min_pages
-    held = counted.where((F.col("kind") == CONTAINER) & many).select("mark")
-    leaves = counted.where((F.col("kind") == LEAF) & (F.col("n") >= 2 * min_pages)).join(counted.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages")), "host").where(F.col("n") >= leaf_share * F.col("pages")).select("mark")
+    pages_ = counted.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
+    least = F.when(F.col("kind") == LEAF, F.lit(leaf_share)).when(F.col("place") == 0, F.lit(inner_share)).otherwise(F.lit(share))
+    often = counted.where((F.col("kind") == CONTAINER) & many | (F.col("kind") == LEAF) & (F.col("n") >= 2 * min_pages))
+    held = often.join(pages_, "host").where(F.col("n") >= least * F.col("pages")).select("mark")
     places = counted.where(F.col("place") != 0).groupBy("place").agg(F.sum("n").alias("seen"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("again"))
     places = places.where((F.col("again") >= 2 * min_pages) & (F.col("again") >= place_share * F.col("seen"))).select(F.col("place").alias("mark"))
-    return cut(held.unionByName(leaves).unionByName(places).distinct())
+    return cut(held.unionByName(places).distinct())
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text", cues: bool = True, min_pages: int = MIN_PAGES, place_share: float = PLACE_SHARE, leaf_share: float = LEAF_SHARE) -> DataFrame:

@@ -162,6 +162,40 @@ def test_html_names_on_one_page():
     assert text('<p>keep <span class="q">k<span>m</span>n</span> on</p>') == "keep kmn on"
 
 
+def test_html_names_never_delete_the_article():
+    text = lambda x: html_text.main_text(x, set())
+    article = "<article><h1>Head</h1><p>the text of it</p></article>"
+    for names in ('class="site has-sidebar"', 'id="content" class="no-sidebar"', 'class="site header-fixed"', 'class="overlay"', 'class="menu page"'):
+        assert text(f"<body><div {names}>{article}</div></body>") == "Head\nthe text of it", names
+    assert text(f'<body><div class="widget-area-right"><main><p>one</p></main></div></body>') == "one"  # noqa: F541
+    assert text(f"<body><form><nav>menu</nav>{article}</form></body>") == "Head\nthe text of it"
+    # without such elements what holds most of the text stays, unless it says comments or is mostly links
+    assert text('<body><div class="search"><p>' + "much text of the page " * 5 + '</p></div><div class="menu">x</div></body>') == ("much text of the page " * 5).strip()
+    assert text('<body><p>short</p><div class="comments"><p>' + "a long comment " * 9 + '</p></div><div class="related"><a href=x>' + "a link " * 40 + "</a></div></body>") == "short"
+    # an article under such a name is no article where there is another, or more text
+    assert text(f'<body>{article}<div class="related"><article><p>other</p></article></div></body>') == "Head\nthe text of it"
+    assert text('<body><aside><article>card</article></aside><div><p>' + "the page itself " * 4 + "</p></div></body>") == ("the page itself " * 4).strip()
+
+
+def test_html_names_inside_the_article():
+    text = lambda x: html_text.main_text(x, set())
+    inner = '<section id="related-work"><p>a</p></section><section class="social-history"><p>b</p></section><h2 id="copyright">c</h2><ul class="menu"><li>soup</li><li>bread</li></ul><p>See <a class="share-link" href=x>the shared ledger</a> for it.</p>'
+    assert text(f"<article>{inner}</article>") == "a\nb\nc\nsoup\nbread\nSee the shared ledger for it."
+    gone = '<ul class="share"><li><a href=x>Share</a><li><a href=y>Post</a></ul><div class="ad-slot-3">Buy</div><p class="ad">Buy</p><div class="post-comments"><p>First!</p></div><div class="notice">We moved</div><div class=newsletter>Mail</div>'
+    assert text(f"<article><p>x</p>{gone}</article>") == "x"
+    # however short the article, and however long what stands beside it
+    for beside in ("<div>" + "an unmarked box " * 20 + "</div>", '<section class="discussion">' + "<p>said so</p>" * 30 + "</section>"):
+        assert text(f"<body><article><p>a short article</p></article>{beside}</body>") == "a short article"
+
+
+def test_html_rare_shared_sections(spark):
+    """What stands in four of a large host's articles is no template; what stands in a part of all pages is."""
+    page = lambda i: f"<body>{'<div>the season sale</div>' if i % 10 == 0 else ''}<article><p>own {i}</p>{'<section><p>an appendix</p></section>' if i < 4 else ''}</article></body>"
+    rows = [(i, "http://s.org/", page(i)) for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}" + ("\nan appendix" if i < 4 else "") for i in range(300)}
+
+
 def test_html_passages_that_articles_share(spark):
     shared = lambda i: "<p>a passage of many articles</p>" if i % 3 == 0 else ""
     notice = '<p>We moved to a new address.</p><span class="x7">Buy now!</span>'
