@@ -254,37 +254,97 @@ def distance_correlation(tree: DataFrame, vectors: DataFrame) -> DataFrame:
     return spearman(cut(tree_distances(tree, vectors)), "far", "steps")
 
 
-def weighted_grid(points: DataFrame, size: int, bandwidth: float, weight: str | None = None, padding: float = 0.1) -> DataFrame:
+#: Kernel values below this are left out: beyond NEGLIGIBLE a point is too far from a cell to count.
+NEGLIGIBLE = 1e-12
+
+
+def weighted_grid(points: DataFrame, size: int, bandwidth: float, weight: str | None = None, padding: float = 0.1, bins: int | None = None) -> DataFrame:
     """(gx, gy, density): a Gaussian kernel sum over a size * size grid around points (x, y), optionally weighted by
-    log1p of a count; 0 without points."""
+    log1p of a count; 0 without points. Points without a place are left out.
+
+    The kernel is a product of one along x and one along y, so sums go along one axis at a time: a place counts for the columns
+    within reach, a column's places count for the cells within reach. Points of one place are added up first. With
+    ``bins`` a place is the middle of one of ``bins`` parts of a cell's width and height, so that what follows is of bounded size however
+    many points there are, and every place moves by half a part at most; without it, results are exact.
+    """
     w = F.log1p(F.col(weight).cast("double")) if weight else F.lit(1.0)
-    own = points.select("x", "y", w.alias("w"))
+    own = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), w.alias("w")).where("x IS NOT NULL AND y IS NOT NULL")
     box = own.agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))), F.sum("w").alias("total"))
-    axis = points.sparkSession.range(size).select(F.col("id").cast("int").alias("g"))
-    grid = axis.select(F.col("g").alias("gx")).crossJoin(axis.select(F.col("g").alias("gy")))  # size * size cells, by definition
-    at = lambda c, g: F.col(f"lo{c}") - padding * (F.col(f"hi{c}") - F.col(f"lo{c}")) + F.col(g) / (size - 1) * (1 + 2 * padding) * (F.col(f"hi{c}") - F.col(f"lo{c}"))
-    cells = grid.crossJoin(F.broadcast(box)).select("gx", "gy", at("x", "gx").alias("cx"), at("y", "gy").alias("cy"), "total")
-    near = own.crossJoin(F.broadcast(cells)).groupBy("gx", "gy").agg((F.sum(F.col("w") * F.exp(-((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2) / (2 * bandwidth**2))) / F.when(F.max("total") > 0, F.max("total"))).alias("density"))
-    return near.select("gx", "gy", F.coalesce("density", F.lit(0.0)).alias("density"))
+    span = lambda c: (1 + 2 * padding) * (F.col(f"hi{c}") - F.col(f"lo{c}"))
+    # a row: the first cell's place and the step of either axis
+    box = F.broadcast(cut(box.select("total", *(x for c in "xy" for x in ((F.col(f"lo{c}") - padding * (F.col(f"hi{c}") - F.col(f"lo{c}"))).alias(f"from_{c}"), (span(c) / max(1, size - 1)).alias(f"step_{c}"))))))
+    rows = own.crossJoin(box)
+    if bins:
+        middle = lambda c: F.when(F.col(f"step_{c}") > 0, (F.floor((F.col(c) - F.col(f"from_{c}")) / F.col(f"step_{c}") * bins) + 0.5) * F.col(f"step_{c}") / bins + F.col(f"from_{c}")).otherwise(F.col(c))
+        rows = rows.select(middle("x").alias("x"), middle("y").alias("y"), "w")
+    places = rows.groupBy("x", "y").agg(F.sum("w").alias("w")).crossJoin(box)
+    reach = bandwidth * float(np.sqrt(-2 * np.log(NEGLIGIBLE)))
+
+    def within(df: DataFrame, c: str) -> DataFrame:
+        """A row for each cell along axis ``c`` within reach, its weight multiplied by the kernel."""
+        from_, step, last = F.col(f"from_{c}"), F.col(f"step_{c}"), F.lit(size - 1)
+        low = F.when(step > 0, F.greatest(F.lit(0), F.ceil((F.col(c) - reach - from_) / step))).otherwise(F.lit(0)).cast("int")
+        high = F.when(step > 0, F.least(last, F.floor((F.col(c) + reach - from_) / step))).otherwise(last).cast("int")
+        cells = df.where(low <= high).withColumn(f"g{c}", F.explode(F.sequence(low, high)))
+        return cells.withColumn("w", F.col("w") * F.exp(-((F.col(c) - from_ - F.col(f"g{c}") * step) ** 2) / (2 * bandwidth**2)))
+
+    columns = within(places, "x").groupBy("gx", "y").agg(F.sum("w").alias("w")).crossJoin(box)
+    cells = within(columns, "y").groupBy("gx", "gy").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
+    k = F.col("id")
+    grid = points.sparkSession.range(size * size).select(F.floor(k / size).cast("int").alias("gx"), (k % size).cast("int").alias("gy"))
+    return grid.join(cells, ["gx", "gy"], "left").select("gx", "gy", F.coalesce(F.when(F.col("total") > 0, F.col("w") / F.col("total")), F.lit(0.0)).alias("density"))
+
+
+#: Segments that a cell of the quadtree holds before it is split, and how often cells are split at most.
+CROWD, DEEPEST = 256, 14
 
 
 def crossings(segments: DataFrame) -> DataFrame:
     """(crossings) among segments (id, a, b, ax, ay, bx, by): pairs with four different ends that cross.
 
-    Only segments whose boxes share a cell of a coarse grid can cross; a pair counts in the lowest cell that it shares.
+    Only segments whose boxes share a cell of a quadtree can cross. Cells with over ``CROWD`` segments are split into four, down to
+    ``DEEPEST``, as long as that parts their segments; crowded places get small cells and empty ones none. A pair counts in the cell
+    that has the lower left corner of what its boxes share, which is in both.
     """
-    cells = 32
-    box = segments.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"))
-
-    def cell(v, lo: str, hi: str):
-        return F.least(F.lit(cells - 1), F.floor((v - F.col(lo)) / F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)).otherwise(F.lit(1.0)) * cells).cast("int"))
-
-    rows = segments.crossJoin(F.broadcast(box))
-    rows = rows.withColumn("gx0", cell(F.least("ax", "bx"), "x0", "x1")).withColumn("gx1", cell(F.greatest("ax", "bx"), "x0", "x1")).withColumn("gy0", cell(F.least("ay", "by"), "y0", "y1")).withColumn("gy1", cell(F.greatest("ay", "by"), "y0", "y1"))
-    rows = rows.withColumn("gx", F.explode(F.sequence("gx0", "gx1"))).withColumn("gy", F.explode(F.sequence("gy0", "gy1")))
-    p, q = (rows.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "a", "b", "ax", "ay", "bx", "by", "gx0", "gy0", "gx", "gy"))) for s in "pq")
-    met = p.join(q, (F.col("p_gx") == F.col("q_gx")) & (F.col("p_gy") == F.col("q_gy")) & (F.col("p_id") < F.col("q_id")))
-    met = met.where((F.col("p_gx") == F.greatest("p_gx0", "q_gx0")) & (F.col("p_gy") == F.greatest("p_gy0", "q_gy0")))
+    low, high = (lambda c: F.least(f"a{c}", f"b{c}")), (lambda c: F.greatest(f"a{c}", f"b{c}"))
+    rows = segments.select("id", "a", "b", "ax", "ay", "bx", "by", *(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo_", low), ("hi_", high))))
+    rows = cut(rows.dropna(subset=["ax", "ay", "bx", "by"]))
+    box = rows.agg(*(f(f"{n}{c}").alias(f"{m}{c}") for c in "xy" for m, n, f in (("x0", "lo_", F.min), ("x1", "hi_", F.max)))).first()
+    if box[0] is None:
+        return rows.agg(F.count("*").alias("crossings"))
+    size = max(box["x1x"] - box["x0x"], box["x1y"] - box["x0y"]) or 1.0
+    # places in 0..1, and cells as integers: a cell of depth d has (cx, cy) below 2^d
+    at = lambda c, n: F.least(F.lit(1 - 2.0**-40), (F.col(f"{n}{c}") - box[f"x0{c}"]) / size)
+    rows = rows.select("id", "a", "b", "ax", "ay", "bx", "by", *(at(c, n).alias(f"{n}{c}") for c in "xy" for n in ("lo_", "hi_")))
+    crowd = rows.select("*", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
+    crowd = cut(crowd)
+    settled = []
+    for depth in range(DEEPEST + 1):
+        sizes = crowd.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        if depth == DEEPEST:
+            settled.append((depth, crowd))
+            break
+        # a cell is split if its four parts together have less than three times its segments
+        of = lambda c, n: F.floor(F.col(f"{n}{c}") * 2.0 ** (depth + 1)).cast("bigint")  # noqa: E731, B023
+        parts = crowd.select("*", *(F.explode(F.sequence(F.greatest(2 * F.col(f"c{c}"), of(c, "lo_")), F.least(2 * F.col(f"c{c}") + 1, of(c, "hi_")))).alias(f"k{c}") for c in "x"))
+        parts = parts.select("*", F.explode(F.sequence(F.greatest(2 * F.col("cy"), of("y", "lo_")), F.least(2 * F.col("cy") + 1, of("y", "hi_")))).alias("ky"))
+        after = parts.groupBy("cx", "cy").agg(F.count("*").alias("after"))
+        split = cut(sizes.join(after, ["cx", "cy"]).where((F.col("n") > CROWD) & (F.col("after") < 3 * F.col("n"))).select("cx", "cy"))
+        settled.append((depth, crowd.join(split, ["cx", "cy"], "left_anti")))
+        if split.isEmpty():
+            break
+        crowd = cut(parts.join(split, ["cx", "cy"], "left_semi").drop("cx", "cy").withColumnRenamed("kx", "cx").withColumnRenamed("ky", "cy"))
+    leaves = None
+    for depth, cells in settled:
+        own = cells.withColumn("depth", F.lit(depth))
+        leaves = own if leaves is None else leaves.unionByName(own)
+    leaves = cut(leaves)
+    p, q = (leaves.select(*(F.col(c).alias(f"{s}_{c}") for c in leaves.columns)) for s in "pq")
+    met = p.join(q, (F.col("p_cx") == F.col("q_cx")) & (F.col("p_cy") == F.col("q_cy")) & (F.col("p_depth") == F.col("q_depth")) & (F.col("p_id") < F.col("q_id")))
+    corner = lambda c: F.floor(F.greatest(f"p_lo_{c}", f"q_lo_{c}") * F.pow(F.lit(2.0), F.col("p_depth"))).cast("bigint")
+    met = met.where((corner("x") == F.col("p_cx")) & (corner("y") == F.col("p_cy")))
+    for c in "xy":
+        met = met.where((F.col(f"p_lo_{c}") <= F.col(f"q_hi_{c}")) & (F.col(f"q_lo_{c}") <= F.col(f"p_hi_{c}")))
     met = met.where("p_a <> q_a AND p_a <> q_b AND p_b <> q_a AND p_b <> q_b")
 
     def turns(a: tuple, b: tuple, c: tuple):

@@ -665,3 +665,29 @@ def weighted_density_grid(spark, d):
     k = F.col("n_nationkey")
     points = T.read(spark, d, "nation").select((k * 7 % 25).cast("double").alias("x"), (k * k % 23).cast("double").alias("y"), k.alias("visits"))
     return analytics.weighted_grid(points, 20, 3.0, "visits").select("gx", "gy", F.round("density", 6).alias("density"))
+
+
+STREETS = """seg AS (SELECT k AS id, 'C' || c AS a, 'O' || k AS b, x AS ax, y AS ay, x + k % 17 - 8 AS bx, y + k * 3 % 19 - 9 AS by_ FROM (
+  SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey * 7919 % 10007) / CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 10 END::DOUBLE AS x, (o_orderkey * 104729 % 10009) / CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 10 END::DOUBLE AS y FROM orders))"""
+
+
+@query(f"""WITH {STREETS} SELECT count(*) AS crossings FROM seg p JOIN seg q ON p.id < q.id AND least(p.ax, p.bx) <= greatest(q.ax, q.bx) AND least(q.ax, q.bx) <= greatest(p.ax, p.bx)
+WHERE least(p.ay, p.by_) <= greatest(q.ay, q.by_) AND least(q.ay, q.by_) <= greatest(p.ay, p.by_) AND p.a <> q.a AND p.a <> q.b AND p.b <> q.a AND p.b <> q.b
+AND ((q.ay - p.ay) * (p.bx - p.ax) > (p.by_ - p.ay) * (q.ax - p.ax)) <> ((q.by_ - p.ay) * (p.bx - p.ax) > (p.by_ - p.ay) * (q.bx - p.ax))
+AND ((p.ay - q.ay) * (q.bx - q.ax) > (q.by_ - q.ay) * (p.ax - q.ax)) <> ((p.by_ - q.ay) * (q.bx - q.ax) > (q.by_ - q.ay) * (p.bx - q.ax))""")
+def order_crossings(spark, d):
+    """A13 over a segment for each order, a third of them crowded into a hundredth of the plane."""
+    k = F.col("o_orderkey")
+    wide = F.when(k % 3 == 0, 100.0).otherwise(10.0)
+    x, y = k * 7919 % 10007 / wide, k * 104729 % 10009 / wide
+    rows = T.read(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("O"), k.cast("string")).alias("b"), x.alias("ax"), y.alias("ay"), (x + k % 17 - 8).alias("bx"), (y + k * 3 % 19 - 9).alias("by"))
+    return analytics.crossings(rows)
+
+
+@query("""WITH p AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice / 1000::DOUBLE AS y, ln(1 + l_linenumber::DOUBLE) AS w FROM lineitem), b AS (SELECT min(x) - 0.1 * (max(x) - min(x)) AS fx, 1.2 * (max(x) - min(x)) / 31 AS sx, min(y) - 0.1 * (max(y) - min(y)) AS fy, 1.2 * (max(y) - min(y)) / 31 AS sy, sum(w) AS t FROM p),
+m AS (SELECT (floor((x - fx) / sx * 8) + 0.5) * sx / 8 + fx AS x, (floor((y - fy) / sy * 8) + 0.5) * sy / 8 + fy AS y, sum(w) AS w FROM p, b GROUP BY 1, 2)
+SELECT gx::INTEGER AS gx, gy::INTEGER AS gy, round(sum(w * exp(-((x - fx - gx * sx) ** 2 + (y - fy - gy * sy) ** 2) / (2 * 2.5 ** 2))) / max(t), 6) AS density FROM range(32) a(gx), range(32) c(gy), b, m GROUP BY gx, gy""")
+def lineitem_density_grid(spark, d):
+    """X13, X14 over all lineitems, in eight parts of a cell either way."""
+    points = T.read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"), F.col("l_linenumber").alias("n"))
+    return analytics.weighted_grid(points, 32, 2.5, "n", bins=8).select("gx", "gy", F.round("density", 6).alias("density"))
