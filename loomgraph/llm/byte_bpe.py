@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread, table
+from .common import col, spread, table
 
 NONE = np.int32(2**31 - 1)
 LONG = 2048
@@ -271,7 +271,7 @@ def _run(df: DataFrame, source: str, outputs: list[T.StructField], keep_source:
             state = state or make()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *state(batch.column(source))], names=[f.name for f in schema])
 
-    return df.select(*kept, *([] if source in kept else [source])).mapInArrow(run, schema)
+    return df.select(*map(col, kept), *([] if source in kept else [col(source)])).mapInArrow(run, schema)
 
 
 _IDS = T.ArrayType(T.IntegerType(), False)

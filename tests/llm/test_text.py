@@ -96,6 +96,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <section id="comments"><article class="comment"><p>First!</p></article></section></main><aside>Side</aside><footer>&copy; {site}</footer></body></html>"""
 
 
+def test_bpe_columns_with_dots(spark, bpe):
+    docs = spark.createDataFrame([(1, "a word", "x", 2)], "doc_id long, `the.text` string, `a.b` string, `a c` int")
+    import public_tokenizers as P
+
+    rows = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, text="the.text", decoded="decoded", keep_text=True)
+    assert rows.columns == ["doc_id", "the.text", "a.b", "a c", "ids", "decoded"]
+    assert [(r["a.b"], r["ids"], bytes(r["decoded"])) for r in rows.collect()] == [("x", bpe[1].encode_ordinary("a word"), b"a word")]
+
+
 def test_html_text(spark):
     rows = [(i, f"http://s.org/{i}", PAGE.format(n=i, site="s")) for i in range(6)] + [(100, "http://t.org/", PAGE.format(n=7, site="t")), (101, None, None), (None, "x", ""), (102, "http://u/", "plain &eacute; text"), (103, "http://u/", "<p>a<p>b" + "<div>" * 3000 + "deep"), (104, "http://u/", "<p>" + "w " * 30_000)]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
