@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, spread, table
+from .common import but, col, packed, spread, table, unpacked
 
 NONE = np.int32(2**31 - 1)
 LONG = 2048
@@ -251,9 +251,13 @@ def _steps(batches: Iterator[pa.RecordBatch], weigh) -> Iterator[pa.RecordBatch]
 
 
 def _sizes(column: str):
+    return lambda batch: _bytes(batch.column(column))
+
+
+def _bytes(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
-    return lambda batch: pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -261,17 +265,19 @@ def _binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _run(df: DataFrame, source: str, outputs: list[T.StructField], keep_source: bool, weigh, make) -> DataFrame:
-    names = {f.name.lower() for f in outputs}
-    kept = [c for c in df.columns if c.lower() not in names and (keep_source or c != source)]
-    schema = T.StructType([*(df.schema[c] for c in kept), *outputs])
+    """``df`` with ``outputs`` of ``make()(column)`` instead of columns of these names. Other columns travel as one struct, so their
+    names may be any."""
+    kept = but(df, *(f.name for f in outputs), *([] if keep_source else [source]))
+    sent = df.select(packed(df, kept).alias("__kept"), col(source).alias("__source"))
+    schema = T.StructType([sent.schema["__kept"], *outputs])
 
     def run(batches):
         state = None
-        for batch in _steps(batches, weigh):
+        for batch in _steps(batches, lambda b: weigh(b.column("__source"))):
             state = state or make()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *state(batch.column(source))], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column("__kept"), *state(batch.column("__source"))], names=[f.name for f in schema])
 
-    return df.select(*map(col, kept), *([] if source in kept else [col(source)])).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema).select(*unpacked("__kept", kept), *(col(f.name) for f in outputs))
 
 
 _IDS = T.ArrayType(T.IntegerType(), False)
@@ -291,7 +297,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         return step
 
     outputs = [T.StructField(ids, _IDS), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
-    return _run(df, text, outputs, keep_text, _sizes(text), make)
+    return _run(df, text, outputs, keep_text, _bytes, make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -307,7 +313,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
 
         return step
 
-    weigh = lambda batch: 8 * pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    weigh = lambda rows: 8 * pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return _run(df, ids, [T.StructField(decoded, T.BinaryType())], True, weigh, make)
 
 
