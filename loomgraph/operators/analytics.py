@@ -28,19 +28,12 @@ def in_arrow(meet, schema: pa.Schema):
     return lambda a, b: pa.Table.from_pandas(meet(a.to_pandas(), b.to_pandas()), schema=schema, preserve_index=False)
 
 
-def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
-    """(id, other, similarity): the k most similar other rows by cosine in double precision; ties to the smaller id.
+#: Balls that vectors are dealt into at most, and what angles may be off by.
+BALLS, SLACK = 1024, 1e-6
 
-    Exact, in blocks: rows are dealt into b parts, every part meets every part once as a cogroup of two blocks, each
-    block keeps its k best for every row, and these are merged. No pair becomes a row, nothing is broadcast.
-    """
-    rows = cut(vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
-    parts = max(1, -(-rows.count() // BLOCK))
-    lot = F.pmod(F.xxhash64("id"), F.lit(parts))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.select(F.col("id").alias("lid"), F.col("v").alias("lv"), lot.alias("li"), every.alias("lj"))
-    right = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), lot.alias("rj"), every.alias("ri"))
-    kind = rows.schema["id"].dataType.simpleString()
+
+def nearest_in(k: int):
+    """``meet`` of two blocks (lid, lv) and (rid, rv): the k most similar others of each left row."""
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -59,9 +52,82 @@ def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "ve
         row, column = row[nth < k], column[nth < k]
         return pd.DataFrame({"id": aid[row], "other": bid[column], "similarity": s[row, column]})
 
-    best = left.groupBy("li", "lj").cogroup(right.groupBy("ri", "rj")).applyInPandas(meet, f"id {kind}, other {kind}, similarity double")
+    return meet
+
+
+def blocks_meet(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(id, other, similarity) of blocks (i, li, lj, lid, lv) and (j, ri, rj, rid, rv) with the same numbers."""
+    kind = left.schema["lid"].dataType.simpleString()
+    return left.groupBy("li", "lj").cogroup(right.groupBy("ri", "rj")).applyInPandas(nearest_in(k), f"id {kind}, other {kind}, similarity double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.round("similarity", 12).desc(), "other")
-    return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+
+
+def balls_of(rows: DataFrame, n_balls: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``rows`` (id, v) with ``ball``, the most similar of ``n_balls`` rows picked by hash; the angles between the balls' middles, and
+    each ball's largest angle to its middle."""
+    middles = unit(pd.Series([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(n_balls).collect()]))  # n_balls rows at most
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, ball int, near double"
+
+    def deal(frames):
+        for frame in frames:
+            s = unit(frame["v"]) @ middles.T
+            ball = s.argmax(1)
+            yield frame.assign(ball=ball, near=s[np.arange(len(s)), ball])
+
+    dealt = cut(rows.mapInPandas(deal, schema))
+    wide = np.zeros(len(middles))
+    for r in dealt.groupBy("ball").agg(F.min("near").alias("near")).collect():
+        wide[r["ball"]] = np.arccos(np.clip(r["near"], -1, 1))
+    return dealt, np.arccos(np.clip(middles @ middles.T, -1, 1)), wide
+
+
+def may_hold(apart: np.ndarray, wide: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether a row of ball i may have one of ball j among its nearest: the smallest angle that the balls allow, against the ball's
+    least similarity of a k-th neighbour."""
+    return np.cos(np.maximum(0, apart - wide[:, None] - wide[None] - SLACK)) + SLACK >= least[:, None]
+
+
+def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
+    """(id, other, similarity): the k most similar other rows by cosine in double precision; ties to the smaller id.
+
+    Exact, in blocks, and no pair becomes a row. More than one block of rows is dealt into balls around some of them. A ball's
+    rows first meet each other, which bounds what a k-th neighbour has; then a ball meets those others that by their distance and
+    size may hold something as near. Vectors without any clusters meet all, as they must. Balls of over ``BLOCK`` rows are split.
+    """
+    rows = cut(vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
+    n = rows.count()
+    if n <= BLOCK:
+        one = F.lit(0)
+        return best_of(blocks_meet(rows.select(F.col("id").alias("lid"), F.col("v").alias("lv"), one.alias("li"), one.alias("lj")), rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), one.alias("ri"), one.alias("rj")), k), k)
+    rows, apart, wide = balls_of(rows, min(BALLS, max(2, 2 * n // BLOCK)))
+    sizes = np.zeros(len(wide), int)
+    for r in rows.groupBy("ball").count().collect():
+        sizes[r["ball"]] = r["count"]
+    lots = [max(1, -(-int(x) // BLOCK)) for x in sizes]
+    spark = vectors.sparkSession
+    rows = rows.join(F.broadcast(spark.createDataFrame(list(enumerate(lots)), "ball int, lots int")), "ball").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
+
+    def met(pairs: np.ndarray) -> DataFrame:
+        """Rows of ball i against those of ball j where ``pairs`` has it; blocks are numbered (ball, lot) by (ball, lot)."""
+        to = spark.createDataFrame([(i, [[int(j), m] for j in np.flatnonzero(row) for m in range(lots[j])]) for i, row in enumerate(pairs) if row.any()], "ball int, to array<array<int>>")
+        by = spark.createDataFrame([(j, [[int(i), m] for i in np.flatnonzero(column) for m in range(lots[i])]) for j, column in enumerate(pairs.T) if column.any()], "ball int, by array<array<int>>")
+        own = F.array("ball", "lot")
+        left = rows.join(F.broadcast(to), "ball").select(F.col("id").alias("lid"), F.col("v").alias("lv"), own.alias("li"), F.explode("to").alias("lj"))
+        right = rows.join(F.broadcast(by), "ball").select(F.col("id").alias("rid"), F.col("v").alias("rv"), own.alias("rj"), F.explode("by").alias("ri"))
+        return blocks_meet(left, right, k)
+
+    same = cut(best_of(met(np.eye(len(wide), dtype=bool)), k))
+    counted = rows.select("id", "ball").join(same.groupBy("id").agg(F.count("*").alias("n"), F.min(F.round("similarity", 12)).alias("kth")), "id", "left")
+    least = np.full(len(wide), -2.0)
+    for r in counted.groupBy("ball").agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-2.0))).alias("least")).collect():
+        least[r["ball"]] = r["least"]
+    held = (sizes > 0)[:, None] & (sizes > 0)[None] & ~np.eye(len(wide), dtype=bool)
+    others = may_hold(apart, wide, least) & held
+    return best_of(same.unionByName(met(others)), k) if others.any() else same
 
 
 def minmax(column: str, constant: float) -> object:

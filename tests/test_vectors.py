@@ -62,3 +62,30 @@ def test_correlation_over_all_places(spark, sf, places):
                 steps.append(len(x) + len(y) - 2 * common)
     got = registry.QUERIES["distance_correlation"](spark, sf).collect()[0]
     assert got["n"] == len(far) > 1000 and abs(got["rho"] - np.corrcoef(ranks(far), ranks(steps))[0, 1]) < 1e-5
+
+
+@pytest.mark.parametrize("clusters", [True, False])
+def test_neighbours_in_balls(spark, monkeypatch, clusters):
+    """Many blocks give what one gives; balls that can't hold a nearer neighbour don't meet."""
+    monkeypatch.setattr(analytics, "BLOCK", 40)
+    seen = []
+    may_hold = analytics.may_hold
+    monkeypatch.setattr(analytics, "may_hold", lambda *a: seen.append(may_hold(*a)) or seen[-1])
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(20, 16))
+    v = np.array([middle[i % 20] + 0.02 * rng.normal(size=16) for i in range(400)]) if clusters else rng.normal(size=(400, 16))
+    v[7] = v[27]  # a tie
+    v[399] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "id long, vector array<double>")
+    got = {}
+    for r in analytics.top_neighbours(rows, 4).collect():
+        got.setdefault(r["id"], []).append((-round(r["similarity"], 12), r["other"]))
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(size == 0, 1, size)
+    s = u @ u.T
+    assert len(got) == 400 and seen
+    for i in range(400):
+        want = sorted((-round(s[i, j], 12), j) for j in range(400) if j != i)[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want] or np.allclose([x for x, _ in sorted(got[i])], [x for x, _ in want], atol=1e-9)
+    skipped = 1 - seen[0].mean()
+    assert skipped > 0.5 if clusters else skipped < 0.5
