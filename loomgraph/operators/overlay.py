@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut, have, lack
@@ -72,9 +72,11 @@ def use_cases(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> Dat
 
 
 def prompts(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, most: int = 20) -> DataFrame:
-    """(id, prompt): an entrypoint's label and the labels of the first reachable nodes by id."""
+    """(id, prompt): an entrypoint's label and the labels of the first ``most`` reachable nodes by id; every task passes on no
+    more than that many of an entrypoint."""
     pairs = closure(entrypoints, edges).join(nodes.select("node", "label"), "node")
-    lists = pairs.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct("node", "label"))), 1, most).alias("near"))
+    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("nth") <= most)
+    lists = first.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("near"))
     named = lists.join(nodes.select(F.col("node").alias("seed"), "label"), "seed")
     return named.select(F.col("seed").alias("id"), F.concat(F.lit("Name the use case that starts at "), "label", F.lit(". It reaches: "), F.array_join(F.transform("near", lambda x: x["label"]), ", "), F.lit(". Answer with JSON: displayName, userDescription.")).alias("prompt"))
 

@@ -691,3 +691,68 @@ def lineitem_density_grid(spark, d):
     """X13, X14 over all lineitems, in eight parts of a cell either way."""
     points = T.read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"), F.col("l_linenumber").alias("n"))
     return analytics.weighted_grid(points, 32, 2.5, "n", bins=8).select("gx", "gy", F.round("density", 6).alias("density"))
+
+
+# places, texts and walks
+
+
+@query("""WITH o AS (SELECT c_name AS name, 'd' || c_nationkey AS dir, c_custkey % 4 = 1 AS moved FROM customer), i AS (SELECT dir || '|' || name || '|function' AS key, 'sym:' || dir || '/old.py:old.' || name AS f, 'sym:' || dir || '/new.py:new.' || name AS t FROM o WHERE moved)
+SELECT 'medium' AS tier, key, f AS from_ids, t AS to_ids FROM i""")
+def remap_medium_moves(spark, d):
+    """Every fourth customer's symbol moves to another file of its folder."""
+    c, moved = T.read(spark, d, "customer"), F.col("c_custkey") % 4 == 1
+
+    def side(module) -> DataFrame:
+        path = F.concat(F.lit("d"), F.col("c_nationkey").cast("string"), F.lit("/"), module, F.lit(".py"))
+        q = F.concat(module, F.lit("."), "c_name")
+        return c.select(F.concat(F.lit("sym:"), path, F.lit(":"), q).alias("id"), F.lit("function").alias("kind"), F.col("c_name").alias("name"), q.alias("qualified_name"), F.concat(F.lit("file:"), path).alias("file_id"), path.alias("path"))
+
+    old, new = side(F.lit("old")), side(F.when(moved, "new").otherwise(F.lit("old")))
+    files = lambda x: x.select(F.col("file_id").alias("id"), "path").distinct()
+    return diff.remap(old, new, files(old), files(new)).where("tier = 'medium' AND entity = 'symbol'").select("tier", "key", F.array_join("from_ids", ",").alias("from_ids"), F.array_join("to_ids", ",").alias("to_ids"))
+
+
+@query(f"WITH RECURSIVE {EDGES}, {STEPS}, r(node) AS (SELECT 'N:1' UNION SELECT dst FROM r JOIN steps ON src = node) SELECT src, dst FROM steps WHERE src IN (SELECT node FROM r)")
+def walked_edges(spark, d):
+    """G15."""
+    return graph.walked_edges(one(spark, "N:1"), T.edges(spark, d))
+
+
+@query("""SELECT 'N:' || n_nationkey AS seed, n_name || coalesce((SELECT string_agg(chr(10) || chr(10) || c_name, '' ORDER BY 'C:' || c_custkey) FROM customer WHERE c_nationkey = n_nationkey), '') AS text FROM nation""")
+def nation_texts(spark, d):
+    """Each nation's name and those of its customers."""
+    n, c = T.read(spark, d, "nation"), T.read(spark, d, "customer")
+    sources = n.select(T.tagged("N", "n_nationkey").alias("node"), F.col("n_name").alias("source")).unionByName(c.select(T.tagged("C", "c_custkey").alias("node"), F.col("c_name").alias("source")))
+    tree = T.place_tree(spark, d).where("parent LIKE 'N:%'").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    return graph.tier_texts(n.select(T.tagged("N", "n_nationkey").alias("node")), tree, sources)
+
+
+PULLS = ", ".join(f"p{i + 1} AS (SELECT node, x + 0.35 * (coalesce((SELECT avg(q.x) FROM (SELECT DISTINCT src, dst FROM trade) e JOIN p{i} q ON q.node = e.src WHERE e.dst = p{i}.node), x) - x) AS x, y + 0.35 * (coalesce((SELECT avg(q.y) FROM (SELECT DISTINCT src, dst FROM trade) e JOIN p{i} q ON q.node = e.src WHERE e.dst = p{i}.node), y) - y) AS y FROM p{i})" for i in range(4))
+
+
+@query(f"WITH {TRADE}, p0 AS (SELECT 'N:' || n_nationkey AS node, (n_nationkey * 7 % 25)::DOUBLE AS x, (n_nationkey * n_nationkey % 23)::DOUBLE AS y FROM nation), {PULLS} SELECT node, round(x, 6) AS x, round(y, 6) AS y FROM p4")
+def pulled_places(spark, d):
+    """X6."""
+    k = F.col("n_nationkey")
+    points = T.read(spark, d, "nation").select(T.tagged("N", "n_nationkey").alias("node"), (k * 7 % 25).alias("x"), (k * k % 23).alias("y"))
+    return analytics.pulled(points, T.trade(spark, d)).select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT 'F:' || (l_partkey % 20) AS file, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
+def price_bands(spark, d):
+    """X18."""
+    return analytics.bands(T.read(spark, d, "lineitem").select(F.concat(F.lit("F:"), (F.col("l_partkey") % 20).cast("string")).alias("file"), F.col("l_extendedprice").alias("y")))
+
+
+@query("SELECT 'R:' || r_regionkey AS node, 10.0::DOUBLE AS height FROM region UNION ALL SELECT 'N:' || n_nationkey, 5.0 FROM nation UNION ALL SELECT 'C:' || c_custkey, 0.0 FROM customer")
+def fallback_heights(spark, d):
+    """Places by their depth in the tree."""
+    return analytics.fallback_heights(tree_order.intervals(T.place_tree(spark, d).select("node", "parent")).select("node", "depth"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_acctbal::DOUBLE AS x, (c_custkey % 100)::DOUBLE AS y FROM customer), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, greatest(max(x) - min(x), max(y) - min(y)) AS s FROM p)
+SELECT id, round((x - (x0 + x1) / 2) / s * 50, 6) AS x, round((y - (y0 + y1) / 2) / s * 50, 6) AS y FROM p, b""")
+def spread_customers(spark, d):
+    """X21."""
+    points = T.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
+    return analytics.spread_xy(points).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
