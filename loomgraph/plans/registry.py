@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.frames import shared_folder
-from ..operators import analytics, components, diff, entrypoints, graph, overlay, projection, resolve, tree_order, validate
+from ..operators import analytics, components, diff, entrypoints, graph, overlay, projection, resolve, search, tree_order, validate
 from ..streaming import depth
 from . import tables as T
 
@@ -756,3 +756,21 @@ def spread_customers(spark, d):
     """X21."""
     points = T.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
     return analytics.spread_xy(points).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("""WITH l AS (SELECT 'P:' || p_partkey AS node, lower(p_name) AS label FROM part), q AS (SELECT DISTINCT substr(p_name, 2, 4) AS query FROM part UNION SELECT DISTINCT substr(p_name, 1, 2) FROM part)
+SELECT query, node FROM q JOIN l ON contains(label, lower(query))""")
+def label_search(spark, d):
+    """Parts whose names contain each of the names' own pieces."""
+    parts = T.read(spark, d, "part").select(T.tagged("P", "p_partkey").alias("node"), F.col("p_name").alias("label"))
+    queries = parts.select(F.substring("label", 2, 4).alias("query")).union(parts.select(F.substring("label", 1, 2)))
+    return search.find_labels(queries, search.label_index(parts), parts)
+
+
+@query("""WITH e AS (SELECT 'O:' || l_orderkey AS src, 'P:' || l_partkey AS dst, 'calls' AS kind, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS rank, l_linestatus = 'F' AS x FROM lineitem)
+SELECT src, dst, kind, ['unknown', 'heuristic', 'resolved'][max(rank)] AS confidence, CASE WHEN bool_and(x) THEN 'first' WHEN bool_or(x) THEN 'both' ELSE 'second' END AS producers FROM e GROUP BY 1, 2, 3""")
+def merged_producers(spark, d):
+    """Edges of finished and of open lines as two producers' graphs."""
+    sure = F.when(F.col("l_returnflag") == "A", "resolved").when(F.col("l_returnflag") == "N", "heuristic").otherwise("unknown")
+    rows = T.read(spark, d, "lineitem").select(T.tagged("O", "l_orderkey").alias("src"), T.tagged("P", "l_partkey").alias("dst"), F.lit("calls").alias("kind"), sure.alias("confidence"), "l_linestatus")
+    return search.merged_edges(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus <> 'F'"))
