@@ -28,8 +28,8 @@ def in_arrow(meet, schema: pa.Schema):
     return lambda a, b: pa.Table.from_pandas(meet(a.to_pandas(), b.to_pandas()), schema=schema, preserve_index=False)
 
 
-#: Balls that vectors are dealt into at most, and what angles may be off by.
-BALLS, SLACK = 1024, 1e-6
+#: Blocks up to which all meet, balls that vectors are dealt into at most, and what angles may be off by.
+FEW_BLOCKS, BALLS, SLACK = 8, 1024, 1e-6
 
 
 def nearest_in(k: int):
@@ -94,15 +94,18 @@ def may_hold(apart: np.ndarray, wide: np.ndarray, least: np.ndarray) -> np.ndarr
 def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """(id, other, similarity): the k most similar other rows by cosine in double precision; ties to the smaller id.
 
-    Exact, in blocks, and no pair becomes a row. More than one block of rows is dealt into balls around some of them. A ball's
+    Exact, in blocks, and no pair becomes a row. More than ``FEW_BLOCKS`` blocks of rows are dealt into balls around some of them. A ball's
     rows first meet each other, which bounds what a k-th neighbour has; then a ball meets those others that by their distance and
     size may hold something as near. Vectors without any clusters meet all, as they must. Balls of over ``BLOCK`` rows are split.
     """
     rows = cut(vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
     n = rows.count()
-    if n <= BLOCK:
-        one = F.lit(0)
-        return best_of(blocks_meet(rows.select(F.col("id").alias("lid"), F.col("v").alias("lv"), one.alias("li"), one.alias("lj")), rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), one.alias("ri"), one.alias("rj")), k), k)
+    parts = max(1, -(-n // BLOCK))
+    if parts <= FEW_BLOCKS:
+        # both sides' numbers have one type, as they are hashed
+        lot, every = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = rows.select(F.col("id").alias("lid"), F.col("v").alias("lv"), lot.alias("li"), every.alias("lj"))
+        return best_of(blocks_meet(left, rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), lot.alias("rj"), every.alias("ri")), k), k)
     rows, apart, wide = balls_of(rows, min(BALLS, max(2, 2 * n // BLOCK)))
     sizes = np.zeros(len(wide), int)
     for r in rows.groupBy("ball").count().collect():
@@ -207,7 +210,7 @@ def containment(tree: DataFrame, vectors: DataFrame) -> DataFrame:
     rows = cut(rows.select("node", "v", F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("last", F.lit(-2)).alias("last")))
     tops = cut(rows.where("last > first"))
     n_left, n_right = (max(1, -(-x.count() // BLOCK)) for x in (tops, rows))
-    lot = lambda n: F.pmod(F.xxhash64("node"), F.lit(n))
+    lot = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")  # noqa: E731  of the type of the sequences, as both are hashed
     left = tops.select("node", "v", "first", "last", lot(n_left).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
     right = rows.select("node", "v", "first", "last", lot(n_right).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"))
 

@@ -64,6 +64,20 @@ def test_correlation_over_all_places(spark, sf, places):
     assert got["n"] == len(far) > 1000 and abs(got["rho"] - np.corrcoef(ranks(far), ranks(steps))[0, 1]) < 1e-5
 
 
+def test_blocks_meet_in_many_partitions(spark, sf, places, monkeypatch):
+    """Blocks find each other where adaptive execution doesn't pack them into one partition."""
+    monkeypatch.setattr(analytics, "BLOCK", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, names, at, s, up = places
+        got = registry.QUERIES["containment_rate"](spark, sf).collect()[0]
+        assert got["pairs"] == sum(len(up[n]) for n in names)
+        vectors = spark.createDataFrame([(i, np.cos(np.arange(6) * (i + 1)).tolist()) for i in range(200)], "id int, vector array<double>")
+        assert analytics.top_neighbours(vectors, 3).count() == 600
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("clusters", [True, False])
 def test_neighbours_in_balls(spark, monkeypatch, clusters):
     """Many blocks give what one gives; balls that can't hold a nearer neighbour don't meet."""
