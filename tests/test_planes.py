@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from loomgraph.functions.frames import cut
 from loomgraph.operators import analytics
 
 
@@ -31,6 +32,22 @@ def test_crossings_in_crowded_places(spark, monkeypatch, crowd, deepest):
     assert analytics.crossings(rows.limit(0)).collect()[0][0] == 0
 
 
+@pytest.mark.parametrize("lot", [131_072, 50])
+def test_segments_as_long_as_the_crowd_have_few_copies(spark, monkeypatch, lot):
+    """Segments that cover a good part of a crowd aren't copied into ever smaller cells; a cell of many meets in lots."""
+    monkeypatch.setattr(analytics, "CROWD", 20)
+    monkeypatch.setattr(analytics, "LOT", lot, raising=False)
+    kept = []
+    monkeypatch.setattr(analytics, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rng = random.Random(3)
+    segments = [(i, f"a{rng.randrange(300)}", f"b{i}", *(round(rng.uniform(0, 9), 2) for _ in range(4))) for i in range(300)] + [(300, None, "b", 1.0, 1.0, 8.0, 8.0), (None, "a", "b", 1.0, 1.0, 8.0, 8.0)]
+    far = [(400 + i, f"f{i}", f"g{i}", 90 + i / 100, 90.0, 91 - i / 100, 91.0) for i in range(60)]
+    rows = spark.createDataFrame(segments + far, "id int, a string, b string, ax double, ay double, bx double, by double")
+    sure = [s for s in segments + far if s[0] is not None and s[1] is not None]
+    assert analytics.crossings(rows).collect()[0][0] == sum(crossed(p, q) for i, p in enumerate(sure) for q in sure[i + 1 :]) > 5000
+    assert max(df.count() for df in kept) <= 2 * len(sure)
+
+
 @pytest.mark.parametrize("bins", [None, 16])
 def test_density_grid(spark, bins):
     rng = random.Random(2)
