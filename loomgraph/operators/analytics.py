@@ -91,12 +91,110 @@ def may_hold(apart: np.ndarray, wide: np.ndarray, least: np.ndarray) -> np.ndarr
     return np.cos(np.maximum(0, apart - wide[:, None] - wide[None] - SLACK)) + SLACK >= least[:, None]
 
 
+class Best:
+    """The ``k`` most similar others of rows, by block after block; rows are sorted by ``ids``, so of equal ones the first count. Those
+    below ``kth``, what a row is known to have, don't matter."""
+
+    MOST = 1 << 20
+
+    def __init__(self, ids: np.ndarray, k: int, kth: np.ndarray) -> None:
+        self.ids, self.k, self.kth, self.last = ids, k, kth.astype(float), np.full(len(ids), len(ids))
+        self.found, self.waiting = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0
+
+    def add(self, rows: np.ndarray, others: np.ndarray, s: np.ndarray) -> None:
+        hit = s >= self.kth[rows][:, None] - 1e-12
+        if np.count_nonzero(hit) > 4 * self.k * len(rows) and len(others) > self.k:
+            s = np.where(self.ids[rows][:, None] == self.ids[others], -np.inf, s)
+            hit &= s >= -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k] - 1e-12
+        i, j = np.divmod(np.flatnonzero(hit), len(others))
+        s, row, other = s[i, j], rows[i], others[j]
+        rank = np.round(s, 12)
+        good = ((rank > self.kth[row]) | (rank == self.kth[row]) & (other < self.last[row])) & (self.ids[row] != self.ids[other])
+        self.found.append((row[good], other[good], s[good]))
+        self.waiting += int(good.sum())
+        if self.waiting > self.MOST:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, other, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        rank = np.round(s, 12)
+        order = np.lexsort((other, -rank, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < self.k]
+        row, other, s, rank = row[order], other[order], s[order], rank[order]
+        full = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1)
+        self.kth[row[full]], self.last[row[full]] = rank[full], other[full]
+        self.found, self.waiting = [(row, other, s)], 0
+        return self.found[0]
+
+    def frame(self) -> pd.DataFrame:
+        row, other, s = self.settle()
+        return pd.DataFrame({"id": self.ids[row], "other": self.ids[other], "similarity": s})
+
+
+def tiles(at: np.ndarray, size: int) -> list[np.ndarray]:
+    return [at[i : i + size] for i in range(0, len(at), size)]
+
+
+def nearest_of_lot(k: int, apart: np.ndarray, wide: np.ndarray, block: int):
+    """The k most similar others of each row (id, v, ball) inside its lot: first inside its ball, then in balls that may hold one."""
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        u, ball = unit(f["v"]), f["ball"].to_numpy()
+        best, held = Best(f["id"].to_numpy(), k, np.full(len(f), -np.inf)), {int(i): tiles(np.flatnonzero(ball == i), block) for i in np.unique(ball)}
+        for own in held.values():
+            for x in own:
+                for y in own:
+                    best.add(x, y, u[x] @ u[y].T)
+        best.settle()
+        for i, left in held.items():
+            for j, right in held.items():
+                bound = np.cos(max(0, apart[i, j] - wide[i] - wide[j] - SLACK)) + SLACK
+                for x, y in ((x, y) for x in left for y in right if i < j):
+                    there, back = bound >= best.kth[x].min(), bound >= best.kth[y].min()
+                    if there or back:
+                        s = u[x] @ u[y].T
+                        if there:
+                            best.add(x, y, s)
+                        if back:
+                            best.add(y, x, s.T)
+        return best.frame()
+
+    return meet
+
+
+def nearest_across(k: int, need: np.ndarray, block: int):
+    """What rows (id, v, ball, lot, kth) of two lots find in the other one, where their balls ``need`` to meet, of at least their kth."""
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        u, ball, lot = unit(f["v"]), f["ball"].to_numpy(), f["lot"].to_numpy()
+        best = Best(f["id"].to_numpy(), k, f["kth"].to_numpy())
+        left, right = ({int(i): tiles(np.flatnonzero((ball == i) & (lot == side)), block) for i in np.unique(ball[lot == side])} for side in (lot.min(), lot.max()))
+        for i, xs in left.items() if lot.min() < lot.max() else ():
+            for j, ys in right.items():
+                for x, y in ((x, y) for x in xs for y in ys if need[i, j] or need[j, i]):
+                    s = u[x] @ u[y].T
+                    if need[i, j]:
+                        best.add(x, y, s)
+                    if need[j, i]:
+                        best.add(y, x, s.T)
+        return best.frame()
+
+    return meet
+
+
+#: Bytes of vectors that a lot has at most, and lots at least.
+HELD, LOTS = 32 << 20, 8
+
+
 def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """(id, other, similarity): the k most similar other rows by cosine in double precision; ties to the smaller id.
 
-    Exact, in blocks, and no pair becomes a row. More than ``FEW_BLOCKS`` blocks of rows are dealt into balls around some of them. A ball's
-    rows first meet each other, which bounds what a k-th neighbour has; then a ball meets those others that by their distance and
-    size may hold something as near. Vectors without any clusters meet all, as they must. Balls of over ``BLOCK`` rows are split.
+    Exact, and no pair becomes a row. More than ``FEW_BLOCKS`` blocks of rows are dealt into balls around some of them, and balls
+    into lots of ``HELD`` bytes, so that a row has as many copies as there are lots and not as there are blocks. A lot's rows first meet each other,
+    which bounds what a k-th neighbour has; then two lots meet in the balls that by their distance and size may hold something as near.
+    Vectors without any clusters meet all, as they must, in tiles of ``BLOCK``.
     """
     rows = cut(vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
     n = rows.count()
@@ -110,27 +208,33 @@ def top_neighbours(vectors: DataFrame, k: int, id: str = "id", vector: str = "ve
     sizes = np.zeros(len(wide), int)
     for r in rows.groupBy("ball").count().collect():
         sizes[r["ball"]] = r["count"]
-    lots = [max(1, -(-int(x) // BLOCK)) for x in sizes]
-    spark = vectors.sparkSession
-    rows = rows.join(F.broadcast(spark.createDataFrame(list(enumerate(lots)), "ball int, lots int")), "ball").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
-
-    def met(pairs: np.ndarray) -> DataFrame:
-        """Rows of ball i against those of ball j where ``pairs`` has it; blocks are numbered (ball, lot) by (ball, lot)."""
-        to = spark.createDataFrame([(i, [[int(j), m] for j in np.flatnonzero(row) for m in range(lots[j])]) for i, row in enumerate(pairs) if row.any()], "ball int, to array<array<int>>")
-        by = spark.createDataFrame([(j, [[int(i), m] for i in np.flatnonzero(column) for m in range(lots[i])]) for j, column in enumerate(pairs.T) if column.any()], "ball int, by array<array<int>>")
-        own = F.array("ball", "lot")
-        left = rows.join(F.broadcast(to), "ball").select(F.col("id").alias("lid"), F.col("v").alias("lv"), own.alias("li"), F.explode("to").alias("lj"))
-        right = rows.join(F.broadcast(by), "ball").select(F.col("id").alias("rid"), F.col("v").alias("rv"), own.alias("rj"), F.explode("by").alias("ri"))
-        return blocks_meet(left, right, k)
-
-    same = cut(best_of(met(np.eye(len(wide), dtype=bool)), k))
-    counted = rows.select("id", "ball").join(same.groupBy("id").agg(F.count("*").alias("n"), F.min(F.round("similarity", 12)).alias("kth")), "id", "left")
+    # balls lie one after the other, like ones together; each has the lots that its stretch touches
+    n_lots = max(LOTS, -(-n * 8 * rows.select(F.max(F.size("v"))).first()[0] // HELD))
+    order = np.lexsort((apart[0], apart[int(apart[0].argmax())]))
+    begin = np.zeros(len(sizes), int)
+    begin[order] = np.cumsum(sizes[order]) - sizes[order]
+    first, last = begin * n_lots // n, (begin + np.maximum(sizes, 1) - 1) * n_lots // n
+    spark, kind = vectors.sparkSession, rows.schema["id"].dataType.simpleString()
+    where = spark.createDataFrame([(i, int(a), int(b - a + 1)) for i, (a, b) in enumerate(zip(first, last, strict=True))], "ball int, first int, lots int")
+    rows = rows.join(F.broadcast(where), "ball").select("id", "v", "ball", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("lots"))).cast("int").alias("lot"))
+    found = f"id {kind}, other {kind}, similarity double"
+    # as many partitions as lots: they are few and take long, so they aren't packed together
+    same = cut(rows.repartition(n_lots, "lot").groupBy("lot").applyInPandas(nearest_of_lot(k, apart, wide, BLOCK), found))
+    kth = same.groupBy("id").agg(F.when(F.count("*") >= k, F.min(F.round("similarity", 12))).alias("kth"))
+    rows = cut(rows.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0))))
     least = np.full(len(wide), -2.0)
-    for r in counted.groupBy("ball").agg(F.min(F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-2.0))).alias("least")).collect():
+    for r in rows.groupBy("ball").agg(F.min("kth").alias("least")).collect():
         least[r["ball"]] = r["least"]
-    held = (sizes > 0)[:, None] & (sizes > 0)[None] & ~np.eye(len(wide), dtype=bool)
-    others = may_hold(apart, wide, least) & held
-    return best_of(same.unionByName(met(others)), k) if others.any() else same
+    held = (sizes > 0)[:, None] & (sizes > 0)[None]
+    need = (may_hold(apart, wide, least) | np.eye(len(wide), dtype=bool)) & held
+    sits = np.zeros((len(wide), n_lots), int)
+    for i, (a, b) in enumerate(zip(first, last, strict=True)):
+        sits[i, a : b + 1] = sizes[i] > 0
+    meets = sits.T @ (need | need.T).astype(int) @ sits > 0
+    to = spark.createDataFrame([(a, [[min(a, int(b)), max(a, int(b))] for b in np.flatnonzero(row) if b != a]) for a, row in enumerate(meets)], "lot int, pairs array<array<int>>")
+    both = rows.join(F.broadcast(to), "lot").select("id", "v", "ball", "lot", "kth", F.explode("pairs").alias("pair"))
+    across = both.repartition(max(1, int(np.triu(meets, 1).sum())), "pair").groupBy("pair").applyInPandas(nearest_across(k, need, BLOCK), found)
+    return best_of(same.unionByName(across), k)
 
 
 def minmax(column: str, constant: float) -> object:

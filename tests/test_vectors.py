@@ -103,3 +103,28 @@ def test_neighbours_in_balls(spark, monkeypatch, clusters):
         assert [j for _, j in sorted(got[i])] == [j for _, j in want] or np.allclose([x for x, _ in sorted(got[i])], [x for x, _ in want], atol=1e-9)
     skipped = 1 - seen[0].mean()
     assert skipped > 0.5 if clusters else skipped < 0.5
+
+
+def test_neighbours_in_lots_have_few_copies(spark, monkeypatch):
+    """Rows go to lots, whose number doesn't grow with that of the blocks; copies, ties and repeated ids are as in one block."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 8))
+    v[100:300] = v[100]  # more copies than neighbours are asked for
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5, v[7].tolist())], "id long, vector array<double>")
+    want = sorted((r["id"], r["other"], round(r["similarity"], 9)) for r in analytics.top_neighbours(rows, 5).collect())
+    monkeypatch.setattr(analytics, "BLOCK", 20)
+    met = analytics.nearest_across
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(*a):
+        meet = met(*a)
+
+        def of(f):
+            count.add(len(f))
+            return meet(f)
+
+        return of
+
+    monkeypatch.setattr(analytics, "nearest_across", counted)
+    assert sorted((r["id"], r["other"], round(r["similarity"], 9)) for r in analytics.top_neighbours(rows, 5).collect()) == want
+    assert 0 < count.value <= (analytics.LOTS - 1) * 601
