@@ -379,52 +379,146 @@ def split_distinctness(tree: DataFrame, vectors: DataFrame) -> DataFrame:
     return left.groupBy("parent", "i", "j").cogroup(right.groupBy("r_parent", "r_i", "r_j")).applyInArrow(in_arrow(meet, pa.schema([("parent", pa.string()), ("a", pa.string()), ("b", pa.string()), ("ok", pa.bool_())])), "parent string, a string, b string, ok boolean")
 
 
-def tree_distances(tree: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(far, steps) of every pair of nodes with vectors in one tree of a forest: 1 - cosine, rounded, and steps along the tree.
+#: Nodes of a stretch at most, and pairs that are packed at once.
+STRETCH, PACKED = 8192, 1 << 22
 
-    The lowest common ancestor of two nodes is as deep as the least parent between them in the preorder. Stretches of the preorder meet as
-    blocks: inside, minima run from either node to the stretch's border, and a sparse table has those of the stretches
-    between. It holds a number for each ``BLOCK`` nodes and level and goes to all tasks.
-    """
-    places = intervals(tree.select("node", "parent"))
-    rows = places.join(vectors.select("node", F.col("vector").cast("array<double>").alias("v")), "node", "left").select("first", "depth", "v", F.floor(F.col("first") / BLOCK).alias("i"))
-    rows = cut(rows)
-    least = {r["i"]: r["m"] for r in rows.groupBy("i").agg(F.min(F.col("depth") - 1).alias("m")).collect()}
-    n = len(least)
-    between = RangeMinimum([least[i] for i in range(n)])
-    left = rows.select("first", "depth", "v", "i", F.explode(F.sequence(F.col("i"), F.lit(max(0, n - 1)).cast("bigint"))).alias("j"))
-    right = rows.select(*(F.col(c).alias(c) for c in ("first", "depth", "v")), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "i")).alias("i"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def tree_blocks(tree: DataFrame, vectors: DataFrame):
+    """(left, right, meet): blocks (i, j) of nodes with vectors in preorder, and ``meet`` of two of them: (far, steps) of their pairs in one
+    tree, 1 - cosine, rounded, and steps along the tree, tile by tile.
+
+    The lowest common ancestor of two nodes is as deep as the least parent between them in the preorder; a node carries the least parent
+    ``since`` the node with a vector before it. Stretches meet as blocks: inside, minima run from either node to the border of its tile or
+    stretch, and a sparse table has those of the stretches between. It holds a number for each stretch and level and goes to all tasks.
+    """
+    places = intervals(tree.select("node", "parent")).join(vectors.select("node", F.col("vector").cast("array<double>").alias("v")), "node", "left")
+    places = running(places.select("first", "depth", "v", F.col("v").isNotNull().cast("bigint").alias("known")), "first", "known")
+    places = cut(places.select(F.col("below").alias("k"), "depth", "v"))
+    since = places.groupBy("k").agg(F.min(F.col("depth") - 1).alias("since"))
+    rows = cut(places.where("v IS NOT NULL").join(since, "k"))
+    n, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = max(BLOCK, min(STRETCH, -(-n // LOTS), HELD // (8 * max(1, wide or 1))))
+    rows = rows.withColumn("i", F.floor(F.col("k") / size))
+    least = {r["i"]: r["m"] for r in rows.groupBy("i").agg(F.min("since").alias("m")).collect()}
+    count = len(least)
+    between = RangeMinimum([least[i] for i in range(count)])
+    left = rows.select("k", "depth", "since", "v", "i", F.explode(F.sequence(F.col("i"), F.lit(max(0, count - 1)).cast("bigint"))).alias("j"))
+    right = rows.select(*(F.col(c).alias(c) for c in ("k", "depth", "since", "v")), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "i")).alias("i"))
+    block = BLOCK
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame):
         if not len(a) or not len(b):
-            return pd.DataFrame({"far": [], "steps": []})
+            return
         i, j = int(a["i"].iloc[0]), int(a["j"].iloc[0])
-        a, b = a.sort_values("first"), b.sort_values("first")
-        up_a, up_b = a["depth"].to_numpy() - 1, b["depth"].to_numpy() - 1
-        if i == j:
-            top = np.full((len(a), len(b)), np.iinfo(np.int64).max)
-            for k in range(len(a) - 1):
-                top[k, k + 1 :] = np.minimum.accumulate(up_b[k + 1 :])
-            pairs = np.triu(np.ones(top.shape, bool), 1)
-        else:
-            after = np.append(np.minimum.accumulate(up_a[::-1])[::-1][1:], np.iinfo(np.int64).max)
-            top = np.minimum(np.minimum(after[:, None], np.minimum.accumulate(up_b)[None]), between.of(i + 1, j))
-            pairs = np.ones(top.shape, bool)
-        known_a, known_b = a["v"].notna().to_numpy(), b["v"].notna().to_numpy()
-        pairs &= known_a[:, None] & known_b[None] & (top >= 0)
-        if not pairs.any():
-            return pd.DataFrame({"far": [], "steps": []})
-        s = np.zeros(top.shape)
-        s[np.ix_(known_a, known_b)] = unit(a["v"][known_a]) @ unit(b["v"][known_b]).T
-        steps = a["depth"].to_numpy()[:, None] + b["depth"].to_numpy()[None] - 2 * top
-        return pd.DataFrame({"far": np.round(1 - s[pairs], 12), "steps": steps[pairs].astype(float)})
+        a, b = a.sort_values("k"), b.sort_values("k")
+        (ua, da, sa), (ub, db, sb) = ((unit(f["v"]), f["depth"].to_numpy(), f["since"].to_numpy(np.int64)) for f in (a, b))
+        none = np.array([np.iinfo(np.int64).max])
+        after_all = lambda s: np.append(np.minimum.accumulate(s[::-1])[::-1][1:], none)  # noqa: E731  least beyond each, up to the last
+        for x in range(0, len(a), block):
+            p = slice(x, min(len(a), x + block))
+            after, middle = (after_all(sa)[p], between.of(i + 1, j)) if i < j else (after_all(sa[p]), none[0])
+            down = np.minimum.accumulate(sb if i < j else sb[p.stop :])
+            for y in range(0 if i < j else x, len(b), block):
+                q = slice(y, min(len(b), y + block))
+                pairs = np.ones((p.stop - p.start, q.stop - q.start), bool)
+                if i == j and x == y:
+                    top = np.full(pairs.shape, none[0])
+                    for t in range(len(top) - 1):
+                        top[t, t + 1 :] = np.minimum.accumulate(sb[q][t + 1 :])
+                    pairs = np.triu(pairs, 1)
+                else:
+                    top = np.minimum(np.minimum(after[:, None], (down[q] if i < j else down[q.start - p.stop : q.stop - p.stop])[None]), middle)
+                pairs &= top >= 0
+                yield np.round(1 - (ua[p] @ ub[q].T)[pairs], 12), (da[p][:, None] + db[q][None] - 2 * top)[pairs]
+
+    return left, right, meet
+
+
+def tree_distances(tree: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(far, steps) of every pair of nodes with vectors in one tree of a forest: a row for each pair, see ``tree_blocks``."""
+    left, right, met = tree_blocks(tree, vectors)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = list(met(a, b)) or [(np.zeros(0), np.zeros(0))]
+        return pd.DataFrame({c: np.concatenate(x).astype(float) for c, x in zip(("far", "steps"), zip(*found, strict=True), strict=True)})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(meet, pa.schema([("far", pa.float64()), ("steps", pa.float64())])), "far double, steps double")
 
 
+#: Pairs that a range of distances should have, ranges at most, vectors whose pairs say where ranges end, and the unit of distances.
+RANGE, RANGES, SAID, UNIT = 1 << 21, 8192, 1024, 1e-12
+
+
+def packed_ranges(found: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray) -> list[tuple]:
+    """(range, steps, first value, bytes of a gap, gaps between values, their counts if one isn't 1) of distances and steps."""
+    far, steps = (np.concatenate([np.zeros(0), *(f[c] for f in found)]) for c in (0, 1))
+    out = []
+    for step in np.unique(steps):
+        value, times = np.unique(np.rint(far[steps == step] / UNIT).astype(np.int64), return_counts=True)
+        at = np.searchsorted(ends, value, "right")
+        for lot in np.unique(at):
+            low, high = np.searchsorted(at, lot), np.searchsorted(at, lot, "right")
+            gaps, t = np.diff(value[low:high]), times[low:high]
+            kind = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.int64
+            out.append((int(lot), float(step), int(value[low]), np.dtype(kind).itemsize, gaps.astype(kind).tobytes(), t.astype(np.int64).tobytes() if (t > 1).any() else b""))
+    return out
+
+
 def distance_correlation(tree: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(rho, n) of 1 - cosine and steps in the tree over all connected pairs, ranked."""
-    return spearman(cut(tree_distances(tree, vectors)), "far", "steps")
+    """(rho, n) of 1 - cosine and steps in the tree over all connected pairs, ranked; average ranks for ties, 0 without variance.
+
+    No pair is a row. A task sorts the distances of its pairs by ranges and steps, and sends a range's distances as one packed row: whole
+    numbers of ``UNIT`` from the range's begin, each once with its count. A range's ranks follow from those of the ranges before and its own.
+    """
+    left, right, met = tree_blocks(tree, vectors)
+    known = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    said = unit(pd.Series([r["v"] for r in known.orderBy(F.xxhash64("node")).limit(SAID).collect()]).astype(object)) if not known.isEmpty() else np.zeros((1, 1))
+    total = known.count()
+    parts = int(min(RANGES, max(16, total * total // 2 // RANGE)))
+    # 1 - cosine lies in 0..2 up to rounding; where ranges end only says how many values a task has
+    ends = np.unique(np.round(np.quantile(1 - said @ said.T, np.arange(1, parts) / parts) / UNIT).astype(np.int64))
+
+    def pack(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, found, held = [], [], 0
+        for one in met(a, b):
+            found.append(one)
+            held += len(one[0])
+            if held > PACKED:
+                out += packed_ranges(found, ends)
+                found, held = [], 0
+        return pd.DataFrame(out + packed_ranges(found, ends), columns=["lot", "steps", "first", "wide", "gaps", "times"])
+
+    kinds = pa.schema([("lot", pa.int32()), ("steps", pa.float64()), ("first", pa.int64()), ("wide", pa.int32()), ("gaps", pa.binary()), ("times", pa.binary())])
+    packed = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(in_arrow(pack, kinds), "lot int, steps double, first bigint, wide int, gaps binary, times binary")
+
+    def rank(f: pd.DataFrame) -> pd.DataFrame:
+        values, times, steps = [], [], []
+        for r in f.itertuples():
+            v = np.concatenate([[0], np.frombuffer(r.gaps, np.uint32 if r.wide == 4 else np.int64).astype(np.int64)]).cumsum() + r.first
+            values.append(v)
+            times.append(np.frombuffer(r.times, np.int64) if r.times else np.ones(len(v), np.int64))
+            steps.append(np.full(len(v), r.steps))
+        value, times, steps = np.concatenate(values), np.concatenate(times), np.concatenate(steps)
+        _, at = np.unique(value, return_inverse=True)
+        tied = np.bincount(at, times)
+        middle = np.cumsum(tied) - (tied - 1) / 2
+        kinds, which = np.unique(steps, return_inverse=True)
+        ties = np.zeros(len(kinds))
+        ties[0] = (tied**3 - tied).sum()  # of the whole range
+        return pd.DataFrame({"lot": int(f["lot"].iloc[0]), "steps": kinds, "n": np.bincount(which, times).astype(np.int64), "ranks": np.bincount(which, times * middle[at]), "ties": ties})
+
+    # a row for each range and number of steps from here on
+    ranges = cut(packed.groupBy("lot").applyInPandas(rank, "lot int, steps double, n bigint, ranks double, ties double"))
+    before = lambda key: running(ranges.groupBy(key).agg(F.sum("n").alias("m")), key, "m")
+    lots, steps = before("lot").select("lot", "below"), before("steps").select("steps", (F.col("below") + (F.col("m") + 1) / 2.0).alias("r"))
+    sums = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("ties"), F.lit(0.0)).alias("tied"))
+    rows = ranges.join(lots, "lot").join(steps, "steps").crossJoin(F.broadcast(sums))
+    middle = (F.col("total") + 1) / 2.0
+    y = F.col("r") - middle
+    xy, yy = F.sum(y * (F.col("ranks") + F.col("n") * (F.col("below") - middle))), F.sum(F.col("n") * y * y)
+    total = F.col("total").cast("double")
+    found = rows.agg(xy.alias("xy"), yy.alias("yy")).crossJoin(F.broadcast(sums)).withColumn("xx", (total * total * total - total - F.col("tied")) / 12)
+    return found.select(F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(F.lit(0.0)).alias("rho"), F.col("total").alias("n"))
 
 
 #: Kernel values below this are left out: beyond NEGLIGIBLE a point is too far from a cell to count.

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from loomgraph.functions.frames import cut
 from loomgraph.operators import analytics
 from loomgraph.plans import registry
 
@@ -128,3 +129,30 @@ def test_neighbours_in_lots_have_few_copies(spark, monkeypatch):
     monkeypatch.setattr(analytics, "nearest_across", counted)
     assert sorted((r["id"], r["other"], round(r["similarity"], 9)) for r in analytics.top_neighbours(rows, 5).collect()) == want
     assert 0 < count.value <= (analytics.LOTS - 1) * 601
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_correlation_makes_no_pair_a_row(spark, sf, places, monkeypatch, block):
+    """Ranges of distances are packed: rows written are few, and ranks with ties in many ranges are as over all pairs."""
+    monkeypatch.setattr(analytics, "BLOCK", block)
+    monkeypatch.setattr(analytics, "RANGE", 500, raising=False)
+    kept = []
+    monkeypatch.setattr(analytics, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    parent, names, at, _, up = places
+    v = {n: np.round(np.cos(np.arange(4) * (i % 40 + 1)), 3) for i, n in enumerate(names)}  # a vector for each dozen of places
+    m = np.array([v[n] / np.linalg.norm(v[n]) for n in names])
+    s = m @ m.T
+    far, steps = [], []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            x, y = [a, *up[a]], [b, *up[b]]
+            if x[-1] == y[-1]:
+                far.append(round(1 - s[at[a], at[b]], 12))
+                steps.append(len(x) + len(y) - 2 * len(set(x) & set(y)))
+    tree = spark.createDataFrame([(n, p) for n, p in parent.items()], "node string, parent string")
+    vectors = spark.createDataFrame([(n, x.tolist()) for n, x in v.items()], "node string, vector array<double>")
+    got = analytics.distance_correlation(tree, vectors).collect()[0]
+    assert got["n"] == len(far) > 1000 and abs(got["rho"] - np.corrcoef(ranks(far), ranks(steps))[0, 1]) < 1e-9
+    assert max(df.count() for df in kept) < len(far) / 2
+    none = analytics.distance_correlation(tree, vectors.limit(0)).collect()[0]
+    assert tuple(none) == (0.0, 0)
