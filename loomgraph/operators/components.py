@@ -17,7 +17,7 @@ class Steps:
     to the buckets. ``close`` drops the table; what was found by then must have been written.
     """
 
-    SMALL = 100_000
+    SMALL = 5_000  # a broadcast is collected and built in the driver's memory, once a round
 
     def __init__(self, edges: DataFrame) -> None:
         self.spark = edges.sparkSession

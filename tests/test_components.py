@@ -64,6 +64,13 @@ def test_rounds_leave_the_edges_where_they_are(spark):
     assert not [t for t in spark.catalog.listTables() if t.name == steps.name]
 
 
+def test_frontiers_of_many_rows_stay_out_of_the_driver(spark):
+    steps = components.Steps(edges(spark, [("n1", "n0")]))
+    plan = steps.follow(cut(nodes(spark, [f"n{i}" for i in range(20)])), 20_000)
+    assert "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    steps.close()
+
+
 def test_empty_graphs(spark):
     none = edges(spark, [])
     assert components.strong_components(nodes(spark, []), none).count() == 0
