@@ -46,6 +46,37 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as an attribute it would be copied to each of its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def spanning(xs: Column, ys: Column, linked: Callable[[Column, Column], Column]) -> Column:
+    """An array of links (a, b) between nodes of xs and of ys, arrays of structs with node and root, that leaves the same
+    components as all their links do: a link inside one root, or between nodes that earlier links joined, isn't even tried."""
+    roots = lambda side: F.transform(side, lambda x: x["root"])
+    none = F.transform(F.slice(xs, 1, 0), lambda x: F.struct(x["node"].alias("a"), x["node"].alias("b")))
+    places = F.when(F.size(ys) > 0, F.sequence(F.lit(0), F.size(ys) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, i: Column) -> Column:
+        def join(x: Column, root: Column) -> Column:
+            fits = F.filter(places, lambda j: F.when(F.get(acc["ry"], j) != root, linked(x, F.get(ys, j))).otherwise(F.lit(False)))
+
+            def merge(fits: Column) -> Column:
+                met = F.array_distinct(F.transform(fits, lambda j: F.get(acc["ry"], j)))
+                picked = F.transform(met, lambda r: F.get(ys, F.get(F.filter(fits, lambda j: F.get(acc["ry"], j) == r), F.lit(0))))
+                new = F.transform(picked, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
+                renamed = lambda rs: F.transform(rs, lambda r: F.when(F.array_contains(met, r), root).otherwise(r))
+                return F.struct(renamed(acc["rx"]).alias("rx"), renamed(acc["ry"]).alias("ry"), F.concat(acc["links"], new).alias("links"))
+
+            return let(fits, lambda fits: F.when(F.size(fits) == 0, acc).otherwise(merge(fits)))
+
+        return let(F.get(xs, i), lambda x: let(F.get(acc["rx"], i), lambda root: join(x, root)))
+
+    start = F.struct(roots(xs).alias("rx"), roots(ys).alias("ry"), none.alias("links"))
+    return F.aggregate(F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(F.array().cast("array<int>")), start, step)["links"]
+
+
 def classes(members: DataFrame, values: DataFrame, screen: Callable[[Column, Column], Column], confirm: Callable[[Column, Column], Column]) -> DataFrame:
     """(node, root) of every node that has a link to another.
 
@@ -54,8 +85,9 @@ def classes(members: DataFrame, values: DataFrame, screen: Callable[[Column, Col
 
     First, the smallest node of every group meets the others; a group of copies is then one class and done. In groups
     that are still in several classes, all pairs of different classes are tried, inside rows that hold two blocks of
-    about ``BLOCK`` nodes of the group; only pairs that pass the screen become rows. Every pair of nodes that share a
-    key is tried or already in one class, and no row or task holds a whole group.
+    about ``BLOCK`` nodes of the group (``spanning``). A tried pair is no row; two blocks of n nodes together make at most
+    n - 1 rows, links that join what nothing joined before. Every pair of nodes that share a key is tried or already in one
+    class, and no row or task holds a whole group.
     """
     size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(members.join(size, "key"))
@@ -77,10 +109,8 @@ def classes(members: DataFrame, values: DataFrame, screen: Callable[[Column, Col
     right = blocks.select(F.col("key").alias("rkey"), F.col("lot").alias("with_"), F.col("xs").alias("ys"))
     met = left.join(right, (F.col("key") == F.col("rkey")) & (F.col("with") == F.col("with_")))
 
-    def near(x: Column) -> Column:
-        fits = F.filter("ys", lambda y: (x["root"] != y["root"]) & ((F.col("lot") != F.col("with")) | (x["node"] < y["node"])) & screen(x["value"], y["value"]))
-        return F.transform(fits, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
-
-    more = met.select(F.explode(F.flatten(F.transform("xs", near))).alias("p")).select("p.a", "p.b").distinct()
-    more = cut(linked(more))
+    own = lambda x, y: ((F.col("lot") != F.col("with")) | (x["node"] < y["node"])) & screen(x["value"], y["value"])
+    found = spanning(F.col("xs"), F.col("ys"), lambda x, y: F.when(own(x, y), confirm(x["value"], y["value"])).otherwise(F.lit(False)))
+    # outer: else a filter on the array's size is added, which finds all links twice
+    more = cut(met.select(F.explode_outer(found).alias("p")).where("p IS NOT NULL").select("p.a", "p.b").distinct())
     return labels if more.isEmpty() else components(links.unionByName(more))

@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import classes
+from .cluster import classes, let
 from .common import but, col, cut, delete, hot_join, packed, shared_folder, table
 
 EDITS, EDIT_CHARS, LEAST_CHARS, STRIP, SOON = 2, 24, 10, 16, 32
@@ -90,11 +90,6 @@ def keys_of(lines: DataFrame, edits: int) -> DataFrame:
     return every.select("short", F.col("all")[F.col("j")].alias("key"), F.col("j").isin(indexed).alias("indexed"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: as an attribute it would be copied to each of its uses."""
-    return F.transform(F.array(value), body)[0]
-
-
 def equal_blocks(a: Column, b: Column, most: Column, at) -> Column:
     """How many of the first ``most`` blocks of STRIP characters, which begin at at(0), at(1), ..., are equal."""
     same = F.transform(F.sequence(F.lit(0), most - 1), lambda k: F.substring(a, at(k), F.lit(STRIP)) == F.substring(b, at(k), F.lit(STRIP)))

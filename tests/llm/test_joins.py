@@ -146,6 +146,29 @@ def test_classes_of_one_large_group(spark, monkeypatch):
     assert {r["node"]: r["root"] for r in got.collect()} == {n: groups.find(n) for n in range(60)}
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_blocks_give_a_spanning_forest(spark, same):
+    """Neither a pair that isn't a link nor a link between nodes that are joined already is in what two blocks give."""
+    rng = random.Random(3)
+    xs = list(range(24))
+    ys = xs if same else list(range(24, 48))
+    root = {n: n if n % 5 else 0 for n in {*xs, *ys}}
+    for share in (1, 0.06, 0):
+        links = {(a, b) for a in xs for b in ys if a < b and rng.random() < share}
+        side = lambda nodes: [(n, root[n]) for n in nodes]
+        df = spark.createDataFrame([(side(xs), side(ys), [a * 100 + b for a, b in links])], "xs array<struct<node: long, root: long>>, ys array<struct<node: long, root: long>>, links array<long>")
+        linked = lambda x, y: (x["node"] < y["node"]) & F.array_contains("links", x["node"] * 100 + y["node"])
+        got = [(r["a"], r["b"]) for r in df.select(F.inline(cluster.spanning(F.col("xs"), F.col("ys"), linked))).collect()]
+        want, found = Union(), Union()
+        for groups, pairs in ((want, links), (found, got)):
+            for n in root:
+                groups.link(n, root[n])
+            for a, b in pairs:
+                groups.link(a, b)
+        assert set(got) <= links and len(got) < len({root[n] for n in {*xs, *ys}})
+        assert [found.find(n) for n in root] == [want.find(n) for n in root]
+
+
 def test_components_of_a_long_chain(spark):
     order = random.Random(1).sample(range(200), 200)
     links = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False)], "a long, b long")
