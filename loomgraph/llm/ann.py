@@ -12,8 +12,9 @@ are computed in double precision on the original vectors, scaled by powers of tw
 overflows; ties go to the smaller id.
 
 Of vectors that are equal in all components only the ``n + 1`` smallest ids, with up to n rows each, can be among the n
-nearest of any query, so only these are indexed. Cells of more than ``BLOCK`` vectors are split by a hash of the id and every query that
-probes one meets all its blocks, so a cell of any size is searched whole, by many tasks.
+nearest of any query, so only these are indexed. Cells lie in lots, as many as ``LOTS`` or as ``LOT_BYTES`` ask for, and a query meets its
+cells of a lot at once, so it makes a row for each lot, whatever the number of cells. Cells of more vectors than a lot are split by a
+hash of the id and searched in all lots that have a part, so a cell of any size is searched whole, by many tasks.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or a
 number of components other than the most frequent (the smaller, if two are). Rows that repeat an id are candidates
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, table
 
-SAMPLE, BLOCK, MOST_CENTROIDS, ROUNDS = 16_384, 4096, 256, 12
+SAMPLE, MOST_CENTROIDS, ROUNDS = 16_384, 256, 12
+#: Lots of cells at least; vectors of a lot, its bytes and those of the queries that meet it at once, and scores of one step, at most.
+LOTS, BLOCK, LOT_BYTES, SCORES = 32, 65_536, 32 << 20, 1 << 21
 #: Vectors a cell holds on average, and vectors a query meets at least.
 PER_CELL, CANDIDATES = 32, 64
 #: Vectors whose true neighbours are found, and the share of these that the walk must reach.
@@ -109,15 +112,28 @@ def needed(one: np.ndarray, two: np.ndarray, counts: np.ndarray, cells: list[int
     return [int(before[c]) + 1 for c in cells]
 
 
-def rerank(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, own: np.ndarray, n: int) -> tuple[list, list, list]:
-    """For each query row, the n nearest entries: (query rows, entry ids, cosines)."""
+def rerank(queries: np.ndarray, ids: np.ndarray, cells: list[np.ndarray], entries: np.ndarray, own: np.ndarray, cell: np.ndarray, n: int) -> tuple[list, list, list]:
+    """For each query row, the n nearest entries of its cells: (query rows, entry ids, cosines)."""
     out: tuple[list, list, list] = ([], [], [])
+    order = cell.argsort(kind="stable")
+    entries, own, cell = entries[order], own[order], cell[order]
+    held, begin = np.unique(cell, return_index=True)
+    end = np.append(begin[1:], len(cell))
     e_unit = unit(entries)
     entries, queries = scaled(entries), scaled(queries)
     norm = np.sqrt((entries * entries).sum(1))
-    for at in range(0, len(queries), 256):
-        rough = unit(queries[at : at + 256]) @ e_unit.T
-        for r, near in enumerate(rough, at):
+    step = max(1, SCORES // len(entries))
+    for at in range(0, len(queries), step):
+        q_unit, asked = unit(queries[at : at + step]), cells[at : at + step]
+        # who asks for each cell: only what a query's cells hold is compared with it
+        who, what = np.repeat(np.arange(len(asked)), [len(c) for c in asked]), np.concatenate(asked)
+        by = what.argsort(kind="stable")
+        who, low, high = who[by], np.searchsorted(what[by], held), np.searchsorted(what[by], held, "right")
+        scores = np.full((len(asked), len(entries)), -2.0)
+        for c in np.flatnonzero(high > low):
+            rows = who[low[c] : high[c]]
+            scores[rows, begin[c] : end[c]] = q_unit[rows] @ e_unit[begin[c] : end[c]].T
+        for r, near in enumerate(scores, at):
             near[own == ids[r]] = -2
             take = np.arange(len(near))
             if len(near) > n:
@@ -219,48 +235,71 @@ def quality(df: DataFrame, queries, n: int = 5, recall: float = RECALL, id: str
     return {"recall": hit / max(1, every), "share_read": read / index.total / drawn.num_rows, "candidates": candidates}
 
 
-def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the n nearest rows found for each row that the condition ``queries`` (on vec_id) picks."""
-    index = Index(df, n, id, vector)
-    if not index.total:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    result = "query_id bigint, vec_id bigint, score double"
-    candidates = index.wanted(queries) if candidates is None else candidates
-    counts, parts = index.counts, np.maximum(1, -(-index.counts // BLOCK))
-    sent = df.sparkSession.sparkContext.broadcast((index.half, index.centres, counts, parts))  # MOST_CENTROIDS ** 2 numbers, 2 * MOST_CENTROIDS halves
+def nearest_by_lot(index: Index, queries, candidates: int) -> DataFrame:
+    """(query_id, vec_id, score): of each lot, the nearest rows found for each query that has cells there."""
+    n, result = index.n, "query_id bigint, vec_id bigint, score double"
+    counts, size = index.counts, sum(c.shape[1] for c in index.centres)
+    per = max(1, min(-(-index.total // LOTS), BLOCK, LOT_BYTES // (8 * size)))  # vectors of a lot
+    parts = np.maximum(1, -(-counts // per))
+    before = np.cumsum(counts) - counts
+    asked = cut(index.asked(queries))
+    times = -(-asked.count() * 8 * size // LOT_BYTES)  # beyond LOT_BYTES of queries, each lot meets them in several goes
+    sent = index.rows.sparkSession.sparkContext.broadcast((index.half, index.centres, counts, parts, before))  # MOST_CENTROIDS ** 2 numbers, 2 * MOST_CENTROIDS halves
+
+    def spot(vec_id: np.ndarray) -> np.ndarray:
+        return vec_id.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
 
     def number(batches):
-        _, _, _, parts = sent.value
+        _, _, counts, parts, before = sent.value
         for batch in batches:
             if batch.num_rows:
-                lot = batch.column("vec_id").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-                block = (lot % parts[batch.column("cell").to_numpy()].astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("cell"), pa.array(block), batch.column("vec")], names=["vec_id", "cell", "block", "vec"])
+                cell = batch.column("cell").to_numpy()
+                part = (spot(batch.column("vec_id").to_numpy()) % parts[cell].astype(np.uint64)).astype(np.int64)
+                lot = (before[cell] + part * counts[cell] // parts[cell]) // per
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("cell"), pa.array(lot), batch.column("vec")], names=["vec_id", "cell", "lot", "vec"])
 
-    dealt = index.rows.withColumn("block", F.lit(0).cast("bigint")) if parts.max() == 1 else index.rows.mapInArrow(number, "vec_id bigint, cell bigint, block bigint, vec array<double>")
+    dealt = index.rows.mapInArrow(number, "vec_id bigint, cell bigint, lot bigint, vec array<double>")
+    dealt = dealt.withColumn("go", F.lit(0).cast("bigint") if times <= 1 else F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))))
 
     def probe(batches):
-        half, (one, two), counts, parts = sent.value
+        half, (one, two), counts, parts, before = sent.value
         for batch in batches:
             if batch.num_rows:
-                raw = matrix(batch.column("vec"))
-                x = unit(raw)
+                ids, raw = batch.column("vec_id").to_numpy(), matrix(batch.column("vec"))
+                x, go = unit(raw), (spot(ids) % np.uint64(max(1, times))).astype(np.int64)
                 to1, to2 = distances(x[:, :half], one), distances(x[:, half:], two)
-                for i, q in enumerate(batch.column("vec_id").to_pylist()):
-                    at = [(c, b) for c in walk(to1[i], to2[i], counts, candidates) for b in range(parts[c])]
-                    if at:
-                        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * raw.shape[1]), pa.array(np.tile(raw[i], len(at))))
-                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.int64()), pa.array([c for c, _ in at], pa.int64()), pa.array([b for _, b in at], pa.int64()), vec], names=["query_id", "cell", "block", "vec"])
-
-    probes = index.asked(queries).mapInArrow(probe, "query_id bigint, cell bigint, block bigint, vec array<double>")
+                for i in range(len(ids)):
+                    cells = np.array(walk(to1[i], to2[i], counts, candidates), np.int64)
+                    if not len(cells):
+                        continue
+                    n_parts = parts[cells]
+                    cells = np.repeat(cells, n_parts)
+                    part = np.arange(len(cells)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+                    lots = (before[cells] + part * counts[cells] // parts[cells]) // per
+                    by = np.lexsort((cells, lots))
+                    lot, begin = np.unique(lots[by], return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(by)).astype(np.int32)), pa.array(cells[by]))
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(lot) + 1, dtype=np.int32) * raw.shape[1]), pa.array(np.tile(raw[i], len(lot))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lot), ids[i])), pa.array(lot), pa.array(np.full(len(lot), go[i])), lists, vec], names=["query_id", "lot", "go", "cells", "vec"])
+
+    probes = asked.mapInArrow(probe, "query_id bigint, lot bigint, go bigint, cells array<bigint>, vec array<double>")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, v, s = rerank(matrix(left["vec"]), left["query_id"].to_numpy(), matrix(right["vec"]), right["vec_id"].to_numpy(), n)
+        q, v, s = [], [], []
+        if left.num_rows and right.num_rows:
+            lists = left["cells"].combine_chunks()
+            cells = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            q, v, s = rerank(matrix(left["vec"]), left["query_id"].to_numpy(), cells, matrix(right["vec"]), right["vec_id"].to_numpy(), right["cell"].to_numpy(), n)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = probes.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(meet, result)
+    return probes.groupBy("lot", "go").cogroup(dealt.groupBy("lot", "go")).applyInArrow(meet, result)
+
+def search(df: DataFrame, queries, n: int = 5, candidates: int | None = None, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the n nearest rows found for each row that the condition ``queries`` (on vec_id) picks."""
+    index = Index(df, n, id, vector)
+    if not index.total:
+        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    met = nearest_by_lot(index, queries, index.wanted(queries) if candidates is None else candidates)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")
 

@@ -324,3 +324,26 @@ def test_scores_of_very_large_and_small_components(spark):
     assert got.keys() == want.keys() and len(got) == 10
     for k in got:
         assert got[k]["score"] == pytest.approx(want[k]["score"], rel=1e-3)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_of_a_search_are_bounded_by_lots(spark, monkeypatch, small):
+    """A query makes a row for each lot and neighbour, not for each of its many cells; small lots are met in several goes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "PER_CELL", 4)
+    monkeypatch.setattr(ann, "LOTS", 3)
+    if small:
+        monkeypatch.setattr(ann, "LOT_BYTES", 8 * 8 * 20)
+        monkeypatch.setattr(ann, "SCORES", 100)
+    index, asked = ann.Index(df), F.col("vec_id") % 50 == 0
+    assert (index.counts > 0).sum() > 300
+    rows = ann.nearest_by_lot(index, asked, 10**6).collect()
+    assert small or len(rows) == 60 * 3 * 5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        got = sorted((r for r in rows if r["query_id"] == q), key=lambda r: (-r["score"], r["vec_id"]))[:5]
+        assert [r["vec_id"] for r in got] == np.argsort(-near, kind="stable")[:5].tolist()
