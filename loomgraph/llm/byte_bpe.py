@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from .common import but, col, packed, spread, table, unpacked
 NONE = np.int32(2**31 - 1)
 LONG = 2048
 #: Bytes of text that one step holds, cells of a matrix, and units that the cache holds before it starts anew.
-STEP_BYTES, CELLS, CACHED = 4 << 20, 1 << 20, 250_000
+STEP_BYTES, CELLS, CACHED = 4 << 20, 1 << 18, 250_000
+#: The same for encoding and decoding, whose arrays take some 30 bytes for each byte of text.
+CODE_BYTES = 1 << 20
 #: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 _ODD = re.compile(f" (?=[{SPACE}]|\\Z)")
@@ -45,8 +48,13 @@ class PairTable:
     """Rank of the token that two adjacent tokens make, by open addressing."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        keys, made = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int32)
+        pairs, tokens = array("q"), array("i")  # a list of tuples would be the most that a worker ever holds
+        for t, n in ranks.items():
+            for i in range(1, len(t)):
+                if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
+                    pairs.append(left << 32 | right)
+                    tokens.append(n)
+        keys, made = np.array(pairs, np.int64), np.array(tokens, np.int32)
         self.bits = max(4, int(2 * len(pairs)).bit_length())
         self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         slot = self._slot(keys)
@@ -239,13 +247,14 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.repeat(start - before, length) + np.arange(int(length.sum()))]
 
 
-def _steps(batches: Iterator[pa.RecordBatch], weigh) -> Iterator[pa.RecordBatch]:
-    """Slices of about STEP_BYTES, of one row at least."""
+def _steps(batches: Iterator[pa.RecordBatch], weigh, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes (STEP_BYTES), of one row at least."""
+    size = STEP_BYTES if size is None else size
     for batch in batches:
         weight = np.cumsum(weigh(batch))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + STEP_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, end - at)
             at = end
 
@@ -273,7 +282,7 @@ def _run(df: DataFrame, source: str, outputs: list[T.StructField], keep_source:
 
     def run(batches):
         state = None
-        for batch in _steps(batches, lambda b: weigh(b.column("__source"))):
+        for batch in _steps(batches, lambda b: weigh(b.column("__source")), CODE_BYTES):
             state = state or make()
             yield pa.RecordBatch.from_arrays([batch.column("__kept"), *state(batch.column("__source"))], names=[f.name for f in schema])
 

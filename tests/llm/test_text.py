@@ -296,3 +296,23 @@ def test_decontamination_with_ids_that_are_no_numbers(spark):
     docs = spark.createDataFrame([("x", "one two three"), (None, "one two three"), ("y|1", "none")], "name string, body string")
     got = decontaminate.contamination(docs, spark.createDataFrame([(1, "two three")], "item_id long, text string"), id="name", text="body")
     assert {(r["doc_id"], r["n_hit"]) for r in got.collect()} == {("x", 2), (None, 2), ("y|1", 0)}
+
+
+def test_memory_of_an_encoding_worker():
+    """Loading the tables and encoding 6 MB of text take a worker less than 80 MB, whatever is in a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [("".join(random.Random(i).choices("abcdefghij", k=6))) for i in range(5000)]
+    texts = [" ".join(random.Random(i).choices(words, k=150)) for i in range(6000)]
+    batch = pa.record_batch({"text": texts})
+    tracemalloc.start()
+    bpe, held = byte_bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), 0
+    for step in byte_bpe._steps(iter([batch]), byte_bpe._sizes("text"), byte_bpe.CODE_BYTES):
+        flat, offsets = bpe.encode(step.column("text").to_pylist())
+        held += len(bpe.decode(flat, offsets)[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == sum(map(len, texts))
+    assert peak < 80e6, peak
