@@ -14,17 +14,20 @@ class Steps:
     """Edges (src, dst) written once, in buckets by source: a round of a walk moves its frontier to them and never the edges.
 
     A frontier of up to ``SMALL`` rows goes to all tasks, which then read the edges where they lie; a larger one is shuffled
-    to the buckets. ``close`` drops the table; what was found by then must have been written.
+    to the buckets. With ``sources`` (src), only edges from there are kept. ``close`` drops the table; what was found by then must have been written.
     """
 
     SMALL = 5_000  # a broadcast is collected and built in the driver's memory, once a round
 
-    def __init__(self, edges: DataFrame) -> None:
+    def __init__(self, edges: DataFrame, sources: DataFrame | None = None) -> None:
         self.spark = edges.sparkSession
         self.name = f"steps_{uuid.uuid4().hex}"
         self.folder = f"{shared_folder(self.spark)}/{self.name}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = edges.select("src", "dst").where("src IS NOT NULL").distinct().repartition(n, "src")
+        # rows that meet by source lie right for being made distinct too: one shuffle does for both
+        rows = edges.select("src", "dst").where("src IS NOT NULL").repartition(n, "src").distinct()
+        if sources is not None:
+            rows = rows.join(sources, "src", "left_semi")
         rows.write.bucketBy(n, "src").sortBy("src").option("path", self.folder).saveAsTable(self.name)
         self.edges = self.spark.table(self.name)
 

@@ -67,20 +67,20 @@ def marked_closure(seeds: DataFrame, steps: Steps, names: list) -> DataFrame:
 def reachable(seeds: DataFrame, edges: DataFrame, kinds: Iterable[str] = EDGE_KINDS) -> DataFrame:
     """G1: (node) that any seed reaches; one closure for all seeds together."""
     one = seeds.select("node").distinct()
-    marked = closure_from_set(one, of_kind(edges, kinds).select("src", "dst").distinct())
-    return marked
+    return closure_from_set(one, of_kind(edges, kinds).select("src", "dst"))
 
 
-def closure_from_set(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """(node) of the closure of a set under (src, dst)."""
-    held = Steps(steps)
+def closure_from_set(nodes: DataFrame, steps: DataFrame, written: Steps | None = None) -> DataFrame:
+    """(node) of the closure of a set under (src, dst); ``written`` are the same edges, if a caller has them in buckets already."""
+    held = written or Steps(steps)
     frontier = cut(nodes.select("node").distinct())
     seen = Pile(frontier)
     while n := frontier.count():
         step = held.follow(frontier, n).select(F.col("dst").alias("node")).distinct()
         frontier = cut(lack(step, seen.all(), ["node"]))
         seen.add(frontier)
-    held.close()
+    if written is None:
+        held.close()
     return seen.all()
 
 
@@ -137,24 +137,26 @@ def depths(nodes: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
 
     Self loops don't count. Sources and nodes that no source reaches have 0. The cap is min(cap, max(1, nodes - 1)).
     """
-    n = nodes.select("node").distinct().count()
+    known = cut(nodes.select("node").distinct())
+    n = known.count()
     top = min(cap, max(1, n - 1))
-    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    held = Steps(edges.select("src", "dst").where("src <> dst"))  # an edge is moved once, here
+    steps = held.edges
     # level d: nodes at the end of some path of d edges from a source. A node's depth is the last level that has it, so levels
     # are written once and nothing is compared with what is known; level `top` is where all longer paths end
-    sources = lack(nodes.select("node").distinct(), steps.select(F.col("dst").alias("node")), ["node"])
+    sources = lack(known, steps.select(F.col("dst").alias("node")), ["node"])
     now = cut(sources.withColumn("depth", F.lit(0)))
-    seen, held = Pile(now), Steps(steps)
+    seen = Pile(now)
     for d in range(1, top + 1):
         now = cut(held.follow(now, now.count()).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d)))
         if now.isEmpty():
             break
         seen.add(now)
     else:  # what can be reached from the last level has longer paths still
-        seen.add(cut(lack(closure_from_set(now.select("node"), steps), now, ["node"]).withColumn("depth", F.lit(top))))
+        seen.add(cut(lack(closure_from_set(now.select("node"), steps, held), now, ["node"]).withColumn("depth", F.lit(top))))
     held.close()
-    known = seen.all().groupBy("node").agg(F.max("depth").alias("depth"))
-    return nodes.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+    deepest = seen.all().groupBy("node").agg(F.max("depth").alias("depth"))
+    return known.join(deepest, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def limited_children(edges: DataFrame, most: int) -> DataFrame:
@@ -272,26 +274,32 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     smaller-named caller is itself placed earlier in the same level, which is decided in rounds, earliest first. A node's place in
     its level's queue is a number, so rows don't grow with the level.
     """
-    known = nodes.select("node").distinct()
-    steps = cut(edges.where("src <> dst").select("src", "dst").distinct().join(known.withColumnRenamed("node", "src"), "src", "left_semi"))
+    known = cut(nodes.select("node").distinct())
+    held = Steps(edges.where("src <> dst").select("src", "dst"), known.withColumnRenamed("node", "src"))
+    steps = held.edges
+    # only who has more than one caller can have a smaller-named one that comes earlier
+    shared = cut(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node"))
     # without a node that calls and isn't called, all peaks are roots; without a peak the first node is
     peaks = peaks_and_orphans(nodes, steps, fallback=True)
     roots = cut(peaks.where("is_peak AND NOT is_orphan").select("node"))
     now = in_order(roots.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("level")), "node").withColumnRenamed("nth", "place")
-    placed, level = now.select("parent", "node", "level"), 0
+    placed, level = Pile(cut(now.select("parent", "node", "level"))), 0
     waiting = None  # (node, least): callees that callers placed so far have failed to place
     while not now.isEmpty():
         level += 1
-        near = now.select(F.col("node").alias("src"), "place").join(steps, "src").select(F.col("dst").alias("node"), "src", "place")
-        near = lack(near, placed, ["node"]).groupBy("node").agg(F.min_by(F.struct("src", "place"), "src").alias("by")).select("node", F.col("by.src").alias("parent"), "by.place")
+        # a node's callers make one row before anything moves to the placed ones
+        near = held.follow(now.select("node", "place"), now.count()).select(F.col("dst").alias("to"), "src", "place")
+        near = near.groupBy(F.col("to").alias("node")).agg(F.min(F.struct("src", "place")).alias("by")).select("node", F.col("by.src").alias("parent"), "by.place")
+        near = lack(near, placed.all(), ["node"])
         near = near if waiting is None else near.join(waiting, "node", "left").where("least IS NULL OR parent < least").drop("least")
         tried = cut(near)
         # a callee's smaller-named callers that come earlier in the same level
         x, c = tried.select(F.col("node").alias("src"), F.col("place").alias("xplace")), tried.select(F.col("node").alias("dst"), "parent", "place")
         before = (F.col("xplace") < F.col("place")) | (F.col("xplace") == F.col("place")) & (F.col("src") < F.col("dst"))
-        bars = cut(x.join(steps, "src").join(c, "dst").where((F.col("src") < F.col("parent")) & before).select("src", "dst"))
+        c = cut(c.join(shared.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         open_, failed = tried.select("node"), None
-        while not bars.isEmpty():
+        bars = None if c.isEmpty() else cut(held.follow(x.withColumnRenamed("src", "node"), x.count()).select("src", "dst", "xplace").join(c, "dst").where((F.col("src") < F.col("parent")) & before).select("src", "dst"))
+        while bars is not None and not bars.isEmpty():
             free = lack(open_, bars.select(F.col("dst").alias("node")), ["node"])
             lost = cut(bars.join(free.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
             failed = lost if failed is None else cut(failed.unionByName(lost))
@@ -305,8 +313,9 @@ def primary_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             late = tried.join(failed, "node", "left_semi").select("node", F.col("parent").alias("least"))
             waiting = late if waiting is None else waiting.unionByName(late)
             waiting = cut(waiting.groupBy("node").agg(F.min("least").alias("least")))
-        placed = cut(placed.unionByName(now.select("parent", "node", "level")))
-    return placed
+        placed.add(now.select("parent", "node", "level"))
+    held.close()
+    return placed.all()
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

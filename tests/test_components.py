@@ -77,3 +77,16 @@ def test_empty_graphs(spark):
     assert [tuple(r) for r in components.strong_components(nodes(spark, ["a"]), none).collect()] == [("a", "a")]
     assert components.closure_of_components(nodes(spark, []), none).count() == 0
     assert graph.closure(nodes(spark, []), none).count() == 0
+
+
+def test_edges_are_shuffled_once(spark):
+    """What is written in buckets is made distinct by the shuffle that deals it out; edges from other sources are left out."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), (None, "c"), ("x", "c")], "src string, dst string")
+    steps = components.Steps(edges, spark.createDataFrame([("a",), ("b",)], "src string"))
+    assert sorted(map(tuple, steps.edges.collect())) == [("a", "b"), ("b", "c")]
+    steps.close()
+    held = components.Steps(edges)
+    reached = graph.closure_from_set(spark.createDataFrame([("a",)], "node string"), edges, held)
+    assert {r["node"] for r in reached.collect()} == {"a", "b", "c"}
+    assert held.edges.count() == 3
+    held.close()
