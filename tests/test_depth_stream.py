@@ -64,3 +64,33 @@ def test_replay_of_an_empty_table(spark, tmp_path):
     stream, late = depth.replayed(spark, none, str(tmp_path / uuid.uuid4().hex), 2)
     assert depth.run_to_end(depth.call_depths(stream, late), str(tmp_path / "out")).count() == 0
     assert none.select(F.count("*")).first()[0] == 0
+
+
+def test_state_is_kept_by_bucket_not_by_thread(spark, tmp_path):
+    rng = random.Random(5)
+    threads = [None, 0, -1, 2**62 + 1, 2**62 + 2, *range(10, 2005)]
+    events = [(t, i * len(threads) + k, i * 10, "f", rng.choice([1, 1, -1, -1])) for i in range(3) for k, t in enumerate(threads)]
+    ends = [(t, 10_000 + k, 100_000, None, 1) for k, t in enumerate(threads)]
+    got = fed(spark, tmp_path, [events[::2], events[1::2], ends], late="250 seconds")
+    rows = spark.createDataFrame([(t, s, START + timedelta(seconds=at), q, step) for t, s, at, q, step in events], SCHEMA)
+    assert got == sorted(map(tuple, analytics.call_depths(rows).select("thread", "seq", "depth").collect()), key=repr)
+    assert 0 < pending(spark, tmp_path) <= 512 < len(threads)
+
+
+def test_idle_threads_of_one_bucket_are_as_those_of_many(spark, tmp_path):
+    rng = random.Random(7)
+    batches = [[(rng.randrange(12), i * 20 + j, i * 60 + rng.randrange(60), "f", rng.choice([1, 1, -1])) for j in range(5)] for i in range(9)] + [[(77, 999, 9000, "end", 1)]]
+    one, many = (fed(spark, tmp_path / str(n), batches, late="70 seconds", idle_ms=10_000, buckets=n) for n in (1, 512))
+    assert one == many and len(one) == 45
+    rows = spark.createDataFrame([(t, s, START + timedelta(seconds=at), q, step) for t, s, at, q, step in sum(batches[:-1], [])], SCHEMA)
+    never = analytics.call_depths(rows.withColumn("seq", F.unix_micros("ts") * 1000 + F.col("seq"))).select("thread", F.col("seq") % 1000, "depth")
+    assert one != sorted((tuple(r) for r in never.collect()), key=repr)  # some thread was forgotten
+
+
+def test_batches_of_a_replay_are_no_more_for_more_files(spark, tmp_path):
+    rows = spark.range(0, 1200, 1, 150).select((F.col("id") % 7).alias("thread"), F.col("id").alias("seq"), F.timestamp_seconds(1_700_000_000 + (F.col("id") * 13) % 1200).alias("ts"), F.lit("f").alias("qname"), F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("step"))
+    stream, late = depth.replayed(spark, rows, str(tmp_path / "events"))
+    got = depth.run_to_end(depth.call_depths(stream, late), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out/state/offsets").glob("[0-9]*"))) <= 7  # four lots, the last row, and batches without data
+    want = analytics.call_depths(rows.withColumn("seq", F.unix_micros("ts"))).select("thread", "depth", F.timestamp_micros("seq").alias("ts"))
+    assert sorted(map(tuple, got.select("thread", "depth", "ts").collect())) == sorted(map(tuple, want.collect()))
