@@ -88,8 +88,8 @@ def test_idle_threads_of_one_bucket_are_as_those_of_many(spark, tmp_path):
 
 
 def test_batches_of_a_replay_are_no_more_for_more_files(spark, tmp_path):
-    rows = spark.range(0, 1200, 1, 150).select((F.col("id") % 7).alias("thread"), F.col("id").alias("seq"), F.timestamp_seconds(1_700_000_000 + (F.col("id") * 13) % 1200).alias("ts"), F.lit("f").alias("qname"), F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("step"))
-    stream, late = depth.replayed(spark, rows, str(tmp_path / "events"))
+    rows = spark.range(0, 1200, 1, 150).select((F.col("id") % 7).alias("thread"), F.col("id").alias("seq"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 8 * 150 + F.floor(F.col("id") / 8)).alias("ts"), F.lit("f").alias("qname"), F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("step"))
+    stream, late = depth.replayed(spark, rows, str(tmp_path / "events"))  # 600 files
     got = depth.run_to_end(depth.call_depths(stream, late), str(tmp_path / "out"))
     assert len(list((tmp_path / "out/state/offsets").glob("[0-9]*"))) <= 7  # four lots, the last row, and batches without data
     want = analytics.call_depths(rows.withColumn("seq", F.unix_micros("ts"))).select("thread", "depth", F.timestamp_micros("seq").alias("ts"))
