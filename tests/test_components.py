@@ -52,6 +52,35 @@ def test_components_of_many_shapes(spark, monkeypatch, small):
     assert {tuple(r) for r in small_graph.collect()} == {(want[a], want[b]) for a, b in pairs if want[a] != want[b]}
 
 
+@pytest.mark.parametrize(("lot", "starts"), [(10, 3), (1 << 19, 2)])
+def test_lots_of_any_size_find_the_same(spark, monkeypatch, lot, starts):
+    """Several lots send values to each other, one lot ends in a task; walks go by lots of starts, or by joins beyond a lot of links."""
+    monkeypatch.setattr(components, "LOT", lot)
+    monkeypatch.setattr(components, "STARTS", starts)
+    monkeypatch.setattr(components, "HANDED", 4)
+    random.seed(5)
+    names = [f"n{i}" for i in range(30)]
+    pairs = [(random.choice(names), random.choice(names[:20])) for _ in range(45)]
+    names = sorted({x for p in pairs for x in p})
+    far = reach(pairs, names)
+    parts = components.strong_components(nodes(spark, []), edges(spark, pairs))
+    assert sorted((r["node"], r["part"]) for r in parts.collect()) == [(n, min(m for m in far[n] if n in far[m])) for n in names]
+    counts = components.reach_counts(nodes(spark, [*names, "lone", None]), edges(spark, pairs)).collect()
+    assert sorted((r["seed"], r["n"]) for r in counts) == sorted([(n, len(far[n])) for n in names] + [("lone", 1)])
+
+
+def test_a_long_walk_takes_few_jobs(spark):
+    """A chain with a circle at its end takes no round for each step."""
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("n120", "n110")]
+    group = "few-jobs"
+    spark.sparkContext.setJobGroup(group, "")
+    counts = {r["seed"]: r["n"] for r in components.reach_counts(nodes(spark, ["n000", "n115"]), edges(spark, pairs)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert counts == {"n000": 121, "n115": 11}
+    assert 0 < jobs < 120
+
+
 def test_rounds_leave_the_edges_where_they_are(spark):
     steps = components.Steps(edges(spark, [(f"n{i}", f"n{i // 2}") for i in range(200)]))
     frontier = cut(nodes(spark, ["n100", "n101"]))
