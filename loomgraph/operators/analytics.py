@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut, lack, one_per, running
@@ -383,27 +386,38 @@ def split_distinctness(tree: DataFrame, vectors: DataFrame) -> DataFrame:
 STRETCH, PACKED = 8192, 1 << 22
 
 
-def tree_blocks(tree: DataFrame, vectors: DataFrame):
+def in_floats(vectors: DataFrame) -> Column:
+    """``vector`` in floats if that is how it comes, else in doubles."""
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return F.col("vector").cast("array<float>" if kind == "array<float>" else "array<double>")
+
+
+def tree_blocks(tree: DataFrame, vectors: DataFrame, stretch: int = STRETCH):
     """(left, right, meet): blocks (i, j) of nodes with vectors in preorder, and ``meet`` of two of them: (far, steps) of their pairs in one
-    tree, 1 - cosine, rounded, and steps along the tree, tile by tile.
+    tree, 1 - cosine, rounded, and steps along the tree, tile by tile. Stretches with a border of trees between them don't meet.
 
     The lowest common ancestor of two nodes is as deep as the least parent between them in the preorder; a node carries the least parent
     ``since`` the node with a vector before it. Stretches meet as blocks: inside, minima run from either node to the border of its tile or
     stretch, and a sparse table has those of the stretches between. It holds a number for each stretch and level and goes to all tasks.
     """
-    places = intervals(tree.select("node", "parent")).join(vectors.select("node", F.col("vector").cast("array<double>").alias("v")), "node", "left")
+    places = intervals(tree.select("node", "parent")).join(vectors.select("node", in_floats(vectors).alias("v")), "node", "left")
     places = running(places.select("first", "depth", "v", F.col("v").isNotNull().cast("bigint").alias("known")), "first", "known")
     places = cut(places.select(F.col("below").alias("k"), "depth", "v"))
     since = places.groupBy("k").agg(F.min(F.col("depth") - 1).alias("since"))
     rows = cut(places.where("v IS NOT NULL").join(since, "k"))
     n, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    size = max(BLOCK, min(STRETCH, -(-n // LOTS), HELD // (8 * max(1, wide or 1))))
+    size = max(BLOCK, min(stretch, -(-n // LOTS), HELD // (8 * max(1, wide or 1))))
     rows = rows.withColumn("i", F.floor(F.col("k") / size))
     least = {r["i"]: r["m"] for r in rows.groupBy("i").agg(F.min("since").alias("m")).collect()}
     count = len(least)
     between = RangeMinimum([least[i] for i in range(count)])
-    left = rows.select("k", "depth", "since", "v", "i", F.explode(F.sequence(F.col("i"), F.lit(max(0, count - 1)).cast("bigint"))).alias("j"))
-    right = rows.select(*(F.col(c).alias(c) for c in ("k", "depth", "since", "v")), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "i")).alias("i"))
+    last = [0] * count  # the last stretch that a tree of stretch i can reach, and the first one whose trees can reach it
+    for i in reversed(range(count)):
+        last[i] = i if i + 1 == count else i + 1 if least[i + 1] < 0 else max(i + 1, last[i + 1])
+    meets = F.broadcast(tree.sparkSession.createDataFrame([(i, next(x for x in range(i + 1) if last[x] >= i), j) for i, j in enumerate(last)], "i bigint, lo bigint, hi bigint"))
+    rows = rows.join(meets, "i")
+    left = rows.select("k", "depth", "since", "v", "i", F.explode(F.sequence("i", "hi")).alias("j"))
+    right = rows.select(*(F.col(c).alias(c) for c in ("k", "depth", "since", "v")), F.col("i").alias("j"), F.explode(F.sequence("lo", "i")).alias("i"))
     block = BLOCK
 
     def meet(a: pd.DataFrame, b: pd.DataFrame):
@@ -464,16 +478,133 @@ def packed_ranges(found: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray)
     return out
 
 
-def distance_correlation(tree: DataFrame, vectors: DataFrame) -> DataFrame:
+#: Pairs beyond which distances are counted by bins first where digits say how exact rho must be; nodes of a stretch then, bins, bins of a packed
+#: row, equal cells of distances that bins are dealt to, and into how many parts bins are finer if they don't decide. What sums of doubles may be off by.
+PAIRS, FAR_STRETCH, COUNTED, SPAN, CELLS, FINER, SUMS = 1 << 33, 1 << 15, 1 << 24, 1 << 14, 1 << 14, 4, 1e-11
+
+
+def distance_correlation(tree: DataFrame, vectors: DataFrame, digits: int | None = None) -> DataFrame:
     """(rho, n) of 1 - cosine and steps in the tree over all connected pairs, ranked; average ranks for ties, 0 without variance.
 
+    With ``digits`` only rho rounded to so many is asked for. Over ``PAIRS`` pairs are then counted by narrow bins of distances, which bounds
+    rho from both sides; if both bounds round to the same, that is the result. If not, bins become narrower, and at last all distances are ranked.
+    """
+    n = vectors.where("vector IS NOT NULL").count() if digits is not None else 0
+    if n * (n - 1) // 2 > PAIRS:
+        for parts in (1, FINER):
+            low, high, total = bounded_correlation(tree, vectors, parts)
+            if low is not None and round(low, digits) == round(high, digits):
+                return tree.sparkSession.createDataFrame([((low + high) / 2, total)], "rho double, n bigint")
+    return ranked_correlation(tree, vectors)
+
+
+def sampled(vectors: DataFrame) -> np.ndarray:
+    """``SAID`` unit vectors by the hash of their nodes."""
+    known = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    return unit(pd.Series([r["v"] for r in known.orderBy(F.xxhash64("node")).limit(SAID).collect()]).astype(object)) if not known.isEmpty() else np.zeros((1, 1))
+
+
+class Bins:
+    """Bins of distances, narrow where many are: whole numbers of ``UNIT`` go to equal cells, each divided by its share of a sample.
+
+    Where bins end only says how near the bounds come; equal distances always share a bin."""
+
+    def __init__(self, said: np.ndarray, n: int) -> None:
+        far = 1 - (said @ said.T)[np.triu_indices(len(said), 1)]
+        self.scale = CELLS / 2.0 * UNIT
+        share = np.bincount(np.clip((far * (CELLS / 2.0)).astype(np.int64), 0, CELLS - 1), minlength=CELLS) / max(1, len(far))
+        self.slots = np.floor(1 + max(0, n - CELLS) * share)
+        self.start = np.concatenate([[0], np.cumsum(self.slots)])[:-1]
+        self.n = int(self.slots.sum())
+
+    def of(self, far: np.ndarray) -> np.ndarray:
+        x = np.rint(far / UNIT) * self.scale
+        cell = np.clip(x.astype(np.int64), 0, CELLS - 1)
+        inside = np.clip(x - cell, 0, 1 - 1e-9)
+        return (self.start[cell] + np.floor(inside * self.slots[cell])).astype(np.int64)
+
+
+def counted_bins(found: Iterable[tuple[np.ndarray, np.ndarray]], bins: Bins, part: int, parts: int) -> pd.DataFrame:
+    """(lot, steps, counts): how many distances of a number of steps each bin has, packed by ``SPAN`` bins, of one of ``parts`` parts of all bins."""
+    low, high = (bins.n * x // parts for x in (part, part + 1))
+    counts: dict[int, np.ndarray] = {}
+    for far, steps in found:
+        at = bins.of(far)
+        if parts > 1:
+            inner = (at >= low) & (at < high)
+            at, steps = at[inner], steps[inner]
+        kinds = np.flatnonzero(np.bincount(steps))
+        for step in kinds.tolist():
+            own = at[steps == step] if len(kinds) > 1 else at
+            np.add.at(counts.setdefault(step, np.zeros(high - low, np.int32)), own - low, np.ones(len(own), np.int32))
+    out = []
+    for step, count in counts.items():
+        begin = low
+        while begin < high:
+            end = min(high, (begin // SPAN + 1) * SPAN)
+            some = count[begin - low : end - low]
+            if some.any():
+                row = np.zeros(SPAN, np.int32)
+                row[begin % SPAN : begin % SPAN + len(some)] = some
+                out.append((begin // SPAN, step, zlib.compress(row.tobytes(), 1)))
+            begin = end
+    return pd.DataFrame(out, columns=["lot", "steps", "counts"])
+
+
+def bounded_correlation(tree: DataFrame, vectors: DataFrame, parts: int) -> tuple[float | None, float | None, int]:
+    """(low, high, n): bounds of rho from counts by bins. Ranks inside a bin are as unsure as its pairs of different steps are many.
+
+    A task adds up a block's counts; a pair is neither a row nor kept. Several parts meet every block as often, each with bins of its own.
+    """
+    left, right, met = tree_blocks(tree, vectors, FAR_STRETCH)
+    bins = Bins(sampled(vectors), COUNTED * parts)
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return counted_bins(met(a, b), bins, int(a["part"].iloc[0]), parts) if len(a) and len(b) else pd.DataFrame({"lot": [], "steps": [], "counts": []})
+
+    of = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys, kinds = ("i", "j", "part"), pa.schema([("lot", pa.int32()), ("steps", pa.int32()), ("counts", pa.binary())])
+    packed = of(left).groupBy(*keys).cogroup(of(right).groupBy(*keys)).applyInArrow(in_arrow(count, kinds), "lot int, steps int, counts binary")
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        """For each number of steps its pairs and their ranks inside the lot; for each two how many pairs of pairs share a bin; at (0, 0) what ties can be at most."""
+        sums: dict[int, np.ndarray] = {}
+        for step, packed in zip(f["steps"].tolist(), f["counts"], strict=True):
+            sums[step] = sums.get(step, 0) + np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
+        every = sum(sums.values())
+        middle, many = np.cumsum(every) - (every - 1) / 2, every.astype(float)
+        steps = sorted(sums)
+        rows = [(s, s, int(sums[s].sum()), float((sums[s] * middle).sum())) for s in steps]
+        rows += [(s, t, 0, float((sums[s].astype(float) * sums[t]).sum())) for x, s in enumerate(steps) for t in steps[x + 1 :]]
+        rows.append((0, 0, 0, float((many**3 - many).sum())))
+        return pd.DataFrame(rows, columns=["one", "two", "n", "sum"]).assign(lot=int(f["lot"].iloc[0]))
+
+    ranges = cut(packed.groupBy("lot").applyInPandas(add, "lot int, one int, two int, n bigint, sum double"))
+    below = running(ranges.groupBy("lot").agg(F.sum("n").alias("m")), "lot", "m").select("lot", "below")
+    found = ranges.join(below, "lot").groupBy("one", "two").agg(F.sum("n").alias("n"), F.sum(F.col("sum") + F.col("n") * F.col("below")).alias("sum")).collect()
+    of_steps = sorted((r["one"], r["n"], r["sum"]) for r in found if r["one"] == r["two"] > 0)
+    total, ties = sum(n for _, n, _ in of_steps), sum(r["sum"] for r in found if r["two"] == 0)
+    middle, place, y = (total + 1) / 2, 0, {}
+    for step, n, _ in of_steps:
+        y[step], place = place + (n + 1) / 2 - middle, place + n
+    xy = sum(y[s] * (ranks - n * middle) for s, n, ranks in of_steps)
+    unsure = sum(abs(y[r["one"]] - y[r["two"]]) * r["sum"] / 2 for r in found if r["one"] < r["two"])
+    yy, most = sum(n * y[s] ** 2 for s, n, _ in of_steps), (float(total) ** 3 - total) / 12
+    least = most - ties / 12
+    if yy <= 0 or least <= 0:
+        return None, None, total
+    ends = [x / (yy * v) ** 0.5 for x in (xy - unsure, xy + unsure) for v in (least, most)]
+    return min(ends) - SUMS, max(ends) + SUMS, total
+
+
+def ranked_correlation(tree: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(rho, n) of ``distance_correlation`` from the ranks of all pairs.
+
     No pair is a row. A task sorts the distances of its pairs by ranges and steps, and sends a range's distances as one packed row: whole
     numbers of ``UNIT`` from the range's begin, each once with its count. A range's ranks follow from those of the ranges before and its own.
     """
     left, right, met = tree_blocks(tree, vectors)
-    known = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
-    said = unit(pd.Series([r["v"] for r in known.orderBy(F.xxhash64("node")).limit(SAID).collect()]).astype(object)) if not known.isEmpty() else np.zeros((1, 1))
-    total = known.count()
+    said, total = sampled(vectors), vectors.where("vector IS NOT NULL").count()
     parts = int(min(RANGES, max(16, total * total // 2 // RANGE)))
     # 1 - cosine lies in 0..2 up to rounding; where ranges end only says how many values a task has
     ends = np.unique(np.round(np.quantile(1 - said @ said.T, np.arange(1, parts) / parts) / UNIT).astype(np.int64))

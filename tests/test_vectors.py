@@ -156,3 +156,28 @@ def test_correlation_makes_no_pair_a_row(spark, sf, places, monkeypatch, block):
     assert max(df.count() for df in kept) < len(far) / 2
     none = analytics.distance_correlation(tree, vectors.limit(0)).collect()[0]
     assert tuple(none) == (0.0, 0)
+
+
+def test_correlation_by_bins_is_bounded(spark, sf, places, monkeypatch):
+    """Bins keep no distance; what they say holds rho, is taken only if it decides the digits asked for, and is refined or ranked else."""
+    tree, vectors = registry.place_vectors(spark, sf)
+    want = analytics.ranked_correlation(tree, vectors).collect()[0]
+    monkeypatch.setattr(analytics, "PAIRS", 0)
+    monkeypatch.setattr(analytics, "COUNTED", 1 << 12)
+    monkeypatch.setattr(analytics, "CELLS", 512)
+    monkeypatch.setattr(analytics, "SPAN", 1 << 8)
+    monkeypatch.setattr(analytics, "BLOCK", 70)
+    monkeypatch.setattr(analytics, "FAR_STRETCH", 100)
+    wide = []
+    for parts in (1, 3):
+        low, high, n = analytics.bounded_correlation(tree, vectors, parts)
+        assert n == want["n"] and low <= want["rho"] <= high
+        wide.append(high - low)
+    assert wide[1] < wide[0]
+    ranked = analytics.ranked_correlation
+    called = []
+    monkeypatch.setattr(analytics, "ranked_correlation", lambda *a: called.append(1) or ranked(*a))
+    got = analytics.distance_correlation(tree, vectors, digits=2).collect()[0]
+    assert got["n"] == want["n"] and round(got["rho"], 2) == round(want["rho"], 2) and not called
+    got = analytics.distance_correlation(tree, vectors, digits=11).collect()[0]
+    assert abs(got["rho"] - want["rho"]) < 1e-11 and called
