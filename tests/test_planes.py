@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from loomgraph.functions.frames import cut
@@ -48,6 +49,29 @@ def test_segments_as_long_as_the_crowd_have_few_copies(spark, monkeypatch, lot):
     assert max(df.count() for df in kept) <= 2 * len(sure)
 
 
+def parted(p, q):
+    """Whether the ends of q lie on either side of p's line, by the arithmetic of the queries' SQL."""
+    return ((q[1] - p[1]) * (p[2] - p[0]) > (p[3] - p[1]) * (q[0] - p[0])) != ((q[3] - p[1]) * (p[2] - p[0]) > (p[3] - p[1]) * (q[2] - p[0]))
+
+
+@pytest.mark.parametrize(
+    ("p", "q"),
+    [
+        ((1.0, 1.89, -5.0, 7.890000000000001), (0.74, 2.15, -0.2599999999999998, 3.1500000000000004)),
+        ((0.08, 3.06, 0.08000000000000007, 3.0600000000000005), (0.8, 2.16, -3.2, 7.16)),
+        ((2.89, 1.95, 1.8900000000000006, -2.05), (0.83, 2.98, 8.829999999999998, -1.0199999999999996)),
+        ((0.0, 0.0, 4.0, 4.0), (1.0, 3.0, 3.0, 1.0)),
+        ((0.0, 0.0, 4.0, 4.0), (2.0, 2.0, 5.0, 3.0)),
+    ],
+)
+def test_ends_on_lines_count_as_in_sql(p, q):
+    """Where an end lies on the other's line up to rounding, a pair counts as the SQL has it, whichever of them comes first."""
+    want = int(parted(p, q) and parted(q, p))
+    for one, two in ((p, q), (q, p)):
+        rows = pd.DataFrame([(0, "a", "b", *one), (1, "c", "d", *two)], columns=["id", "a", "b", "ax", "ay", "bx", "by"])
+        assert analytics.crossing_pairs(rows.assign(lot=0, own_x=True, own_y=True)) == want
+
+
 @pytest.mark.parametrize("bins", [None, 16])
 def test_density_grid(spark, bins):
     rng = random.Random(2)
